@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm import decontam, langid, simhash
+from plait.llm import decontam, langid, mixing, simhash, tokens
+from plait.llm.sql import SQL as SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model).drop("text")
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokens.write(_table(spark, sf_dir, "documents"), tokens.vocabulary_path())
+    return tokens.read(manifest, tokens.crc32_of, "ids_crc32", "long")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.plan(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -31,8 +42,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
+    "op4_token_ids": op4_token_ids,
+    "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
 }
-
-SQL: dict[str, str] = {}
