@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm import decontam, langid, mixing, simhash, tokens
+from plait.llm import decontam, langid, linededup, mixing, secrets, simhash, tokens, urls
 from plait.llm.sql import SQL as SQL
 
 
@@ -40,10 +40,25 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_token_ids": op4_token_ids,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_url_filter": op9_url_filter,
+    "op10_line_dedup": op10_line_dedup,
 }

@@ -26,3 +26,87 @@ WITH sized AS (
 )
 SELECT doc_id, size, source_size, round(target, 6) AS target, (size * (floor(rate) + (u < rate - floor(rate))::BIGINT))::BIGINT AS taken FROM rated
 """
+
+SQL["op8_secret_scan"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source AS owner, coalesce(text, '') AS t FROM documents
+), kinds(o, kind, p, g, least) AS (VALUES
+  (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+  (1, 'access', 'AKIA[A-Z0-9]+', 0, 20),
+  (2, 'hex', '[0-9a-f]+', 0, 24),
+  (3, 'live', '[A-Za-z0-9+/_-]{20,}', 0, 20)
+), m AS (
+  SELECT r, doc_id, owner, 0 AS o, regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS w,
+    regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS v,
+    string_split_regex(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS s FROM d
+  UNION ALL SELECT r, doc_id, owner, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+') AS w, w, string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT r, doc_id, owner, 2, regexp_extract_all(t, '[0-9a-f]+') AS w, w, string_split_regex(t, '[0-9a-f]+') FROM d
+  UNION ALL SELECT r, doc_id, owner, 3, regexp_extract_all(t, '[A-Za-z0-9+/_-]{20,}') AS w, w, string_split_regex(t, '[A-Za-z0-9+/_-]{20,}') FROM d
+), each AS (
+  SELECT r, doc_id, owner, o, i, length(w[i]) AS len, length(s[i]) AS gap, v[i] AS token FROM m, unnest(range(1, len(w) + 1)) AS u(i)
+), spans AS (
+  SELECT e.*, kind, sum(gap + len) OVER (PARTITION BY r, e.o ORDER BY i) AS "end", "end" - len AS start, length(token) >= least AS ok
+  FROM each e JOIN kinds k ON e.o = k.o
+), base AS (SELECT * FROM spans WHERE ok AND o < 3),
+cand AS (SELECT * FROM spans WHERE o = 3 AND regexp_matches(token, '[0-9]') AND regexp_matches(token, '[A-Za-z]')),
+few AS (
+  SELECT token FROM (SELECT DISTINCT token, coalesce(owner, '?') AS owner, doc_id FROM cand) GROUP BY token
+  HAVING count(DISTINCT owner) <= 1 AND count(*) <= 3
+), live AS (
+  SELECT c.* FROM cand c SEMI JOIN few USING (token)
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.start < c."end" AND c.start < b."end")
+), by_base AS (
+  SELECT r, count_if(o = 0) AS a, count_if(o = 1) AS k, count_if(o = 2) AS h, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, o) AS s FROM base GROUP BY r
+), by_all AS (
+  SELECT r, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, o) AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM live) GROUP BY r
+)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
+  sha256(coalesce(b.s, '')) AS base_sha256, coalesce(e.s, '') AS spans
+FROM d LEFT JOIN by_base b USING (r) LEFT JOIN by_all e USING (r)
+"""
+
+SQL["op9_url_filter"] = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut
+), rules(say, rule, rhost, rpath) AS (VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
+  ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')
+), best AS (
+  SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(say, length(rule)) AS say
+  FROM (SELECT DISTINCT host, path FROM p) x JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL
+), rows AS (
+  SELECT p.*, rule, say, CASE say WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad,
+    list_transform(list_filter(string_split(p.path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '{n}'
+      WHEN regexp_matches(s, '^[0-9]+\.[A-Za-z]+$') THEN '{n}' || regexp_extract(s, '\.[A-Za-z]+$') WHEN regexp_matches(s, '^[0-9a-fA-F]{8,}$') THEN '{h}'
+      WHEN regexp_matches(s, '[0-9]') AND length(s) >= 6 THEN '{x}' ELSE s END) AS long_segs,
+    CASE WHEN len(long_segs) > 6 THEN list_append(long_segs[1:6], '{**}') ELSE long_segs END AS segs
+  FROM p LEFT JOIN best USING (host, path)
+), shapes AS (
+  SELECT host, segs, count(*) AS n, count(bad) AS seen, coalesce(sum(bad), 0) AS bad FROM rows GROUP BY host, segs
+), steps AS (
+  SELECT host, segs, n, d, segs[d] AS seg, array_to_string(segs[1:d - 1], '/') AS parent FROM shapes, unnest(range(1, len(segs) + 1)) AS u(d)
+), children AS (SELECT host, d, parent, seg, sum(n) AS n_child FROM steps GROUP BY ALL),
+crowded AS (SELECT host, d, parent, sum(n_child) AS n_parent FROM children GROUP BY ALL HAVING count(*) > 12),
+rare AS (SELECT host, d, parent, seg FROM children JOIN crowded USING (host, d, parent) WHERE NOT starts_with(seg, '{') AND n_child < 0.05::DOUBLE * n_parent),
+wild AS (
+  SELECT s.host, s.segs, list(CASE WHEN r.seg IS NULL THEN s.seg ELSE '*' END ORDER BY s.d) AS template
+  FROM steps s LEFT JOIN rare r ON s.host = r.host AND s.d = r.d AND s.parent = r.parent AND s.seg = r.seg GROUP BY ALL
+), tree AS (
+  SELECT s.*, coalesce(template, s.segs) AS t, coalesce(t[1], '') AS branch, array_to_string(t[2:], '/') AS sub FROM shapes s LEFT JOIN wild w ON s.host = w.host AND s.segs = w.segs
+), cells AS (SELECT host, branch, sub, sum(n)::DOUBLE AS o FROM tree GROUP BY ALL),
+agree AS (
+  SELECT host, branch, any_value(df) AS df, greatest(sum(o * o * n_host / (n_branch * o_sub)) - any_value(n_branch), 0) AS chi FROM (
+    SELECT *, sum(o) OVER (PARTITION BY host, sub) AS o_sub, sum(o) OVER (PARTITION BY host) AS n_host, sum(o) OVER (PARTITION BY host, branch) AS n_branch FROM cells)
+  JOIN (SELECT host, count(DISTINCT sub) - 1 AS df FROM cells GROUP BY host) USING (host) GROUP BY host, branch
+), nodes AS (
+  SELECT host, branch, CASE WHEN CASE WHEN df = 0 THEN true ELSE cbrt(chi / df) - (1 - 2.0 / (9.0 * df)) <= 2.33 * sqrt(2.0 / (9.0 * df)) END THEN '{~}' ELSE branch END AS node FROM agree
+), named AS (
+  SELECT t.host, segs, bad, seen, node || CASE WHEN sub <> '' THEN '/' || sub ELSE '' END AS template FROM tree t JOIN nodes USING (host, branch)
+), base AS (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(seen), 0) + 2.0::DOUBLE) AS base FROM shapes),
+hosts AS (SELECT host, (sum(bad) + 4.0::DOUBLE * any_value(base)) / (sum(seen) + 4.0::DOUBLE) AS host_rate FROM shapes, base GROUP BY host),
+pure AS (SELECT host, template, (sum(bad) + 4.0::DOUBLE * any_value(host_rate)) / (sum(seen) + 4.0::DOUBLE) AS purity FROM named JOIN hosts USING (host) GROUP BY host, template)
+SELECT page_id, r.host, path, rule, coalesce(say, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, n.template
+FROM rows r JOIN named n ON r.host = n.host AND r.segs = n.segs JOIN pure u ON n.host = u.host AND n.template = u.template
+"""
