@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm import decontam, langid, linededup, mixing, secrets, simhash, tokens, urls
+from plait.llm import audio, decontam, langid, linededup, mixing, quality, secrets, simhash, tokens, urls
 from plait.llm.sql import SQL as SQL
 
 
@@ -15,6 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_audio_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # there is no audio table: the bytes of a text stand for 8-bit samples
+    return audio.align(_table(spark, sf_dir, "documents"), "doc_id", F.col("text").cast("binary"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out()))
@@ -53,6 +62,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_audio_prints": op1_audio_prints,
+    "op2_quality": op2_quality,
     "op3_language_id": op3_language_id,
     "op4_token_ids": op4_token_ids,
     "op5_mixing": op5_mixing,

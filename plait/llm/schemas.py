@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
@@ -29,3 +32,10 @@ def packed(docs: DataFrame, text: str = "text", *more: Column) -> DataFrame:
 def unpacked(docs: DataFrame, text: str = "text") -> list[Column]:
     """The columns of ``docs`` out of what ``packed`` made of it."""
     return [F.col("text").alias(c) if c == text else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
