@@ -16,29 +16,36 @@ most files that nothing names.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
 import sys
 import types
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plait.llm.schemas import quoted
+from plait.llm.schemas import quoted, slices
 from plait.plans.staging import new_path, stage
 
 END_ID = 2
-FILE_TOKENS = 1 << 22
+FILE_TOKENS = 1 << 21
 MAGIC = b"PLAITDA1"
 BLOCK = 512
-MEMO_WORDS = 400_000
-SEPARATOR = b"~"
+MEMO_WORDS = 500_000
+#: Words whose characters the tokenizer's text rules treat as Python does: printable ASCII and Latin letters.
+PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+#: The pattern of the vocabulary's pre-tokenizer.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -49,43 +56,110 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer whose tokens never span ASCII white space, which remembers words."""
+    """Ids of texts by a tokenizer that works on pieces of words, which remembers words and pieces.
+
+    The tokenizer's text rules never look beyond ASCII white space, so words are encoded once each.  A word of
+    plain Latin characters is lower-cased and cut into the tokenizer's pieces here, and only unseen pieces go
+    to the library, many at a time: the last id of each piece is one that ends a word.  All other words go to
+    the library as they are.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.mark = self._ids(SEPARATOR.decode())
+        model = json.loads(vocabulary)["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+        # the same model for pieces that are cut and normalised already; printable ASCII stands for its own bytes
+        self.bare, self.bare_ascii = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        self.bare_ascii.pre_tokenizer = WhitespaceSplit()
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memo: dict[bytes, bytes] = {}
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _raw(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_pieces(self, pieces: list[bytes], tokenizer) -> None:
+        for at in range(0, len(pieces), 1024):
+            part = pieces[at : at + 1024]
+            ids = self._raw([b" ".join(part).decode()], tokenizer)[0]
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) == len(part):
+                raw, begin = ids.tobytes(), 0
+                for piece, end in zip(part, cuts.tolist()):
+                    self.memo[piece] = raw[begin:end]
+                    begin = end
+            else:
+                self.memo.update(zip(part, (x.tobytes() for x in self._raw([p.decode() for p in part], tokenizer))))
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode unseen words many at a time, set apart by a mark that is one token and in none of them."""
-        plain = [w for w in words if SEPARATOR not in w] if len(self.mark) == 1 else []
-        for at in range(0, len(plain), 512):
-            part = plain[at : at + 512]
-            text = (b" " + SEPARATOR + b" ").join(part).decode("utf-8", "replace")
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            begin, end = np.concatenate(([0], cuts + 1)) * 4, np.concatenate((cuts, [len(ids)])) * 4
-            raw = ids.tobytes()
-            self.memo.update((w, raw[b:e]) for w, b, e in zip(part, begin.tolist(), end.tolist()))
-        for w in words if len(self.mark) != 1 else (w for w in words if SEPARATOR in w):
-            self.memo[w] = np.array(self._ids(w.decode("utf-8", "replace")), "<u4").tobytes()
-
-    def encode(self, text: bytes | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = text.split() if text else []
-        memo = self.memo
-        if unseen := set(words).difference(memo):
+        """Encode unseen words; a piece is remembered as the word that it would be alone."""
+        memo, need, cased, tailed, cut, other = self.memo, set(), [], [], [], []
+        for word in words:
+            if word.isalpha():
+                low = word.lower()
+                need.add(low)
+                if low != word:
+                    cased.append((word, low))
+                continue
+            core = word.rstrip(b".,;:!?")
+            if core.isalpha():
+                low, tail = core.lower(), word[len(core) :]
+                need.add(low)
+                need.add(tail)
+                tailed.append((word, low, tail))
+                continue
+            text = word.decode("utf-8", "replace")
+            if PLAIN.fullmatch(text):
+                found = [p.encode() for p in PIECES.findall(text.lower())]
+                need.update(found)
+                cut.append((word, found))
+            else:
+                other.append((word, text))
+        need = need.difference(memo)
+        plain = [p for p in need if p.isascii()]
+        self._learn_pieces(plain, self.bare_ascii)
+        self._learn_pieces(list(need.difference(plain)), self.bare)
+        for word, low in cased:
+            memo[word] = memo[low]
+        for word, low, tail in tailed:
+            memo[word] = memo[low] + memo[tail]
+        for word, found in cut:
+            memo[word] = b"".join([memo[p] for p in found])
+        if other:
+            memo.update(zip((w for w, _ in other), (x.tobytes() for x in self._raw([t for _, t in other]))))
+
+    def forget(self) -> None:
+        """Let the remembered words go."""
+        self.memo.clear()
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        memo, split = self.memo, [t.split() if t else [] for t in texts]
+        if unseen := set(filterfalse(memo.__contains__, chain.from_iterable(split))):
             if len(memo) + len(unseen) > MEMO_WORDS:
                 memo.clear()
-                unseen = set(words)
+                unseen = set(chain.from_iterable(split))
             self._learn(list(unseen))
-        return b"".join(map(memo.__getitem__, words))
+        return [b"".join(map(memo.__getitem__, words)) for words in split]
+
+
+def _groups(bodies: Iterator[bytes | None], most: int = 1 << 19) -> Iterator[list[bytes | None]]:
+    """The texts in lists of about ``most`` bytes."""
+    held, n = [], 0
+    for body in bodies:
+        held.append(body)
+        n += len(body or b"")
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def encoder(vocabulary: str) -> Encoder:
@@ -204,7 +278,7 @@ def write(docs: DataFrame, vocabulary: str, out_dir: str | None = None, doc_id:
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, encode = TaskContext.get().partitionId(), 0, encoder(shared.value).encode
+        part, seq, worker = TaskContext.get().partitionId(), 0, encoder(shared.value)
         doc_ids, starts, held = [], [0], []
 
         def close() -> pa.RecordBatch:
@@ -214,17 +288,23 @@ def write(docs: DataFrame, vocabulary: str, out_dir: str | None = None, doc_id:
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": path, "n_docs": len(doc_ids), "n_tokens": starts[-1]}], pa.schema(
                 [("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-        for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.append(encode(body.as_py()) + end)
-                doc_ids.append(name)
-                starts.append(starts[-1] + len(held[-1]) // 4)
-                if starts[-1] >= file_tokens:
-                    yield close()
-                    seq += 1
-                    doc_ids, starts, held = [], [0], []
-        if doc_ids:
-            yield close()
+        gc.disable()  # the memos are many objects and no cycles
+        try:
+            for batch in slices(batches):
+                codes = (ids for group in _groups(body.as_py() for body in batch.column(1)) for ids in worker.encode(group))
+                for name, ids in zip(batch.column(0).to_pylist(), codes):
+                    held.append(ids + end)
+                    doc_ids.append(name)
+                    starts.append(starts[-1] + len(held[-1]) // 4)
+                    if starts[-1] >= file_tokens:
+                        yield close()
+                        seq += 1
+                        doc_ids, starts, held = [], [0], []
+            worker.forget()
+            if doc_ids:
+                yield close()
+        finally:
+            gc.enable()
 
     files = stage(rows.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long"), "manifest")
     # a total for each range: as many rows as the exchange has partitions
@@ -248,7 +328,8 @@ def read(manifest: DataFrame, value: Callable[[np.ndarray], object], name: str,
                 out = pa.array([value(ids[a:b]) for a, b in zip(cut[:-1], cut[1:])])
                 yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(cut[:-1] + row["start"], pa.int64()), pa.array(np.diff(cut), pa.int64()), out], ["doc_id", "start", "n_tokens", name])
 
-    spread = manifest.select("path", "start").repartition(F.col("path"))
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = manifest.select("path", "start").repartition(n)  # a given number, or small rows would meet in one task
     return spread.mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {kind}")
 
 
