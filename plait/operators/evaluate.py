@@ -75,6 +75,24 @@ def purity(members: DataFrame, truth: DataFrame) -> DataFrame:
     return n.groupBy("layer").agg(F.max_by("copy_id", F.struct("n", -F.col("copy_id"))).alias("copy_id"), F.max("n").alias("right"), F.sum("n").alias("n"))
 
 
+def commonest(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(*by, value, n): the commonest value of each group, ties to the smaller; nulls do not count."""
+    n = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    best = n.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias("b"))
+    return best.select(*by, F.col("b.v").alias(value), (-F.col("b.m")).alias("n"))
+
+
+def copy_numbers(reads_df: DataFrame, size: int, near: int = 1000, long: int = 2000) -> DataFrame:
+    """``reads_df(read_id, start_pos, first_len)`` → (read_id, copy): which copy of ``size`` bases a read begins in.
+
+    A read that begins under ``near`` bases before the next copy and whose first segment has ``long`` bases or
+    more belongs to that next copy.
+    """
+    own = F.floor(F.col("start_pos") / size)
+    late = ((own + 1) * size - F.col("start_pos") < near) & (F.col("first_len") >= long)
+    return reads_df.select("read_id", (own + F.when(late, 1).otherwise(0)).alias("copy"))
+
+
 def placed_percent(pure: DataFrame) -> DataFrame:
     """One row: percent in its layer's commonest copy, one decimal, cut off."""
     return pure.agg((F.floor(F.sum("right") * 1000 / F.sum("n")) / 10).alias("percent"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plait.functions.bases import BASES
-from plait.operators.reads import stable_symbols
+from plait.operators.reads import flanks, stable_symbols
 from plait.plans.staging import stage
 
 MODEL = "v int, w0 array<double>, b0 array<double>, w1 array<double>, b1 array<double>, accuracy double"
@@ -146,9 +146,31 @@ def correct(sigs: DataFrame, models: DataFrame, width: int, rounds: int = 5, kin
         now = stage(predict(now, models, width, kind=kind, mask=mask), "round")
         first = first or now
         seen.append(now.withColumn("round", F.lit(k)))
+    return _settled(seen, rounds, lag), first
+
+
+def _settled(seen: list[DataFrame], rounds: int, lag: int) -> DataFrame:
+    """The last round's signatures, symbols that still change as they were at first."""
     every = seen[0]
     for s in seen[1:]:
         every = every.unionByName(s)
     cells = every.select("sig_id", "round", F.posexplode(F.split("sig", "")).alias("v", "base"))
-    final = stable_symbols(cells, rounds, lag).groupBy("sig_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("v", "base"))), lambda x: x["base"]), "").alias("sig"))
-    return final, first
+    return stable_symbols(cells, rounds, lag).groupBy("sig_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("v", "base"))), lambda x: x["base"]), "").alias("sig"))
+
+
+def extended(items: DataFrame, flank: int, width: int, patterns: dict[str, str] | None = None) -> DataFrame:
+    """``items(read_id, y, klass, sig_id, sig)`` → (sig_id, sig) of elements with a signature, with their flanks."""
+    ext = flanks(items, ["y"], flank, width, patterns)
+    return items.where("sig_id is not null").select("read_id", "y", "sig_id").join(ext, ["read_id", "y"]).select("sig_id", F.col("ext").alias("sig"))
+
+
+def correct_reads(items: DataFrame, models: DataFrame, width: int, flank: int, patterns: dict[str, str] | None = None, rounds: int = 5, kind: str = "tanh", mask: bool = True, lag: int = 1) -> tuple[DataFrame, DataFrame]:
+    """As ``correct`` for signatures in read lists: each round sees the flanks that the round before left."""
+    rest = items.select("read_id", "y", "klass", "sig_id")
+    now, seen, first = items, [items.where("sig_id is not null").select("sig_id", "sig").withColumn("round", F.lit(0))], None
+    for k in range(1, rounds + 1):
+        new = stage(predict(extended(now, flank, width, patterns), models, width, flank, kind, mask), "round")
+        first = first or new
+        seen.append(new.withColumn("round", F.lit(k)))
+        now = rest.join(new, "sig_id", "left")
+    return _settled(seen, rounds, lag), first

@@ -234,3 +234,28 @@ def test_purity_and_stats_without_groups(spark):
     none = spark.createDataFrame([], "grp int, row_id long, col int, base string")
     assert evaluate.correction_stats(none, none).first().accuracy is None
     assert np.isclose(evaluate.placed_percent(evaluate.purity(m, t)).first().percent, 75.0)
+
+
+def test_correction_with_flanks(spark):
+    rng = random.Random(9)
+    rows = []
+    for x in range(60):
+        for y in range(3):
+            k = (x + y) % 3
+            sig = "".join(rng.choice("acgt") if rng.random() < 0.05 else c for c in ("acgtac", "ccgaag", "tctata")[k])
+            rows.append((x, y, "No", 3 * x + y, sig))
+    items = spark.createDataFrame(rows + [(99, 0, "Li", None, None)], "read_id int, y int, klass string, sig_id long, sig string")
+    ext = learn.extended(items, 6, 6, {"Li": "x"})
+    assert ext.count() == 180 and ext.where(F.length("sig") != 18).count() == 0
+    models = learn.train(ext, 6, range(6), flank=6, rounds=60, stop=101)
+    final, first = learn.correct_reads(items, models, 6, 6, {"Li": "x"}, rounds=2)
+    truth = {3 * x + y: ("acgtac", "ccgaag", "tctata")[(x + y) % 3] for x in range(60) for y in range(3)}
+    wrong = lambda d: sum(a != b for i, s in d.items() for a, b in zip(s, truth[i]))
+    assert wrong({r.sig_id: r.sig for r in final.collect()}) < 0.5 * wrong({r[3]: r[4] for r in rows}) and first.count() == 180
+
+
+def test_modes_and_copy_numbers(spark):
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c"), (2, "c"), (2, "a")], "g int, v string")
+    assert rows_of(evaluate.commonest(rows, ["g"], "v")) == [(1, "a", 1), (2, "c", 2)]
+    places = spark.createDataFrame([(0, 100, 4900), (1, 4500, 3000), (2, 4500, 400), (3, 5000, 10)], "read_id int, start_pos long, first_len int")
+    assert rows_of(evaluate.copy_numbers(places, 5000)) == [(0, 0), (1, 1), (2, 0), (3, 1)]
