@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from plait.llm.schemas import packed, quoted, unpacked, with_fields
+from plait.llm.schemas import packed, quoted, slices, small_batches, unpacked, with_fields
 from plait.plans.staging import stage
 
 WINDOW = 10
@@ -168,22 +169,24 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) ->
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", item_id: str = "item_id",
-         item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+         item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, finish=None, finished: StructType | None = None) -> DataFrame:
     """``keys``, ``n_words``, ``spans`` (hit words, end exclusive) and ``items`` (as strings, ascending) of every row.
 
     Null and empty texts have no words; items without words or id are ignored; an empty benchmark hits nothing.
+    ``finish`` makes batches of the schema ``finished`` out of these, in the same Python worker where it can.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(text).cast("string").cast("binary").alias("__text"))
     schema = with_fields(source, keys, n_words="long", spans="array<struct<s:long,e:long>>", items="array<string>")
     names = schema.names
     span_type = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
-    def passed(block: list[tuple[str, list[bytes]]], rows: DataFrame) -> DataFrame:
+    def passed(block: list[tuple[str, list[bytes]]], rows: DataFrame, last: bool = False) -> DataFrame:
         shared = spark.sparkContext.broadcast(ItemAutomaton(block, window))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 n, spans, items = [], [], []
                 for body in batch.column(batch.num_columns - 1):
                     words = words_of(body.as_py())
@@ -193,13 +196,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "te
                     items.append(sorted(found))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))], names)
 
+        if last and finish:
+            return rows.mapInArrow(lambda batches: finish(run(batches)), finished)
         return rows.mapInArrow(run, schema)
 
     blocks = _blocks(benchmark, item_id, item_text, block_words)
     one = next(blocks, [])
     two = next(blocks, None)
     if two is None:
-        return passed(one, source)
+        return passed(one, source, last=True)
     # a benchmark of several blocks: each pass is written, then spans and items are joined by row
     source = stage(source.withColumn("__row", F.monotonically_increasing_id()), "rows")
     keyed = source.select(F.struct(*keys, "__row").alias("k"), "__text")
@@ -216,7 +221,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "te
         case when size(acc) > 0 and element_at(acc, -1).e >= x.s
              then concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s, 'e', greatest(element_at(acc, -1).e, x.e))))
              else concat(acc, array(x)) end)""")
-    return merged.withColumn("spans", joined).select(*[F.col(f"k.`{c}`").alias(c) for c in merged.schema["k"].dataType.names if c != "__row"], "n_words", "spans", "items")
+    out = merged.withColumn("spans", joined).select(*[F.col(f"k.`{c}`").alias(c) for c in merged.schema["k"].dataType.names if c != "__row"], "n_words", "spans", "items")
+    return out.mapInArrow(finish, finished) if finish else out
 
 
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -252,10 +258,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
     Columns stay those of ``docs``; ``n_chars``, if it is a column, follows the new text.  Rows without a hit are unchanged.
     """
     rows = packed(docs, text)
-    found = scan(rows, benchmark, ["rest", "text"], "text", item_id, item_text, window, block_words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
             texts, n, spans = (batch.column(i).to_pylist() for i in (1, 2, 3))
             keep = []
             for i, (hits, total) in enumerate(zip(spans, n)):
@@ -265,7 +270,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
                     texts[i] = cut_spans(texts[i].encode(), long).decode()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["rest", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    out = found.mapInArrow(run, rows.schema).select(*unpacked(docs, text))
+    out = scan(rows, benchmark, ["rest", "text"], "text", item_id, item_text, window, block_words, finish, rows.schema).select(*unpacked(docs, text))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.char_length(quoted(text)).cast(docs.schema[n_chars].dataType))
     return out

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.llm.schemas import packed, quoted, unpacked, with_fields
+from plait.llm.schemas import packed, quoted, slices, small_batches, unpacked, with_fields
 
 UNKNOWN = "und"
 BUCKET_BITS = 14
-PIECE = 1 << 18
+PIECE = 1 << 17
 
 
 def _letters() -> np.ndarray:
@@ -113,11 +113,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = B
 
     What reaches the driver is ``languages × 2**bits`` sums at most.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             names, which = np.unique(np.array(langs, object), return_inverse=True)
             table = np.zeros((len(names), (1 << bits) + 1), np.int64)
@@ -146,12 +147,13 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", into: tup
 
     Null texts and texts without a letter get ``und`` and 0.  Columns already named as ``into`` are replaced.
     """
+    small_batches(docs.sparkSession)
     source = packed(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["rest", "text", "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = shared.value.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 

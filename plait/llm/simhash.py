@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.llm.schemas import quoted, with_fields
+from plait.llm.schemas import quoted, slices, small_batches, with_fields
 from plait.plans.components import connected_components
 from plait.plans.staging import stage
 
@@ -47,11 +47,12 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
 
 def with_fingerprints(docs: DataFrame, keys: list[str], text: str = "text", size: int = 3) -> DataFrame:
     """The ``keys`` of every row and ``fp``, the fingerprint of its whole text as a signed long."""
+    small_batches(docs.sparkSession)
     source = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(text).cast("string").cast("binary").alias("__text"))
     names = [*keys, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = np.fromiter((fingerprint(t.as_py(), size) for t in batch.column(len(keys))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64), pa.int64())], names)
 
