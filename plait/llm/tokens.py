@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plait.llm.schemas import quoted, slices
+from plait.llm.schemas import quoted, small_batches
 from plait.plans.staging import new_path, stage
 
 END_ID = 2
@@ -44,8 +44,9 @@ BLOCK = 512
 MEMO_WORDS = 500_000
 #: Words whose characters the tokenizer's text rules treat as Python does: printable ASCII and Latin letters.
 PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
-#: The pattern of the vocabulary's pre-tokenizer.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Fixed value: the pattern of the vocabulary's pre-tokenizer.
+RULES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECES = regex.compile(RULES)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -56,7 +57,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that works on pieces of words, which remembers words and pieces.
+    """Ids of texts by a tokenizers file; where that works on pieces of words, unseen words only are encoded.
 
     The tokenizer's text rules never look beyond ASCII white space, so words are encoded once each.  A word of
     plain Latin characters is lower-cased and cut into the tokenizer's pieces here, and only unseen pieces go
@@ -70,12 +71,18 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        model = json.loads(vocabulary)["model"]
+        spec = json.loads(vocabulary)
+        model = spec["model"]
+        kinds = [r.get("type") for r in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        #: Whether the vocabulary's text rules are those that words are cut by here; else whole texts go to the library.
+        self.known = kinds == ["NFC", "Replace", "Lowercase"] and cut == RULES and bool(model.get("end_of_word_suffix"))
         suffix = model.get("end_of_word_suffix")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if suffix:
             self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
         # the same model for pieces that are cut and normalised already; printable ASCII stands for its own bytes
+        self.tokenizer.model._resize_cache(0)  # the memo holds what repeats
         self.bare, self.bare_ascii = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
         self.bare_ascii.pre_tokenizer = WhitespaceSplit()
         self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -98,21 +105,18 @@ class Encoder:
                 self.memo.update(zip(part, (x.tobytes() for x in self._raw([p.decode() for p in part], tokenizer))))
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode unseen words; a piece is remembered as the word that it would be alone."""
-        memo, need, cased, tailed, cut, other = self.memo, set(), [], [], [], []
+        """Encode unseen words, A-Z in lower case; a piece is remembered as the word that it would be alone."""
+        memo, need, tailed, cut, other = self.memo, set(), [], [], []
         for word in words:
             if word.isalpha():
-                low = word.lower()
-                need.add(low)
-                if low != word:
-                    cased.append((word, low))
+                need.add(word)
                 continue
             core = word.rstrip(b".,;:!?")
             if core.isalpha():
-                low, tail = core.lower(), word[len(core) :]
-                need.add(low)
+                tail = word[len(core) :]
+                need.add(core)
                 need.add(tail)
-                tailed.append((word, low, tail))
+                tailed.append((word, core, tail))
                 continue
             text = word.decode("utf-8", "replace")
             if PLAIN.fullmatch(text):
@@ -125,10 +129,8 @@ class Encoder:
         plain = [p for p in need if p.isascii()]
         self._learn_pieces(plain, self.bare_ascii)
         self._learn_pieces(list(need.difference(plain)), self.bare)
-        for word, low in cased:
-            memo[word] = memo[low]
-        for word, low, tail in tailed:
-            memo[word] = memo[low] + memo[tail]
+        for word, core, tail in tailed:
+            memo[word] = memo[core] + memo[tail]
         for word, found in cut:
             memo[word] = b"".join([memo[p] for p in found])
         if other:
@@ -140,7 +142,9 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        memo, split = self.memo, [t.split() if t else [] for t in texts]
+        if not self.known:
+            return [x.tobytes() for x in self._raw([(t or b"").decode("utf-8", "replace") for t in texts])]
+        memo, split = self.memo, [t.lower().split() if t else [] for t in texts]
         if unseen := set(filterfalse(memo.__contains__, chain.from_iterable(split))):
             if len(memo) + len(unseen) > MEMO_WORDS:
                 memo.clear()
@@ -269,6 +273,7 @@ def write(docs: DataFrame, vocabulary: str, out_dir: str | None = None, doc_id:
     rows of one id stand in order of their texts; no rows give no files.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     out_dir = out_dir or new_path(spark, "tokens")
     if "://" not in out_dir:
         out_dir = "file://" + out_dir.removeprefix("file:")
@@ -290,7 +295,7 @@ def write(docs: DataFrame, vocabulary: str, out_dir: str | None = None, doc_id:
 
         gc.disable()  # the memos are many objects and no cycles
         try:
-            for batch in slices(batches):
+            for batch in batches:
                 codes = (ids for group in _groups(body.as_py() for body in batch.column(1)) for ids in worker.encode(group))
                 for name, ids in zip(batch.column(0).to_pylist(), codes):
                     held.append(ids + end)

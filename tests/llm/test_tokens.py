@@ -43,10 +43,20 @@ def test_round_trip_and_random_access():
 
 def test_words_encode_as_texts(tokenizer):
     enc = tokens.Encoder(open(tokens.vocabulary_path(), encoding="utf-8").read())
+    assert enc.known
     for text in ["", "Hello  World's ~ tilde~d 007\x0b\x1cx  y", "é ́x ΑΣ Σ ΟΔΟΣ. ǅ İ", "<|endoftext|> a<|startoftext|>b", "我们 \U0001f600 a b\x85c", "don't we'll I'm"]:
         assert np.frombuffer(enc.encode([text.encode()])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_other_vocabularies_take_whole_texts():
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    enc = tokens.Encoder(open(path, encoding="utf-8").read())
+    for text in ["Hello  World's\nA b", "", "É tΣ  <|endoftext|>"]:
+        assert np.frombuffer(enc.encode([text.encode()])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_against_tokenizer(spark, tokenizer):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     rows += [(None, "no id"), (7, "again"), (7, "again"), (500, None), (501, ""), (502, "long " * 30000)]
