@@ -306,9 +306,9 @@ def top7(spark, sf):
     return reads.override_top(orders.select(F.col("o_orderkey").alias("seg_id"), F.col("o_orderstatus").alias("klass")), orders.select(F.col("o_custkey").alias("cluster_id"), F.col("o_orderkey").alias("seg_id")))
 
 
-@query("reads_without_errors", f"WITH {_READS} SELECT read_id, y, klass FROM items WHERE read_id NOT IN (SELECT read_id FROM items WHERE value > 45)")
+@query("reads_without_errors", f"WITH {_READS} SELECT read_id, y, klass FROM items WHERE read_id NOT IN (SELECT read_id FROM items WHERE value > 220)")
 def anti_reads(spark, sf):
-    return reads.anti_reads(items(spark, sf).select("read_id", "y", "klass", "value"), F.col("value") > 45).drop("value")
+    return reads.anti_reads(items(spark, sf).select("read_id", "y", "klass", "value"), F.col("value") > 220).drop("value")
 
 
 @query("placement_asof", """WITH c AS (SELECT o_custkey, o_orderkey AS cut FROM orders WHERE o_orderstatus = 'F')
