@@ -1,7 +1,7 @@
 """Line dedup by winnowing over line hashes; DataFrame functions only.
 
-A line's shingle is the shortest run of lines from it on, of ``LOOK`` lines at most, that holds
-``shingle_words`` words.  A window is the shortest such run that holds ``window_words`` words, and the least
+A line's shingle is the shortest run of lines from it on, however many, that holds ``shingle_words`` words.
+A window is the shortest such run that holds ``window_words`` words, and the least
 shingle hash in it (the first of equals) is selected, so a repeated run that holds a whole window, its
 shingles included, always shares a selected fingerprint with its earlier copy; a line with that many words
 is a window of its own.  Every fingerprint is joined to its first occurrence only, which makes as many rows
@@ -11,51 +11,49 @@ as there are fingerprints however often one is repeated.  Matches are then exten
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plait.llm.schemas import quoted
 from plait.plans.staging import stage
 
-LOOK = 8
+#: Lines whose words are summed at a time; runs have no limit.
+LOOK = 64
 STEP = 16
+#: Any white space of Unicode but line feeds, which end lines.
+BLANK = r"[\s\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def _words(line: Column) -> Column:
-    """Words of a line, told by its spaces; 0 for a blank one."""
-    return F.when(F.trim(line) == "", 0).otherwise(F.length(F.trim(line)) - F.length(F.replace(F.trim(line), F.lit(" "), F.lit(""))) + 1)
+    """Words of a line, told by white space of any kind; 0 for a blank one."""
+    return F.size(F.filter(F.split(line, BLANK), lambda x: x != ""))
 
 
-def _shortest(words: Column, i: Column, least: int) -> Column:
-    """Lines in the shortest run from line i that holds ``least`` words, or null."""
-    out, so_far = None, F.lit(0)
-    for k in range(LOOK):
-        so_far = so_far + F.coalesce(F.get(words, i + k), F.lit(-(1 << 20)))
-        out = F.when(so_far >= least, k + 1) if out is None else out.when(so_far >= least, k + 1)
-    return out
+def _before() -> list:
+    """Steps that end in ``before``, the words in front of each line of ``w``: sums of blocks of lines, then sums within the block."""
+    add = lambda n, x: n + x
+    total = lambda x: F.aggregate(x, F.lit(0), add)
+    blocks = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / LOOK).cast("int"))
+    return [("sums", F.transform(blocks, lambda b: total(F.slice("w", b * LOOK + 1, F.lit(LOOK))))),
+            ("fronts", F.transform(blocks, lambda b: total(F.slice("sums", F.lit(1), b)))),
+            ("before", F.transform("w", lambda _, i: F.get("fronts", F.floor(i / LOOK).cast("int")) + total(F.slice("w", i - i % LOOK + 1, i % LOOK))))]
 
 
-def _pick(k: Column, options: list[Column]) -> Column:
-    """options[k - 1], or null for a null k."""
-    return reduce(lambda out, n: out.when(k == n + 1, options[n]), range(1, len(options)), F.when(k == 1, options[0]))
+def _shortest(least: int) -> Column:
+    """Lines in the shortest run from each line on that holds ``least`` words, or null; ``places`` has the line of each word."""
+    return F.transform("before", lambda n, i: F.get("places", n + (least - 1)) - i + 1)
 
 
-def _selected(hashes: Column, words: Column, shingle_words: int, window_words: int) -> list:
-    """Steps (name, expression) that end in ``selected``: structs of hash, pos and lines."""
-    every = F.sequence(F.lit(0), F.size("h") - 1)
-    runs = F.transform(every, lambda i: _shortest(words, i, shingle_words))
-    shingles = F.transform(F.col("runs"), lambda k, i: _pick(k, [F.xxhash64(*[F.get(hashes, i + n) for n in range(m + 1)]) for m in range(LOOK)]))
-    windows = F.transform(every, lambda i: _shortest(words, i, window_words))
+def _selected(shingle_words: int, window_words: int) -> list:
+    """Steps (name, expression) from hashes ``h`` and words ``w`` that end in ``selected``: structs of hash, pos and lines."""
+    places = F.flatten(F.transform("w", lambda n, i: F.array_repeat(i, n)))
+    shingles = F.transform("runs", lambda k, i: F.when(k.isNotNull(), F.xxhash64(F.slice("h", i + 1, k))))
     def least(k: Column, i: Column) -> Column:
-        here = [F.get(F.col("shingles"), i + n) for n in range(LOOK)]
-        best = _pick(k, [F.least(*here[: m + 1]) if m else here[0] for m in range(LOOK)])
-        first = reduce(lambda out, n: out.when(here[n] == best, i + n), range(1, LOOK), F.when(here[0] == best, i))
-        return first
-    chosen = F.array_distinct(F.filter(F.transform(F.col("windows"), least), lambda p: p.isNotNull()))
-    return [("runs", runs), ("shingles", shingles), ("windows", windows), ("chosen", chosen),
-            ("selected", F.transform(F.col("chosen"), lambda p: F.struct(F.get(F.col("shingles"), p).alias("hash"), p.alias("pos"), F.get(F.col("runs"), p).alias("lines"))))]
+        here = F.slice("shingles", i + 1, k)
+        return F.when(k.isNotNull(), F.array_position(here, F.array_min(here)).cast("int") - 1 + i)
+    chosen = F.array_distinct(F.filter(F.transform("windows", least), lambda p: p.isNotNull()))
+    return [*_before(), ("places", places), ("runs", _shortest(shingle_words)), ("shingles", shingles), ("windows", _shortest(window_words)), ("chosen", chosen),
+            ("selected", F.transform("chosen", lambda p: F.struct(F.get("shingles", p).alias("hash"), p.alias("pos"), F.get("runs", p).alias("lines"))))]
 
 
 def _ahead(sign: int, step: int):
@@ -74,7 +72,7 @@ def repeated(docs: DataFrame, shingle_words: int = 20, window_words: int = 20) -
     lines = F.split(F.col("text"), "\n", -1)
     base = docs.where("text is not null").select("row", "key", lines.alias("l")).select(
         "row", "key", F.transform("l", lambda x: F.xxhash64(F.trim(x))).alias("h"), F.transform("l", _words).alias("w"))
-    for name, made in _selected(F.col("h"), F.col("w"), shingle_words, window_words):
+    for name, made in _selected(shingle_words, window_words):
         base = base.withColumn(name, made)
     base = stage(base.select("row", "key", "h", "selected"), "lines")
     posts = base.select("row", "key", F.inline("selected")).select("hash", F.struct("key", "row", "pos").alias("at"), "lines")

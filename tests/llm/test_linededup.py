@@ -108,3 +108,18 @@ def test_passage_of_over_50_words_is_always_found(spark):
 
 def test_no_rows(docs):
     assert linededup.dedup(docs([])).count() == 0
+
+
+def test_passages_of_short_lines(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = lambda n, by=" ": by.join(word() for _ in range(n))
+    blank = [x for _ in range(62) for x in (word(), "", " \t")]
+    passages = [[line(1) for _ in range(62)], [line(2) for _ in range(31)], [line(rng.choice([1, 2])) for _ in range(200)], blank, [line(31, "\t"), line(31, "　")]]
+    rows = [(10 * k + i, "\n".join([line(7), line(9), *p, line(8)])) for k, p in enumerate(passages) for i in range(3)]
+    equal = "\n".join(["one two"] * 500)
+    rows += [(100 + i, equal) for i in range(2)]
+    got = {r.doc_id: r for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[:-2]:
+        assert got[i].n_deleted == (0 if i % 10 == 0 else len(text.split("\n")) - 3), i
+    assert got[100].n_deleted > 480 and got[101].n_deleted == 500
