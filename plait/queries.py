@@ -513,8 +513,8 @@ def star_alignment(spark, sf):
 
 @query("realign_families")
 def realign(spark, sf):
-    rows = table(spark, sf, "part").groupBy(F.col("p_brand").alias("family"), F.translate("p_name", "bdefhijklmnopqrsuvwxyz ", "acgtacgtacgtacgtacgtac").alias("row")).agg(F.min("p_partkey").alias("row_id"))
-    return align.realign(rows.select("family", "row_id", "row"), 1000, 20)
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("family"), F.col("p_partkey").alias("row_id"), F.translate("p_name", "bdefhijklmnopqrsuvwxyz ", "acgtacgtacgtacgtacgtac").alias("row"))
+    return align.realign(rows)
 
 
 # --- association
