@@ -1 +1 @@
-"""Planning helpers: staged tables, size-checked broadcasts, connected components."""
+"""Planning helpers: staged tables, connected components, the chain from reads to a report."""

@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step sends one row per edge through one aggregation with map-side partials and one equi-join
-that adaptive execution can split, so a hub with most of the edges is no single task.  The number of
-rounds grows with the logarithm of the number of nodes.  Nothing is collected but two numbers a round.
+Every step sends one row per edge through one aggregation with map-side partials, whose result is staged,
+and one equi-join with it that adaptive execution can split, so a hub with most of the edges is no single
+task.  The number of rounds grows with the logarithm of the number of nodes.  Nothing is collected but two
+numbers a round.
 """
 
 from __future__ import annotations
@@ -10,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.plans.staging import drop, stage_at
+from plait.plans.staging import Scratch, stage_at
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = scratch.stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     joined = both.join(least, "u")
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -27,27 +28,33 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") > F.col("b")).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """``edges(a, b)`` of one orderable type → ``(node, root)``, root the least node reachable.
 
     Self loops and repeated edges count for nothing; edges with a null end are ignored; a node without
-    an edge to another is not in the result; no edges give an empty table.
+    an edge to another is not in the result; no edges give an empty table.  The result reads a staged table,
+    which goes with ``scratch`` where one is given.
     """
     spark = edges.sparkSession
-    # held as a > b: every node points to a smaller one
-    now, path = stage_at(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                         .where(edges.a.isNotNull() & edges.b.isNotNull() & (edges.a != edges.b))
-                         .distinct(), "edges")
-    mark = None
-    for _ in range(max_rounds):
-        new, new_path = stage_at(_star(_star(now, large=True), large=False), "edges")
-        drop(spark, path)
-        now, path = new, new_path
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    with Scratch(spark) as own:
+        # held as a > b: every node points to a smaller one
+        now = own.stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                        .where(edges.a.isNotNull() & edges.b.isNotNull() & (edges.a != edges.b))
+                        .distinct(), "edges")
+        mark = None
+        for _ in range(max_rounds):
+            with Scratch(spark) as round_:
+                large = round_.stage(_star(now, True, round_), "large")
+                now = own.stage(_star(large, False, round_), "edges")
+            seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if tuple(seen) == mark:
+                break
+            mark = tuple(seen)
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        out = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+            now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        out, path = stage_at(out, "components")
+        if scratch is not None:
+            scratch.paths.append(path)
+        return out

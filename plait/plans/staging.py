@@ -1,25 +1,32 @@
 """Lineage cuts that survive lost executors.
 
 Intermediate tables are written as Parquet below the folder named by ``spark.checkpoint.dir``, which
-driver and executors share.  Only where that setting is absent (tests, a single machine) is a folder
-of this machine taken instead.
+driver and executors share.  Where that setting is absent a folder of this machine is taken, on a local
+master only; a cluster without the setting is an error, as its executors share no local folder.
+
+``Scratch`` holds the tables of one operator and removes them when the operator has made its result.
+What a result still reads is removed when the driver's Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_left: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session, as a path that Spark's readers and writers take."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "plait-stage")
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
@@ -37,6 +44,7 @@ def stage_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """As ``stage``, with the path, for tables that ``drop`` removes when they are used up."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    _left.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -46,3 +54,33 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _left.discard(path)
+
+
+class Scratch:
+    """Staged tables that go when the ``with`` block ends; ``keep`` stages one that stays."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            drop(self.spark, path)
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        out, path = stage_at(df, label)
+        self.paths.append(path)
+        return out
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        return stage(df, label)
+
+
+@atexit.register
+def _drop_left() -> None:
+    spark = SparkSession.getActiveSession() if _left else None
+    for path in list(_left) if spark is not None and spark.sparkContext._jsc is not None else []:
+        drop(spark, path)
