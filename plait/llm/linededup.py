@@ -1,12 +1,15 @@
 """Line dedup by winnowing over line hashes; DataFrame functions only.
 
-A line's shingle is the shortest run of lines from it on, however many, that holds ``shingle_words`` words.
-A window is the shortest such run that holds ``window_words`` words, and the least
-shingle hash in it (the first of equals) is selected, so a repeated run that holds a whole window, its
-shingles included, always shares a selected fingerprint with its earlier copy; a line with that many words
-is a window of its own.  Every fingerprint is joined to its first occurrence only, which makes as many rows
-as there are fingerprints however often one is repeated.  Matches are then extended line by line both ways,
-``STEP`` lines a round, until they end, and the lines of the later occurrence are deleted.
+A run of lines counts as repeated if it holds ``window_words`` words and the same lines stand somewhere
+earlier.  A window is the shortest run from a line on with that many words, and the least of the hashes of
+the shingles inside it (shortest runs of ``shingle_words`` words) is its fingerprint, so every repeated run
+shares a selected fingerprint with its earlier copy.  Rows without a fingerprint that occurs twice leave here.
+
+Matches are extended both ways by the same rule from every line of the rest: the shortest run with
+``window_words`` words that starts there, and the one that ends there.  A line of a repeated run is always
+in one of those of the run (from the line on, up to it, or from the run's start over it), so comparing each
+with its first occurrence finds all repeated runs, whichever earlier row they are shared with, and makes two
+rows a line however often one is repeated.  Runs compare by 96 bits of hash and their number of lines.
 """
 
 from __future__ import annotations
@@ -15,13 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plait.llm.schemas import quoted
-from plait.plans.staging import stage
+from plait.plans.staging import Scratch
 
 #: Lines whose words are summed at a time; runs have no limit.
 LOOK = 64
-STEP = 16
 #: Any white space of Unicode but line feeds, which end lines.
-BLANK = r"[\s\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+BLANK = r"[\s\x85   -     　]+"
 
 
 def _words(line: Column) -> Column:
@@ -29,98 +31,96 @@ def _words(line: Column) -> Column:
     return F.size(F.filter(F.split(line, BLANK), lambda x: x != ""))
 
 
-def _before() -> list:
-    """Steps that end in ``before``, the words in front of each line of ``w``: sums of blocks of lines, then sums within the block."""
-    add = lambda n, x: n + x
-    total = lambda x: F.aggregate(x, F.lit(0), add)
-    blocks = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / LOOK).cast("int"))
-    return [("sums", F.transform(blocks, lambda b: total(F.slice("w", b * LOOK + 1, F.lit(LOOK))))),
-            ("fronts", F.transform(blocks, lambda b: total(F.slice("sums", F.lit(1), b)))),
-            ("before", F.transform("w", lambda _, i: F.get("fronts", F.floor(i / LOOK).cast("int")) + total(F.slice("w", i - i % LOOK + 1, i % LOOK))))]
+def _let(value: Column, use) -> Column:
+    """``use`` of the value, worked out once; as a column of its own it would be put into every lambda and worked out for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _shortest(least: int) -> Column:
-    """Lines in the shortest run from each line on that holds ``least`` words, or null; ``places`` has the line of each word."""
-    return F.transform("before", lambda n, i: F.get("places", n + (least - 1)) - i + 1)
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0), lambda n, y: n + y)
 
 
-def _selected(shingle_words: int, window_words: int) -> list:
-    """Steps (name, expression) from hashes ``h`` and words ``w`` that end in ``selected``: structs of hash, pos and lines."""
-    places = F.flatten(F.transform("w", lambda n, i: F.array_repeat(i, n)))
-    shingles = F.transform("runs", lambda k, i: F.when(k.isNotNull(), F.xxhash64(F.slice("h", i + 1, k))))
-    def least(k: Column, i: Column) -> Column:
-        here = F.slice("shingles", i + 1, k)
-        return F.when(k.isNotNull(), F.array_position(here, F.array_min(here)).cast("int") - 1 + i)
-    chosen = F.array_distinct(F.filter(F.transform("windows", least), lambda p: p.isNotNull()))
-    return [*_before(), ("places", places), ("runs", _shortest(shingle_words)), ("shingles", shingles), ("windows", _shortest(window_words)), ("chosen", chosen),
-            ("selected", F.transform("chosen", lambda p: F.struct(F.get("shingles", p).alias("hash"), p.alias("pos"), F.get("runs", p).alias("lines"))))]
+def _with_before(w: Column, use) -> Column:
+    """``use`` of the words in front of each line: sums of blocks of lines, then sums within the block."""
+    blocks = F.sequence(F.lit(0), F.floor((F.size(w) - 1) / LOOK).cast("int"))
+    sums = F.transform(blocks, lambda b: _total(F.slice(w, b * LOOK + 1, F.lit(LOOK))))
+    inside = lambda i: _total(F.slice(w, i - i % LOOK + 1, i % LOOK))
+    return _let(sums, lambda s: _let(F.transform(blocks, lambda b: _total(F.slice(s, F.lit(1), b))), lambda fronts: _let(
+        F.transform(w, lambda _, i: F.get(fronts, F.floor(i / LOOK).cast("int")) + inside(i)), use)))
 
 
-def _ahead(sign: int, step: int):
-    """Equal lines beyond an anchor's end (sign 1) or before its start (-1), ``step`` at most."""
-    def equal(anchor):
-        def test(t):
-            a = anchor["e"] - 1 + t if sign > 0 else anchor["s"] - t
-            here, there = F.when(a >= 0, F.get("h", a)), F.when(a - anchor["d"] >= 0, F.get("hub_h", a - anchor["d"]))
-            return F.coalesce(here == there, F.lit(False))
-        return F.coalesce(F.nullif(F.array_position(F.transform(F.sequence(F.lit(1), F.lit(step)), test), False), F.lit(0)).cast("int") - 1, F.lit(step))
-    return equal
+def _prepared(text: Column, shingle_words: int, window_words: int) -> Column:
+    """Struct of ``selected``, hashes of fingerprints, and ``runs``, from a text that is not null."""
+    known = lambda x: x.isNotNull()
 
+    def made(h: Column, w: Column, before: Column, places: Column) -> Column:
+        def end(i: Column, words: int) -> Column:  # of the shortest run from line i, or null
+            return F.get(places, F.get(before, i) + (words - 1)) + 1
 
-def repeated(docs: DataFrame, shingle_words: int = 20, window_words: int = 20) -> DataFrame:
-    """``docs(row, key, text)`` → row and ``gone``, the positions of lines to delete, for rows that have any."""
-    lines = F.split(F.col("text"), "\n", -1)
-    base = docs.where("text is not null").select("row", "key", lines.alias("l")).select(
-        "row", "key", F.transform("l", lambda x: F.xxhash64(F.trim(x))).alias("h"), F.transform("l", _words).alias("w"))
-    for name, made in _selected(shingle_words, window_words):
-        base = base.withColumn(name, made)
-    base = stage(base.select("row", "key", "h", "selected"), "lines")
-    posts = base.select("row", "key", F.inline("selected")).select("hash", F.struct("key", "row", "pos").alias("at"), "lines")
-    first = posts.groupBy("hash").agg(F.min("at").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    anchors = posts.join(first, "hash").where(F.col("at") != F.col("hub")).select(
-        F.col("at.row").alias("row"), F.col("hub.row").alias("hub_row"), F.struct(F.col("at.pos").alias("s"), (F.col("at.pos") + F.col("lines")).alias("e"), (F.col("at.pos") - F.col("hub.pos")).alias("d"), F.lit(0).alias("go")).alias("a"))
-    own, other = base.select("row", "h"), base.select(F.col("row").alias("hub_row"), F.col("h").alias("hub_h"))
-    left, found = stage(anchors.groupBy("row", "hub_row").agg(F.collect_list("a").alias("anchors")), "anchors"), None
-    step = STEP
-    while True:
-        back, on = _ahead(-1, step), _ahead(1, step)
-        grown = left.join(own, "row").join(other, "hub_row").select("row", "hub_row", F.transform("anchors", lambda a: F.struct(
-            a["s"].alias("s0"), a["e"].alias("e0"), (a["s"] - F.when(a["go"] <= 0, back(a)).otherwise(0)).alias("s"),
-            (a["e"] + F.when(a["go"] >= 0, on(a)).otherwise(0)).alias("e"), a["d"].alias("d"))).alias("anchors"))
-        grown = stage(grown, "grown")
-        found = grown if found is None else found.unionByName(grown)
-        # a match that grew by a whole step on a side goes on there, that way only
-        def further(a: Column) -> Column:
-            place = lambda s, go: F.struct(s.alias("s"), (s + 1).alias("e"), a["d"].alias("d"), F.lit(go).alias("go"))
-            return F.array(F.when(a["s0"] - a["s"] == step, place(a["s"], -1)), F.when(a["e"] - a["e0"] == step, place(a["e"] - 1, 1)))
-        more = F.array_distinct(F.filter(F.flatten(F.transform("anchors", further)), lambda m: m.isNotNull()))
-        # where another anchor of the same diagonal holds that place, it goes on for both
-        held = lambda m: F.exists("anchors", lambda a: (a["d"] == m["d"]) & (a["s0"] <= m["s"]) & (a["e0"] >= m["e"]))
-        left = grown.withColumn("more", more).select("row", "hub_row", F.filter("more", lambda m: ~held(m)).alias("anchors")).where(F.size("anchors") > 0)
-        left = stage(left, "left")
-        if left.isEmpty():
-            break
-        step = min(2 * step, 1024)
-    gone = F.array_distinct(F.flatten(F.transform("anchors", lambda a: F.sequence(a["s"], a["e"] - 1))))
-    each = found.select("row", gone.alias("gone"))
-    return each.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-
-
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 20, window_words: int = 20) -> DataFrame:
+        def start(i: Column) -> Column:  # of the shortest run that ends with line i, or null
+            return _let(F.get(before, i) + F.get(w, i) - window_words, lambda last: F.when(last >= 0, F.get(places, last)))
+
+        def shingle(_, i: Column) -> Column:
+            return _let(end(i, shingle_words), lambda e: F.when(e.isNotNull(), F.struct(F.xxhash64(F.slice(h, i + 1, e - i)).alias("hash"), i.alias("pos"), e.alias("end"))))
+
+        def run(s: Column, e: Column) -> Column:
+            lines = F.slice(h, s + 1, e - s)
+            return F.when(s.isNotNull() & e.isNotNull(), F.struct(F.xxhash64(lines).alias("hash"), F.hash(lines).alias("check"), s.alias("s"), (e - s).alias("lines")))
+
+        def chosen(shingles: Column) -> Column:
+            def least(_, i: Column) -> Column:
+                return _let(end(i, window_words), lambda e: F.when(e.isNotNull(), F.array_min(F.filter(F.slice(shingles, i + 1, e - i), lambda x: x["end"] <= e))))
+            return F.transform(F.array_distinct(F.filter(F.transform(w, least), known)), lambda x: x["hash"])
+
+        on = F.transform(w, lambda _, i: _let(end(i, window_words), lambda e: run(i, e)))
+        back = F.transform(w, lambda _, i: _let(start(i), lambda s: run(s, i + 1)))
+        return F.struct(_let(F.transform(w, shingle), chosen).alias("selected"), F.array_distinct(F.filter(F.concat(on, back), known)).alias("runs"))
+
+    def of_words(h: Column, w: Column) -> Column:
+        places = F.flatten(F.transform(w, lambda n, i: F.array_repeat(i, n)))
+        return _with_before(w, lambda before: _let(places, lambda at: made(h, w, before, at)))
+
+    return _let(F.split(text, "\n", -1), lambda lines: _let(F.transform(lines, lambda x: F.xxhash64(F.trim(x))), lambda h: _let(
+        F.transform(lines, _words), lambda w: of_words(h, w))))
+
+
+def _repeated(base: DataFrame, scratch: Scratch) -> DataFrame:
+    """``base(row, key, selected, runs)`` → row and ``gone``, the lines to delete, for rows that have any."""
+    prints = base.select("row", F.explode("selected").alias("hash"))
+    common = scratch.stage(prints.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "common")
+    met = scratch.stage(prints.join(common, "hash").select("row").distinct(), "met")
+    posts = base.join(met, "row", "left_semi").select("row", "key", F.inline("runs")).select(
+        "hash", "check", "lines", F.struct("key", "row", "s").alias("at"))
+    same = ["hash", "check", "lines"]
+    first = scratch.stage(posts.groupBy(*same).agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    later = posts.join(first, same).where(F.col("at") != F.col("first"))
+    lines = F.sequence(F.col("at.s"), F.col("at.s") + F.col("lines") - 1)
+    each = later.select(F.col("at.row").alias("row"), lines.alias("lines"))
+    return each.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("gone"))
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 10, window_words: int = 20) -> DataFrame:
     """doc_id, n_lines, n_deleted, deleted (line numbers from 0, joined by commas) and the text that stays, of every row.
 
-    Earlier means a smaller id (null ids last), then an earlier place in the text.  Lines compare without
-    blanks at their ends.  A null text has no lines and stays null; an empty one is one line; repeated rows
-    are copies of one another, of which one stays whole; no rows give no rows.
+    A line goes if it is in a run of ``window_words`` words or more that also stands earlier: in a row of a
+    smaller id (null ids last), or at an earlier place of the text, where the two may overlap.  Lines compare
+    without blanks at their ends.  ``shingle_words`` (at most ``window_words``) sets how many words a
+    fingerprint spans, never the result.  A null text has no lines and stays null; an empty one is one line;
+    repeated rows are copies of one another, of which one stays whole; no rows give no rows.
     """
+    if shingle_words > window_words:
+        raise ValueError("a shingle has at most the words of a window")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), quoted(doc_id).alias("doc_id"), quoted(text).cast("string").alias("text"))
-    rows = stage(rows, "rows")
-    gone = repeated(rows.select("row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("key"), "text"), shingle_words, window_words)
-    lines = F.split(F.col("text"), "\n", -1)
+    base = rows.withColumn("made", F.when(F.col("text").isNotNull(), _prepared(F.col("text"), shingle_words, window_words)))
+    with Scratch(docs.sparkSession) as scratch:
+        base = scratch.keep(base.select("row", "doc_id", "text", "made.selected", "made.runs"), "lines")
+        keyed = base.select("row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("key"), "selected", "runs")
+        gone = scratch.keep(_repeated(keyed, scratch), "gone")
     # one plan at every size: a broadcast of the deletions would grow with the corpus
-    out = rows.join(gone.hint("merge"), "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    n = F.coalesce(F.size(lines), F.lit(0))
+    out = base.select("row", "doc_id", "text").join(gone.hint("merge"), "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    lines = F.split(F.col("text"), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
     kept = F.when(F.size("gone") > 0, F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")).otherwise(F.col("text"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(n).cast("long")
-    return out.select("doc_id", n_lines.alias("n_lines"), F.size("gone").cast("long").alias("n_deleted"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("deleted"), kept.alias("text"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size(lines), F.lit(0))).cast("long")
+    deleted = F.array_join(F.col("gone").cast("array<string>"), ",")
+    return out.select("doc_id", n_lines.alias("n_lines"), F.size("gone").cast("long").alias("n_deleted"), deleted.alias("deleted"), kept.alias("text"))

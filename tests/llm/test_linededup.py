@@ -4,65 +4,28 @@ from plait.llm import linededup
 
 
 def n_words(line):
-    return len(line.strip(" ").split(" ")) - line.strip(" ").count("  ") * 0 if line.strip(" ") else 0
-
-
-def brute(spark, rows, shingle, window):
-    """The same rule on Python lists; the hash is only used to choose minima."""
-    docs = [(i is None, i or 0, k, None if t is None else t.split("\n")) for k, (i, t) in enumerate(rows)]
-    everything = sorted({x.strip(" ") for *_, ls in docs if ls for x in ls})
-    hashed = {r.x: r.h for r in spark.createDataFrame([(x,) for x in everything], "x string").selectExpr("x", "xxhash64(x) h").collect()}
-    found = {}
-    runs = []
-    for none, i, k, ls in docs:
-        if ls is None:
-            continue
-        def shortest(p, least):
-            total = 0
-            for n in range(linededup.LOOK):
-                if p + n >= len(ls):
-                    return None
-                total += n_words(ls[p + n])
-                if total >= least:
-                    return n + 1
-        for p in range(len(ls)):
-            if (n := shortest(p, shingle)):
-                runs.append((k, p, tuple(x.strip(" ") for x in ls[p : p + n])))
-    distinct = sorted({r[2] for r in runs})
-    got = {}
-    for n in range(1, linededup.LOOK + 1):
-        part = [d for d in distinct if len(d) == n]
-        if part:
-            cols = ",".join(f"cast(v[{j}] as bigint)" for j in range(n))
-            for r in spark.createDataFrame([(list(d), [hashed[x] for x in d]) for d in part], "d array<string>, v array<bigint>").selectExpr("d", f"xxhash64({cols}) h").collect():
-                got[tuple(r.d)] = r.h
-    shingles = {(k, p): (got[d], len(d)) for k, p, d in runs}
-    for none, i, k, ls in docs:
-        for p in range(len(ls or [])):
-            total = 0
-            for n in range(linededup.LOOK):
-                if p + n >= len(ls):
-                    break
-                total += n_words(ls[p + n])
-                if total >= window:
-                    have = [(shingles[k, q][0], q) for q in range(p, p + n + 1) if (k, q) in shingles]
-                    if have:
-                        h, q = min(have)
-                        found.setdefault(h, set()).add(((none, i), k, q))
-                    break
-    gone = {k: set() for *_, k, _ in docs}
-    lines = {k: [x.strip(" ") for x in ls] for *_, k, ls in docs if ls is not None}
-    for h, places in found.items():
-        hub = min(places)
-        for place in places - {hub}:
-            a, b, p, q = lines[place[1]], lines[hub[1]], place[2], hub[2]
-            s, e = p, p + shingles[place[1], p][1]
-            d = p - q
-            while s > 0 and s - 1 - d >= 0 and a[s - 1] == b[s - 1 - d]:
-                s -= 1
-            while e < len(a) and e - d < len(b) and a[e] == b[e - d]:
-                e += 1
-            gone[place[1]].update(range(s, e))
+    return len(line.split())
+
+
+def brute(rows, least):
+    """All pairs of places of all texts: a run of equal lines with so many words goes from the later one."""
+    docs = [((i is None, i or 0, k), k, t.split("\n")) for k, (i, t) in enumerate(rows) if t is not None]
+    places = sorted((order, p, k, [x.strip(" ") for x in ls]) for order, k, ls in docs for p in range(len(ls)))
+    at = {}
+    for order, p, k, ls in places:
+        at.setdefault(ls[p], []).append((order, p, k, ls))
+    gone = {k: set() for k in range(len(rows))}
+    for same in at.values():
+        for n, (oa, p, _, a) in enumerate(same):
+            for ob, q, kb, b in same[n + 1 :]:
+                if p and q and a[p - 1] == b[q - 1]:
+                    continue  # not the start of the run
+                size = words = 0
+                while p + size < len(a) and q + size < len(b) and a[p + size] == b[q + size]:
+                    words += n_words(a[p + size])
+                    size += 1
+                if words >= least:
+                    gone[kb].update(range(q, q + size))
     out = []
     for k, (i, t) in enumerate(rows):
         ls = [] if t is None else t.split("\n")
@@ -83,7 +46,7 @@ def test_against_brute_force(spark):
     rows += [(None, None), (None, rows[3][1]), (7, rows[7][1]), (100, ""), (101, "\n\n")]
     d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).selectExpr("*", "1 as gone", "2 as row", "3 as key")
     got = linededup.dedup(d, shingle_words=6, window_words=9).collect()
-    want = brute(spark, rows, 6, 9)
+    want = brute(rows, 9)
     assert sorted([(str(r.doc_id), r.n_lines, r.deleted, r.text) for r in got], key=str) == want
     assert sum(r.n_deleted for r in got) > 200
 
@@ -123,3 +86,47 @@ def test_passages_of_short_lines(spark):
     for i, text in rows[:-2]:
         assert got[i].n_deleted == (0 if i % 10 == 0 else len(text.split("\n")) - 3), i
     assert got[100].n_deleted > 480 and got[101].n_deleted == 500
+
+
+def shared(spark, *texts, **how):
+    """Deleted lines by row of these texts."""
+    got = linededup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **how).collect()
+    return {r.doc_id: r.deleted for r in got}
+
+
+def test_a_run_shared_with_another_row_than_the_first(spark):
+    rng = random.Random(3)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    run, tail = line(25), [line(2) for _ in range(6)]
+    texts = ["\n".join([run, line(9)]), "\n".join([run, *tail, line(7)]), "\n".join([line(5), run, *tail, line(8)])]
+    assert shared(spark, *texts) == {0: "", 1: "0", 2: "1,2,3,4,5,6,7"}
+    # a hot line before: what follows is shared with the second only
+    y = [line(15), line(15)]
+    texts = ["\n".join([run, line(9)]), "\n".join([run, *y, line(4)]), "\n".join([run, *y, line(4)])]
+    assert shared(spark, *texts)[2] == "0,1,2"
+
+
+def test_lists_and_verse(spark):
+    rng = random.Random(4)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    for lines in ([line(2) for _ in range(200)], [x for _ in range(100) for x in (line(4), "")], [line(1) for _ in range(20)]):
+        got = shared(spark, "\n".join([line(3), *lines]), "\n".join([line(3), line(1), *lines]))
+        assert got[0] == "" and got[1] == ",".join(map(str, range(2, 2 + len(lines))))
+    assert shared(spark, "\n".join(line(1) for _ in range(19)), "x") == {0: "", 1: ""}
+
+
+def test_growing_versions_and_a_very_long_text(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    log = [line(3) for _ in range(60)]
+    texts = ["\n".join(log[:n]) for n in range(10, 60, 5)]
+    rows = list(enumerate(texts))
+    assert sorted((str(k), d) for k, d in shared(spark, *texts).items()) == sorted((r[0], r[2]) for r in brute(rows, 20))
+    long = "\n".join(line(10) for _ in range(6000))  # 400 kB in 6000 lines
+    got = shared(spark, long, "w " * 2_500_000, line(30) + "\n" + long)
+    assert got[0] == got[1] == "" and got[2] == ",".join(map(str, range(1, 6001)))
+
+
+def test_native(spark):
+    plan = linededup.dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
