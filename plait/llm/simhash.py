@@ -1,15 +1,15 @@
 """SimHash near-dedup by segment-popcount embedding.
 
-A fingerprint's 16 segments of 4 bits become 16 bit counts.  The Manhattan distance of two such points
+A fingerprint's 32 segments of 2 bits become 32 bit counts.  The Manhattan distance of two such points
 is at most the Hamming distance of the fingerprints, so fingerprints that link at 2 bits or fewer are
 points at distance 2 or less, and two such points always share a lattice cell within one step of both.
-Each distinct fingerprint is therefore put in its own cell and in those one step away (33 at most), and
-fingerprints that meet in a cell are verified exactly.
+Each distinct fingerprint is put in its own cell and in those one step away (65 at most); those that meet
+no other there link to nothing and leave.
 
-Cells with more than ``crowd`` fingerprints are not paired.  Their fingerprints are put in cells of the
-bits themselves (the fingerprint and its 64 one-bit neighbours): two fingerprints share such a cell
-exactly if they differ in 2 bits or fewer, so linking each member of a cell to its least member keeps
-all components and makes no more rows than members.
+The rest is verified exactly in cells of the bits themselves (the fingerprint and its 64 one-bit
+neighbours), the finest segments there are: two fingerprints share such a cell exactly if they differ in 2
+bits or fewer.  Linking each member of a cell to its least member keeps all components and makes no more
+rows than members, however many share a cell.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.llm.schemas import quoted, slices, small_batches, with_fields
+from plait.llm.schemas import quoted, restored, slices, whole, with_fields
 from plait.plans.components import connected_components
-from plait.plans.staging import stage
+from plait.plans.staging import Scratch
 
-SEGMENTS, WIDTH, SEED = 16, 4, 42
-CROWD = 64
+SEED = 42
+#: The lower bit of each segment.
+LOW = 0x5555555555555555
 BLOCK = 1 << 16
 
 
@@ -47,8 +48,7 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
 
 def with_fingerprints(docs: DataFrame, keys: list[str], text: str = "text", size: int = 3) -> DataFrame:
     """The ``keys`` of every row and ``fp``, the fingerprint of its whole text as a signed long."""
-    small_batches(docs.sparkSession)
-    source = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(text).cast("string").cast("binary").alias("__text"))
+    source = docs.select(*map(quoted, keys), quoted(text).cast("string").cast("binary").alias("text"))
     names = [*keys, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,38 +59,39 @@ def with_fingerprints(docs: DataFrame, keys: list[str], text: str = "text", size
     return source.mapInArrow(run, with_fields(source, keys, fp="long"))
 
 
-def _cells(prints: DataFrame) -> DataFrame:
-    """(cell, fp): the cell of the segment counts of ``fp`` and the cells one step away."""
-    counts = [F.bit_count(F.col("fp").bitwiseAND(F.lit(((1 << WIDTH) - 1) << (WIDTH * k) if k < SEGMENTS - 1 else -(1 << (64 - WIDTH))))).cast("long") for k in range(SEGMENTS)]
-    home = sum((F.shiftleft(c, 3 * k) for k, c in enumerate(counts)), F.lit(0).cast("long"))
-    steps = [F.when(F.shiftright(F.col("home"), 3 * k).bitwiseAND(F.lit(7)) < WIDTH, F.col("home") + (1 << 3 * k)) for k in range(SEGMENTS)]
-    steps += [F.when(F.shiftright(F.col("home"), 3 * k).bitwiseAND(F.lit(7)) > 0, F.col("home") - (1 << 3 * k)) for k in range(SEGMENTS)]
-    return prints.select("fp", home.alias("home")).select("fp", F.explode(F.array(F.col("home"), *steps)).alias("cell")).where("cell is not null")
+def _signed(bits: int) -> Column:
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
 
 
-def _bit_cells(prints: DataFrame) -> DataFrame:
+def _cells(prints: DataFrame) -> DataFrame:
+    """(cell, fp): the bit counts of the segments of ``fp``, 2 bits each, and the cells one step away."""
+    half = F.shiftrightunsigned("fp", 1)
+    odd, both = F.col("fp").bitwiseXOR(half).bitwiseAND(_signed(LOW)), F.col("fp").bitwiseAND(half).bitwiseAND(_signed(LOW))
+    home, steps = F.col("home"), [F.col("home")]
+    for k in range(32):
+        none, two = home.bitwiseAND(_signed(3 << 2 * k)) == 0, home.bitwiseAND(_signed(2 << 2 * k)) != 0
+        steps += [F.when(~two, home.bitwiseXOR(_signed(1 << 2 * k))), F.when(~none, home.bitwiseXOR(_signed(3 << 2 * k)))]  # 0-1 and 1-2
+    counted = prints.select("fp", odd.bitwiseOR(F.shiftleft(both, 1)).alias("home"))
+    return counted.select("fp", F.explode(F.array(*steps)).alias("cell")).where("cell is not null")
+
+
+def _balls(prints: DataFrame) -> DataFrame:
     """(ball, fp): ``fp`` and its 64 one-bit neighbours."""
-    near = [F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)]
+    near = [F.col("fp").bitwiseXOR(_signed(1 << k)) for k in range(64)]
     return prints.select("fp", F.explode(F.array(F.col("fp"), *near)).alias("ball"))
 
 
-def links(prints: DataFrame, most: int = 2, crowd: int = CROWD) -> DataFrame:
-    """``prints(fp)``, distinct → edges (a, b) whose components are those of "differ in 2 bits or fewer".
-
-    Cells with ``crowd`` fingerprints or fewer give all their linked pairs, fuller ones star links.
-    """
+def links(prints: DataFrame, scratch: Scratch, most: int = 2) -> DataFrame:
+    """``prints(fp)``, distinct → edges (a, b) whose components are those of "differ in 2 bits or fewer"."""
     if most != 2:
         raise ValueError("the lattice cells hold for 2 bits")
     cells = _cells(prints)
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stage(cells.join(sizes, "cell"), "cells")
-    calm = shared.where(F.col("n") <= crowd).select("cell", "fp")
-    pairs = calm.select("cell", F.col("fp").alias("a")).join(calm.select("cell", F.col("fp").alias("b")), "cell").where(
-        (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)).select("a", "b").distinct()
-    balls = _bit_cells(shared.where(F.col("n") > crowd).select("fp").distinct())
-    heads = balls.groupBy("ball").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = balls.join(heads, "ball").where("fp != head").select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
-    return pairs.unionByName(stars)
+    shared = scratch.stage(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cells")
+    near = scratch.stage(cells.join(shared, "cell").select("fp").distinct(), "near")
+    balls = _balls(near)
+    heads = scratch.stage(balls.groupBy("ball").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
+    met = balls.join(heads, "ball").where("fp != head").select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
+    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
@@ -99,21 +100,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null and empty texts have fingerprint 0 and link like any other; repeated rows stay; rows with a null
     id get the component's least id that is not null, or null; no rows give no rows.
     """
-    prints = stage(with_fingerprints(docs, [doc_id], text, size).withColumnRenamed(doc_id, "doc_id"), "prints")
-    firsts = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    roots = connected_components(links(firsts.select("fp")))
-    known = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    heads = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = stage(known.join(heads, "root").select("fp", "component_id"), "components")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    rows = docs.select(quoted(doc_id).alias("id"), quoted(text).alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        prints = scratch.keep(with_fingerprints(rows, ["id"], "text", size), "prints")
+        firsts = scratch.stage(prints.groupBy("fp").agg(F.min("id").alias("first")), "firsts")
+        roots = connected_components(links(firsts.select("fp"), scratch), scratch=scratch)
+        known = scratch.stage(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "known")
+        heads = scratch.stage(known.groupBy("root").agg(F.min("first").alias("component_id")), "heads")
+        by_print = scratch.keep(known.join(heads, "root").select("fp", "component_id"), "components")
+    return prints.join(by_print, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Filter: of each component one row stays, that of its least id (of repeated ids one), in the columns of ``docs``.
 
-    Rows with a null id form components like others; one with no id at all keeps a row.
+    Rows with a null id form components like others; one with no id at all keeps a row.  Null and empty texts
+    are one component; no rows give no rows.
     """
-    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    keyed = rows.select(F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("d"), F.col("__row").alias("r")).alias("key"), F.col(text).alias("text"))
-    out = near_duplicates(keyed, "key", "text").where("doc_id = component_id").select(F.col("component_id.r").alias("__row"))
-    return rows.join(out, "__row").select(*map(quoted, docs.columns))
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), quoted(doc_id).alias("id"), quoted(text).alias("text"), whole(docs).alias("rest")), "rows")
+        keyed = rows.select(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("d"), F.col("row").alias("r")).alias("key"), "text")
+        out = near_duplicates(keyed, "key", "text").where("doc_id = component_id").select(F.col("component_id.r").alias("row"))
+        kept = scratch.keep(out, "kept")
+    return rows.join(kept, "row").select(*restored(docs))

@@ -6,6 +6,7 @@ import xxhash
 
 from plait.llm import simhash
 from plait.plans.components import connected_components
+from plait.plans.staging import Scratch
 
 
 def brute_print(text):
@@ -62,9 +63,9 @@ def test_crowded_cells_keep_components(spark):
     signed = [(f - 2**64 if f >= 2**63 else f,) for f in prints]
     df = spark.createDataFrame(signed, "fp long")
     want = brute_components([(f, f % 2**64) for (f,) in sorted(signed)])
-    for crowd in (1, 8, 10_000):
-        roots = {r.node: r.root for r in connected_components(simhash.links(df, crowd=crowd)).collect()}
-        assert {f: roots.get(f, f) for (f,) in signed} == want, crowd
+    with Scratch(spark) as scratch:
+        roots = {r.node: r.root for r in connected_components(simhash.links(df, scratch)).collect()}
+    assert {f: roots.get(f, f) for (f,) in signed} == want
 
 
 def test_components_of_a_long_chain_and_nothing(spark):
@@ -80,3 +81,43 @@ def test_keep_one(spark, docs):
     assert kept.columns == d.columns + ["key"]
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 3), (False, 4), (False, 9), (True, 0)]
     assert simhash.keep_one(docs([])).count() == 0 and simhash.near_duplicates(docs([])).count() == 0
+
+
+def test_clashing_names(spark, docs):
+    d = docs([(5, "a b c d e"), (3, "A b c d e"), (9, "something else is here")]).selectExpr("*", "5 as __row", "'x' as row", "'y' as rest", "1 as id", "0 as fp")
+    assert {(r.doc_id, r["__row"], r.row, r.rest, r.id, r.fp) for r in simhash.keep_one(d).collect()} == {(3, 5, "x", "y", 1, 0), (9, 5, "x", "y", 1, 0)}
+    got = simhash.near_duplicates(d.selectExpr("doc_id as fp", "text as component_id"), "fp", "component_id").collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (9, 9)]
+
+
+def test_lattice_cells_of_all_pairs():
+    """Points at Hamming distance 2 or less share a cell, by the bound of the segments' counts."""
+    rng = random.Random(3)
+    def cells(f):
+        home = [(f >> 2 * k & 1) + (f >> 2 * k + 1 & 1) for k in range(32)]
+        return {tuple(home)} | {tuple(c + d * (i == k) for i, c in enumerate(home)) for k in range(32) for d in (-1, 1) if 0 <= home[k] + d <= 2}
+    for _ in range(300):
+        f = rng.getrandbits(64)
+        g = f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
+        assert cells(f) & cells(g)
+
+
+def test_hot_key_is_split(spark):
+    """One node with most of the edges: the join with the staged aggregate is dealt anew."""
+    from plait.plans import components
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                                          "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.adaptive.coalescePartitions.enabled") if spark.conf.get(k, None) is not None}
+    new = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+           "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        edges = spark.range(1, 60000).selectExpr("if(id % 10 = 0, id, 0) as b", "id + 100000 as a").repartition(8)
+        with Scratch(spark) as scratch:
+            out = components._star(edges, True, scratch)
+            out.collect()
+            assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in new:
+            spark.conf.set(k, old[k]) if k in old else spark.conf.unset(k)
