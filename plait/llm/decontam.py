@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plait.llm.schemas import packed, quoted, slices, small_batches, unpacked, with_fields
-from plait.plans.staging import stage
+from plait.llm.schemas import packed, quoted, slices, unpacked, with_fields
+from plait.plans.staging import Scratch
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+#: Words of items in an automaton, some 650 bytes each in the driver and in every Python worker.
+BLOCK_WORDS = 100_000
 _WORD = bytes.maketrans(bytes(range(128)), bytes(c if 48 <= c < 58 or 97 <= c < 123 else c + 32 if 65 <= c < 91 else 32 for c in range(128)))
 
 
@@ -34,7 +35,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class ItemAutomaton:
     """Suffix automaton over the items' word numbers, with the items in which each state's windows occur."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -49,8 +50,8 @@ class ItemAutomaton:
         self.pairs = np.array(sorted(a * len(self.vocab) + b for a, b in pairs), np.int64)
         self.shortest = min((min(window, len(ids)) for _, ids in numbered), default=0)
         # windows of full length: items by state; shorter items: (length, item) by state
-        self.full: list[set[str] | None] = [None] * len(self.link)
-        self.short: list[list[tuple[int, str]] | None] = [None] * len(self.link)
+        self.full: list[set[str | None] | None] = [None] * len(self.link)
+        self.short: list[list[tuple[int, str | None]] | None] = [None] * len(self.link)
         for name, ids in numbered:
             at = 0
             for c in ids:
@@ -120,10 +121,10 @@ class ItemAutomaton:
         yield from zip(first[long].tolist(), last[long].tolist())
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Disjoint ascending spans of hit words (end exclusive), and the items with occurring windows."""
+        """Disjoint ascending spans of hit words (end exclusive), and the items with occurring windows that have an id."""
         ids = np.fromiter(map(self.vocab.get, words, [-1] * len(words)), np.int64, len(words))
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         nxt, link, length, window = self.next, self.link, self.length, self.window
         for first, last in self.runs(ids):
             state = matched = 0
@@ -149,13 +150,13 @@ class ItemAutomaton:
                     while spans and spans[-1][1] >= start:
                         start = min(start, spans.pop()[0])
                     spans.append((start, i))
-        return spans, items
+        return spans, items - {None}
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Items in blocks of about ``block_words`` words, so that neither driver nor broadcast grows with the benchmark."""
     held, n = [], 0
-    rows = benchmark.select(F.col(item_id).cast("string"), F.col(text).cast("string").cast("binary")).where(F.col(item_id).isNotNull() & F.col(text).isNotNull())
+    rows = benchmark.select(quoted(item_id).cast("string").alias("i"), quoted(text).cast("string").cast("binary").alias("t")).where("t is not null")
     for name, body in rows.toLocalIterator():
         words = words_of(bytes(body))
         if words:
@@ -172,18 +173,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "te
          item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, finish=None, finished: StructType | None = None) -> DataFrame:
     """``keys``, ``n_words``, ``spans`` (hit words, end exclusive) and ``items`` (as strings, ascending) of every row.
 
-    Null and empty texts have no words; items without words or id are ignored; an empty benchmark hits nothing.
+    Null and empty texts have no words; items without words are ignored; the windows of an item without an id
+    hit, and it is in no list of items; an empty benchmark hits nothing; repeated rows stay; no rows give none.
     ``finish`` makes batches of the schema ``finished`` out of these, in the same Python worker where it can.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    source = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(text).cast("string").cast("binary").alias("__text"))
-    schema = with_fields(source, keys, n_words="long", spans="array<struct<s:long,e:long>>", items="array<string>")
-    names = schema.names
+    # positions in place of names, which may be those of the results
+    own = [f"k{i}" for i in range(len(keys))]
+    source = docs.select(*[quoted(k).alias(o) for k, o in zip(keys, own)], quoted(text).cast("string").cast("binary").alias("t"))
+    schema = with_fields(source, own, n_words="long", spans="array<struct<s:long,e:long>>", items="array<string>")
     span_type = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+    named = [*[F.col(o).alias(k) for k, o in zip(keys, own)], "n_words", "spans", "items"]
 
-    def passed(block: list[tuple[str, list[bytes]]], rows: DataFrame, last: bool = False) -> DataFrame:
-        shared = spark.sparkContext.broadcast(ItemAutomaton(block, window))
+    def passed(block: list[tuple[str | None, list[bytes]]], rows: DataFrame, schema: StructType, last: bool = False) -> DataFrame:
+        shared, names = spark.sparkContext.broadcast(ItemAutomaton(block, window)), schema.names
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
@@ -204,32 +207,36 @@ def scan(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "te
     one = next(blocks, [])
     two = next(blocks, None)
     if two is None:
-        return passed(one, source, last=True)
-    # a benchmark of several blocks: each pass is written, then spans and items are joined by row
-    source = stage(source.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    keyed = source.select(F.struct(*keys, "__row").alias("k"), "__text")
-    source, keys, rest = keyed, ["k"], [one, two]
-    schema = with_fields(source, keys, n_words="long", spans="array<struct<s:long,e:long>>", items="array<string>")
-    names = schema.names
-    parts = None
-    for block in (b for group in (rest, blocks) for b in group):
-        part = stage(passed(block, source), "pass")
-        parts = part if parts is None else parts.unionByName(part)
-    merged = parts.groupBy("k").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-                                    F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = passed(one, source, schema, last=True)
+        return out if finish else out.select(*named)
+    # a benchmark of several blocks: each pass gives spans and items by row number, which then meet their rows once
+    with Scratch(spark) as scratch:
+        source = scratch.keep(source.withColumn("row", F.monotonically_increasing_id()), "rows")
+        lean, parts = source.select("row", "t"), None
+        fields = with_fields(lean, ["row"], n_words="long", spans="array<struct<s:long,e:long>>", items="array<string>")
+        for block in (b for group in ([one, two], blocks) for b in group):
+            part = scratch.stage(passed(block, lean, fields), "pass")
+            parts = part if parts is None else parts.unionByName(part)
+        merged = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+                                          F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        merged = scratch.keep(merged, "merged")
     joined = F.expr("""aggregate(spans, cast(array() as array<struct<s:bigint,e:bigint>>), (acc, x) ->
         case when size(acc) > 0 and element_at(acc, -1).e >= x.s
              then concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s, 'e', greatest(element_at(acc, -1).e, x.e))))
              else concat(acc, array(x)) end)""")
-    out = merged.withColumn("spans", joined).select(*[F.col(f"k.`{c}`").alias(c) for c in merged.schema["k"].dataType.names if c != "__row"], "n_words", "spans", "items")
-    return out.mapInArrow(finish, finished) if finish else out
+    out = source.select("row", *own).join(merged.withColumn("spans", joined), "row").drop("row")
+    return out.mapInArrow(finish, finished) if finish else out.select(*named)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """Per row: n_words, n_hit, n_items, items_sha256 of the item ids joined by commas, contaminated."""
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256 of the item ids joined by commas, contaminated.
+
+    Nulls, repeated rows and no rows are as in ``scan``.
+    """
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["e"] - s["s"])
-    return scan(docs, benchmark, [doc_id], text, **how).select(
-        doc_id, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+    rows = docs.select(quoted(doc_id).alias("id"), quoted(text).alias("t"))
+    return scan(rows, benchmark, ["id"], "t", **how).select(
+        F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
@@ -255,7 +262,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
            least_span: int = 1, most_cover: float = 0.5, block_words: int = BLOCK_WORDS, n_chars: str | None = "n_chars") -> DataFrame:
     """Filter: hit spans of ``least_span`` words or more leave the text; rows with over ``most_cover`` of their words hit leave.
 
-    Columns stay those of ``docs``; ``n_chars``, if it is a column, follows the new text.  Rows without a hit are unchanged.
+    Columns stay those of ``docs``; ``n_chars``, if it is a column, follows the new text.  Rows without a hit,
+    null and empty texts among them, are unchanged; repeated rows are treated each; no rows give no rows.
     """
     rows = packed(docs, text)
 

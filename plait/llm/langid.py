@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.llm.schemas import packed, quoted, slices, small_batches, unpacked, with_fields
+from plait.llm.schemas import packed, quoted, restored, slices, unpacked, whole, with_fields
 
 UNKNOWN = "und"
 BUCKET_BITS = 14
@@ -113,8 +113,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = B
 
     What reaches the driver is ``languages × 2**bits`` sums at most.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = docs.select(quoted(text).cast("string").alias("text"), quoted(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -147,7 +146,6 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", into: tup
 
     Null texts and texts without a letter get ``und`` and 0.  Columns already named as ``into`` are replaced.
     """
-    small_batches(docs.sparkSession)
     source = packed(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["rest", "text", "lang_pred", "score"]
@@ -164,11 +162,15 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", into: tup
 
 def held_out(doc_id: str = "doc_id"):
     """The fold that is never learned from: crc32 of the id as text, modulo 5, is 0 (a null id counts as held out)."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    return F.coalesce(F.crc32(quoted(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", least: float = 0.5) -> DataFrame:
-    """Filter: rows whose language is known with a posterior of ``least`` or more, in the columns of ``docs``."""
+    """Filter: rows whose language is known with a posterior of ``least`` or more, in the columns of ``docs``.
+
+    The model learns from rows with a language, but those of ``held_out``; without any, all rows go.  Null
+    texts and texts without a letter go; repeated rows are judged each; no rows give no rows.
+    """
     model = train(docs.where(~held_out(doc_id)), text, lang)
-    out = predict(docs, model, text, ("__lang_pred", "__lang_score"))
-    return out.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= least)).select(*map(quoted, docs.columns))
+    out = predict(docs.select(quoted(text).cast("string").alias("text"), whole(docs).alias("whole")), model)
+    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*restored(docs, "whole"))

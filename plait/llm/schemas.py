@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
@@ -41,8 +41,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches of this session hold ``rows`` rows at most, as whole texts are large rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def whole(docs: DataFrame) -> Column:
+    """A struct of all columns, whose names then clash with nothing."""
+    return F.struct(F.lit(0).alias("none"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+
+
+def restored(docs: DataFrame, packed_as: str = "rest") -> list[Column]:
+    """The columns of ``docs`` out of what ``whole`` made of it."""
+    return [F.col(f"{packed_as}.c{i}").alias(c) for i, c in enumerate(docs.columns)]

@@ -18,7 +18,8 @@ def brute(text, items, window=10):
         for i in range(len(w) - size + 1):
             if tuple(w[i : i + size]) in wins:
                 hit.update(range(i, i + size))
-                found.add(str(name))
+                if name is not None:  # an item without an id hits, and cannot be named
+                    found.add(str(name))
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
@@ -26,7 +27,7 @@ def check(spark, docs, items, **how):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: tuple(r)[1:] for r in decontam.report(d, b, **how).collect()}
-    assert got == {i: brute(t, [x for x in items if x[0] is not None], how.get("window", 10)) for i, t in docs}
+    assert got == {i: brute(t, items, how.get("window", 10)) for i, t in docs}
 
 
 def test_random_small_alphabet(spark):
@@ -55,3 +56,14 @@ def test_remove(spark, docs):
     assert got[1].text == "Intro words come first and go on: ! Then é more text follows it here." and got[1].n_chars == len(got[1].text)
     assert got[None].text is None and decontam.remove(docs([]), bench).count() == 0
     assert decontam.remove(d, bench.limit(0)).count() == 5
+
+
+def test_clashing_names_null_ids_and_a_long_text(spark, docs):
+    ten = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(None, ten), (4, None), (4, "x y"), (4, "x y")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "a " + ten + " b", 5), (2, "x y", 6), (1, "w " * 2_500_000, 7)], "n_words long, spans string, items int")
+    for how in ({}, {"block_words": 3}):
+        got = sorted((r.n_words, r.n_hit, r.n_items) for r in decontam.report(d, bench, "n_words", "spans", **how).select("n_words", "n_hit", "n_items").collect())
+        assert got == [(2, 2, 1), (12, 10, 0), (2_500_000, 0, 0)]
+        left = {(r.n_words, r.items, r.spans[:5]) for r in decontam.remove(d, bench, "spans", most_cover=0.9, **how).collect()}
+        assert left == {(1, 5, "a  b"), (1, 7, "w w w")}

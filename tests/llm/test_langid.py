@@ -81,3 +81,11 @@ def test_empty_nulls_and_clashing_columns(spark, docs):
     got = langid.predict(d, model).collect()
     assert [r.lang_pred for r in got] == ["und"] * 3 and got[0]["a.b"] == 1
     assert langid.keep_known(docs([(1, "1 2 3", "en"), (2, "hello there", "en"), (3, "hello you", "en")] * 3)).select("doc_id").distinct().count() == 2
+
+
+def test_keep_known_with_clashing_names(spark):
+    rows = [(i, "the cat sat on the mat and the dog" if i % 2 else "der hund und die katze sind hier", "en" if i % 2 else "de", i, "p", "q") for i in range(40)] + [(99, None, None, 7, "p", "q")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, __lang_pred int, lang_pred string, whole string")
+    got = langid.keep_known(d)
+    assert got.columns == d.columns and sorted(map(tuple, got.collect())) == sorted(rows[:-1])
+    assert langid.keep_known(d.limit(0)).count() == 0
