@@ -85,15 +85,18 @@ def _prepared(text: Column, shingle_words: int, window_words: int) -> Column:
 
 
 def _repeated(base: DataFrame, scratch: Scratch) -> DataFrame:
-    """``base(row, key, selected, runs)`` → row and ``gone``, the lines to delete, for rows that have any."""
+    """``base(row, key, selected, runs)`` → row and ``gone``, the lines to delete, for rows that have any.
+
+    The joins are of one kind at every size: what they hold grows with the corpus.
+    """
     prints = base.select("row", F.explode("selected").alias("hash"))
     common = scratch.stage(prints.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "common")
-    met = scratch.stage(prints.join(common, "hash").select("row").distinct(), "met")
-    posts = base.join(met, "row", "left_semi").select("row", "key", F.inline("runs")).select(
+    met = scratch.stage(prints.join(common.hint("merge"), "hash").select("row").distinct(), "met")
+    posts = base.join(met.hint("merge"), "row", "left_semi").select("row", "key", F.inline("runs")).select(
         "hash", "check", "lines", F.struct("key", "row", "s").alias("at"))
     same = ["hash", "check", "lines"]
     first = scratch.stage(posts.groupBy(*same).agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    later = posts.join(first, same).where(F.col("at") != F.col("first"))
+    later = posts.join(first.hint("merge"), same).where(F.col("at") != F.col("first"))
     lines = F.sequence(F.col("at.s"), F.col("at.s") + F.col("lines") - 1)
     each = later.select(F.col("at.row").alias("row"), lines.alias("lines"))
     return each.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("gone"))
