@@ -1,10 +1,10 @@
 """Secret scan with corpus-wide ownership frequency.
 
 All of it is DataFrame functions.  One scan finds the matches of each kind; where a match starts follows
-from the lengths of the texts between matches, summed in order.  Candidates are long mixed tokens.  Their
-hashes are counted by distinct owner and repository in two steps with map-side partials: a token that few
-owners and repositories have looks live and is added as a span of its own; a token that many share is an
-example that was copied.  Base spans always stay.
+from the lengths of the texts between matches, summed in order.  Candidates are long mixed tokens.  The
+hashes of all tokens, those of the base spans too, are counted by distinct owner and repository in two steps
+with map-side partials: a token that few owners and repositories have looks live, one that many share is an
+example that was copied.  Live candidates are added as spans of their own; base spans stay, with their class.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plait.llm.schemas import quoted
-from plait.plans.staging import stage
+from plait.plans.staging import Scratch
 
 #: Kind, pattern, group that must be long enough, its least length.
 BASE = (
@@ -42,38 +42,39 @@ def _found(text: Column) -> Column:
     return F.concat(*[F.coalesce(e, none) for e in each])
 
 
-def _listed(spans: Column) -> Column:
-    """kind:start:end by start, then kind in order, joined by commas."""
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+def _listed(spans: Column, *fields: str) -> Column:
+    """The fields of each span joined by colons, the spans, sorted by start and then kind in order, by commas."""
+    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", *[s[f].cast("string") for f in fields])), ",")
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = 1, most_repositories: int = 3) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and classes of every row.
 
-    A candidate is added as ``live`` if at most ``most_owners`` owners (null is one) and ``most_repositories``
-    documents have it, it has a letter and a digit, and no base span overlaps it.  A null text is an empty
-    one; repeated rows are scanned each; no rows give no rows.
+    A token is ``live`` if at most ``most_owners`` owners (null is one) and ``most_repositories`` documents have it,
+    as a candidate or in a base span, else ``copied``; ``classes`` has class:owners:documents of each of ``spans``.
+    A candidate is added as ``live`` if its token is, it has a letter and a digit, and no base span overlaps it.
+    A null text is an empty one; repeated rows are scanned each and are one document; no rows give no rows.
     """
     body = F.coalesce(quoted(text).cast("string"), F.lit(""))
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), quoted(doc_id).alias("doc_id"), quoted(owner).cast("string").alias("owner"), _found(body).alias("found")), "found")
-    hits = rows.where(F.size("found") > 0).select("row", "doc_id", "owner", F.inline("found"))
     ordered = Window.partitionBy("row", "o").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = hits.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(ordered)).withColumn("start", F.col("end") - F.col("len")).where("ok").select("row", "doc_id", "owner", "o", "kind", "start", "end", "token")
-    spans = stage(spans, "spans")
-    base = spans.where(F.col("o") < len(BASE))
-    tokens = spans.where((F.col("o") == len(BASE)) & F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]")).withColumn("hash", F.sha2("token", 256))
-    each = tokens.groupBy("hash", "owner", "doc_id").agg(F.lit(1).alias("one"))
-    owners = each.groupBy("hash", "owner").agg(F.count("*").alias("docs"))
-    few = owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("docs").alias("docs")).where((F.col("owners") <= most_owners) & (F.col("docs") <= most_repositories)).select("hash")
-    # whether a base span overlaps: the furthest base end among spans that start before the token ends
-    live = tokens.join(few, "hash", "left_semi").select("row", "o", "kind", "start", "end")
-    both = base.select("row", "o", "kind", "start", "end").unionByName(live)
-    span = F.struct("start", "o", "kind", "end")
-    grouped = both.groupBy("row").agg(F.collect_list(F.when(F.col("o") < len(BASE), span)).alias("base"), F.collect_list(F.when(F.col("o") == len(BASE), span)).alias("live"))
-    clear = F.filter("live", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    grouped = grouped.select("row", "base", F.concat("base", clear).alias("every"))
-    none = F.array().cast("array<struct<start:bigint,o:int,kind:string,end:bigint>>")
+    is_base = F.col("o") < len(BASE)
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), quoted(doc_id).alias("doc_id"), quoted(owner).cast("string").alias("owner"), _found(body).alias("found")), "found")
+        hits = rows.where(F.size("found") > 0).select("row", "doc_id", "owner", F.inline("found"))
+        spans = hits.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(ordered)).withColumn("start", F.col("end") - F.col("len"))
+        spans = spans.where("ok").where(is_base | (F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]")))
+        spans = scratch.stage(spans.select("row", "doc_id", "owner", "o", "kind", "start", "end", F.sha2("token", 256).alias("hash")), "spans")
+        owners = spans.groupBy("hash", "owner", "doc_id").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("docs"))
+        held = scratch.stage(owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("docs").alias("docs")), "owners")
+        few = (F.col("owners") <= most_owners) & (F.col("docs") <= most_repositories)
+        known = spans.join(held, "hash").withColumn("class", F.when(few, "live").otherwise("copied")).where(is_base | few)
+        span = F.struct("start", "o", "kind", "end", "class", "owners", "docs")
+        grouped = known.groupBy("row").agg(F.collect_list(F.when(is_base, span)).alias("base"), F.collect_list(F.when(~is_base, span)).alias("live"))
+        clear = F.filter("live", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        grouped = scratch.keep(grouped.select("row", "base", F.concat("base", clear).alias("every")), "grouped")
+    none = F.array().cast(grouped.schema["base"].dataType)
     out = rows.select("row", "doc_id").join(grouped, "row", "left").withColumn("base", F.coalesce("base", none)).withColumn("every", F.coalesce("every", none))
-    orders = F.transform("base", lambda s: s["o"])
-    counts = [F.size(F.array_remove(F.transform(orders, lambda o: F.when(o == k, 1).otherwise(0)), 0)).cast("long").alias(f"n_{kind}") for k, (kind, *_) in enumerate(BASE)]
-    return out.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("every")).alias("spans"))
+    counts = [F.size(F.filter("base", lambda s: s["o"] == k)).cast("long").alias(f"n_{kind}") for k, (kind, *_) in enumerate(BASE)]  # noqa: B023
+    place = ("kind", "start", "end")
+    return out.select("doc_id", *counts, F.sha2(_listed(F.col("base"), *place), 256).alias("base_sha256"), _listed(F.col("every"), *place).alias("spans"),
+                      _listed(F.col("every"), "class", "owners", "docs").alias("classes"))

@@ -49,19 +49,20 @@ WITH d AS (
   FROM each e JOIN kinds k ON e.o = k.o
 ), base AS (SELECT * FROM spans WHERE ok AND o < 3),
 cand AS (SELECT * FROM spans WHERE o = 3 AND regexp_matches(token, '[0-9]') AND regexp_matches(token, '[A-Za-z]')),
-few AS (
-  SELECT token FROM (SELECT DISTINCT token, coalesce(owner, '?') AS owner, doc_id FROM cand) GROUP BY token
-  HAVING count(DISTINCT owner) <= 1 AND count(*) <= 3
+held AS (
+  SELECT token, count(DISTINCT owner) AS owners, count(*) AS docs, CASE WHEN count(DISTINCT owner) <= 1 AND count(*) <= 3 THEN 'live' ELSE 'copied' END AS class
+  FROM (SELECT DISTINCT token, coalesce(owner, '?') AS owner, doc_id FROM (SELECT * FROM base UNION ALL SELECT * FROM cand)) GROUP BY token
 ), live AS (
-  SELECT c.* FROM cand c SEMI JOIN few USING (token)
+  SELECT c.* FROM cand c SEMI JOIN (SELECT token FROM held WHERE class = 'live') USING (token)
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.start < c."end" AND c.start < b."end")
 ), by_base AS (
   SELECT r, count_if(o = 0) AS a, count_if(o = 1) AS k, count_if(o = 2) AS h, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, o) AS s FROM base GROUP BY r
 ), by_all AS (
-  SELECT r, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, o) AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM live) GROUP BY r
+  SELECT r, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, o) AS s, string_agg(class || ':' || owners || ':' || docs, ',' ORDER BY start, o) AS c
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM live) JOIN held USING (token) GROUP BY r
 )
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
-  sha256(coalesce(b.s, '')) AS base_sha256, coalesce(e.s, '') AS spans
+  sha256(coalesce(b.s, '')) AS base_sha256, coalesce(e.s, '') AS spans, coalesce(e.c, '') AS classes
 FROM d LEFT JOIN by_base b USING (r) LEFT JOIN by_all e USING (r)
 """
 
