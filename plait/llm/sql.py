@@ -66,7 +66,7 @@ SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_a
 FROM d LEFT JOIN by_base b USING (r) LEFT JOIN by_all e USING (r)
 """
 
-SQL["op9_url_filter"] = r"""
+_URLS = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), p AS (
@@ -81,31 +81,40 @@ WITH cut AS (
   SELECT p.*, rule, say, CASE say WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad,
     list_transform(list_filter(string_split(p.path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '{n}'
       WHEN regexp_matches(s, '^[0-9]+\.[A-Za-z]+$') THEN '{n}' || regexp_extract(s, '\.[A-Za-z]+$') WHEN regexp_matches(s, '^[0-9a-fA-F]{8,}$') THEN '{h}'
-      WHEN regexp_matches(s, '[0-9]') AND length(s) >= 6 THEN '{x}' ELSE s END) AS long_segs,
-    CASE WHEN len(long_segs) > 6 THEN list_append(long_segs[1:6], '{**}') ELSE long_segs END AS segs
+      WHEN regexp_matches(s, '[0-9]') AND length(s) >= 6 THEN '{x}' ELSE s END) AS segs
   FROM p LEFT JOIN best USING (host, path)
 ), shapes AS (
   SELECT host, segs, count(*) AS n, count(bad) AS seen, coalesce(sum(bad), 0) AS bad FROM rows GROUP BY host, segs
-), steps AS (
-  SELECT host, segs, n, d, segs[d] AS seg, array_to_string(segs[1:d - 1], '/') AS parent FROM shapes, unnest(range(1, len(segs) + 1)) AS u(d)
-), children AS (SELECT host, d, parent, seg, sum(n) AS n_child FROM steps GROUP BY ALL),
-crowded AS (SELECT host, d, parent, sum(n_child) AS n_parent FROM children GROUP BY ALL HAVING count(*) > 12),
-rare AS (SELECT host, d, parent, seg FROM children JOIN crowded USING (host, d, parent) WHERE NOT starts_with(seg, '{') AND n_child < 0.05::DOUBLE * n_parent),
-wild AS (
-  SELECT s.host, s.segs, list(CASE WHEN r.seg IS NULL THEN s.seg ELSE '*' END ORDER BY s.d) AS template
-  FROM steps s LEFT JOIN rare r ON s.host = r.host AND s.d = r.d AND s.parent = r.parent AND s.seg = r.seg GROUP BY ALL
-), tree AS (
-  SELECT s.*, coalesce(template, s.segs) AS t, coalesce(t[1], '') AS branch, array_to_string(t[2:], '/') AS sub FROM shapes s LEFT JOIN wild w ON s.host = w.host AND s.segs = w.segs
-), cells AS (SELECT host, branch, sub, sum(n)::DOUBLE AS o FROM tree GROUP BY ALL),
-agree AS (
-  SELECT host, branch, any_value(df) AS df, greatest(sum(o * o * n_host / (n_branch * o_sub)) - any_value(n_branch), 0) AS chi FROM (
-    SELECT *, sum(o) OVER (PARTITION BY host, sub) AS o_sub, sum(o) OVER (PARTITION BY host) AS n_host, sum(o) OVER (PARTITION BY host, branch) AS n_branch FROM cells)
-  JOIN (SELECT host, count(DISTINCT sub) - 1 AS df FROM cells GROUP BY host) USING (host) GROUP BY host, branch
-), nodes AS (
-  SELECT host, branch, CASE WHEN CASE WHEN df = 0 THEN true ELSE cbrt(chi / df) - (1 - 2.0 / (9.0 * df)) <= 2.33 * sqrt(2.0 / (9.0 * df)) END THEN '{~}' ELSE branch END AS node FROM agree
-), named AS (
-  SELECT t.host, segs, bad, seen, node || CASE WHEN sub <> '' THEN '/' || sub ELSE '' END AS template FROM tree t JOIN nodes USING (host, branch)
-), base AS (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(seen), 0) + 2.0::DOUBLE) AS base FROM shapes),
+), w0 AS (SELECT *, segs AS t FROM shapes)"""
+
+#: Levels of the tree; no path of the tables has more segments.
+LEVELS = 6
+for _d in range(LEVELS):  # rare children of crowded nodes, from the root down
+    _URLS += f""",
+c{_d} AS (SELECT host, array_to_string(t[1:{_d}], '/') AS parent, t[{_d + 1}] AS seg, sum(n) AS n_child FROM w{_d} WHERE len(t) > {_d} GROUP BY ALL),
+r{_d} AS (SELECT c.* FROM c{_d} c JOIN (SELECT host, parent, sum(n_child) AS n_parent FROM c{_d} GROUP BY ALL HAVING count(*) > 12) USING (host, parent)
+  WHERE NOT starts_with(seg, '{{') AND n_child < 0.05::DOUBLE * n_parent),
+w{_d + 1} AS (SELECT w.host, segs, n, seen, bad, CASE WHEN r.seg IS NULL THEN t ELSE list_concat(list_concat(t[1:{_d}], ['*']), t[{_d + 2}:]) END AS t
+  FROM w{_d} w LEFT JOIN r{_d} r ON w.host = r.host AND array_to_string(t[1:{_d}], '/') = r.parent AND t[{_d + 1}] = r.seg)"""
+_URLS += f", m{LEVELS} AS (SELECT * FROM w{LEVELS})"
+for _d in reversed(range(LEVELS)):  # branches that agree, from the leaves up
+    _URLS += f""",
+b{_d} AS (SELECT host, parent, seg, sum(o) AS n_branch, arg_min(sub, (-o, sub)) AS top, max(o) AS o, sum(bad) AS bad, sum(seen) AS seen FROM (
+  SELECT host, array_to_string(t[1:{_d}], '/') AS parent, t[{_d + 1}] AS seg, array_to_string(t[{_d + 2}:], '/') AS sub, sum(n) AS o, sum(bad) AS bad, sum(seen) AS seen
+  FROM m{_d + 1} WHERE len(t) > {_d} GROUP BY host, parent, seg, sub)
+  WHERE sub <> '' AND seg <> '*' AND NOT starts_with(seg, '{{') GROUP BY host, parent, seg),
+p{_d} AS (SELECT *, arg_min(top, (-n_pool, top)) OVER (PARTITION BY host, parent) AS largest FROM (
+  SELECT host, parent, top, sum(n_branch) AS n_pool, sum(o) AS o_pool, sum(bad) AS bad_pool, sum(seen) AS seen_pool, count(*) AS k FROM b{_d} GROUP BY host, parent, top)),
+e{_d} AS (SELECT b.*, largest, k, o_pool / n_pool AS share, n_branch * share AS expected, CASE WHEN seen_pool > 0 THEN bad_pool / seen_pool ELSE 0 END AS rate, seen * rate AS awaited
+  FROM b{_d} b JOIN p{_d} USING (host, parent, top)),
+a{_d} AS (SELECT host, parent, seg, CASE WHEN top = largest AND ({_d} = 0 OR k > 1) THEN '{{~}}' WHEN k > 1 THEN '{{~' || top || '}}' END AS name FROM e{_d}
+  WHERE (expected < 5 OR n_branch - expected < 5 OR (o - expected) * (o - expected) <= 2.33::DOUBLE * 2.33::DOUBLE * expected * (1 - share))
+  AND (awaited < 5 OR seen - awaited < 5 OR (bad - awaited) * (bad - awaited) <= 2.33::DOUBLE * 2.33::DOUBLE * awaited * (1 - rate))),
+m{_d} AS (SELECT m.host, segs, n, seen, bad, CASE WHEN a.name IS NULL THEN t ELSE list_concat(list_concat(t[1:{_d}], [a.name]), t[{_d + 2}:]) END AS t
+  FROM m{_d + 1} m LEFT JOIN a{_d} a ON m.host = a.host AND array_to_string(t[1:{_d}], '/') = a.parent AND t[{_d + 1}] = a.seg)"""
+SQL["op9_url_filter"] = _URLS + """,
+named AS (SELECT host, segs, bad, seen, array_to_string(t, '/') AS template FROM m0),
+base AS (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(seen), 0) + 2.0::DOUBLE) AS base FROM shapes),
 hosts AS (SELECT host, (sum(bad) + 4.0::DOUBLE * any_value(base)) / (sum(seen) + 4.0::DOUBLE) AS host_rate FROM shapes, base GROUP BY host),
 pure AS (SELECT host, template, (sum(bad) + 4.0::DOUBLE * any_value(host_rate)) / (sum(seen) + 4.0::DOUBLE) AS purity FROM named JOIN hosts USING (host) GROUP BY host, template)
 SELECT page_id, r.host, path, rule, coalesce(say, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, n.template

@@ -1,11 +1,14 @@
 """URL filter: rules first, then a path-template tree judged by smoothed labelled purity.
 
 Everything is DataFrame functions.  Paths become shapes (digits, hex and mixed segments as wildcards);
-pages are summed to one row per host and shape before anything else.  A segment position with many
-children turns its rare children into wildcards too.  The branches of a host are then compared with the
-host's pooled distribution of sub-templates by a chi-square test, and those that agree with it are merged
-into one.  A template is rejected if the share of blocked among its labelled pages, smoothed towards its
-host's share and that towards all pages', reaches the threshold.
+pages are summed to one row per host and shape before anything else, and the tree is that of the shapes, as
+deep as two of them share a beginning.  From the root down, a node with many children, under the wildcards found above it, turns its
+rare children into a wildcard too.  From the leaves up, branches of one node that have the same commonest
+sub-template below them are compared with all such branches together, by its share and by the share of blocked
+among labelled pages (chi-square tests of two cells, where five or more are expected in both); those that agree
+become one.  A template is rejected if the
+share of blocked among its labelled pages, smoothed towards its host's share and that towards all pages',
+reaches the threshold.
 """
 
 from __future__ import annotations
@@ -14,12 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plait.llm.schemas import quoted
-from plait.plans.staging import stage
+from plait.plans.staging import Scratch
 
 #: The order of the contract; a rule's host ends at its first slash.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH = 6
+#: The least count that a test expects in a cell.
+LEAST_EXPECTED = 5.0
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -43,46 +47,76 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (null, null) if name is None else (name, verdict)
 
 
-def shape(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments, variable ones as wildcards, those beyond ``depth`` as one; slashes that repeat count once."""
+def shape(path: Column) -> Column:
+    """The path's segments, variable ones as wildcards; slashes that repeat count once."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    classed = F.transform(segments, lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}").when(s.rlike(r"^[0-9]+\.[A-Za-z]+$"), F.concat(F.lit("{n}"), F.regexp_extract(s, r"\.[A-Za-z]+$", 0)))
-                          .when(s.rlike(r"^[0-9a-fA-F]{8,}$"), "{h}").when(s.rlike(r"[0-9]") & (F.length(s) >= 6), "{x}").otherwise(s))
-    return F.when(F.size(classed) > depth, F.concat(F.slice(classed, 1, depth), F.array(F.lit("{**}")))).otherwise(classed)
-
-
-def _wild(shapes: DataFrame, most_children: int, least_share: float) -> DataFrame:
-    """``shapes(host, segs, n, ...)`` with ``template``: rare children of crowded positions become ``*``."""
-    steps = shapes.select("host", "segs", "n", F.posexplode("segs").alias("d", "seg")).withColumn("parent", F.array_join(F.slice("segs", F.lit(1), F.col("d")), "/"))
-    children = steps.groupBy("host", "d", "parent", "seg").agg(F.sum("n").alias("n_child"))
-    parents = children.groupBy("host", "d", "parent").agg(F.count("*").alias("children"), F.sum("n_child").alias("n_parent")).where(F.col("children") > most_children)
-    rare = children.join(parents, ["host", "d", "parent"]).where(~F.col("seg").startswith("{") & (F.col("n_child") < least_share * F.col("n_parent"))).select("host", "d", "parent", "seg", F.lit("*").alias("as"))
-    named = steps.join(rare, ["host", "d", "parent", "seg"], "left").withColumn("seg", F.coalesce("as", "seg"))
-    arrays = named.groupBy("host", "segs").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "seg"))), lambda x: x["seg"]).alias("template"))
-    return shapes.join(arrays, ["host", "segs"], "left").withColumn("template", F.coalesce("template", "segs"))
-
-
-def templates(labelled: DataFrame, most_children: int = 12, least_share: float = 0.05, z: float = 2.33, strength: float = 4.0) -> DataFrame:
+    return F.transform(segments, lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}").when(s.rlike(r"^[0-9]+\.[A-Za-z]+$"), F.concat(F.lit("{n}"), F.regexp_extract(s, r"\.[A-Za-z]+$", 0)))
+                       .when(s.rlike(r"^[0-9a-fA-F]{8,}$"), "{h}").when(s.rlike(r"[0-9]") & (F.length(s) >= 6), "{x}").otherwise(s))
+
+
+def _at(tree: DataFrame, d: int) -> DataFrame:
+    """``tree`` with parent, seg and sub: what stands before, at and after place ``d`` of ``t``; seg is null in shorter ones."""
+    rest = F.array_join(F.slice("t", F.lit(d + 2), F.greatest(F.size("t") - d - 1, F.lit(0))), "/")
+    return tree.withColumn("parent", F.array_join(F.slice("t", 1, d), "/")).withColumn("seg", F.get("t", F.lit(d))).withColumn("sub", rest)
+
+
+def _renamed(tree: DataFrame, d: int, names: DataFrame) -> DataFrame:
+    """``tree`` with place ``d`` of ``t`` as ``names(host, parent, seg, to)`` have it."""
+    keys = ["host", "parent", "seg"]
+    named = _at(tree, d).join(names.select(*keys, "to"), keys, "left")
+    after = F.slice("t", F.lit(d + 2), F.greatest(F.size("t") - d - 1, F.lit(0)))
+    return named.withColumn("t", F.when(F.col("to").isNotNull(), F.concat(F.slice("t", 1, d), F.array("to"), after)).otherwise(F.col("t"))).select(tree.columns)
+
+
+def _wild(tree: DataFrame, d: int, most_children: int, least_share: float, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """Rare children of crowded nodes at depth ``d`` become ``*``; and whether some node at the next depth has several shapes."""
+    children = scratch.stage(_at(tree, d).where("seg is not null").groupBy("host", "parent", "seg").agg(F.sum("n").alias("n_child")), "children")
+    parents = children.groupBy("host", "parent").agg(F.count("*").alias("children"), F.sum("n_child").alias("n_parent")).where(F.col("children") > most_children)
+    rare = children.join(parents, ["host", "parent"]).where(~F.col("seg").startswith("{") & (F.col("n_child") < least_share * F.col("n_parent")))
+    tree = scratch.stage(_renamed(tree, d, rare.withColumn("to", F.lit("*"))), "tree")
+    below = _at(tree, d + 1).where("seg is not null").groupBy("host", "parent").agg(F.count("*").alias("shapes"))
+    return tree, not below.where("shapes > 1").isEmpty()
+
+
+def _agrees(k: Column, n: Column, k_pool: Column, n_pool: Column, z: float) -> Column:
+    """Whether ``k`` of ``n`` is like ``k_pool`` of ``n_pool``; where too few are expected, nothing speaks against it."""
+    share = F.when(n_pool > 0, k_pool / n_pool).otherwise(0.0)
+    expected = n * share
+    known = (expected >= LEAST_EXPECTED) & (n - expected >= LEAST_EXPECTED)
+    return ~known | ((k - expected) * (k - expected) <= z * z * expected * (1.0 - share))
+
+
+def _merged(tree: DataFrame, d: int, z: float, scratch: Scratch) -> DataFrame:
+    """Branches at depth ``d`` with something below them that agree become one."""
+    cells = _at(tree, d).where("seg is not null and sub != '' and seg != '*' and not startswith(seg, '{')").groupBy("host", "parent", "seg", "sub").agg(
+        F.sum("n").alias("o"), F.sum("bad").alias("bad"), F.sum("seen").alias("seen"))
+    tops = cells.groupBy("host", "parent", "seg").agg(F.sum("o").alias("n_branch"), F.min(F.struct((-F.col("o")).alias("m"), "sub")).alias("top"), F.sum("bad").alias("bad"), F.sum("seen").alias("seen"))
+    branches = scratch.stage(tops.select("host", "parent", "seg", "n_branch", "bad", "seen", F.col("top.sub").alias("top"), (-F.col("top.m")).alias("o")), "branches")
+    pools = branches.groupBy("host", "parent", "top").agg(F.sum("n_branch").alias("n_pool"), F.sum("o").alias("o_pool"), F.sum("bad").alias("bad_pool"), F.sum("seen").alias("seen_pool"), F.count("*").alias("k"))
+    largest = pools.groupBy("host", "parent").agg(F.min(F.struct((-F.col("n_pool")).alias("m"), "top"))["top"].alias("largest"))
+    pools = scratch.stage(pools.join(largest, ["host", "parent"]), "pools")
+    agrees = _agrees(F.col("o"), F.col("n_branch"), F.col("o_pool"), F.col("n_pool"), z) & _agrees(F.col("bad"), F.col("seen"), F.col("bad_pool"), F.col("seen_pool"), z)
+    several = F.lit(d == 0) | (F.col("k") > 1)  # a host's first segment is one of many hosts' sections
+    name = F.when(several & (F.col("top") == F.col("largest")), "{~}").when(F.col("k") > 1, F.concat(F.lit("{~"), "top", F.lit("}")))
+    names = branches.join(pools, ["host", "parent", "top"]).where(agrees).withColumn("to", name).where("to is not null")
+    return scratch.stage(_renamed(tree, d, names), "tree")
+
+
+def templates(labelled: DataFrame, scratch: Scratch, most_children: int = 12, least_share: float = 0.05, z: float = 2.33, strength: float = 4.0) -> DataFrame:
     """``labelled(host, segs, bad)``, bad 1, 0 or null → host, segs, template and its smoothed ``purity``."""
-    shapes = stage(labelled.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "shapes")
-    tree = _wild(shapes, most_children, least_share)
-    tree = stage(tree.withColumn("branch", F.coalesce(F.get("template", F.lit(0)), F.lit(""))).withColumn("sub", F.array_join(F.slice("template", 2, DEPTH + 1), "/")), "tree")
-    cells = tree.groupBy("host", "branch", "sub").agg(F.sum("n").alias("o"))
-    pooled = cells.groupBy("host", "sub").agg(F.sum("o").alias("o_sub"))
-    hosts = pooled.groupBy("host").agg(F.sum("o_sub").alias("n_host"), (F.count("*") - 1).alias("df"))
-    branches = cells.groupBy("host", "branch").agg(F.sum("o").alias("n_branch"))
-    chi = cells.join(pooled, ["host", "sub"]).join(hosts, "host").join(branches, ["host", "branch"]).groupBy("host", "branch", "df", "n_branch").agg(
-        (F.sum(F.col("o") * F.col("o") * F.col("n_host") / (F.col("n_branch") * F.col("o_sub"))) - F.col("n_branch")).alias("chi"))
-    # Wilson and Hilferty's normal value of a chi-square
-    spread = 2.0 / (9.0 * F.col("df"))
-    agrees = (F.col("df") == 0) | (F.cbrt(F.greatest(F.col("chi"), F.lit(0.0)) / F.col("df")) - (1.0 - spread) <= z * F.sqrt(spread))
-    merged = chi.select("host", "branch", F.when(agrees, "{~}").otherwise(F.col("branch")).alias("node"))
-    tree = tree.join(merged, ["host", "branch"]).withColumn("template", F.concat_ws("/", "node", F.when(F.col("sub") != "", F.col("sub"))))
+    shapes = scratch.stage(labelled.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "shapes")
+    tree, depth, deeper = shapes.withColumn("t", F.col("segs")), 0, True
+    while deeper:
+        tree, deeper = _wild(tree, depth, most_children, least_share, scratch)
+        depth += 1
+    for d in reversed(range(depth)):
+        tree = _merged(tree, d, z, scratch)
+    tree = scratch.stage(tree.withColumn("template", F.array_join("t", "/")), "named")
     total = shapes.agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen")).select(((F.coalesce("bad", F.lit(0)) + 1.0) / (F.coalesce("seen", F.lit(0)) + 2.0)).alias("base"))
     by_host = shapes.groupBy("host").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen")).crossJoin(F.broadcast(total)).select(  # one row
         "host", ((F.col("bad") + strength * F.col("base")) / (F.col("seen") + strength)).alias("host_rate"))
-    by_template = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen")).join(by_host, "host").select(
-        "host", "template", ((F.col("bad") + strength * F.col("host_rate")) / (F.col("seen") + strength)).alias("purity"))
+    sums = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen"))
+    by_template = scratch.stage(sums.join(by_host, "host").select("host", "template", ((F.col("bad") + strength * F.col("host_rate")) / (F.col("seen") + strength)).alias("purity")), "purity")
     return tree.join(by_template, ["host", "template"]).select("host", "segs", "template", "purity")
 
 
@@ -96,8 +130,10 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RU
     host, path = parts(F.col("url"))
     rows = pages.select(quoted(page_id).alias("page_id"), quoted(url).cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     rule, say = rule_of(F.col("host"), F.col("path"), rules)
-    rows = stage(rows.select("page_id", "host", "path", rule.alias("rule"), say.alias("say"), shape(F.col("path")).alias("segs")), "urls")
-    tree = stage(templates(rows.select("host", "segs", F.when(F.col("say") == "block", 1).when(F.col("say") == "allow", 0).alias("bad")), **how), "templates")
+    with Scratch(pages.sparkSession) as scratch:
+        rows = scratch.keep(rows.select("page_id", "host", "path", rule.alias("rule"), say.alias("say"), shape(F.col("path")).alias("segs")), "urls")
+        labelled = rows.select("host", "segs", F.when(F.col("say") == "block", 1).when(F.col("say") == "allow", 0).alias("bad"))
+        tree = scratch.keep(templates(labelled, scratch, **how), "templates")
     tree = tree.select(F.col("host").alias("t_host"), F.col("segs").alias("t_segs"), "template", "purity")
     out = rows.join(tree, (F.col("host") == F.col("t_host")) & (F.col("segs") == F.col("t_segs")))
     verdict = F.coalesce("say", F.when(F.col("purity") >= threshold, "block").otherwise("allow"))
