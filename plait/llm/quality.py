@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plait.llm.schemas import quoted, slices, with_fields
-from plait.plans.staging import stage
+from plait.plans.staging import Scratch
 
 BITS = 15
 SAMPLE = 3000
+BINS = 1000
 _SYMBOLS = b"#$%&*|<>{}[]~^=_@\\"
+_MARKS = _SYMBOLS + b"!?.,;:-+/()'\"`"
+_UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
+_DIGITS = b"0123456789"
 
 
 def _vote(value: float, bad_above: float, good_below: float) -> int:
@@ -35,21 +40,28 @@ def votes(text: bytes | None) -> tuple[int, ...]:
     if not words:
         return (-1,) + (0,) * (len(LABELLERS) - 1)
     n, m = len(text), len(words)
+    count = lambda some: n - len(text.translate(None, some))
     lines = [x for x in text.split(b"\n") if x.strip()]
-    common = Counter(words).most_common(1)[0][1]
+    seen = Counter(words)
+    upper, lower, ends = count(_UPPER), count(_LOWER), text.count(b".") + text.count(b"!") + text.count(b"?")
+    enough = m >= 20
     return (
         -1 if m < 20 else 1 if m > 80 else 0,
-        _vote((n - len(text.translate(None, _SYMBOLS))) / n, 0.02, 0.002),
-        _vote((n - len(text.translate(None, b"0123456789"))) / n, 0.05, 0.004),
+        _vote(count(_SYMBOLS) / n, 0.02, 0.002),
+        _vote(count(_DIGITS) / n, 0.05, 0.004),
         _vote(1 - len(set(lines)) / len(lines), 0.25, 0.02 if len(lines) > 3 else 0),
-        -1 if (ends := text.count(b".") + text.count(b"!") + text.count(b"?")) * 60 < m else 1 if ends * 25 > m else 0,
-        _vote(common / m, 0.2, 0.12) if m >= 20 else 0,
-        _vote((n - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))) / n, 0.2, 0.06),
+        -1 if ends * 60 < m else 1 if ends * 25 > m else 0,
+        _vote(seen.most_common(1)[0][1] / m, 0.2, 0.12) if enough else 0,
+        _vote(upper / max(1, upper + lower), 0.3, 0.08),
         -1 if not 2.5 < (n - m + 1) / m < 12 else 0,
+        _vote(count(_MARKS) / n, 0.07, 0.045),
+        _vote((text.count(b"!!") + text.count(b"??")) / m, 0.1, 0.01),
+        _vote(sum(map(eq, words, words[1:])) / m, 0.2, 0.03) if enough else 0,
+        _vote(sum(not w.rstrip(b".,;:!?").isalpha() and w.isascii() for w in words) / m, 0.3, 0.05),
     )
 
 
-LABELLERS = ("length", "symbols", "digits", "repeated_lines", "sentence_ends", "one_word", "capitals", "word_length")
+LABELLERS = ("length", "symbols", "digits", "repeated_lines", "sentence_ends", "one_word", "capitals", "word_length", "marks", "shouting", "stuttering", "no_words")
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,6 +86,13 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return good, table, share
 
 
+def accuracies(table: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """How often each labeller is right where it votes, by the estimates."""
+    right = share[0] * table[:, 0, 0] + share[1] * table[:, 1, 2]
+    voted = np.einsum("c,lcv->l", share, table[:, :, [0, 2]])
+    return right / voted
+
+
 def buckets(text: bytes | None, bits: int = BITS) -> np.ndarray:
     """Hashed lower-case words of a text."""
     words = text.lower().split() if text else []
@@ -96,29 +115,44 @@ def fit(features: list[np.ndarray], soft: np.ndarray, bits: int = BITS, rounds:
     return w[:-1], float(w[-1])
 
 
+def _string(v: tuple[int, ...]) -> str:
+    return "".join("-0+"[x + 1] for x in v)
+
+
 def _voted(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            made = ["".join("-0+"[v + 1] for v in votes(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["doc_id", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array([_string(votes(t.as_py())) for t in batch.column(0)], pa.string())], ["votes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, with_fields(docs, ["doc_id"], votes="string"))
+    return docs.select("text").mapInArrow(run, "votes string")
 
 
-def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
-    """doc_id, votes, posterior (of the votes), score (of the words) and keep of every row.
+def cut_of(counts: dict[int, int], share: float) -> float:
+    """The least value that is kept, where ``counts`` has rows by bin of ``BINS``: the highest that leaves ``share`` of them or more."""
+    total, kept = sum(counts.values()), 0
+    for k in sorted(counts, reverse=True):
+        kept += counts[k]
+        if kept >= share * total - 1e-9:
+            return k / BINS
+    return 0.0
+
+
+def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, least: float | None = None) -> DataFrame:
+    """doc_id, votes, posterior (of the votes), score (of the words), keep and accuracies (of ``LABELLERS``) of every row.
 
     The scorer learns from ``sample`` documents or so, drawn by a hash of their ids; all statistics of votes are
-    those of all documents.  ``keep`` is whether the mean of posterior and score reaches ``least``.  A null or
-    empty text has no words: its score is the bias's.  Repeated rows are scored each; no rows give no rows.
+    those of all documents.  ``keep`` is whether the mean of posterior and score reaches ``least``; by default the
+    highest thousandth that keeps the estimated share of good documents, of all documents.  A null or empty text
+    has no words: its score is the bias's.  Repeated rows are scored each; no rows give no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).cast("string").cast("binary").alias("text"))
-    counted = sorted(stage(_voted(rows).groupBy("votes").agg(F.count("*").alias("n")), "patterns").collect())  # 3**8 rows at most
+    counted = sorted(_voted(rows).groupBy("votes").agg(F.count("*").alias("n")).collect())  # patterns of votes: 3**12 at most, whatever the rows
     names = [r.votes for r in counted]
     pattern = np.array([["-0+".index(v) - 1 for v in name] for name in names]).reshape(len(names), len(LABELLERS))
     n = np.array([r.n for r in counted], float)
-    good, _, _ = expectation_maximisation(pattern, n)
+    good, table, shares = expectation_maximisation(pattern, n)
+    right = accuracies(table, shares).tolist()
     posterior = dict(zip(names, good.tolist()))
     share = min(1.0, sample / max(1.0, n.sum()))
     drawn = rows.where((F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), F.lit(1 << 20)) + 0.5) / (1 << 20) < share)
@@ -127,7 +161,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
         for batch in slices(batches):
             texts = [t.as_py() for t in batch.column(1)]
             hot = [np.unique(buckets(t), return_counts=True) for t in texts]
-            labels = ["".join("-0+"[v + 1] for v in votes(t)) for t in texts]
+            labels = [_string(votes(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([u.astype(np.int32) for u, _ in hot], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in hot], pa.list_(pa.int32())), pa.array(labels, pa.string())], ["b", "c", "votes"])
 
     learned = [r for r in drawn.mapInArrow(features, "b array<int>, c array<int>, votes string").collect() if r.b]
@@ -141,11 +175,15 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
             labels, scores = [], []
             for t in batch.column(1):
                 body = t.as_py()
-                labels.append("".join("-0+"[v + 1] for v in votes(body)))
+                labels.append(_string(votes(body)))
                 at = buckets(body)
                 scores.append(1 / (1 + np.exp(-(w[at].mean() + b if len(at) else b))))
             post = [known.get(v, 0.5) for v in labels]
-            keep = [(p + s) / 2 >= least for p, s in zip(post, scores)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(post, pa.float64()), pa.array(scores, pa.float64()), pa.array(keep, pa.bool_())], ["doc_id", "votes", "posterior", "score", "keep"])
-
-    return rows.mapInArrow(run, with_fields(rows, ["doc_id"], votes="string", posterior="double", score="double", keep="boolean"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(post, pa.float64()), pa.array(scores, pa.float64())], ["doc_id", "votes", "posterior", "score"])
+
+    with Scratch(spark) as scratch:
+        scored = scratch.keep(rows.mapInArrow(run, with_fields(rows, ["doc_id"], votes="string", posterior="double", score="double")), "scores")
+    mean = (F.col("posterior") + F.col("score")) / 2
+    if least is None:
+        least = cut_of({r.bin: r.n for r in scored.groupBy(F.floor(mean * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()}, float(shares[1]))
+    return scored.select("*", (mean >= least).alias("keep"), F.array(*map(F.lit, right)).alias("accuracies"))
