@@ -23,6 +23,7 @@ import sys
 import types
 import uuid
 import zlib
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from itertools import chain, filterfalse
 
@@ -39,6 +40,8 @@ from plait.plans.staging import new_path, stage
 
 END_ID = 2
 FILE_TOKENS = 1 << 21
+#: Tokens that are read at a time, and bytes of a file that are.
+READ_TOKENS, BLOCK_BYTES = 1 << 17, 1 << 16
 MAGIC = b"PLAITDA1"
 BLOCK = 512
 MEMO_WORDS = 500_000
@@ -82,7 +85,6 @@ class Encoder:
         if suffix:
             self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
         # the same model for pieces that are cut and normalised already; printable ASCII stands for its own bytes
-        self.tokenizer.model._resize_cache(0)  # the memo holds what repeats
         self.bare, self.bare_ascii = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
         self.bare_ascii.pre_tokenizer = WhitespaceSplit()
         self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -197,38 +199,74 @@ def pack(doc_ids: list[int | None], starts: list[int], ids: np.ndarray) -> bytes
     return b"".join([head, names, _padded(np.array(starts, "<u8")), *levels])
 
 
+class Ranges:
+    """Bytes of an open file by place, read in blocks of ``BLOCK_BYTES``, the last few of which are held."""
+
+    def __init__(self, file, held: int = 16):
+        self.file, self.size, self.held, self.blocks = file, file.size(), held, OrderedDict()
+
+    def _block(self, k: int) -> bytes:
+        if k not in self.blocks:
+            self.blocks[k] = self.file.read_at(min(BLOCK_BYTES, self.size - k * BLOCK_BYTES), k * BLOCK_BYTES)
+            if len(self.blocks) > self.held:
+                self.blocks.popitem(last=False)
+        self.blocks.move_to_end(k)
+        return self.blocks[k]
+
+    def read(self, at: int, n: int) -> bytes:
+        first, last = at // BLOCK_BYTES, (at + max(n, 1) - 1) // BLOCK_BYTES
+        if first == last:
+            return self._block(first)[at - first * BLOCK_BYTES : at - first * BLOCK_BYTES + n]
+        if last - first >= self.held:
+            return self.file.read_at(n, at)
+        return b"".join(self._block(k) for k in range(first, last + 1))[at - first * BLOCK_BYTES : at - first * BLOCK_BYTES + n]
+
+
 class TokenFile:
-    """Random access to the tokens of a packed file."""
+    """Random access to the tokens of a packed file, given as bytes or as an open file that can be read at any place.
 
-    def __init__(self, raw: bytes):
-        if raw[:8] != MAGIC:
+    A token costs its chunk, a word of the bitmap and a rank at each level it goes through, whatever the file's
+    size; the documents' ids and first tokens are read when asked for.
+    """
+
+    def __init__(self, source):
+        self.ranges = Ranges(pa.BufferReader(source) if isinstance(source, bytes) else source)
+        if self.ranges.read(0, 8) != MAGIC:
             raise ValueError("not a token file")
-        self.raw, self.at = raw, 8
-        docs, self.n_tokens, n_levels = (int(x) for x in self._take("<u8", 3))
-        ids = self._take("<i8", docs)
-        null = self._take(np.uint8, docs)
-        self.doc_ids = [None if x else int(d) for d, x in zip(ids, null)]
-        self.starts = self._take("<u8", docs + 1).astype(np.int64)
-        self.levels = []
-        for _ in range(n_levels):
-            n = int(self._take("<u8", 1)[0])
-            chunks = self._take(np.uint8, n)
-            words = self._take(np.uint8, -(-n // 64) * 8)
-            self.levels.append((chunks, words, self._take("<u8", max(1, -(-n // BLOCK)))))
-
-    def _take(self, kind, n: int) -> np.ndarray:
-        out = np.frombuffer(self.raw, kind, n, self.at)
-        self.at += -(-out.nbytes // 8) * 8
-        return out
+        self.docs, self.n_tokens, n_levels = (int(x) for x in self._array("<u8", 8, 3))
+        self.after_ids = 32 + 8 * self.docs
+        self.after_nulls = self.after_ids + -(-self.docs // 8) * 8
+        at, self.levels = self.after_nulls + 8 * (self.docs + 1), []
+        for _ in range(n_levels):  # where a level's chunks, bitmap and directory are
+            n = int(self._array("<u8", at, 1)[0])
+            words = at + 8 + -(-n // 8) * 8
+            directory = words + -(-n // 64) * 8
+            entries = max(1, -(-n // BLOCK))
+            self.levels.append((at + 8, words, directory, entries))
+            at = directory + 8 * entries
+
+    def _array(self, kind, at: int, n: int) -> np.ndarray:
+        return np.frombuffer(self.ranges.read(at, n * np.dtype(kind).itemsize), kind, n)
+
+    @property
+    def doc_ids(self) -> list[int | None]:
+        """The documents' ids in order."""
+        null = self._array(np.uint8, self.after_ids, self.docs)
+        return [None if x else int(d) for d, x in zip(self._array("<i8", 32, self.docs), null)]
+
+    @property
+    def starts(self) -> np.ndarray:
+        """First token of each document, and the number of tokens."""
+        return self._array("<u8", self.after_nulls, self.docs + 1).astype(np.int64)
 
     def _rank(self, level: int, i: int) -> int:
         """Ones before position i of a level's bitmap."""
-        _, words, directory = self.levels[level]
-        block = min(i // BLOCK, len(directory) - 1)
-        first = block * (BLOCK // 8)
-        whole = i // 8
-        n = int(directory[block]) + int(np.bitwise_count(words[first:whole]).sum())
-        return n + (int(words[whole]) & ((1 << i % 8) - 1)).bit_count() if i % 8 else n
+        _, words, directory, entries = self.levels[level]
+        block = min(i // BLOCK, entries - 1)
+        first, whole = block * (BLOCK // 8), i // 8
+        bits = self._array(np.uint8, words + first, whole - first + (1 if i % 8 else 0))
+        n = int(self._array("<u8", directory + 8 * block, 1)[0]) + int(np.bitwise_count(bits[: whole - first]).sum())
+        return n + (int(bits[-1]) & ((1 << i % 8) - 1)).bit_count() if i % 8 else n
 
     def __getitem__(self, i: int) -> int:
         """Token i, by one rank for each level that it goes through."""
@@ -236,19 +274,21 @@ class TokenFile:
             raise IndexError(i)
         value, shift, level = 0, 0, 0
         while True:
-            chunks, words, _ = self.levels[level]
-            value |= int(chunks[i]) << shift
-            if not int(words[i // 8]) >> (i % 8) & 1:
+            chunks, words, *_ = self.levels[level]
+            value |= int(self._array(np.uint8, chunks + i, 1)[0]) << shift
+            if not int(self._array(np.uint8, words + i // 8, 1)[0]) >> (i % 8) & 1:
                 return value
             i, level, shift = self._rank(level, i), level + 1, shift + 8
 
     def slice(self, first: int, last: int) -> np.ndarray:
-        """Tokens first to last (exclusive)."""
+        """Tokens first to last (exclusive), by one rank a level."""
         value, where, shift = np.zeros(last - first, "<u4"), np.arange(last - first), 0
-        for level, (chunks, words, _) in enumerate(self.levels):
-            value[where] |= chunks[first:last].astype("<u4") << shift
+        for level, (chunks, words, *_) in enumerate(self.levels):
+            if last <= first:
+                break
+            value[where] |= self._array(np.uint8, chunks + first, last - first).astype("<u4") << shift
             low = first // 8
-            bits = np.unpackbits(words[low : -(-last // 8)], bitorder="little")[first - 8 * low : last - 8 * low].astype(bool)
+            bits = np.unpackbits(self._array(np.uint8, words + low, -(-last // 8) - low), bitorder="little")[first - 8 * low : last - 8 * low].astype(bool)
             if not bits.any():
                 break
             where = where[bits]
@@ -262,15 +302,16 @@ def _open(path: str, mode: str):
     if mode == "w":
         fs.create_dir(inner.rpartition("/")[0], recursive=True)
         return fs.open_output_stream(inner)
-    return fs.open_input_stream(inner)
+    return fs.open_input_file(inner)
 
 
 def write(docs: DataFrame, vocabulary: str, out_dir: str | None = None, doc_id: str = "doc_id", text: str = "text",
           end_id: int | None = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encode every row's whole text and write the files; the manifest (part, seq, path, n_docs, n_tokens, start) comes back.
 
-    ``vocabulary`` is the path of a tokenizers file.  A null text is an empty one; null ids come first;
-    rows of one id stand in order of their texts; no rows give no files.
+    ``vocabulary`` is the path of a tokenizers file.  Ids are whole numbers or null, as the files hold 64-bit
+    integers; a column of others is an error.  A null text is an empty one; null ids come first; rows of one
+    id stand in order of their texts; no rows give no files.
     """
     spark = docs.sparkSession
     out_dir = out_dir or new_path(spark, "tokens")
@@ -323,14 +364,20 @@ def write(docs: DataFrame, vocabulary: str, out_dir: str | None = None, doc_id:
 
 def read(manifest: DataFrame, value: Callable[[np.ndarray], object], name: str, kind: str) -> DataFrame:
     """A row for each document of the files: doc_id, start, n_tokens and ``value`` of its ids as column ``name``."""
+    names = ["doc_id", "start", "n_tokens", name]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 with _open(row["path"], "r") as f:
-                    file = TokenFile(f.read())
-                ids, cut = file.slice(0, file.n_tokens), file.starts
-                out = pa.array([value(ids[a:b]) for a, b in zip(cut[:-1], cut[1:])])
-                yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(cut[:-1] + row["start"], pa.int64()), pa.array(np.diff(cut), pa.int64()), out], ["doc_id", "start", "n_tokens", name])
+                    file = TokenFile(f)
+                    cut, doc_ids, d = file.starts, file.doc_ids, 0
+                    while d < file.docs:  # documents of some READ_TOKENS at a time, through the directory
+                        e = max(d + 1, int(np.searchsorted(cut, cut[d] + READ_TOKENS, "right")) - 1)
+                        at, ids = cut[d : e + 1], file.slice(int(cut[d]), int(cut[e]))
+                        out = pa.array([value(ids[a:b]) for a, b in zip((at - at[0])[:-1], (at - at[0])[1:])])
+                        yield pa.RecordBatch.from_arrays([pa.array(doc_ids[d:e], pa.int64()), pa.array(at[:-1] + row["start"], pa.int64()), pa.array(np.diff(at), pa.int64()), out], names)
+                        d = e
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = manifest.select("path", "start").repartition(n)  # a given number, or small rows would meet in one task

@@ -68,3 +68,21 @@ def test_against_tokenizer(spark, tokenizer):
 
 def test_no_rows(spark, docs):
     assert tokens.read(tokens.write(docs([]), tokens.vocabulary_path()), tokens.crc32_of, "x", "long").count() == 0
+
+
+def test_a_token_costs_a_few_blocks():
+    class Counting:
+        def __init__(self, raw):
+            self.raw, self.read = raw, 0
+
+        def size(self):
+            return len(self.raw)
+
+        def read_at(self, n, at):
+            self.read += n
+            return self.raw[at : at + n]
+
+    ids = np.random.default_rng(2).integers(0, 2**32, 1 << 20).astype(np.uint32)
+    source = Counting(tokens.pack([1], [0, len(ids)], ids))
+    f = tokens.TokenFile(source)
+    assert f[777_777] == ids[777_777] and source.read < 16 * tokens.BLOCK_BYTES < len(source.raw) / 4
