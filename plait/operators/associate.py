@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plait.functions.bases import BASES
 from plait.operators.profile import group_sizes
-from plait.plans.staging import stage
+from plait.plans.staging import Scratch
 
 CAP = 99.0
+#: Rows and columns of one product.
+ROWS, COLUMNS = 4096, 512
 
 
 def _log_factorial(n: Column) -> Column:
@@ -49,31 +57,78 @@ def hypergeometric_tail(k: Column, a: Column, b: Column, cov: Column) -> Column:
     return _let(chosen, lambda p: F.when(p <= 0, CAP).otherwise(F.least(F.lit(CAP), -F.log10(F.greatest(p, F.lit(1e-300))))))
 
 
+def pair_counts(cells: DataFrame, min_distance: int) -> DataFrame:
+    """``cells(row_id, col, base)`` → (col1, base1, col2, base2, k): rows that hold both, for columns ``min_distance`` apart or more.
+
+    Rows go through products of one-hot matrices, ``ROWS`` rows and two blocks of ``COLUMNS`` columns at a time, so
+    what is shuffled and held has to do with columns and bases, not with rows times columns squared.
+    """
+    slot = F.instr(F.lit(BASES), F.col("base")) - 1
+    rows = cells.groupBy("row_id").agg(F.collect_list(F.struct("col", slot.cast("int").alias("slot"))).alias("c")).select(F.col("c.col").cast("array<int>").alias("col"), F.col("c.slot").alias("slot"))
+    kind = cells.schema["col"].dataType.simpleString()
+
+    def multiplied(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = [b.column(i) for i in (0, 1) for b in held]
+        cols, slots = (np.concatenate([x.flatten().to_numpy() for x in part]) for part in (lists[: len(held)], lists[len(held) :]))
+        owner = np.repeat(np.arange(sum(b.num_rows for b in held)), np.concatenate([pa.compute.list_value_length(x).to_numpy() for x in lists[: len(held)]]))
+        known, at = np.unique(cols, return_inverse=True)
+        def hot(first: int) -> np.ndarray:
+            here = (at >= first) & (at < first + COLUMNS)
+            out = np.zeros((owner[-1] + 1, 5 * min(COLUMNS, len(known) - first)), np.float32)
+            out[owner[here], 5 * (at[here] - first) + slots[here]] = 1
+            return out
+        for i in range(0, len(known), COLUMNS):
+            left = hot(i)
+            for j in range(i, len(known), COLUMNS):
+                if known[min(j + COLUMNS, len(known)) - 1] < known[i] + min_distance:
+                    continue
+                k = left.T @ (left if i == j else hot(j))
+                a, b = np.nonzero(k)
+                far = known[j + b // 5] >= known[i + a // 5] + min_distance
+                a, b = a[far], b[far]
+                yield pa.RecordBatch.from_arrays([pa.array(known[i + a // 5]), pa.array((a % 5).astype(np.int32)), pa.array(known[j + b // 5]), pa.array((b % 5).astype(np.int32)), pa.array(k[a, b].astype(np.int64))], ["col1", "s1", "col2", "s2", "k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= ROWS:
+                yield from multiplied(held)
+                held, n = [], 0
+        if held:
+            yield from multiplied(held)
+
+    made = rows.mapInArrow(run, "col1 int, s1 int, col2 int, s2 int, k long")
+    base = lambda c: F.substring(F.lit(BASES), F.col(c) + 1, F.lit(1))
+    summed = made.groupBy("col1", "s1", "col2", "s2").agg(F.sum("k").alias("k"))
+    return summed.select(F.col("col1").cast(kind).alias("col1"), base("s1").alias("base1"), F.col("col2").cast(kind).alias("col2"), base("s2").alias("base2"), "k")
+
+
 def overlaps(msa: DataFrame, min_distance: int = 60, min_size: int = 100, min_shared: int = 100, sigmas: float = 7.0, majority: bool = False) -> DataFrame:
     """(col1, base1, col2, base2, k, gr1, gr2, cov) of group pairs that pass the cheap selection.
 
-    Pairs come from an equi-join on the row, summed at once; the selection by standard deviations runs on the
-    sums, so the tail is only worked out for what is left.
+    One pass counts the rows of all pairs of groups; what two columns share, and a group of one with the other,
+    are sums of these.  The selection by standard deviations runs on the sums, so the tail is only worked out for
+    what is left.  Blanks and other symbols than ``acgt-`` count nowhere; a row has one cell a column.
     """
-    cells = msa.where("base != ' '").select("row_id", "col", "base")
-    sizes = stage(group_sizes(cells).withColumn("bases", F.sum(F.when(F.col("base") != "-", F.col("n"))).over(Window.partitionBy("col"))), "groups")
-    largest = F.broadcast(sizes.agg(F.max("n").alias("maxcov")))  # one row
+    cells = msa.where(F.col("base").isin(*BASES)).select("row_id", "col", "base")
+    with Scratch(msa.sparkSession) as scratch:
+        sizes = scratch.keep(group_sizes(cells).withColumn("bases", F.sum(F.when(F.col("base") != "-", F.col("n"))).over(Window.partitionBy("col"))), "groups")
+        pairs = scratch.keep(pair_counts(cells, min_distance), "pairs")
+    largest = sizes.agg(F.max("n").alias("maxcov"))
     fit = sizes.where((F.col("n") > min_size) & (F.col("base") != "-"))
     if majority:
         fit = fit.where(F.col("bases") * 2 > F.col("cov"))
-    left = fit.join(largest).where(F.col("cov") * 3 > F.col("maxcov") * 2)
-    a = cells.join(F.broadcast(left.select("col", "base", "n")), ["col", "base"]).select("row_id", F.col("col").alias("col1"), F.col("base").alias("base1"), F.col("n").alias("n1"))
-    b = cells.join(F.broadcast(fit.select("col", "base", "n")), ["col", "base"]).select("row_id", F.col("col").alias("col2"), F.col("base").alias("base2"), F.col("n").alias("n2"))
-    k = a.join(b, "row_id").where(F.col("col2") >= F.col("col1") + min_distance).groupBy("col1", "base1", "n1", "col2", "base2", "n2").agg(F.count("*").alias("k"))
-    c1, c2 = a.select("row_id", "col1", "base1"), cells.select("row_id", F.col("col").alias("col2"))
-    gr1 = c1.join(c2, "row_id").where(F.col("col2") >= F.col("col1") + min_distance).groupBy("col1", "base1", "col2").agg(F.count("*").alias("gr1"))
-    d1 = cells.select("row_id", F.col("col").alias("col1"))
-    gr2 = d1.join(b.select("row_id", "col2", "base2"), "row_id").where(F.col("col2") >= F.col("col1") + min_distance).groupBy("col1", "col2", "base2").agg(F.count("*").alias("gr2"))
-    cov = d1.join(c2, "row_id").where(F.col("col2") >= F.col("col1") + min_distance).groupBy("col1", "col2").agg(F.count("*").alias("cov")).where(F.col("cov") > min_shared)
+    left = fit.crossJoin(F.broadcast(largest)).where(F.col("cov") * 3 > F.col("maxcov") * 2)  # one row
+    gr1 = pairs.groupBy("col1", "base1", "col2").agg(F.sum("k").alias("gr1"))
+    gr2 = pairs.groupBy("col1", "col2", "base2").agg(F.sum("k").alias("gr2"))
+    cov = pairs.groupBy("col1", "col2").agg(F.sum("k").alias("cov")).where(F.col("cov") > min_shared)
     frame = gr1.join(gr2, ["col1", "col2"]).join(cov, ["col1", "col2"])
-    sized = frame.join(F.broadcast(left.select(F.col("col").alias("col1"), F.col("base").alias("base1"), F.col("n").alias("n1"))), ["col1", "base1"]).join(
-        F.broadcast(fit.select(F.col("col").alias("col2"), F.col("base").alias("base2"), F.col("n").alias("n2"))), ["col2", "base2"])
-    out = sized.join(k.drop("n1", "n2"), ["col1", "base1", "col2", "base2"], "left").withColumn("k", F.coalesce("k", F.lit(0).cast("long")))
+    sized = frame.join(left.select(F.col("col").alias("col1"), F.col("base").alias("base1"), F.col("n").alias("n1")), ["col1", "base1"]).join(
+        fit.select(F.col("col").alias("col2"), F.col("base").alias("base2"), F.col("n").alias("n2")), ["col2", "base2"])
+    out = sized.join(pairs, ["col1", "base1", "col2", "base2"], "left").withColumn("k", F.coalesce("k", F.lit(0).cast("long")))
     mean = F.floor(F.col("n1") * F.col("n2") / F.col("cov"))
     return out.where((mean > 0) & (F.abs(F.col("k") - mean) > sigmas * F.sqrt(mean))).select("col1", "base1", "col2", "base2", "k", "gr1", "gr2", "cov")
 

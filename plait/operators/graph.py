@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+from collections.abc import Callable, Iterable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 from plait.functions.bases import masked_hamming
 from plait.operators.reads import adjacency
 
-#: The greedy loop keeps dense matrices of clusters on the driver; more clusters than this are refused.
+#: ``layering`` answers with a list of so many at most; ``layers_of`` takes any number.
 MOST_CLUSTERS = 5000
 
 
@@ -18,7 +22,7 @@ def edges(items: DataFrame) -> DataFrame:
     return adjacency(items, 1).withColumn("hop", F.lit(1)).unionByName(adjacency(items, 2).withColumn("hop", F.lit(2))).select("c1", "c2", "hop", "weight")
 
 
-def layer_scores(edge: DataFrame, layers: DataFrame, layer: int, double: float = 2.0, penalty: float = 1.0, centroids: DataFrame | None = None, fraction: float = 10.0, cap: int | None = None) -> DataFrame:
+def layer_scores(edge: DataFrame, layers: DataFrame, layer: int, double: float = 2.0, penalty: float = 1.0, centroids: DataFrame | None = None, fraction: float = 1.0, cap: int | None = None) -> DataFrame:
     """(cluster_id, score): the score of placing each unplaced cluster into ``layer``; -1 without a fitting edge.
 
     ``layers(cluster_id, layer)``, -1 unplaced.  An edge to where it should lead counts its weight (twice for
@@ -41,47 +45,77 @@ def layer_scores(edge: DataFrame, layers: DataFrame, layer: int, double: float =
     return out.select("cluster_id", F.when(F.col("good") < 1, -1.0).otherwise(F.col("good") - penalty * F.col("bad") - F.col("apart")).alias("score"))
 
 
-def layering(edge: DataFrame, start: int, n_clusters: int, double: float = 2.0, penalty: float = 1.0, differences: np.ndarray | None = None, fraction: float = 10.0,
-             sizes: np.ndarray | None = None, most_size: float | None = None, most_layer: float | None = None) -> list[int]:
-    """Layer of each cluster, -1 unplaced: from ``start`` in layer 0, the best placement at a time until none scores.
+def layers_of(edge: DataFrame, starts: Iterable[int], start_layer: int = 0, double: float = 2.0, penalty: float = 1.0, difference: Callable[[int, int], float] | None = None, fraction: float = 1.0,
+              sizes: dict[int, float] | None = None, most_size: float | None = None, most_layer: float | None = None) -> dict[int, int]:
+    """Layer of each cluster that can be placed: from ``starts`` in ``start_layer``, the best placement at a time until none scores 0 or more.
 
-    Of equal scores the first cluster and then the lowest layer wins.  ``most_size`` and ``most_layer`` leave out
-    large clusters and full layers.
+    No layer is below 0, and a cluster goes only where its layer or one beside it holds clusters.  Of equal scores
+    the first cluster and then the lowest layer wins.  ``most_size`` and ``most_layer`` leave out large clusters and
+    full layers.  The driver holds the edges, and after each placement only scores that it changes are worked out.
     """
-    if n_clusters > MOST_CLUSTERS:
-        raise ValueError(f"{n_clusters} clusters; the dense loop takes {MOST_CLUSTERS}")
-    one, two = np.zeros((n_clusters, n_clusters)), np.zeros((n_clusters, n_clusters))
-    for r in edge.where((F.col("c1") < n_clusters) & (F.col("c2") < n_clusters)).toLocalIterator():
-        (one if r.hop == 1 else two)[r.c1, r.c2] = r.weight
-    # layers may run either way from the start
-    layer = np.full(n_clusters, 1 << 30)
-    layer[start] = 0
-    free = lambda c: layer[c] == 1 << 30
-    while True:
-        used = np.flatnonzero(layer < 1 << 30)
-        best = (0.0, None, None)
-        options = range(layer[used].min() - 2, layer[used].max() + 3)
-        full = {x for x in options if most_layer is not None and sizes is not None and sizes[used[layer[used] == x]].sum() >= most_layer}
-        for c in np.flatnonzero(layer == 1 << 30):
-            if most_size is not None and sizes is not None and sizes[c] >= most_size:
+    links: dict[int, list[tuple[int, int, float]]] = defaultdict(list)  # cluster: (other, layers from the other to it, weight)
+    for r in edge.toLocalIterator():
+        if r.c1 != r.c2:
+            weight = r.weight * (double if r.hop == 2 else 1.0)
+            links[r.c1].append((r.c2, -r.hop, weight))
+            links[r.c2].append((r.c1, r.hop, weight))
+    layer: dict[int, int] = {}
+    held: dict[int, list[int]] = defaultdict(list)
+    good: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))  # cluster: layer: weight that wants it there
+    total: dict[int, float] = defaultdict(float)
+    wanting: dict[int, set[int]] = defaultdict(set)
+    version: dict[int, int] = defaultdict(int)
+    heap: list[tuple[float, int, int, int]] = []
+
+    def offer(c: int) -> None:
+        """The best place of ``c`` as it now is."""
+        version[c] += 1
+        if most_size is not None and sizes is not None and sizes.get(c, 0) >= most_size:
+            return
+        best = None
+        for x, g in good[c].items():
+            if x < 0 or g < 1 or not (held.get(x) or held.get(x - 1) or held.get(x + 1)):
                 continue
-            links = np.concatenate([one[c, used], one[used, c], double * two[c, used], double * two[used, c]])
-            if not links.any():
+            if most_layer is not None and sizes is not None and sum(sizes.get(k, 0) for k in held.get(x, ())) >= most_layer:
                 continue
-            wants = np.concatenate([layer[used] - 1, layer[used] + 1, layer[used] - 2, layer[used] + 2])
-            for x in options:
-                if x in full:
-                    continue
-                good = links[wants == x].sum()
-                if good < 1:
-                    continue
-                score = good - penalty * (links.sum() - good)
-                if differences is not None:
-                    score -= differences[c, used[layer[used] == x]].sum() / fraction
-                if best[1] is None and score >= 0 or score > best[0]:
-                    best = (score, c, x)
-        if best[1] is None:
-            break
-        layer[best[1]] = best[2]
-    low = layer[layer < 1 << 30].min()
-    return [-1 if free(c) else int(layer[c] - low) for c in range(n_clusters)]
+            score = g - penalty * (total[c] - g) - (sum(difference(c, k) for k in held.get(x, ())) / fraction if difference else 0.0)
+            best = min(best, (-score, x)) if best else (-score, x)
+        if best and best[0] <= 0:
+            heapq.heappush(heap, (best[0], c, best[1], version[c]))
+
+    def put(c: int, x: int) -> set[int]:
+        layer[c] = x
+        held[x].append(c)
+        changed = {k for y in (x - 1, x, x + 1) for k in wanting[y]}
+        for other, step, weight in links[c]:  # where the others stand as seen from them
+            if other not in layer:
+                good[other][x - step] += weight
+                total[other] += weight
+                wanting[x - step].add(other)
+                changed.add(other)
+        return {k for k in changed if k not in layer}
+
+    changed = set()
+    for c in starts:
+        changed |= put(c, start_layer)
+    for c in changed - layer.keys():
+        offer(c)
+    while heap:
+        _, c, x, made = heapq.heappop(heap)
+        if c in layer or made != version[c]:
+            continue
+        for k in put(c, x):
+            offer(k)
+    return layer
+
+
+def layering(edge: DataFrame, start: int | list[int], n_clusters: int, double: float = 2.0, penalty: float = 1.0, differences: np.ndarray | None = None, fraction: float = 1.0,
+             sizes: np.ndarray | None = None, most_size: float | None = None, most_layer: float | None = None, start_layer: int = 0) -> list[int]:
+    """``layers_of`` as a list for clusters 0 to ``n_clusters`` - 1, -1 unplaced; an edge to any other is an error."""
+    if n_clusters > MOST_CLUSTERS:
+        raise ValueError(f"{n_clusters} clusters; lists have {MOST_CLUSTERS}, layers_of takes any number")
+    if not edge.where((F.col("c1") >= n_clusters) | (F.col("c2") >= n_clusters) | (F.col("c1") < 0) | (F.col("c2") < 0)).isEmpty():
+        raise ValueError(f"edges beyond {n_clusters} clusters")
+    found = layers_of(edge, [start] if isinstance(start, int) else start, start_layer, double, penalty, None if differences is None else lambda a, b: float(differences[a, b]), fraction,
+                      None if sizes is None else dict(enumerate(np.asarray(sizes).tolist())), most_size, most_layer)
+    return [found.get(c, -1) for c in range(n_clusters)]

@@ -1,4 +1,4 @@
-"""InDel detection: windows of columns, a small clustering of each, and rows nearer to a consensus with more gaps."""
+"""InDel detection: windows of columns, a small clustering of each, and rows nearer to a consensus that is not the normal one."""
 
 from __future__ import annotations
 
@@ -9,21 +9,21 @@ from plait.operators.cluster import compare_two, window_clusters
 from plait.plans.staging import stage
 
 
-def detect(rows: DataFrame, first: int, last: int, width: int = 200, step: int = 100, least_gaps: int = 10, least: int = 6, top: int = 10) -> DataFrame:
-    """``rows(sig_id, sig)`` → (window, sig_id): rows that carry a deletion of ``least_gaps`` columns or more.
+def detect(rows: DataFrame, first: int, last: int, width: int = 200, step: int = 100, least_gaps: int = 0, least: int = 6, top: int = 10) -> DataFrame:
+    """``rows(sig_id, sig)`` → (window, sig_id): rows nearer to a variant of their window than to its normal consensus.
 
-    The commonest consensus of a window is the normal one; one with ``least_gaps`` more gaps is a variant.
-    A window in which nothing varies gives no rows.
+    The commonest consensus of a window is the normal one.  Every other without blanks that differs from it in more
+    than ``width``/200 columns is a variant, with more gaps or with fewer; ``least_gaps`` asks for a difference in
+    gaps besides.  A window in which nothing varies gives no rows.
     """
     found = rows.select(F.lit(0).alias("window"), "sig_id").limit(0)
     for start in range(first, max(first + 1, last - width + 1), step):
         part = stage(rows.select("sig_id", F.substring("sig", start + 1, width).alias("sig")).where(F.trim("sig") != ""), "window")
         members, centroids = window_clusters(part, width, top, least)
         sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size")).join(centroids, "cluster_id").orderBy(F.desc("size"), "cluster_id").limit(top).collect()
-        if len(sizes) < 2:
-            continue
-        gaps = lambda s: s.count("-")
-        for r in sizes[1:]:
-            if r["size"] >= least and gaps(r.sig) >= gaps(sizes[0].sig) + least_gaps:
-                found = found.unionByName(compare_two(part, r.sig, sizes[0].sig).select(F.lit(start).alias("window"), "sig_id"))
+        whole = [r for r in sizes if " " not in r.sig and r["size"] >= least]
+        for r in whole[1:]:
+            differ = sum(a != b for a, b in zip(r.sig, whole[0].sig))
+            if differ > width / 200 and abs(r.sig.count("-") - whole[0].sig.count("-")) >= least_gaps:
+                found = found.unionByName(compare_two(part, r.sig, whole[0].sig).select(F.lit(start).alias("window"), "sig_id"))
     return found.distinct()

@@ -25,6 +25,39 @@ def gap_histogram(items: DataFrame, pos: str, order: list[str], base: float = 1.
     return items.select(gap.alias("gap")).where("gap is not null").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def order_matrix(hits: DataFrame, length: int, wiggle: int = 150) -> DataFrame:
+    """``hits(read_id, pos, part)`` → (part, next, n): how often a hit is followed by one about ``length`` further on.
+
+    Neighbours in order of (pos, part) count where they are less than ``wiggle`` from that distance.
+    """
+    return _followed(hits).where(F.abs(F.col("pos") + length - F.col("next_pos")) < wiggle).groupBy("part", "next").agg(F.count("*").alias("n"))
+
+
+def distance_histogram(hits: DataFrame, length: int, base: float = 1.5) -> DataFrame:
+    """``hits(read_id, pos, part)`` → (part, next, bucket, n): logarithms, cut off, of 1 + how far neighbours are from ``length`` apart."""
+    off = F.abs(F.col("pos") + length - F.col("next_pos"))
+    bucket = F.floor(F.ln(1.0 + off) / F.ln(F.lit(base)) + 1e-9).cast("long")
+    return _followed(hits).groupBy("part", "next", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def _followed(hits: DataFrame) -> DataFrame:
+    w = Window.partitionBy("read_id").orderBy("pos", "part")
+    return hits.select("part", "pos", F.lead("part").over(w).alias("next"), F.lead("pos").over(w).alias("next_pos")).where("next is not null")
+
+
+def cut_candidates(hits: DataFrame, lengths: DataFrame, parts: int, length: int) -> DataFrame:
+    """``hits(read_id, pos, part)``, ``lengths(read_id, size)`` → (read_id, pos), distinct: where the template may end in a read.
+
+    The last part ends there, the first a part's length after it, the last but one before it and the second two
+    lengths after it; the place must be more than ``length`` from either end of the read.  One part gives its own ends.
+    """
+    moves = ((parts - 1, 0), (0, -length), (parts - 2, length), (1, -2 * length)) if parts > 1 else ((0, 0),)
+    each = F.filter(F.array(*[F.when(F.col("part") == p, F.lit(d)) for p, d in moves]), lambda x: x.isNotNull())
+    moved = hits.select("read_id", "pos", F.explode(each).alias("move")).select("read_id", (F.col("pos") + F.col("move")).alias("pos"))
+    inside = moved.join(lengths, "read_id").where((F.col("pos") > length) & (F.col("size") - F.col("pos") > length))
+    return inside.select("read_id", "pos").distinct()
+
+
 def global_number(items: DataFrame, order: list[str], name: str = "number", only: Column | None = None) -> DataFrame:
     """``items`` numbered from 0 over all of them in ``order`` (unique); with ``only``, those that meet it, others null.
 
@@ -122,8 +155,8 @@ def first_cut_at_or_after(points: DataFrame, cuts: DataFrame, by: list[str]) ->
     Cuts and points share one sorted window, so a key's rows are read once and never multiplied.
     """
     names = [c for c in points.columns if c not in by and c != "pos"]
-    rows = points.select(*by, "pos", F.struct(*names).alias("rest"), F.lit(None).cast("double").alias("c"), F.lit(1).alias("kind"))
-    marks = cuts.select(*by, F.col("cut").alias("pos"), F.lit(None).cast(rows.schema["rest"].dataType).alias("rest"), F.col("cut").cast("double").alias("c"), F.lit(0).alias("kind"))
+    rows = points.select(*by, "pos", F.struct(*names).alias("rest"), F.lit(None).cast(cuts.schema["cut"].dataType).alias("c"), F.lit(1).alias("kind"))
+    marks = cuts.select(*by, F.col("cut").alias("pos"), F.lit(None).cast(rows.schema["rest"].dataType).alias("rest"), F.col("cut").alias("c"), F.lit(0).alias("kind"))
     w = Window.partitionBy(*by).orderBy(F.desc("pos"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = rows.unionByName(marks).withColumn("cut", F.last("c", ignorenulls=True).over(w))
     return both.where("kind = 1").select(*by, "pos", "cut", "rest.*")

@@ -10,10 +10,72 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.operators import align, associate, consensus, evaluate, learn, profile
+from plait.functions.bases import cut_at, template_parts
+from plait.operators import align, associate, cluster, consensus, evaluate, graph, learn, profile, reads
 from plait.plans.staging import stage
 
 
+def segments_of_reads(reads_df: DataFrame, template: str, parts: int = 20, cutoff: float = 0.30, overlap: int = 0) -> DataFrame:
+    """``reads_df(read_id, seq)`` → (seg_id, read_id, pos, seq): reads cut where copies of the template end.
+
+    The template's parts are found in each read; candidates come from its two last and two first parts, and each
+    next cut is about a template's length after the one before.  Reads without a cut are one segment; null reads go.
+    """
+    spark, length = reads_df.sparkSession, len(template) // parts
+    whole = spark.createDataFrame([(template,)], "seq string")
+    pieces = whole.select(F.inline(template_parts(F.col("seq"), parts, overlap))).select("part", F.col("seq").alias("pattern"))
+    known = stage(reads_df.where("seq is not null").select("read_id", "seq"), "reads")
+    # ``parts`` rows of one template on the small side
+    pairs = known.select("read_id", F.col("seq").alias("text")).crossJoin(F.broadcast(pieces))
+    hits = stage(align.occurrences(pairs, cutoff), "hits")
+    candidates = reads.cut_candidates(hits, known.select("read_id", F.length("seq").alias("size")), parts, length)
+    chain = reads.cut_chain(candidates, len(template))
+    cuts = chain.groupBy("read_id").agg(F.array_sort(F.collect_list(F.col("cut").cast("int"))).alias("cuts"))
+    cut = known.join(cuts, "read_id", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<int>")))
+    pieces = cut.select("read_id", F.inline(cut_at(F.col("seq"), F.col("cuts"))))
+    return reads.global_number(pieces, ["read_id", "pos"], "seg_id").select("seg_id", "read_id", "pos", "seq")
+
+
+@dataclass
+class Layout:
+    """What the second half leaves: clusters of signatures, their graph and layers."""
+
+    members: DataFrame
+    centroids: DataFrame
+    edges: DataFrame
+    layers: DataFrame
+
+
+def lay_out(spark: SparkSession, segments: DataFrame, classes: DataFrame, signatures: DataFrame, width: int, patterns: dict[str, str] | None = None, percent: int = 10, least: int = 10) -> Layout:
+    """``segments(seg_id, read_id, pos)``, ``classes(seg_id, klass)``, ``signatures(sig_id, sig)`` → clusters and their layers.
+
+    Signatures, extended over their whole reads, are clustered in two rounds around those covered at both edges and
+    one of each class but ``r``; clusters that follow one another in reads are layered from the one that stands first.
+    """
+    items = segments.join(classes.select("seg_id", "klass"), "seg_id").join(signatures.withColumnRenamed("sig_id", "seg_id"), "seg_id", "left")
+    items = stage(items.select("read_id", F.col("pos").alias("y"), "klass", F.col("seg_id").alias("sig_id"), "sig"), "items")
+    flank = width * 3
+    full = width + 2 * flank
+    wide = reads.flanks(items, ["y"], flank, width, patterns).join(items.select("read_id", "y", "sig_id"), ["read_id", "y"])
+    wide = stage(wide.select("sig_id", "klass", F.col("ext").alias("sig")), "extended")
+    a = cluster.coverage_extent(wide, full, percent).first()[0] or 1
+    seeds = stage(cluster.seed_centroids(wide, a), "seeds")
+    members, centroids = cluster.two_rounds(wide.select("sig_id", "sig"), seeds, full)
+    members = stage(members, "members")
+    nodes = members.select("sig_id", "cluster_id").join(items.select("sig_id", "read_id", "y"), "sig_id").select(F.col("read_id").alias("x"), "y", "cluster_id")
+    edges = stage(graph.edges(nodes), "graph")
+    start = evaluate.start_cluster(nodes.select("cluster_id", "y"), least).first()
+    placed = graph.layers_of(edges, [start.cluster_id] if start else [])
+    layers = spark.createDataFrame(list(placed.items()), "cluster_id long, layer long")
+    return Layout(members, stage(centroids, "centroids"), edges, layers)
+
+
+def layer_report(layout: Layout, truth: DataFrame) -> DataFrame:
+    """``truth(seg_id, copy_id)`` → one row: percent of the placed segments that are in their layer's commonest copy."""
+    placed = layout.members.join(layout.layers, "cluster_id").select("layer", F.col("sig_id").alias("seg_id"))
+    return evaluate.placed_percent(evaluate.purity(placed, truth))
+
+
 @dataclass
 class Assembly:
     """What the stages leave."""

@@ -211,6 +211,31 @@ def successions(spark, sf):
     return reads.successions(items(spark, sf), ["y"])
 
 
+_HITS = "h AS (SELECT user_id, event_id AS pos, event_id % 20 AS part, lead(event_id % 20) OVER w AS next, lead(event_id) OVER w AS next_pos FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"
+
+
+def _hits(spark, sf):
+    return table(spark, sf, "events").select(F.col("user_id").alias("read_id"), F.col("event_id").alias("pos"), (F.col("event_id") % 20).alias("part"))
+
+
+@query("order_matrix", f"WITH {_HITS} SELECT part, next, count(*) AS n FROM h WHERE next IS NOT NULL AND abs(pos + 100 - next_pos) < 60 GROUP BY ALL")
+def order_matrix(spark, sf):
+    return reads.order_matrix(_hits(spark, sf), 100, 60)
+
+
+@query("distance_histogram", f"WITH {_HITS} SELECT part, next, floor(ln(1.0::DOUBLE + abs(pos + 100 - next_pos)) / ln(1.5::DOUBLE) + 1e-9)::BIGINT AS bucket, count(*) AS n FROM h WHERE next IS NOT NULL GROUP BY ALL")
+def distance_histogram(spark, sf):
+    return reads.distance_histogram(_hits(spark, sf), 100)
+
+
+@query("cut_candidates", """WITH m AS (SELECT user_id AS read_id, event_id + CASE event_id % 20 WHEN 19 THEN 0 WHEN 0 THEN -100 WHEN 18 THEN 100 ELSE -200 END AS pos, size
+  FROM events JOIN (SELECT user_id, max(event_id) AS size FROM events GROUP BY 1) USING (user_id) WHERE event_id % 20 IN (0, 1, 18, 19))
+SELECT DISTINCT read_id, pos FROM m WHERE pos > 100 AND size - pos > 100""")
+def cut_candidates(spark, sf):
+    hits = _hits(spark, sf)
+    return reads.cut_candidates(hits, hits.groupBy("read_id").agg(F.max("pos").alias("size")), 20, 100)
+
+
 @query("role_succession", "SELECT klass, next, count(*) AS n FROM (SELECT role AS klass, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) WHERE next IS NOT NULL GROUP BY ALL")
 def role_succession(spark, sf):
     return reads.successions(table(spark, sf, "conversations").select(F.col("conv_id").alias("read_id"), "turn", F.col("role").alias("klass")), ["turn"])
@@ -312,7 +337,7 @@ def anti_reads(spark, sf):
 
 
 @query("placement_asof", """WITH c AS (SELECT o_custkey, o_orderkey AS cut FROM orders WHERE o_orderstatus = 'F')
-SELECT o.o_custkey, o.o_orderkey AS pos, c.cut::DOUBLE AS cut, o.o_orderpriority FROM orders o ASOF LEFT JOIN c ON o.o_custkey = c.o_custkey AND c.cut >= o.o_orderkey""")
+SELECT o.o_custkey, o.o_orderkey AS pos, c.cut, o.o_orderpriority FROM orders o ASOF LEFT JOIN c ON o.o_custkey = c.o_custkey AND c.cut >= o.o_orderkey""")
 def placement_asof(spark, sf):
     orders = table(spark, sf, "orders")
     return reads.first_cut_at_or_after(orders.select("o_custkey", F.col("o_orderkey").alias("pos"), "o_orderpriority"), orders.where("o_orderstatus = 'F'").select("o_custkey", F.col("o_orderkey").alias("cut")), ["o_custkey"])
@@ -419,13 +444,13 @@ def blank_filter(spark, sf):
     return sigs(spark, sf).select("sig_id", B.blanks(F.col("sig")).alias("blanks")).where("blanks < 6")
 
 
-@query("both_edges_covered", f"WITH {_CELLS} SELECT row_id AS sig_id FROM sigs WHERE sig[3] <> ' ' AND sig[-3] <> ' '")
+@query("both_edges_covered", f"WITH {_CELLS} SELECT row_id AS sig_id FROM sigs WHERE sig[3] <> ' ' AND sig[-2] <> ' '")
 def both_edges(spark, sf):
     return cluster.both_edges_covered(sigs(spark, sf), 2).select("sig_id")
 
 
 @query("edge_coverage_extent", f"""WITH {_CELLS}, t AS (SELECT count(*) AS rows FROM sigs)
-SELECT min(a)::INTEGER AS extent FROM (SELECT a, any_value(rows) AS rows, count(*) AS n FROM sigs, t, range(0, 32) AS r(a) WHERE substr(sig, a + 1, 1) <> ' ' AND substr(sig, 64 - a, 1) <> ' ' GROUP BY a) WHERE n * 100 > rows * 10""")
+SELECT min(a)::INTEGER AS extent FROM (SELECT a, any_value(rows) AS rows, count(*) AS n FROM sigs, t, range(1, 64) AS r(a) WHERE sig[a + 1] <> ' ' AND sig[-a] <> ' ' GROUP BY a) WHERE n * 100 // rows > 10""")
 def coverage_extent(spark, sf):
     return cluster.coverage_extent(sigs(spark, sf), WIDTH)
 
@@ -461,14 +486,17 @@ def two_rounds(spark, sf):
     return cluster.two_rounds(sigs(spark, sf), seeds, WIDTH)[0]
 
 
-_LINKS = """links AS (SELECT DISTINCT o_custkey AS i, month(o_orderdate)::BIGINT * 100000 + year(o_orderdate) AS j FROM orders)"""
+@query("shared_neighbour_components")
+def shared_neighbours(spark, sf):
+    return cluster.shared_neighbour_components(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j")), 2)
 
 
-@query("shared_neighbour_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 40 AS i, l_partkey % 997 AS j FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1), p AS (SELECT a.i, b.i AS l FROM e a JOIN e b USING (j) WHERE a.i <> b.i GROUP BY ALL HAVING count(*) >= 2),
-r AS (SELECT DISTINCT i, i AS root FROM e UNION SELECT p.l, r.root FROM r JOIN p USING (i)) SELECT i, min(root) AS cluster_id FROM r GROUP BY i""")
-def shared_neighbours(spark, sf):
-    links = table(spark, sf, "lineitem").where("l_quantity = 50 and l_discount = 0.1").select((F.col("l_suppkey") % 40).alias("i"), (F.col("l_partkey") % 997).alias("j")).distinct()
-    return cluster.shared_neighbour_components(links, 2)
+@query("seed_centroids", f"""WITH {_CELLS}, k AS (SELECT row_id, sig, CASE WHEN grp < 5 THEN 'r' ELSE grp::VARCHAR END AS klass FROM sigs),
+e AS (SELECT 0 AS kind, row_id, repeat(' ', 3) || sig[4:61] || repeat(' ', 3) AS sig FROM k WHERE sig[4] <> ' ' AND sig[-3] <> ' ' UNION ALL SELECT 1, min(row_id), arg_min(sig, row_id) FROM k WHERE klass <> 'r' GROUP BY klass)
+SELECT row_number() OVER (ORDER BY kind, row_id) - 1 AS cluster_id, sig FROM e""")
+def seed_centroids(spark, sf):
+    klass = F.when(F.col("grp") < 5, "r").otherwise(F.col("grp").cast("string"))
+    return cluster.seed_centroids(sigs(spark, sf).select("sig_id", klass.alias("klass"), "sig"), 3)
 
 
 @query("clusters_of_several", "SELECT c_nationkey::BIGINT AS cluster_id, array_to_string(list(c_custkey ORDER BY c_custkey), ' ') AS members, count(*) AS size FROM customer GROUP BY c_nationkey HAVING count(*) > 1")
@@ -491,9 +519,8 @@ def semi_global(spark, sf):
 
 @query("occurrence_positions")
 def occurrences(spark, sf):
-    parts = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("part"), F.col("n_name").alias("pattern"))
-    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("read_id"), F.col("c_name").alias("text"))
-    return align.occurrences(names.crossJoin(F.broadcast(parts)), 0.99)  # nations are a fixed table
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("read_id"), F.col("p_brand").alias("part"), F.element_at(F.split("p_type", " "), -1).alias("pattern"), F.col("p_name").alias("text"))
+    return align.occurrences(rows.select("read_id", F.crc32("part").alias("part"), F.lower("pattern").alias("pattern"), "text"), 0.6)
 
 
 @query("overlap_distance_pairs")
@@ -600,9 +627,9 @@ def collapsed(spark, sf):
 old AS (SELECT grp, col, base FROM tops WHERE cov > 10 AND top > 2 * second), new AS (SELECT grp, col, base FROM r2 WHERE r = 1 AND cov > 10 AND n > 2 * second),
 want AS (SELECT o.grp, o.col, o.base, coalesce(p.n, 0) < most AS minor FROM old o LEFT JOIN profile p ON o.col = p.col AND o.base = p.base JOIN big b ON b.col = o.col),
 hit AS (SELECT f.col, f.base AS got, w.base, minor FROM fixed f JOIN want w ON f.grp = w.grp AND f.col = w.col),
-a AS (SELECT count(*) AS n, count_if(got = base)::BIGINT AS n_right, count_if(minor)::BIGINT AS minor, count_if(minor AND got = base)::BIGINT AS minor_right FROM hit),
+a AS (SELECT count(*) AS n, coalesce(count_if(got = base), 0)::BIGINT AS n_right, coalesce(count_if(minor), 0)::BIGINT AS minor, coalesce(count_if(minor AND got = base), 0)::BIGINT AS minor_right FROM hit),
 h AS (SELECT count(*) AS minor_found FROM fixed SEMI JOIN (SELECT DISTINCT col, base FROM hit WHERE minor) x ON fixed.col = x.col AND fixed.base = x.base),
-l AS (SELECT count_if(o.base <> n.base)::BIGINT AS collapsed FROM old o JOIN new n ON o.grp = n.grp AND o.col = n.col),
+l AS (SELECT coalesce(count_if(o.base <> n.base), 0)::BIGINT AS collapsed FROM old o JOIN new n ON o.grp = n.grp AND o.col = n.col),
 r AS (SELECT *, CASE WHEN minor > 0 THEN minor_right / minor END AS rc, CASE WHEN minor_found > 0 THEN minor_right / minor_found END AS pr FROM a, h, l)
 SELECT n, n_right, minor, minor_right, minor_found, collapsed, round(CASE WHEN n > 0 THEN n_right / n END, 6) AS accuracy, round(rc, 6) AS minor_recall, round(CASE WHEN n > minor THEN (n_right - minor_right) / (n - minor) END, 6) AS major_recall,
  round(pr, 6) AS minor_precision, round(CASE WHEN rc + pr > 0 THEN 2 * rc * pr / (rc + pr) END, 6) AS minor_f1 FROM r""")
@@ -610,12 +637,26 @@ def correction_stats(spark, sf):
     return evaluate.correction_stats(solid(spark, sf), _fixed(spark, sf), 0, 1 << 40)
 
 
-@query("layer_purity", """WITH c AS (SELECT l_linenumber::BIGINT AS layer, l_suppkey AS copy_id, count(*) AS n FROM lineitem GROUP BY ALL)
+_BAND = "band AS (SELECT label AS grp FROM embeddings GROUP BY label HAVING count(*) > 15 AND count(*) < 50)"
+_BANDED = SQL["correction_stats_f1"].replace("old AS (SELECT grp, col, base FROM tops WHERE", f"{_BAND}, old AS (SELECT grp, col, base FROM tops WHERE grp IN (FROM band) AND").replace(
+    "new AS (SELECT grp, col, base FROM r2 WHERE", "new AS (SELECT grp, col, base FROM r2 WHERE grp IN (FROM band) AND").replace("SEMI JOIN (SELECT DISTINCT", "SEMI JOIN band USING (grp) SEMI JOIN (SELECT DISTINCT")
+
+
+@query("correction_stats_band", _BANDED)
+def correction_stats_band(spark, sf):
+    return evaluate.correction_stats(solid(spark, sf), _fixed(spark, sf))
+
+
+@query("correction_stats_internal", SQL["correction_stats_f1"].replace("minor FROM old o LEFT JOIN", "minor FROM new o LEFT JOIN"))
+def correction_stats_internal(spark, sf):
+    return evaluate.correction_stats(solid(spark, sf), _fixed(spark, sf), 0, 1 << 40, internal=True)
+
+
+@query("layer_purity", """WITH c AS (SELECT month(o_orderdate)::BIGINT AS layer, o_custkey AS copy_id, count(*) AS n FROM orders GROUP BY ALL)
 SELECT layer, arg_max(copy_id, (n, -copy_id)) AS copy_id, max(n) AS "right", sum(n)::BIGINT AS n FROM c GROUP BY layer""")
 def purity(spark, sf):
-    rows = table(spark, sf, "lineitem").withColumn("seg_id", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    n = rows.groupBy(F.col("l_linenumber").cast("long").alias("layer"), F.col("l_suppkey").alias("copy_id")).agg(F.count("*").alias("n"))
-    return n.groupBy("layer").agg(F.max_by("copy_id", F.struct("n", -F.col("copy_id"))).alias("copy_id"), F.max("n").alias("right"), F.sum("n").alias("n"))
+    orders = table(spark, sf, "orders")
+    return evaluate.purity(orders.select(F.month("o_orderdate").cast("long").alias("layer"), F.col("o_orderkey").alias("seg_id")), orders.select(F.col("o_orderkey").alias("seg_id"), F.col("o_custkey").alias("copy_id")))
 
 
 @query("placed_percent", """WITH c AS (SELECT o_orderpriority AS layer, o_custkey % 25 AS copy_id, count(*) AS n FROM orders GROUP BY ALL), p AS (SELECT layer, max(n) AS r, sum(n) AS n FROM c GROUP BY layer)
@@ -640,7 +681,7 @@ def start_cluster(spark, sf):
 @query("column_networks")
 def column_networks(spark, sf):
     models = learn.train(sigs(spark, sf), WIDTH, range(WIDTH), rounds=3)
-    return models.select("v", F.size("w0").alias("weights"), (F.col("accuracy") >= 0).alias("scored"))
+    return models.select("v", F.size("w0").alias("weights"), F.round("accuracy", 1).alias("accuracy"))
 
 
 @query("corrected_signatures")

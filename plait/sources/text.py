@@ -15,10 +15,15 @@ def lines(spark: SparkSession, path: str, name: str = "line_id") -> DataFrame:
     return global_number(raw, ["f", "b", "i"], name).select(name, "value")
 
 
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of ``value``, one for each record: a ``>`` counts at the start of a line only."""
+    raw = spark.read.option("lineSep", "\n>").text(path)
+    return raw.select(F.regexp_replace(F.regexp_replace("value", "\r", ""), r"\A>", "").alias("value"), "_metadata").where("trim(value, ' \n\t') != ''")
+
+
 def fasta(spark: SparkSession, path: str, name: str = "read_id") -> DataFrame:
     """(read_id, header, seq): records of any number of lines; lower case, what is no base dropped; the last one too."""
-    raw = spark.read.option("lineSep", ">").text(path).where("trim(value) != ''")
-    at = raw.select(F.split(F.regexp_replace("value", "\r", ""), "\n", 2).alias("p"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    at = _records(spark, path).select(F.split("value", "\n", 2).alias("p"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
     body = F.coalesce(F.get("p", F.lit(1)), F.lit(""))
     return global_number(at, ["f", "b", "i"], name).select(name, F.trim(F.col("p")[0]).alias("header"), normalise(body).alias("seq"))
 
@@ -29,7 +34,7 @@ def template(spark: SparkSession, path: str) -> DataFrame:
 
 
 def record_count(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", ">").text(path).where("trim(value) != ''").agg(F.count("*").alias("records"))
+    return _records(spark, path).agg(F.count("*").alias("records"))
 
 
 def records_without_repeats(reads: DataFrame, classes: DataFrame) -> DataFrame:
@@ -105,6 +110,16 @@ def write_alignment(rows: DataFrame, path: str, upper: bool = True) -> None:
     write_rows(rows, "row_id", F.upper("row") if upper else F.col("row"), path)
 
 
+def write_classes(classes_df: DataFrame, path: str) -> None:
+    """A class per line in order of ``seg_id``, as ``classes`` reads them."""
+    write_rows(classes_df, "seg_id", F.col("klass"), path)
+
+
+def write_placements(places: DataFrame, path: str) -> None:
+    """A start per line in order of ``read_id``, as ``placements`` reads them."""
+    write_rows(places, "read_id", F.col("start_pos").cast("string"), path)
+
+
 def write_signatures(sigs: DataFrame, path: str) -> None:
     write_rows(sigs, "sig_id", F.lower("sig"), path)
 

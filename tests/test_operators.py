@@ -259,3 +259,92 @@ def test_modes_and_copy_numbers(spark):
     assert rows_of(evaluate.commonest(rows, ["g"], "v")) == [(1, "a", 1), (2, "c", 2)]
     places = spark.createDataFrame([(0, 100, 4900), (1, 4500, 3000), (2, 4500, 400), (3, 5000, 10)], "read_id int, start_pos long, first_len int")
     assert rows_of(evaluate.copy_numbers(places, 5000)) == [(0, 0), (1, 1), (2, 0), (3, 1)]
+
+
+def test_records_begin_at_the_start_of_a_line(spark, tmp_path):
+    (tmp_path / "x.fasta").write_text(">one a>b\r\nacgt\r\nAC\r\n>two > three\ngg\n")
+    got = [tuple(r) for r in text.fasta(spark, f"{tmp_path}/x.fasta").orderBy("read_id").collect()]
+    assert got == [(0, "one a>b", "acgtac"), (1, "two > three", "gg")]
+    assert text.record_count(spark, f"{tmp_path}/x.fasta").first().records == 2
+    (tmp_path / "none.fasta").write_text("")
+    assert text.fasta(spark, f"{tmp_path}/none.fasta").count() == 0
+
+
+def test_more_formats_round_trip(spark, tmp_path):
+    kinds = spark.createDataFrame([(0, "r"), (1, "l"), (2, "r")], "seg_id long, klass string")
+    text.write_classes(kinds, f"{tmp_path}/k")
+    assert rows_of(text.classes(spark, f"{tmp_path}/k")) == rows_of(kinds)
+    places = spark.createDataFrame([(0, 5000), (1, 17)], "read_id long, start_pos long")
+    text.write_placements(places, f"{tmp_path}/p")
+    assert rows_of(text.placements(spark, f"{tmp_path}/p")) == rows_of(places)
+    msa = spark.createDataFrame([(0, "ac-t "), (1, " c-t ")], "row_id long, row string")
+    text.write_alignment(msa, f"{tmp_path}/a")
+    assert rows_of(text.alignment(spark, f"{tmp_path}/a")) == rows_of(msa)
+    assert text.records_without_repeats(spark.createDataFrame([(0, "acg"), (1, "ac")], "read_id long, seq string"), spark.createDataFrame([(0, "r"), (1, "l")], "read_id long, klass string")).first() == (1, 2)
+    with pytest.raises(Exception, match="acgt"):
+        text.valid_alphabet(spark.createDataFrame([("ax",)], "sig string")).collect()
+
+
+def test_coverage_from_both_ends(spark):
+    sig = lambda *rows: spark.createDataFrame(list(enumerate(rows)), "sig_id long, sig string")
+    assert cluster.coverage_extent(sig(*[" acgt a"] * 10), 7).first().extent == 1
+    assert cluster.coverage_extent(sig(*["  acg  "] * 10), 7).first().extent == 3
+    assert cluster.coverage_extent(sig("a"), 1).first().extent is None
+    assert cluster.both_edges_covered(sig(" acgt a", "  cgt a"), 1).count() == 1
+    items = spark.createDataFrame([(0, "r", "acgta"), (1, "r", "a gta"), (2, "l", " c   "), (3, "l", "g    "), (4, "m", "  t  ")], "sig_id long, klass string, sig string")
+    assert [tuple(r) for r in cluster.seed_centroids(items, 1).orderBy("cluster_id").collect()] == [(0, " cgt "), (1, " c   "), (2, "  t  ")]
+
+
+def test_successions_by_distance_and_cuts(spark):
+    hits = spark.createDataFrame([(1, 100, 0), (1, 205, 1), (1, 420, 2), (2, 50, 1)], "read_id long, pos long, part int")
+    assert rows_of(reads.order_matrix(hits, 100, 20)) == [(0, 1, 1)]
+    assert rows_of(reads.distance_histogram(hits, 100)) == [(0, 1, int(math.log(6) / math.log(1.5)), 1), (1, 2, int(math.log(116) / math.log(1.5)), 1)]
+    lengths = spark.createDataFrame([(1, 700), (2, 700)], "read_id long, size int")
+    assert rows_of(reads.cut_candidates(hits, lengths, 3, 100)) == [(1, 305), (1, 420), (2, 150)]
+    assert rows_of(reads.cut_candidates(hits, lengths, 1, 50)) == [(1, 100)]
+
+
+def test_shared_neighbours_against_all_pairs(spark):
+    rng = random.Random(8)
+    links = {(i, rng.choice([0, 0, 0, *range(12)])) for i in range(60) for _ in range(5)}
+    near = {}
+    for i, j in links:
+        near.setdefault(i, set()).add(j)
+    for least in (1, 2, 3):
+        want = sorted((i, k, len(near[i] & near[k])) for i in near for k in near if i < k and len(near[i] & near[k]) >= least)
+        assert rows_of(cluster.shared_neighbours(spark.createDataFrame(sorted(links), "i long, j long"), least)) == want
+
+
+def test_variants_of_either_sign_and_all_seeds(spark):
+    base = "acgtgtcatgacgtacctga" * 3
+    cut = base[:20] + "-" * 12 + base[32:]
+    rows = [(i, cut) for i in range(12)] + [(20 + i, base) for i in range(8)]
+    got = rows_of(indel.detect(spark.createDataFrame(rows, "sig_id long, sig string"), 0, 60, 40, 20, 0, 5))
+    assert got == [(w, 20 + i) for w in (0, 20) for i in range(8)]
+    noisy = [(i, "".join("acgt"[(i // 4**k) % 4] for k in range(4)) + "a" * 20) for i in range(200)]
+    members, _ = cluster.window_clusters(spark.createDataFrame(noisy, "sig_id long, sig string"), 24, 300, 1)
+    assert members.where("diff > 0").count() == 0  # every distinct row was a seed
+
+
+def test_layers_of_any_ids(spark):
+    items = spark.createDataFrame([(x, y, c) for x in range(6) for y, c in enumerate([70, 9, 5000, 12])], "x int, y int, cluster_id int")
+    edge = graph.edges(items)
+    assert graph.layers_of(edge, [70]) == {70: 0, 9: 1, 5000: 2, 12: 3}
+    assert graph.layers_of(edge, [9], start_layer=1) == {9: 1, 70: 0, 5000: 2, 12: 3}
+    assert graph.layers_of(edge, [5000]) == {5000: 0, 12: 1}  # nothing goes below layer 0
+    with pytest.raises(ValueError):
+        graph.layering(edge, 9, 10)
+
+
+def test_staging_needs_a_shared_folder(spark, monkeypatch):
+    from plait.plans import staging
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_dir(Cluster)
