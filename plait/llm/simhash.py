@@ -9,7 +9,8 @@ no other there link to nothing and leave.
 The rest is verified exactly in cells of the bits themselves (the fingerprint and its 64 one-bit
 neighbours), the finest segments there are: two fingerprints share such a cell exactly if they differ in 2
 bits or fewer.  Linking each member of a cell to its least member keeps all components and makes no more
-rows than members, however many share a cell.
+rows than members, however many share a cell.  Joins are of one kind at every size, as both sides grow with
+the corpus.
 """
 
 from __future__ import annotations
@@ -87,10 +88,10 @@ def links(prints: DataFrame, scratch: Scratch, most: int = 2) -> DataFrame:
         raise ValueError("the lattice cells hold for 2 bits")
     cells = _cells(prints)
     shared = scratch.stage(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cells")
-    near = scratch.stage(cells.join(shared, "cell").select("fp").distinct(), "near")
+    near = scratch.stage(cells.join(shared.hint("merge"), "cell").select("fp").distinct(), "near")
     balls = _balls(near)
     heads = scratch.stage(balls.groupBy("ball").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
-    met = balls.join(heads, "ball").where("fp != head").select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
+    met = balls.join(heads.hint("merge"), "ball").where("fp != head").select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
 
 
@@ -105,10 +106,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         prints = scratch.keep(with_fingerprints(rows, ["id"], "text", size), "prints")
         firsts = scratch.stage(prints.groupBy("fp").agg(F.min("id").alias("first")), "firsts")
         roots = connected_components(links(firsts.select("fp"), scratch), scratch=scratch)
-        known = scratch.stage(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "known")
+        known = scratch.stage(firsts.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "known")
         heads = scratch.stage(known.groupBy("root").agg(F.min("first").alias("component_id")), "heads")
-        by_print = scratch.keep(known.join(heads, "root").select("fp", "component_id"), "components")
-    return prints.join(by_print, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+        by_print = scratch.keep(known.join(heads.hint("merge"), "root").select("fp", "component_id"), "components")
+    return prints.join(by_print.hint("merge"), "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
