@@ -122,13 +122,16 @@ def overlaps(msa: DataFrame, min_distance: int = 60, min_size: int = 100, min_sh
     if majority:
         fit = fit.where(F.col("bases") * 2 > F.col("cov"))
     left = fit.crossJoin(F.broadcast(largest)).where(F.col("cov") * 3 > F.col("maxcov") * 2)  # one row
-    gr1 = pairs.groupBy("col1", "base1", "col2").agg(F.sum("k").alias("gr1"))
-    gr2 = pairs.groupBy("col1", "col2", "base2").agg(F.sum("k").alias("gr2"))
-    cov = pairs.groupBy("col1", "col2").agg(F.sum("k").alias("cov")).where(F.col("cov") > min_shared)
-    frame = gr1.join(gr2, ["col1", "col2"]).join(cov, ["col1", "col2"])
-    sized = frame.join(left.select(F.col("col").alias("col1"), F.col("base").alias("base1"), F.col("n").alias("n1")), ["col1", "base1"]).join(
+    # two columns in one row: the 25 counts of their bases, and from them what each of 16 pairs of groups shares
+    is_pair = lambda x, y: (F.col("base1") == x) & (F.col("base2") == y)
+    counts = [F.sum(F.when(is_pair(x, y), F.col("k")).otherwise(0)).alias(f"k{i}{j}") for i, x in enumerate(BASES) for j, y in enumerate(BASES)]
+    wide = pairs.groupBy("col1", "col2").agg(F.sum("k").alias("cov"), *counts).where(F.col("cov") > min_shared)
+    total = lambda names: sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    groups = F.array(*[F.struct(F.lit(x).alias("base1"), F.lit(y).alias("base2"), F.col(f"k{i}{j}").alias("k"), total([f"k{i}{n}" for n in range(5)]).alias("gr1"),
+                                total([f"k{n}{j}" for n in range(5)]).alias("gr2")) for i, x in enumerate("acgt") for j, y in enumerate("acgt")])
+    each = wide.select("col1", "col2", "cov", F.inline(groups)).where("gr1 > 0 and gr2 > 0")
+    out = each.join(left.select(F.col("col").alias("col1"), F.col("base").alias("base1"), F.col("n").alias("n1")), ["col1", "base1"]).join(
         fit.select(F.col("col").alias("col2"), F.col("base").alias("base2"), F.col("n").alias("n2")), ["col2", "base2"])
-    out = sized.join(pairs, ["col1", "base1", "col2", "base2"], "left").withColumn("k", F.coalesce("k", F.lit(0).cast("long")))
     mean = F.floor(F.col("n1") * F.col("n2") / F.col("cov"))
     return out.where((mean > 0) & (F.abs(F.col("k") - mean) > sigmas * F.sqrt(mean))).select("col1", "base1", "col2", "base2", "k", "gr1", "gr2", "cov")
 
