@@ -20,6 +20,8 @@ from plait.plans.staging import stage
 
 MODEL = "v int, w0 array<double>, b0 array<double>, w1 array<double>, b1 array<double>, accuracy double"
 TRAIN_ROWS = 4000
+#: Columns whose networks run in one product.
+NET_BLOCK = 64
 
 
 def one_hot(sigs: list[str], width: int) -> np.ndarray:
@@ -120,7 +122,12 @@ def predict(sigs: DataFrame, models: DataFrame, width: int, flank: int = 0, kind
     """
     full = width + 2 * flank
     nets = {r.v: (np.array(r.w0).reshape(-1, len(r.b0)), np.array(r.b0), np.array(r.w1).reshape(len(r.b0), 5), np.array(r.b1)) for r in models.toLocalIterator()}
-    shared = sigs.sparkSession.sparkContext.broadcast(nets)
+    blocks = []  # the networks of some columns side by side; a column's own symbol weighs nothing in its network
+    for first in range(0, len(nets), NET_BLOCK):
+        part = sorted(nets)[first : first + NET_BLOCK]
+        w0 = np.concatenate([np.insert(nets[v][0], [5 * (v + flank)] * 5, 0, axis=0) for v in part], axis=1).astype(np.float32)
+        blocks.append((np.array(part), w0, np.concatenate([nets[v][1] for v in part]), np.stack([nets[v][2] for v in part]), np.stack([nets[v][3] for v in part])))
+    shared = sigs.sparkSession.sparkContext.broadcast(blocks)
     letters = np.array(list(BASES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +137,12 @@ def predict(sigs: DataFrame, models: DataFrame, width: int, flank: int = 0, kind
                 texts = [(s or "").ljust(full)[:full] for s in part.column(1).to_pylist()]
                 hot = one_hot(texts, full)
                 own = np.array([list(t[flank : flank + width]) for t in texts]).reshape(len(texts), width)
-                for v, net in shared.value.items():
-                    at = 5 * (v + flank)
-                    new = letters[forward(np.delete(hot, slice(at, at + 5), axis=1).astype(float), net, kind)[1].argmax(axis=1)]
-                    own[:, v] = np.where(own[:, v] == " ", " ", new) if mask else new
+                for columns, w0, b0, w1, b1 in shared.value:
+                    h = hot @ w0 + b0
+                    h = (np.tanh(h) if kind == "tanh" else 1 / (1 + np.exp(-h))).reshape(len(texts), len(columns), -1)
+                    # the greatest answer is that of the greatest sum, before the sigmoid or softmax
+                    new = letters[(np.einsum("rkh,khc->rkc", h, w1) + b1).argmax(axis=2)]
+                    own[:, columns] = np.where(own[:, columns] == " ", " ", new) if mask else new
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(["".join(r) for r in own])], ["sig_id", "sig"])
 
     return sigs.select("sig_id", "sig").mapInArrow(run, f"sig_id {sigs.schema['sig_id'].dataType.simpleString()}, sig string")

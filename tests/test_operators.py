@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -348,3 +349,31 @@ def test_staging_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         staging.shared_dir(Cluster)
+
+
+def test_realignment_within_a_band():
+    rng = random.Random(3)
+    base = "".join(rng.choice("acgt") for _ in range(60))
+    rows = ["".join(c if rng.random() > 0.15 else rng.choice(["", "a", "-", c + "g"]) for c in base) for _ in range(12)]
+    rows = [r.ljust(max(map(len, rows))) for r in rows]
+    def score(out):
+        return sum(sum(n * (sum(c.values()) - n) for n in c.values()) for c in (Counter(x for x in col if x != " ") for col in zip(*out)))
+    scores = [score(rows)]
+    for band in (1, 5, 1000):
+        out = align._realigned(rows, band, 100)
+        assert [r.replace("-", "").strip() for r in out] == [r.replace("-", "").strip() for r in rows]
+        scores.append(score(out))
+    assert scores[0] > scores[1] and scores[0] > scores[3] and min(scores[1:]) < 0.6 * scores[0]
+
+
+def test_predictions_of_blocks_are_those_of_single_networks(spark, monkeypatch):
+    rng = random.Random(2)
+    sigs = spark.createDataFrame([(i, "".join(rng.choice("acgt- ") for _ in range(9))) for i in range(80)], "sig_id long, sig string")
+    models = learn.train(sigs, 9, range(9), rounds=2, stop=101).cache()
+    nets = {r.v: (np.array(r.w0).reshape(-1, len(r.b0)), np.array(r.b0), np.array(r.w1).reshape(len(r.b0), 5), np.array(r.b1)) for r in models.collect()}
+    monkeypatch.setattr(learn, "NET_BLOCK", 4)
+    got = {r.sig_id: r.sig for r in learn.predict(sigs, models, 9, mask=False).collect()}
+    for r in sigs.collect():
+        hot = learn.one_hot([r.sig], 9)
+        want = "".join("acgt-"[int(learn.forward(np.delete(hot, slice(5 * v, 5 * v + 5), axis=1), nets[v], "tanh")[1].argmax())] for v in range(9))
+        assert got[r.sig_id] == want
