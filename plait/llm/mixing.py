@@ -84,7 +84,11 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0),
         most: float = MOST, seed: str = SEED) -> DataFrame:
-    """The mixture itself: every row as often as its copies say, in the columns of ``docs``."""
+    """The mixture itself: every row as often as its copies say, in the columns of ``docs``.
+
+    A null text has size 0 and follows its source's rate like any other; null sources are one source, the last;
+    rows of one id share their draw; repeated rows are emitted each; no rows give no rows.
+    """
     row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     sized = docs.select(row.alias("row"), quoted(doc_id).alias("doc_id"), quoted(source).cast("string").alias("source"), size_of(quoted(text)).alias("size"))
     out = _with_copies(sized, "doc_id", weights, most, seed).where("copies > 0")
