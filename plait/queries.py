@@ -517,13 +517,34 @@ def semi_global(spark, sf):
     return align.place(table(spark, sf, "part").select("p_partkey", "p_type", "p_name"), "p_type", "p_name")
 
 
-@query("occurrence_positions")
+_LAST_ROWS = """dp AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda j: 0::BIGINT) AS r FROM pairs
+  UNION ALL SELECT a, b, i + 1, list_transform(range(1, len(d) + 1), lambda j: list_min(list_transform(range(1, j + 1), lambda k: d[k] - k)) + j) FROM
+   (SELECT a, b, i, list_transform(range(1, len(r) + 1), lambda j: CASE WHEN j = 1 THEN r[1] + 1 ELSE least(r[j] + 1, r[j - 1] + CASE WHEN substr(b, j - 1, 1) = substr(a, i + 1, 1) THEN 0 ELSE 1 END) END) AS d FROM dp WHERE i < length(a)))"""
+
+
+@query("occurrence_positions", f"""WITH RECURSIVE q AS (SELECT p_partkey AS read_id, p_size::BIGINT AS part, lower(string_split(p_type, ' ')[-1]) AS a, p_name AS b FROM part), pairs AS (SELECT DISTINCT a, b FROM q),
+{_LAST_ROWS},
+low AS (SELECT a, b, j, r[j + 1] AS v, j - row_number() OVER (PARTITION BY a, b ORDER BY j) AS run FROM dp, unnest(range(0, length(b) + 1)) AS u(j) WHERE i = length(a) AND r[j + 1] < floor(length(a) * 0.6::DOUBLE)),
+o AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY p) AS k FROM (SELECT a, b, arg_max(j, (-v, j)) AS p, min(v) AS best FROM low GROUP BY a, b, run)),
+fold AS (SELECT a, b, k, [{{'p': p, 'v': best}}] AS acc FROM o WHERE k = 1
+  UNION ALL SELECT o.a, o.b, o.k, CASE WHEN o.p - acc[-1].p < length(o.a) / 2.0 THEN CASE WHEN o.best <= acc[-1].v THEN list_append(acc[:-2], {{'p': o.p, 'v': o.best}}) ELSE acc END ELSE list_append(acc, {{'p': o.p, 'v': o.best}}) END
+  FROM fold JOIN o ON o.a = fold.a AND o.b = fold.b AND o.k = fold.k + 1),
+found AS (SELECT a, b, arg_max(acc, k) AS acc FROM fold GROUP BY a, b)
+SELECT read_id, part, x.p::BIGINT AS pos, x.v::BIGINT AS score FROM (SELECT read_id, part, unnest(acc) AS x FROM q JOIN found USING (a, b))""")
 def occurrences(spark, sf):
-    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("read_id"), F.col("p_brand").alias("part"), F.element_at(F.split("p_type", " "), -1).alias("pattern"), F.col("p_name").alias("text"))
-    return align.occurrences(rows.select("read_id", F.crc32("part").alias("part"), F.lower("pattern").alias("pattern"), "text"), 0.6)
-
-
-@query("overlap_distance_pairs")
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("read_id"), F.col("p_size").cast("long").alias("part"), F.lower(F.element_at(F.split("p_type", " "), -1)).alias("pattern"), F.col("p_name").alias("text"))
+    return align.occurrences(rows, 0.6)
+
+
+@query("overlap_distance_pairs", """WITH RECURSIVE n AS (SELECT a.n_nationkey AS i, b.n_nationkey AS j, a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE length(a.n_name) >= 4 AND length(b.n_name) >= 4),
+t AS (SELECT x, y, y AS z, true AS own FROM n UNION SELECT x, y, translate(reverse(y), 'acgt', 'tgca'), false FROM n),
+dp AS (SELECT x, y, own, z, 0 AS k, list_transform(range(0, length(z) + 1), lambda q: 0::BIGINT) AS r, NULL::DOUBLE AS e FROM t
+  UNION ALL SELECT x, y, own, z, k + 1, r2, least(e, CASE WHEN least(k + 1, length(z)) >= 4 THEN r2[-1]::DOUBLE / least(k + 1, length(z)) END) FROM (
+   SELECT x, y, own, z, k, e, list_transform(range(1, len(d) + 1), lambda q: list_min(list_transform(range(1, q + 1), lambda w: d[w] - w)) + q) AS r2 FROM (
+    SELECT x, y, own, z, k, e, list_transform(range(1, len(r) + 1), lambda q: CASE WHEN q = 1 THEN 0 ELSE least(r[q] + 1, r[q - 1] + CASE WHEN substr(z, q - 1, 1) = substr(x, k + 1, 1) THEN 0 ELSE 1 END) END) AS d FROM dp WHERE k < length(x)))),
+s AS (SELECT x, y, own, least(e, list_min(list_transform(list_filter(range(1, length(z) + 1), lambda q: least(length(x), q) >= 4), lambda q: r[q + 1]::DOUBLE / least(length(x), q)))) AS score FROM dp WHERE k = length(x)),
+w AS (SELECT x, y, max(score) FILTER (own) AS own, max(score) FILTER (NOT own) AS other FROM s GROUP BY x, y)
+SELECT i, j, round(coalesce(CASE WHEN coalesce(own, 1) > 0.3 THEN least(own, other) ELSE own END, 1), 9) AS score FROM n JOIN w USING (x, y)""")
 def overlap_pairs(spark, sf):
     n = table(spark, sf, "nation")
     a, b = n.select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("a")), n.select(F.col("n_nationkey").alias("j"), F.col("n_name").alias("b"))
