@@ -69,6 +69,34 @@ def correction_stats(raw: DataFrame, corrected: DataFrame, low: int = 15, high:
                       F.round(precision, 6).alias("minor_precision"), F.round(F.when(recall + precision > 0, 2 * recall * precision / (recall + precision)), 6).alias("minor_f1"))
 
 
+def simulated_stats(raw: DataFrame, corrected: DataFrame, internal: bool = False) -> DataFrame:
+    """One row of counts and rates of a correction of simulated groups, all of which count.
+
+    A group's consensus in a column is major where more than a third of the raw rows that cover the column have it.
+    A consensus is the commonest base (ties in the order ``acgt-``), with ``internal`` that of the corrected rows.
+    ``columns`` are those that a group covers before or after, ``collapsed`` those whose consensus changes; a column
+    that is covered once only changes.  Rates without a denominator are null.
+    """
+    old, new = clear_consensus(raw, strict=False), clear_consensus(corrected, strict=False)
+    n = raw.where("base != ' '").groupBy("col", "base").agg(F.count("*").alias("n_base"))
+    cover = n.groupBy("col").agg(F.sum("n_base").alias("cov"))
+    big = F.coalesce("n_base", F.lit(0)) > F.floor(F.coalesce("cov", F.lit(0)) / 3)
+    want = (new if internal else old).join(n, ["col", "base"], "left").join(cover, "col", "left").select("grp", "col", "base", (~big).alias("minor"))
+    cells = corrected.where("base != ' '")
+    hit = cells.withColumnRenamed("base", "got").join(want, ["grp", "col"])
+    right = F.col("got") == F.col("base")
+    base = hit.agg(F.count("*").alias("n"), F.count_if(right).alias("n_right"), F.count_if("minor").alias("minor"), F.count_if(F.col("minor") & right).alias("minor_right"))
+    held = cells.join(hit.where("minor").select("col", "base").distinct(), ["col", "base"], "left_semi").agg(F.count("*").alias("minor_found"))
+    both = old.join(new.withColumnRenamed("base", "new"), ["grp", "col"], "full")
+    lost = both.agg(F.count("*").alias("columns"), F.count_if(~F.col("base").eqNullSafe(F.col("new"))).alias("collapsed"))
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    out = base.crossJoin(held).crossJoin(lost).withColumn("major", F.col("n") - F.col("minor")).withColumn("major_right", F.col("n_right") - F.col("minor_right"))  # one row each
+    recall, precision = rate("minor_right", "minor"), rate("minor_right", "minor_found")
+    return out.select("n", "n_right", "minor", "minor_right", "minor_found", "columns", "collapsed", F.round(rate("n_right", "n"), 6).alias("accuracy"), F.round(recall, 6).alias("minor_recall"),
+                      F.round(rate("major_right", "major"), 6).alias("major_recall"), F.round(precision, 6).alias("minor_precision"),
+                      F.round(F.when(recall + precision > 0, 2 * recall * precision / (recall + precision)), 6).alias("minor_f1"))
+
+
 def purity(members: DataFrame, truth: DataFrame) -> DataFrame:
     """``members(layer, seg_id)``, ``truth(seg_id, copy_id)`` → (layer, copy_id, right, n): the commonest copy (ties to the smaller) and its share."""
     n = members.join(truth, "seg_id").groupBy("layer", "copy_id").agg(F.count("*").alias("n"))

@@ -1,29 +1,78 @@
-"""InDel detection: windows of columns, a small clustering of each, and rows nearer to a consensus that is not the normal one."""
+"""InDel detection: windows of columns, a small clustering of each, and rows nearer to a consensus that is not the normal one.
+
+All windows go through one plan: a row is exploded into the windows that it covers, and the clusterings are keyed by
+window, or by window and cluster.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.operators.cluster import compare_two, window_clusters
+from plait.functions.bases import hamming, masked_hamming
+from plait.operators.cluster import member_consensuses, group_clusters
 from plait.plans.staging import stage
 
+#: Clusters of more members than this are clustered again within a window.
+LARGE = 30
+
+
+def windows(rows: DataFrame, first: int, last: int, width: int, step: int) -> DataFrame:
+    """``rows(sig_id, sig)`` → (window, sig_id, sig): a row's part in each window from ``first`` on in which it is not blank."""
+    starts = F.explode(F.sequence(F.lit(first), F.lit(max(first, last - width)), F.lit(step)))
+    parts = rows.select(starts.alias("window"), "sig_id", "sig").withColumn("sig", F.substring("sig", F.col("window") + 1, F.lit(width)))
+    return parts.where(F.trim("sig") != "")
+
+
+def window_consensuses(parts: DataFrame, width: int, top: int = 10, least: int = 6) -> DataFrame:
+    """``windows`` → (window, sig, size): consensuses of ``least`` rows or more after a clustering of each window."""
+    keyed = parts.select(F.col("window").cast("string").alias("grp"), "sig_id", "sig")
+    tops = keyed.select("grp").distinct().withColumn("top", F.lit(top))
+    members, _ = group_clusters(keyed, width, tops, least)
+    return _sized(keyed.join(members.select("grp", "sig_id", "cluster_id"), ["grp", "sig_id"]), width, least)
+
+
+def cluster_consensuses(parts: DataFrame, members: DataFrame, width: int, least: int = 6, keep: int = 8) -> DataFrame:
+    """``windows`` and ``members(cluster_id, sig_id)`` → (window, sig, size): consensuses of each cluster's rows in a window.
+
+    Clusters of ``least`` members or more count; those of over 30 are clustered again within the window, into a
+    fifteenth of their number at most.  Consensuses of fewer than ``keep`` rows go.
+    """
+    sizes = stage(members.groupBy("cluster_id").agg(F.count("*").alias("n")).where(F.col("n") >= least), "sizes")
+    grp = F.concat_ws(":", F.col("window").cast("string"), F.col("cluster_id").cast("string")).alias("grp")
+    keyed = stage(parts.join(members, "sig_id").join(sizes, "cluster_id").select(grp, "sig_id", "sig", "n").sortWithinPartitions("grp"), "keyed")
+    many = keyed.where(F.col("n") > LARGE)
+    tops = many.groupBy("grp").agg(F.floor(F.max("n") / 15).cast("int").alias("top"))
+    again, _ = group_clusters(many.select("grp", "sig_id", "sig"), width, tops, least)
+    split = many.join(again.select("grp", "sig_id", "cluster_id"), ["grp", "sig_id"])
+    whole = keyed.where(F.col("n") <= LARGE).withColumn("cluster_id", F.lit(-1).cast("long"))
+    return _sized(split.unionByName(whole), width, keep)
+
+
+def _sized(placed: DataFrame, width: int, keep: int) -> DataFrame:
+    sizes = placed.groupBy("grp", "cluster_id").agg(F.count("*").alias("size")).where(F.col("size") >= keep)
+    found = member_consensuses(placed, width).join(sizes, ["grp", "cluster_id"])
+    return found.select(F.substring_index("grp", ":", 1).cast("int").alias("window"), "sig", "size")
+
 
-def detect(rows: DataFrame, first: int, last: int, width: int = 200, step: int = 100, least_gaps: int = 0, least: int = 6, top: int = 10) -> DataFrame:
+def detect(rows: DataFrame, first: int, last: int, width: int = 200, step: int = 100, least_gaps: int = 0, least: int = 6, top: int = 10, members: DataFrame | None = None) -> DataFrame:
     """``rows(sig_id, sig)`` → (window, sig_id): rows nearer to a variant of their window than to its normal consensus.
 
-    The commonest consensus of a window is the normal one.  Every other without blanks that differs from it in more
-    than ``width``/200 columns is a variant, with more gaps or with fewer; ``least_gaps`` asks for a difference in
-    gaps besides.  A window in which nothing varies gives no rows.
+    Consensuses are those of a clustering of the window's rows or, with ``members(cluster_id, sig_id)``, of clusters
+    that are known already, and those without blanks count.  The normal one is that of most clusters, then of most
+    rows, then the last in order.  Every other that differs from it in more than ``width``/200 columns is a variant,
+    with more gaps or with fewer; ``least_gaps`` asks for a difference in gaps besides.  A window in which nothing
+    varies gives no rows, nor do null or blank signatures.
     """
-    found = rows.select(F.lit(0).alias("window"), "sig_id").limit(0)
-    for start in range(first, max(first + 1, last - width + 1), step):
-        part = stage(rows.select("sig_id", F.substring("sig", start + 1, width).alias("sig")).where(F.trim("sig") != ""), "window")
-        members, centroids = window_clusters(part, width, top, least)
-        sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size")).join(centroids, "cluster_id").orderBy(F.desc("size"), "cluster_id").limit(top).collect()
-        whole = [r for r in sizes if " " not in r.sig and r["size"] >= least]
-        for r in whole[1:]:
-            differ = sum(a != b for a, b in zip(r.sig, whole[0].sig))
-            if differ > width / 200 and abs(r.sig.count("-") - whole[0].sig.count("-")) >= least_gaps:
-                found = found.unionByName(compare_two(part, r.sig, whole[0].sig).select(F.lit(start).alias("window"), "sig_id"))
-    return found.distinct()
+    parts = stage(windows(rows, first, last, width, step).sortWithinPartitions("window"), "windows")
+    found = window_consensuses(parts, width, top, least) if members is None else cluster_consensuses(parts, members, width, least)
+    texts = found.where(~F.contains("sig", F.lit(" "))).groupBy("window", "sig").agg(F.count("*").alias("clusters"), F.sum("size").alias("size"))
+    # a window has as many consensuses as clusters at most
+    listed = texts.groupBy("window").agg(F.sort_array(F.collect_list(F.struct("clusters", "size", "sig")), asc=False).alias("l"))
+    listed = listed.select("window", F.col("l")[0]["sig"].alias("normal"), F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x: x["sig"]).alias("others"))
+    gaps = lambda s: F.length(s) - F.length(F.replace(s, F.lit("-"), F.lit("")))
+    differs = lambda s: (hamming(s, F.col("normal")) > width / 200) & (F.abs(gaps(s) - gaps(F.col("normal"))) >= least_gaps)
+    variants = listed.select("window", "normal", F.filter("others", differs).alias("variants")).where(F.size("variants") > 0)
+    met = parts.join(stage(variants, "variants"), "window")
+    nearer = F.exists("variants", lambda v: masked_hamming(F.col("sig"), F.col("normal")) > masked_hamming(F.col("sig"), v) + 1)
+    return met.where(nearer).select("window", "sig_id").distinct()

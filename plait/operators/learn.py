@@ -43,18 +43,30 @@ def forward(x: np.ndarray, net: tuple, kind: str) -> tuple[np.ndarray, np.ndarra
 
 
 def train_net(x: np.ndarray, y: np.ndarray, kind: str, hidden: int, rounds: int, batch: int, rate: float, dropout: float, seed: int, start: tuple | None = None, stop: float = 97.0) -> tuple[tuple, float]:
-    """Mini-batch Adam on the quadratic cost (tanh) or cross entropy (softmax) with weight decay; the best net seen and its accuracy in percent."""
+    """Mini-batch Adam on the quadratic cost (tanh) or cross entropy (softmax) with weight decay; the best net seen and its accuracy in percent.
+
+    A tanh net is best by accuracy and stops at ``stop`` percent.  A softmax net is best by its mean quadratic cost; the rate
+    halves after a round that lowers the cost by 0.001 or less, and it stops below a cost of 0.05 with over 96 percent
+    right, unless all its answers are the same.
+    """
     rng = np.random.default_rng(seed)
     n = x.shape[1]
     decay = 1.0 / n if kind == "tanh" else 1.0 / n**2
     net = [a.copy() for a in start] if start else [rng.normal(0, n**-0.5, (n, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, 5)), np.zeros(5)]
     m, v = [np.zeros_like(a) for a in net], [np.zeros_like(a) for a in net]
     truth = y.argmax(axis=1)
-    score = lambda: float((forward(x, net, kind)[1].argmax(axis=1) == truth).mean() * 100)
-    best, kept = score(), [a.copy() for a in net]
-    step = 0
+
+    def judged() -> tuple[float, float, bool]:  # percent right, cost, whether no more training is needed
+        out = forward(x, net, kind)[1]
+        told = out.argmax(axis=1)
+        right = float((told == truth).mean() * 100)
+        cost = float(((out - y) ** 2).sum(axis=1).mean() / 2 + decay * sum((a**2).sum() for a in net))
+        return right, cost, right >= stop if kind == "tanh" else cost < 0.05 and right > 96 and len(np.unique(told)) > 1
+
+    (best, low, enough), kept = judged(), [a.copy() for a in net]
+    before, step = low, 0
     for _ in range(rounds):
-        if best >= stop:
+        if enough:
             break
         order = rng.permutation(len(x))
         for at in range(0, len(x), batch):
@@ -71,8 +83,12 @@ def train_net(x: np.ndarray, y: np.ndarray, kind: str, hidden: int, rounds: int,
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 net[k] = net[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        if (now := score()) > best:
-            best, kept = now, [a.copy() for a in net]
+        right, cost, enough = judged()
+        if (right > best) if kind == "tanh" else (cost < low):
+            best, low, kept = right, cost, [a.copy() for a in net]
+        if kind == "softmax" and before < cost + 0.001:
+            rate /= 2
+        before = cost
     return tuple(kept), best
 
 
@@ -148,6 +164,14 @@ def predict(sigs: DataFrame, models: DataFrame, width: int, flank: int = 0, kind
     return sigs.select("sig_id", "sig").mapInArrow(run, f"sig_id {sigs.schema['sig_id'].dataType.simpleString()}, sig string")
 
 
+def assess(sigs: DataFrame, models: DataFrame, width: int) -> DataFrame:
+    """``sigs(sig_id, sig)`` → (v, truth, predicted, n): how often a column's network answers what for which symbol; blanks do not count."""
+    answers = predict(sigs, models, width).withColumnRenamed("sig", "new")
+    both = sigs.select("sig_id", "sig").join(answers, "sig_id")
+    cells = both.select(F.posexplode(F.arrays_zip(F.split("sig", "").alias("truth"), F.split("new", "").alias("predicted"))).alias("v", "x"))
+    return cells.select("v", "x.truth", "x.predicted").where("truth != ' '").groupBy("v", "truth", "predicted").agg(F.count("*").alias("n"))
+
+
 def correct(sigs: DataFrame, models: DataFrame, width: int, rounds: int = 5, kind: str = "tanh", mask: bool = True, lag: int = 1) -> tuple[DataFrame, DataFrame]:
     """(corrected, first pass): ``rounds`` of prediction, then symbols that still change go back to the original."""
     now, seen, first = sigs.select("sig_id", "sig"), [sigs.select("sig_id", "sig").withColumn("round", F.lit(0))], None

@@ -190,6 +190,49 @@ def best_group(members: DataFrame, reference: DataFrame) -> DataFrame:
     return best.select("cluster_id", F.coalesce("grp", F.lit(-1)).alias("grp"))
 
 
+def groups_above(members: DataFrame, reference: DataFrame, cutoff: int) -> DataFrame:
+    """(cluster_id, place, grp, overlap): reference groups that hold more than ``cutoff`` of a cluster's members.
+
+    Places run from 0 by overlap, ties from the greater group; clusters without such a group give no rows.
+    """
+    met = members.join(reference, ["x", "y"]).groupBy("cluster_id", "grp").agg(F.count("*").alias("overlap")).where(F.col("overlap") > cutoff)
+    w = Window.partitionBy("cluster_id").orderBy(F.desc("overlap"), F.desc("grp"))
+    return met.select("cluster_id", (F.row_number().over(w) - 1).cast("long").alias("place"), "grp", "overlap")
+
+
+def concatenate(items: DataFrame, joins: DataFrame) -> DataFrame:
+    """``items(read_id, y, ...)`` with elements of other reads after their own: ``joins(read_id, other_id, skip)``.
+
+    A read named in ``joins`` goes on with the other's elements from place ``skip`` on, as both were before any join.
+    Reads that are not there change nothing; several joins of one read follow one another by ``other_id``.
+    """
+    rest = [c for c in items.columns if c not in ("read_id", "y")]
+    sizes = items.groupBy("read_id").agg((F.max("y") + 1).alias("size"))
+    taken = joins.join(sizes.select(F.col("read_id").alias("other_id"), F.col("size").alias("other_size")), "other_id")
+    added = F.greatest(F.lit(0), F.col("other_size") - F.col("skip"))
+    before = F.coalesce(F.sum(added).over(Window.partitionBy("read_id").orderBy("other_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = taken.withColumn("before", before).join(sizes, "read_id").select("read_id", "other_id", "skip", (F.col("size") + F.col("before")).alias("at"))
+    more = offsets.join(items.withColumnRenamed("read_id", "other_id"), "other_id").where("y >= skip")
+    return items.select("read_id", "y", *rest).unionByName(more.select("read_id", (F.col("y") - F.col("skip") + F.col("at")).cast(items.schema["y"].dataType).alias("y"), *rest))
+
+
+def pad_reads(items: DataFrame, pads: DataFrame) -> DataFrame:
+    """``items(read_id, y, klass, ...)`` with elements of a class at either end: ``pads(read_id, before, after, klass)``.
+
+    Places run from 0 again; columns that ``pads`` does not name are null in the new elements.
+    """
+    rest = [c for c in items.columns if c not in ("read_id", "y", "klass")]
+    sizes = items.groupBy("read_id").agg((F.max("y") + 1).alias("size"))
+    held = pads.join(sizes, "read_id")
+    moved = items.join(pads.select("read_id", "before"), "read_id", "left").withColumn("y", (F.col("y") + F.coalesce("before", F.lit(0))).cast(items.schema["y"].dataType)).drop("before")
+    count = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.concat(count("before"), F.transform(count("after"), lambda k: (k + F.col("before") + F.col("size")).cast("int")))
+    new = held.select("read_id", F.explode(places).cast(items.schema["y"].dataType).alias("y"), "klass")
+    for c in rest:
+        new = new.withColumn(c, F.lit(None).cast(items.schema[c].dataType))
+    return moved.select("read_id", "y", "klass", *rest).unionByName(new)
+
+
 def membership_columns(sigs: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
     """Signatures with three more columns for each list of ids: ``aaa`` for members, ``ttt`` for others."""
     for name, ids in lists.items():

@@ -35,6 +35,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/plait-{label}-{uuid.uuid4().hex}"
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder for files that go when the driver's Python ends."""
+    path = new_path(spark, label)
+    _left.add(path)
+    return path
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return the table read back, so nothing above is computed again."""
     return stage_at(df, label)[0]

@@ -377,3 +377,60 @@ def test_predictions_of_blocks_are_those_of_single_networks(spark, monkeypatch):
         hot = learn.one_hot([r.sig], 9)
         want = "".join("acgt-"[int(learn.forward(np.delete(hot, slice(5 * v, 5 * v + 5), axis=1), nets[v], "tanh")[1].argmax())] for v in range(9))
         assert got[r.sig_id] == want
+
+
+def _indel_brute(rows, first, last, width, step, members):
+    """By loops: consensuses of each cluster in a window, larger clusters split by their distinct rows first."""
+    far = lambda a, b: sum(x != y and x != " " and y != " " for x, y in zip(a, b))
+
+    def agreed(texts):
+        out = ""
+        for column in zip(*texts):
+            n = [column.count(b) for b in "acgt-"]
+            out += "acgt-"[n.index(max(n))] if max(n) else " "
+        return out
+
+    def split(texts, most):
+        seeds = sorted(set(texts), key=lambda t: (-texts.count(t), t))
+        for turn in range(2):
+            groups = {}
+            for t in texts:
+                groups.setdefault(min(range(len(seeds)), key=lambda k: (far(t, seeds[k]), k)), []).append(t)
+            if turn:
+                return list(groups.values())
+            best = sorted((k for k in groups if len(groups[k]) >= 6), key=lambda k: (-len(groups[k]), k))[:most]
+            # centroids keep their numbers
+            seeds = [agreed(groups[k]) for k in sorted(best)]
+            if not seeds:
+                return []
+
+    out = set()
+    for at in range(first, max(first, last - width) + 1, step):
+        part = {i: s[at : at + width] for i, s in rows if s[at : at + width].strip()}
+        found = []
+        for ids in members.values():
+            texts = [part[i] for i in ids if i in part]
+            if len(ids) >= 6:
+                found += [(agreed(g), len(g)) for g in (split(texts, len(ids) // 15) if len(ids) > 30 else [texts]) if len(g) >= 8]
+        full = sorted({k for k, _ in found if " " not in k}, key=lambda k: (sum(t == k for t, _ in found), sum(n for t, n in found if t == k), k))
+        for kon in full[:-1]:
+            if far(kon, full[-1]) > width / 200:
+                out |= {(at, i) for i, s in part.items() if far(s, full[-1]) > far(s, kon) + 1}
+    return sorted(out)
+
+
+def test_indels_within_clusters_equal_brute_force(spark):
+    rng = random.Random(5)
+    base = "".join(rng.choice("acgt") for _ in range(60))
+    kinds = [base, base[:22] + "-" * 9 + base[31:], base[:40] + "ttttt" + base[45:]]
+    rows, members = [], {}
+    for i in range(150):
+        text = "".join(c if rng.random() > 0.04 else rng.choice("acgt-") for c in kinds[rng.choice([0, 0, 0, 1, 2])])
+        rows.append((i, " " * rng.choice([0, 0, 0, 25]) + text[25:] if rng.random() < 0.1 else text))
+        members.setdefault(min(i // 60, 3) if i < 140 else 4 + i % 3, []).append(i)
+    rows = [(i, s.rjust(60)[:60]) for i, s in rows]
+    table = spark.createDataFrame(rows, "sig_id long, sig string")
+    held = spark.createDataFrame([(c, i) for c, ids in members.items() for i in ids], "cluster_id long, sig_id long")
+    want = _indel_brute(rows, 0, 60, 20, 10, members)
+    assert want and rows_of(indel.detect(table, 0, 60, 20, 10, members=held)) == want
+    assert rows_of(indel.detect(table.limit(0), 0, 60, 20, 10, members=held)) == []
