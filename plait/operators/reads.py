@@ -227,7 +227,7 @@ def pad_reads(items: DataFrame, pads: DataFrame) -> DataFrame:
     moved = items.join(pads.select("read_id", "before"), "read_id", "left").withColumn("y", (F.col("y") + F.coalesce("before", F.lit(0))).cast(items.schema["y"].dataType)).drop("before")
     count = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
     places = F.concat(count("before"), F.transform(count("after"), lambda k: (k + F.col("before") + F.col("size")).cast("int")))
-    new = held.select("read_id", F.explode(places).cast(items.schema["y"].dataType).alias("y"), "klass")
+    new = held.select("read_id", F.explode(places).alias("y"), "klass").withColumn("y", F.col("y").cast(items.schema["y"].dataType))
     for c in rest:
         new = new.withColumn(c, F.lit(None).cast(items.schema[c].dataType))
     return moved.select("read_id", "y", "klass", *rest).unionByName(new)

@@ -386,6 +386,29 @@ def best_group(spark, sf):
     return reads.best_group(*_members(spark, sf))
 
 
+@query("groups_above", f"""WITH {_MEMBERS}, o AS (SELECT cluster_id, grp, count(*) AS overlap FROM m JOIN g USING (x, y) GROUP BY ALL)
+SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY overlap DESC, grp DESC) - 1 AS place, grp, overlap FROM o WHERE overlap > 4""")
+def groups_above(spark, sf):
+    return reads.groups_above(*_members(spark, sf), 4)
+
+
+@query("concatenated_reads", f"""WITH {_READS}, n AS (SELECT read_id, count(*) AS size FROM items GROUP BY 1)
+SELECT read_id, y, klass, event_id FROM items UNION ALL
+SELECT n.read_id, o.y - 2 + n.size, o.klass, o.event_id FROM n JOIN items o ON o.read_id = n.read_id + 1 WHERE o.y >= 2""")
+def concatenated_reads(spark, sf):
+    rows = items(spark, sf).select("read_id", "y", "klass", "event_id")
+    joins = rows.select("read_id").distinct().select("read_id", (F.col("read_id") + 1).alias("other_id"), F.lit(2).alias("skip"))
+    return reads.concatenate(rows, joins)
+
+
+@query("padded_reads", f"""WITH {_READS}, n AS (SELECT read_id, count(*) AS size FROM items GROUP BY 1)
+SELECT read_id, y + 4 AS y, klass, event_id FROM items UNION ALL
+SELECT read_id, CASE WHEN k < 4 THEN k ELSE k + size END, 'Li', NULL FROM n, range(0, 7) AS r(k)""")
+def padded_reads(spark, sf):
+    rows = items(spark, sf).select("read_id", "y", "klass", "event_id")
+    return reads.pad_reads(rows, rows.select("read_id").distinct().select("read_id", F.lit(4).alias("before"), F.lit(3).alias("after"), F.lit("Li").alias("klass")))
+
+
 @query("membership_columns", f"WITH {_CELLS} SELECT row_id AS sig_id, sig || CASE WHEN row_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'aaa' ELSE 'ttt' END || CASE WHEN row_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'aaa' ELSE 'ttt' END AS sig FROM sigs")
 def membership_columns(spark, sf):
     labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "sig_id")
@@ -673,6 +696,34 @@ def correction_stats_internal(spark, sf):
     return evaluate.correction_stats(solid(spark, sf), _fixed(spark, sf), 0, 1 << 40, internal=True)
 
 
+_SIMULATED = """WITH {cells}, {fixed}, {rank}, old AS (SELECT grp, col, base FROM tops), new AS (SELECT grp, col, base FROM r2 WHERE r = 1),
+third AS (SELECT col, sum(n) AS cov FROM profile GROUP BY col),
+want AS (SELECT o.grp, o.col, o.base, NOT coalesce(p.n, 0) > coalesce(t.cov, 0) // 3 AS minor FROM {which} o LEFT JOIN profile p ON o.col = p.col AND o.base = p.base LEFT JOIN third t ON t.col = o.col),
+hit AS (SELECT f.col, f.base AS got, w.base, minor FROM fixed f JOIN want w ON f.grp = w.grp AND f.col = w.col),
+a AS (SELECT count(*) AS n, count_if(got = base)::BIGINT AS n_right, count_if(minor)::BIGINT AS minor, count_if(minor AND got = base)::BIGINT AS minor_right FROM hit),
+h AS (SELECT count(*) AS minor_found FROM fixed SEMI JOIN (SELECT DISTINCT col, base FROM hit WHERE minor) x ON fixed.col = x.col AND fixed.base = x.base),
+l AS (SELECT count(*) AS columns, count_if(o.base IS DISTINCT FROM n.base)::BIGINT AS collapsed FROM old o FULL JOIN new n ON o.grp = n.grp AND o.col = n.col),
+r AS (SELECT *, CASE WHEN minor > 0 THEN minor_right / minor END AS rc, CASE WHEN minor_found > 0 THEN minor_right / minor_found END AS pr FROM a, h, l)
+SELECT n, n_right, minor, minor_right, minor_found, columns, collapsed, round(CASE WHEN n > 0 THEN n_right / n END, 6) AS accuracy, round(rc, 6) AS minor_recall,
+ round(CASE WHEN n > minor THEN (n_right - minor_right) / (n - minor) END, 6) AS major_recall, round(pr, 6) AS minor_precision, round(CASE WHEN rc + pr > 0 THEN 2 * rc * pr / (rc + pr) END, 6) AS minor_f1 FROM r"""
+
+
+@query("simulated_stats", _SIMULATED.format(cells=_CELLS, fixed=_FIXED, rank=_RANK2, which="old"))
+def simulated_stats(spark, sf):
+    return evaluate.simulated_stats(solid(spark, sf), _fixed(spark, sf))
+
+
+@query("simulated_stats_internal", _SIMULATED.format(cells=_CELLS, fixed=_FIXED, rank=_RANK2, which="new"))
+def simulated_stats_internal(spark, sf):
+    return evaluate.simulated_stats(solid(spark, sf), _fixed(spark, sf), internal=True)
+
+
+@query("commonest_class", """SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1""")
+def commonest_class(spark, sf):
+    return evaluate.commonest(table(spark, sf, "events"), ["user_id"], "event_type")
+
+
 @query("layer_purity", """WITH c AS (SELECT month(o_orderdate)::BIGINT AS layer, o_custkey AS copy_id, count(*) AS n FROM orders GROUP BY ALL)
 SELECT layer, arg_max(copy_id, (n, -copy_id)) AS copy_id, max(n) AS "right", sum(n)::BIGINT AS n FROM c GROUP BY layer""")
 def purity(spark, sf):
@@ -722,3 +773,27 @@ def layering(spark, sf):
 @query("indel_windows")
 def indel_windows(spark, sf):
     return indel.detect(sigs(spark, sf), 0, WIDTH, 16, 8, 2, 3)
+
+
+@query("indel_variants")
+def indel_variants(spark, sf):
+    return indel.detect(sigs(spark, sf), 0, WIDTH, 8, 4, 0, 2, 10)
+
+
+@query("indel_within_clusters")
+def indel_within_clusters(spark, sf):
+    rows = sigs(spark, sf)
+    return indel.detect(rows.select("sig_id", "sig"), 0, WIDTH, 4, 2, members=rows.select(F.col("grp").cast("long").alias("cluster_id"), "sig_id"))
+
+
+@query("network_answers")
+def network_answers(spark, sf):
+    rows = sigs(spark, sf)
+    return learn.assess(rows, learn.train(rows, WIDTH, range(WIDTH), rounds=3), WIDTH)
+
+
+@query("softmax_networks")
+def softmax_networks(spark, sf):
+    rows = sigs(spark, sf)
+    models = learn.train(rows, WIDTH, range(WIDTH), kind="softmax", rounds=3)
+    return learn.predict(rows, models, WIDTH, kind="softmax", mask=False)

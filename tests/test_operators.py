@@ -434,3 +434,35 @@ def test_indels_within_clusters_equal_brute_force(spark):
     want = _indel_brute(rows, 0, 60, 20, 10, members)
     assert want and rows_of(indel.detect(table, 0, 60, 20, 10, members=held)) == want
     assert rows_of(indel.detect(table.limit(0), 0, 60, 20, 10, members=held)) == []
+
+
+def test_reads_joined_and_padded(spark):
+    items = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (3, 0, "d"), (3, 1, "e"), (3, 2, "f")], "read_id long, y long, klass string")
+    joins = spark.createDataFrame([(1, 3, 1), (1, 2, 0), (2, 9, 0), (3, 2, 5)], "read_id long, other_id long, skip int")
+    got = rows_of(reads.concatenate(items, joins))
+    assert got == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (1, 3, "e"), (1, 4, "f"), (2, 0, "c"), (3, 0, "d"), (3, 1, "e"), (3, 2, "f")]
+    assert rows_of(reads.concatenate(items, joins.limit(0))) == rows_of(items)
+    pads = spark.createDataFrame([(2, 2, 0, "L"), (1, 0, 1, "R")], "read_id long, before int, after int, klass string")
+    padded = rows_of(reads.pad_reads(items, pads))
+    assert padded == [(1, 0, "a"), (1, 1, "b"), (1, 2, "R"), (2, 0, "L"), (2, 1, "L"), (2, 2, "c"), (3, 0, "d"), (3, 1, "e"), (3, 2, "f")]
+
+
+def test_softmax_nets_stop_and_slow_down():
+    rng = np.random.default_rng(3)
+    x = (rng.random((300, 20)) < 0.5).astype(float)
+    y = np.zeros((300, 5))
+    y[np.arange(300), (x[:, 0] > 0).astype(int)] = 1
+    args = ("softmax", 10, 60, 50, 0.02, 0.5, 1)
+    net, right = learn.train_net(x, y, *args)
+    told = learn.forward(x, net, "softmax")[1].argmax(axis=1)
+    assert right > 96 and len(set(told)) == 2
+    y[:] = [1, 0, 0, 0, 0]  # one answer is right for all rows
+    _, right = learn.train_net(x, y, *args)
+    assert right == 100
+
+
+def test_assess_counts_answers(spark):
+    sigs = spark.createDataFrame([(i, "acgt" if i % 2 else "tgca") for i in range(40)] + [(40, "ac  ")], "sig_id long, sig string")
+    models = learn.train(sigs, 4, range(4), rounds=40)
+    got = learn.assess(sigs, models, 4).collect()
+    assert sum(r.n for r in got) == 162 and sum(r.n for r in got if r.truth == r.predicted) > 150
