@@ -98,9 +98,9 @@ def assemble(spark: SparkSession, segments: DataFrame, template: str, cutoff: fl
     traced = stage(align.traces(inside, "seq", "template").select("row_id", F.col("kept").alias("seq"), "trace"), "traces")
     msa = stage(profile.blank_terminal_gaps(align.star_alignment(traced)), "star")
     width = (msa.agg(F.max("col")).first()[0] or -1) + 1
-    rows = profile.to_wide(msa, max(1, width)).select(F.lit(0).alias("family"), "row_id", "row")
+    rows = profile.to_wide(msa, max(1, width))
     if sweeps:
-        rows = stage(align.realign(rows, band, sweeps), "realigned")
+        rows = align.realign_rows(rows, band, sweeps)
     msa = stage(profile.blank_terminal_gaps(profile.to_long(rows)), "alignment")
     pairs = associate.scan(msa, min_distance=min_distance, min_size=min_size, min_shared=min_shared, sigmas=sigmas)
     columns = stage(associate.select_columns(associate.column_significance(pairs), most_columns, least_z), "columns")

@@ -82,6 +82,13 @@ class Scratch:
         self.paths.append(path)
         return out
 
+    def forget(self, last: bool) -> None:
+        """Remove the table staged last, or all those before it."""
+        gone = self.paths[-1:] if last else self.paths[:-1]
+        self.paths = self.paths[:-1] if last else self.paths[-1:]
+        for path in gone:
+            drop(self.spark, path)
+
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         return stage(df, label)
 

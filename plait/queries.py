@@ -588,6 +588,11 @@ def realign(spark, sf):
     return align.realign(rows)
 
 
+@query("realigned_rows")
+def realigned_rows(spark, sf):
+    return align.realign_rows(sigs(spark, sf).select(F.col("sig_id").alias("row_id"), F.col("sig").alias("row")), 4, 2)
+
+
 # --- association
 
 @query("association_scan", f"""WITH {_CELLS}, s AS (SELECT col, base, n, sum(n) OVER (PARTITION BY col) AS cov, max(n) OVER () AS maxcov FROM profile),

@@ -466,3 +466,20 @@ def test_assess_counts_answers(spark):
     models = learn.train(sigs, 4, range(4), rounds=40)
     got = learn.assess(sigs, models, 4).collect()
     assert sum(r.n for r in got) == 162 and sum(r.n for r in got if r.truth == r.predicted) > 150
+
+
+def test_realigned_rows_are_as_good_as_one_task(spark):
+    rng = random.Random(2)
+    base = "".join(rng.choice("acgt") for _ in range(50))
+    noisy = ["".join((rng.choice("acgt") if rng.random() < 0.04 else c) + (rng.choice("acgt") if rng.random() < 0.08 else "") for c in base if rng.random() > 0.08) for _ in range(60)]
+    traced = align.traces(spark.createDataFrame([(i, s, s, base) for i, s in enumerate(noisy)], "row_id long, kept string, seq string, template string"))
+    cells = profile.blank_terminal_gaps(align.star_alignment(traced.select("row_id", "trace", F.col("kept").alias("seq"))))
+    rows = rows_of(profile.to_wide(cells, cells.agg(F.max("col")).first()[0] + 1))
+    table = spark.createDataFrame([*rows, (100, None), (101, "  ")], "row_id long, row string")
+    score = lambda texts: align._pairs_score(align._column_counts(spark.createDataFrame([(t,) for t in texts], "row string"))[0])
+    got = rows_of(align.realign_rows(table, 1000, 20))
+    assert [r.replace("-", "").strip() for _, r in got] == [*[r.replace("-", "").strip() for _, r in rows], "", ""] and len({len(r) for _, r in got}) == 1
+    width = max(len(r) for _, r in rows)
+    one = align._realigned([r.ljust(width) for _, r in rows], 1000, 20)
+    assert score([r for _, r in got]) < score([r for _, r in rows]) and score([r for _, r in got]) < 1.01 * score(one)
+    assert rows_of(align.realign_rows(table.limit(0))) == []
