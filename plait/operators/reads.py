@@ -75,10 +75,11 @@ def global_number(items: DataFrame, order: list[str], name: str = "number", only
     return out.withColumn(name, F.when(F.col("__one") == 1, F.col("__before") + F.col("__n") - 1)).drop("__part", "__one", "__n", "__before")
 
 
-def flanks(items: DataFrame, order: list[str], flank: int, width: int, patterns: dict[str, str] | None = None) -> DataFrame:
+def flanks(items: DataFrame, order: list[str], flank: int, width: int, patterns: dict[str, str] | None = None, signed: bool = False) -> DataFrame:
     """(read_id, *order, klass, ext): each element's signature with ``flank`` characters of either side of its read.
 
-    An element without a signature is its class's pattern over and over; reads are padded with blanks.
+    An element without a signature is its class's pattern over and over; reads are padded with blanks.  ``signed``
+    returns elements with a signature only; the others still are in their neighbours' flanks.
     """
     own = F.col("sig")
     if patterns:
@@ -91,7 +92,9 @@ def flanks(items: DataFrame, order: list[str], flank: int, width: int, patterns:
     left = F.array_join(F.collect_list("own").over(w.rowsBetween(-need, -1)), "") if need else F.lit("")
     right = F.array_join(F.collect_list("own").over(w.rowsBetween(1, need)), "") if need else F.lit("")
     ext = F.concat(F.lpad(F.right(F.col("l"), F.lit(flank)), flank, " "), "own", F.rpad(F.left(F.col("r"), F.lit(flank)), flank, " "))
-    return items.withColumn("own", own).withColumn("l", left).withColumn("r", right).select("read_id", *order, "klass", ext.alias("ext"))
+    out = items.withColumn("own", own).withColumn("l", left).withColumn("r", right)
+    out = out.where("sig is not null") if signed else out
+    return out.select("read_id", *order, "klass", ext.alias("ext"))
 
 
 def island_minima(points: DataFrame, order: list[str], cutoff: float) -> DataFrame:

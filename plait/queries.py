@@ -266,6 +266,15 @@ def flank_extension(spark, sf):
     return reads.flanks(rows, ["y"], 6, 4, {"click": "ac", "view": "g"})
 
 
+@query("flank_extension_signed", f"""WITH {_READS}, own AS (SELECT *, CASE WHEN value < 20 THEN left(klass || '    ', 4) ELSE rpad('', 4, CASE klass WHEN 'click' THEN 'ac' WHEN 'view' THEN 'g' ELSE ' ' END) END AS own FROM items),
+w AS (SELECT *, coalesce(string_agg(own, '') OVER (PARTITION BY read_id ORDER BY y ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(own, '') OVER (PARTITION BY read_id ORDER BY y ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS r FROM own)
+SELECT read_id, y, klass, lpad(right(l, 6), 6, ' ') || own || rpad(left(r, 6), 6, ' ') AS ext FROM w WHERE value < 20""")
+def flank_extension_signed(spark, sf):
+    rows = items(spark, sf).withColumn("sig", F.when(F.col("value") < 20, F.substring(F.concat("klass", F.lit("    ")), 1, 4)))
+    return reads.flanks(rows, ["y"], 6, 4, {"click": "ac", "view": "g"}, signed=True)
+
+
 _ISLANDS = f"""{_READS}, m AS (SELECT *, value < 20 AS below, CASE WHEN value < 20 AND NOT coalesce(lag(value < 20) OVER (PARTITION BY read_id ORDER BY y), false) THEN 1 ELSE 0 END AS s FROM items),
 k AS (SELECT *, sum(s) OVER (PARTITION BY read_id ORDER BY y) - 1 AS island FROM m),
 islands AS (SELECT read_id, island::BIGINT AS island, count(*) AS n, min(value) AS best, arg_max(y, (-value, y)) AS "at" FROM k WHERE below GROUP BY read_id, island)"""

@@ -115,6 +115,13 @@ def test_flanks_of_short_reads(spark):
     assert got == {(1, 0): "   ac   ", (2, 0): "   gtxxc", (2, 1): " gtxxca ", (2, 2): "txxca   "}
 
 
+def test_flanks_of_signed_elements_only(spark):
+    items = spark.createDataFrame([(2, 0, "No", "gt"), (2, 1, "Li", None), (2, 2, "No", "ca"), (3, 0, "Li", None)], "read_id int, y int, klass string, sig string")
+    got = {(r.read_id, r.y): r.ext for r in reads.flanks(items, ["y"], 3, 2, {"Li": "x"}, signed=True).collect()}
+    assert got == {(2, 0): "   gtxxc", (2, 2): "txxca   "}
+    assert reads.flanks(items.limit(0), ["y"], 3, 2, signed=True).count() == 0
+
+
 def test_first_cut(spark):
     pts = spark.createDataFrame([(1, 5, "p"), (1, 10, "q"), (1, 11, "r"), (2, 1, "s")], "k int, pos int, name string")
     cuts = spark.createDataFrame([(1, 10), (1, 7)], "k int, cut int")
