@@ -120,3 +120,43 @@ pure AS (SELECT host, template, (sum(bad) + 4.0::DOUBLE * any_value(host_rate))
 SELECT page_id, r.host, path, rule, coalesce(say, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, n.template
 FROM rows r JOIN named n ON r.host = n.host AND r.segs = n.segs JOIN pure u ON n.host = u.host AND n.template = u.template
 """
+
+_ASSIGNED = """
+a{k} AS (
+  SELECT x.r, x.p, (min((x.xx - 2 * list_inner_product(x.x, b.c) + list_inner_product(b.c, b.c)) * 256 + b.e))::BIGINT AS m
+  FROM x JOIN b{k} b ON x.p = b.p GROUP BY x.r, x.p
+)"""
+_MOVED = """
+s{k} AS (
+  SELECT p, e, i, sum(c)::BIGINT AS s, count(*) AS n
+  FROM (SELECT x.p, a.m % 256 AS e, unnest(range(len(x.x))) AS i, unnest(x.x)::BIGINT AS c FROM x JOIN a{k} a ON x.r = a.r AND x.p = a.p) GROUP BY p, e, i
+), b{n} AS (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c
+  FROM b{k} b LEFT JOIN (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS c FROM s{k} GROUP BY p, e) m ON b.p = m.p AND b.e = m.e
+)"""
+
+SQL["op12_vector_codes"] = (
+    """
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS (
+  SELECT r, p, x, list_inner_product(x, x) AS xx
+  FROM (SELECT r, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM kept, (SELECT unnest(range(4)) AS p))
+), b0 AS (
+  SELECT p, r - 1 AS e, x AS c FROM x WHERE r <= 256
+),"""
+    + ",".join(_ASSIGNED.format(k=k) + "," + _MOVED.format(k=k, n=k + 1) for k in range(4))
+    + ","
+    + _ASSIGNED.format(k=4)
+    + """, digest AS (
+  SELECT sha256(string_agg(c, ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(range(len(c))) AS i, unnest(c)::BIGINT::VARCHAR AS c FROM b4)
+), coded AS (
+  SELECT k.vec_id, k.label, string_agg(lower(lpad(to_hex(a.m % 256), 2, '0')), '' ORDER BY a.p) AS code, sum(a.m // 256)::BIGINT AS error
+  FROM a4 a JOIN kept k ON a.r = k.r GROUP BY k.r, k.vec_id, k.label
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, digest
+"""
+)
