@@ -99,7 +99,7 @@ def test_only_violated_parts_are_scanned_again(spark, monkeypatch):
     monkeypatch.setattr(heaplloyd, "_scan", lambda x, *a, f=heaplloyd._scan: (seen.append(len(x)), f(x, *a))[1])
     heaplloyd._later(x, heaps, books, float)
     assert seen == [0]
-    books = books.moved_to(np.array([[[900], [1000], [2000], [3000]]], object))
+    books = books.moved_to(np.array([[[990], [1000], [2000], [3000]]], object))
     heaps, sums = heaplloyd._later(x, heaps, books, float)
     assert 0 < seen[-1] < len(x)
 
