@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm import audio, decontam, heaplloyd, langid, linededup, mixing, quality, secrets, simhash, tokens, urls
+from plait.llm import audio, collocations, decontam, heaplloyd, langid, linededup, mixing, onebit, quality, secrets, simhash, tokens, urls
 from plait.llm.sql import SQL as SQL
 
 
@@ -61,10 +61,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heaplloyd.compress(_table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return onebit.search(rows, onebit.every(rows, 20))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_prints": op1_audio_prints,
     "op2_quality": op2_quality,
@@ -76,5 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
+    "op11_collocations": op11_collocations,
     "op12_vector_codes": op12_vector_codes,
+    "op13_nearest": op13_nearest,
 }

@@ -160,3 +160,54 @@ WITH kept AS (
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, digest
 """
 )
+
+SQL["op13_nearest"] = """
+WITH kept AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  -- summed in the order of the components
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2]), lambda a, b: a + b) AS score
+  FROM kept q JOIN kept c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM pairs
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+SQL["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
+), grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k)
+), f AS (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), wide AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), longer AS (
+  SELECT lang, phrase, max(f) AS most FROM (
+    SELECT lang, f, array_to_string(w[i : i + n - 1], ' ') AS phrase
+    FROM (SELECT lang, f, w, n, unnest(range(1, k - n + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS n FROM wide))
+  ) GROUP BY lang, phrase
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, (2000000 * c.f) // (l.f + r.f) AS score, c.j
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM wide) c
+  JOIN f l ON l.lang = c.lang AND l.k = c.j AND l.phrase = array_to_string(c.w[1 : c.j], ' ')
+  JOIN f r ON r.lang = c.lang AND r.k = c.k - c.j AND r.phrase = array_to_string(c.w[c.j + 1 : c.k], ' ')
+), best AS (
+  SELECT c.*, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS place FROM cuts c
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase
+  WHERE b.place = 1 AND (g.most IS NULL OR 100 * g.most < 80 * b.a)
+)
+SELECT r.lang, r.rank, r.phrase, r.a::BIGINT AS a, r.l::BIGINT AS l, r.r::BIGINT AS r, t.n, r.score::BIGINT AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
