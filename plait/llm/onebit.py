@@ -12,7 +12,8 @@ its estimate and ``sigmas`` widths reach what the query has found already, so th
 vectors and only a vector that is off by more than so many widths is missed (about one in 30,000 of those at the limit).
 
 Lists and queries of a list are cut into shares of bounded size, so a task holds one share of either however many vectors
-fall into a list; each share returns the few best of each query.
+fall into a list; each share returns the few best of each query.  A search goes in rounds over hash-drawn parts of the
+classes, each some eight times the one before: what a round found bounds what the next returns to some eight times ``k`` a query.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from plait.llm.vectors import usable
 from plait.plans.staging import Scratch
 
 #: Classes in a list on average, most lists, and sampled classes a list; the sample holds at most so many numbers.
-LIST, LISTS, EACH, NUMBERS = 2048, 1024, 16, 1 << 22
+LIST, LISTS, EACH, NUMBERS = 2048, 1024, 64, 1 << 22
+#: How many times the classes of a round, at most, are those of the next.
+GROWTH = 8
 #: Classes and queries that a task compares; queries at a time.
 SHARE, QUERIES, AT_ONCE = 16384, 4096, 256
 SEED = 42
@@ -100,7 +103,10 @@ def _index(classes: DataFrame, width: int, index: Index) -> DataFrame:
 
 
 def _probes(queries: DataFrame, width: int, index: Index, longest: dict[int, float], k: int) -> DataFrame:
-    """``queries(q, v)`` → (q, v, least, lists): a score that the last neighbour has at least, and the lists that may hold one."""
+    """``queries(q, v, floor)`` → (q, v, least, lists): a score that the last neighbour has at least, and the lists that may hold one.
+
+    ``floor`` is such a score that is known already, or null.
+    """
     shared = queries.sparkSession.sparkContext.broadcast((index, longest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +121,13 @@ def _probes(queries: DataFrame, width: int, index: Index, longest: dict[int, flo
                 if len(index.sample) > k:
                     least = np.partition(x @ index.sample.T, -(k + 1), axis=1)[:, -(k + 1)]
                     least -= 1e-9 * np.abs(least)
+                least = np.fmax(least, part.column(2).to_numpy(zero_copy_only=False))
                 most = x @ index.centres[there].T + np.sqrt((x * x).sum(axis=1))[:, None] * reach
                 far = most * (1 + 1e-9 * np.sign(most)) < least[:, None]
                 lists = pa.array([there[~f].astype(np.int32) for f in far], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least), lists], ["q", "v", "least", "lists"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(least), lists], ["q", "v", "least", "lists"])
 
-    return queries.select("q", "v").mapInArrow(run, with_fields(queries, ["q", "v"], least="double", lists="array<int>"))
+    return queries.select("q", "v", "floor").mapInArrow(run, with_fields(queries, ["q", "v"], least="double", lists="array<int>"))
 
 
 def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -220,26 +227,41 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
         if not drawn:
             drawn, lists = classes.select("v").limit(1).collect(), 1
         index = Index(np.array([r.v for r in drawn], float), min(lists, len(drawn)), bits)
-        coded = scratch.stage(_index(classes, width, index), "codes")
-        sizes = {r.list: r for r in coded.groupBy("list").agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect()}
+        rounds = 1 + max(0, math.ceil(math.log(n / len(drawn), GROWTH)) - 1)
+        # the last round has all but an eighth of the classes, the one before all but an eighth of that, and so on
+        u = F.pmod(F.xxhash64(F.lit(SEED), "v"), F.lit(1 << 40)) / float(1 << 40)
+        turn = sum((F.when(u >= GROWTH ** -float(r), 1).otherwise(0) for r in range(1, rounds)), F.lit(0)).cast("int")
+        coded = scratch.stage(_index(classes, width, index).withColumn("round", turn), "codes")
+        sizes = {(r.round, r.list): r for r in coded.groupBy("round", "list").agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect()}
         distinct = scratch.stage(asked.select("v").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
-        probes = scratch.stage(_probes(distinct, width, index, {e: r.longest for e, r in sizes.items()}, k).withColumn("list", F.explode("lists")).drop("lists"), "probes")
-        turns = {r.list: r.n for r in probes.groupBy("list").agg(F.count("*").alias("n")).collect()}
-        if not turns:
-            return spark.createDataFrame([], empty)
-        of = _shares({e: r.n for e, r in sizes.items()}, SHARE)
-        by_turn = _shares(turns | {e: 0 for e in sizes if e not in turns}, QUERIES)
-        whole = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        left = coded.where(F.col("list").isin(list(turns))).withColumn("share", F.pmod(F.hash("v"), of)).withColumn("turn", whole(by_turn)).drop("length")
-        right = probes.withColumn("turn", F.pmod(F.hash("q"), by_turn)).withColumn("share", whole(of))
-        found = scratch.stage(_found(left, right, width, index, k, sigmas), "found")
-        best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0].isNull(), F.col("ids")[0]))
         each = F.transform("ids", lambda x: F.struct((-F.col("score")).alias("far"), x.isNull().alias("none"), x.alias("id")))
-        top = found.withColumn("place", best).where(F.col("place") <= k + 1).groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(each))), 1, k + 1).alias("near"))
-        answers = scratch.keep(distinct.join(top, "q").select("v", "near"), "answers")
+        best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0].isNull(), F.col("ids")[0]))
+        whole = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        floor, found, top = distinct.withColumn("floor", F.lit(None).cast("double")), None, None
+        for r in range(rounds):
+            own = {e: x for (at, e), x in sizes.items() if at == r}
+            if not own:
+                continue
+            probes = _probes(floor, width, index, {e: x.longest for e, x in own.items()}, k).withColumn("list", F.explode("lists")).drop("lists")
+            probes = scratch.stage(probes, "probes")
+            turns = {x.list: x.n for x in probes.groupBy("list").agg(F.count("*").alias("n")).collect()}
+            if not turns:
+                continue
+            of, by_turn = _shares({e: x.n for e, x in own.items()}, SHARE), _shares({e: turns.get(e, 0) for e in own}, QUERIES)
+            left = coded.where((F.col("round") == r) & F.col("list").isin(list(turns))).withColumn("share", F.pmod(F.hash("v"), of)).withColumn("turn", whole(by_turn)).drop("length", "round")
+            right = probes.withColumn("turn", F.pmod(F.hash("q"), by_turn)).withColumn("share", whole(of))
+            new = scratch.stage(_found(left, right, width, index, k, sigmas), "found")
+            found = new if found is None else found.unionByName(new)
+            near = found.withColumn("place", best).where(F.col("place") <= k + 1).groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(each))), 1, k + 1).alias("near"))
+            top = scratch.stage(near, "near")
+            last = F.when(F.size("near") > k, -F.col("near")[k]["far"])
+            floor = distinct.join(top.hint("merge"), "q", "left").select("q", "v", last.alias("floor"))
+        if top is None:
+            return spark.createDataFrame([], empty)
+        answers = scratch.keep(distinct.join(top.hint("merge"), "q").select("v", "near"), "answers")
     own = F.coalesce(F.array_position(F.transform("near", lambda x: x["id"]), F.col("id")), F.lit(0))
     others = F.slice(F.filter("near", lambda x, i: i + 1 != own), 1, k)
-    out = asked.join(answers, "v").select("id", F.posexplode(others).alias("place", "n"))
+    out = asked.join(answers.hint("merge"), "v").select("id", F.posexplode(others).alias("place", "n"))
     return out.select(F.col("id").alias("query_id"), (F.col("place") + 1).cast("int").alias("rank"), F.col("n.id").alias("vec_id"), (-F.col("n.far")).alias("score"))
 
 
