@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plait.functions import bases as B
+from plait.operators import align
 from plait.plans.staging import folder
-from plait.queries import _CELLS, items, query, sigs, table
+from plait.queries import _CELLS, _LAST_ROWS, items, query, sigs, table
 from plait.sources import text
 
 _LETTERS, _TO = "bdefhijklmnopqrsuvwxyz", "acgtacgtacgtacgtacgtac"
@@ -66,6 +67,50 @@ def signature_file(spark, sf):
     return text.signatures(spark, path)
 
 
+#: Every seventh row loses its end, every fifth gets a letter that is no base.
+_SPOILT = "CASE WHEN row_id % 7 = 3 THEN sig[1:40] WHEN row_id % 5 = 1 THEN 'x' || sig[2:] ELSE sig END"
+_CHECKED = f"""{_CELLS}, l AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS sig_id, {_SPOILT} AS sig FROM sigs),
+m AS (SELECT length(sig) AS w FROM l GROUP BY w ORDER BY count(*) DESC, w DESC LIMIT 1),
+r AS (SELECT sig_id, sig, CASE WHEN length(sig) <> w THEN 'width' WHEN translate(sig, 'acgt- ', '') <> '' THEN 'alphabet' END AS reason FROM l, m)"""
+
+
+def _checked(spark, sf):
+    path = folder(spark, "spoilt")
+    spoilt = F.when(F.col("sig_id") % 7 == 3, F.left("sig", F.lit(40))).when(F.col("sig_id") % 5 == 1, F.concat(F.lit("x"), F.expr("substring(sig, 2)"))).otherwise(F.col("sig"))
+    text.write_signatures(sigs(spark, sf).select("sig_id", spoilt.alias("sig")), path)
+    return text.checked_signatures(spark, path)
+
+
+@query("rejected_signatures", f"WITH {_CHECKED} SELECT sig_id, sig, reason FROM r WHERE reason IS NOT NULL")
+def rejected_signatures(spark, sf):
+    return _checked(spark, sf).rejected
+
+
+@query("accepted_signatures", f"WITH {_CHECKED} SELECT sig_id, sig FROM r WHERE reason IS NULL")
+def accepted_signatures(spark, sf):
+    return _checked(spark, sf).rows
+
+
+@query("rejection_counts", f"WITH {_CHECKED} SELECT coalesce(reason, 'all') AS reason, count(*) AS n FROM (SELECT reason FROM r WHERE reason IS NOT NULL UNION ALL SELECT NULL FROM r) GROUP BY reason")
+def rejection_counts(spark, sf):
+    return spark.createDataFrame(sorted(_checked(spark, sf).counts.items()), "reason string, n long")
+
+
+@query("mapping_filter", """WITH RECURSIVE pairs AS (SELECT DISTINCT lower(p_type) AS a, p_name AS b FROM part),
+""" + _LAST_ROWS + """ SELECT p_partkey, list_min(r) AS dist, length(p_type) AS len FROM part JOIN dp ON lower(p_type) = a AND p_name = b AND i = length(a) WHERE list_min(r) < 0.75::DOUBLE * length(p_type)""")
+def mapping_filter(spark, sf):
+    placed = align.place(table(spark, sf, "part").select("p_partkey", F.length("p_type").alias("len"), F.lower("p_type").alias("p_type"), "p_name"), "p_type", "p_name")
+    return text.checked_placements(placed.select("p_partkey", "dist", "len"), 0.75).rows
+
+
+@query("cluster_file", """WITH c AS (SELECT c_nationkey, list(c_custkey ORDER BY c_custkey) AS m FROM customer GROUP BY c_nationkey HAVING count(*) > 1),
+n AS (SELECT row_number() OVER (ORDER BY c_nationkey) - 1 AS cluster_id, m FROM c) SELECT cluster_id, (unnest(range(len(m))))::INTEGER AS pos, unnest(m)::BIGINT AS i FROM n""")
+def cluster_file(spark, sf):
+    path = folder(spark, "clusters")
+    text.write_clusters(table(spark, sf, "customer").select(F.col("c_nationkey").alias("cluster_id"), F.col("c_custkey").alias("i")), path)
+    return text.numbered_lists(spark, path).select(F.col("read_id").alias("cluster_id"), "pos", F.col("seg_id").alias("i"))
+
+
 @query("class_file", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS seg_id, c_mktsegment AS klass FROM customer")
 def class_file(spark, sf):
     path = folder(spark, "classes")

@@ -139,3 +139,63 @@ def mean_position(members: DataFrame) -> DataFrame:
 def start_cluster(members: DataFrame, least: int = 10) -> DataFrame:
     """One row: the cluster over ``least`` members with the smallest mean position."""
     return mean_position(members).where(F.col("size") > least).orderBy("mean_y", "cluster_id").limit(1)
+
+
+def report(raw: DataFrame, corrected: DataFrame, truth: DataFrame, members: DataFrame, inner: bool = True) -> DataFrame:
+    """All measures of a correction and its layout in one table, a row for all, each copy, layer and cluster.
+
+    ``raw``, ``corrected`` (row_id, col, base), ``truth(row_id, copy_id)``, ``members(row_id, cluster_id, layer)`` → (level, id, cells,
+    errors, cells_after, errors_after, unlike_after, minor, minor_errors, minor_after, minor_errors_after, columns, collapsed,
+    placed, right, in_place, copy_id).
+
+    Errors compare with a copy's consensus of the raw rows (the commonest base, ties in the order ``acgt-``), ``unlike_after``
+    with that of the corrected rows.  Minor cells are those in whose column fewer copies have this consensus than have the
+    commonest, no consensus being one of its own.  ``columns`` have a consensus before and after, ``collapsed`` another one.
+    ``inner`` leaves the first and the last copy out of these.  ``placed`` rows have a cluster, ``right`` of them are of
+    the commonest copy (``copy_id``, ties to the smaller), and ``in_place`` are those ``right`` rows where that copy is the layer's number;
+    for all they are the sums over layers.  Rows without a copy count for nothing; blanks and nulls are no cells.
+    """
+    known = truth.where("copy_id is not null").select("row_id", "copy_id")
+    ends = known.agg(F.min("copy_id").alias("least"), F.max("copy_id").alias("last"))
+    within = (F.col("copy_id") > F.col("least")) & (F.col("copy_id") < F.col("last")) if inner else F.lit(True)
+    counted = known.crossJoin(F.broadcast(ends)).where(within).select("row_id", "copy_id")  # one row of ends
+    cells = lambda d: d.where("base != ' '").join(counted, "row_id").select("row_id", F.col("copy_id").alias("grp"), "col", "base")
+    before, after = cells(raw), cells(corrected)
+    old, new = clear_consensus(before, strict=False), clear_consensus(after, strict=False).withColumnRenamed("base", "new")
+    held = old.groupBy("col", "base").agg(F.count("*").alias("copies"))
+    copies = counted.agg(F.count_distinct("copy_id").alias("copies_all"))
+    most = held.groupBy("col").agg(F.max("copies").alias("most"), F.sum("copies").alias("covered")).crossJoin(F.broadcast(copies))  # one row of copies
+    most = most.select("col", F.greatest("most", F.col("copies_all") - F.col("covered")).alias("most"))
+    want = old.join(held, ["col", "base"]).join(most, "col").select("grp", "col", F.col("base").alias("want"), (F.col("copies") < F.col("most")).alias("minor"))
+    want = want.join(new, ["grp", "col"], "full")
+    both = before.withColumnRenamed("base", "was").join(after.withColumnRenamed("base", "now"), ["row_id", "grp", "col"], "full").join(want, ["grp", "col"])
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    was, now = F.col("was").isNotNull() & F.col("want").isNotNull(), F.col("now").isNotNull() & F.col("want").isNotNull()
+    wrong, wrong_now, minor = F.col("was") != F.col("want"), F.col("now") != F.col("want"), F.col("minor")
+    measures = {
+        "cells": one(was), "errors": one(wrong), "cells_after": one(now), "errors_after": one(wrong_now), "unlike_after": one(F.col("now") != F.col("new")),
+        "minor": one(minor & was), "minor_errors": one(minor & wrong), "minor_after": one(minor & now), "minor_errors_after": one(minor & wrong_now),
+    }
+    pairs = {"columns": one(F.col("want").isNotNull() & F.col("new").isNotNull()), "collapsed": one(F.col("want") != F.col("new"))}
+    names = [*measures, *pairs, "placed"]
+    by_row = both.select("row_id", F.col("grp").alias("copy_id"), *[c.alias(n) for n, c in measures.items()]).groupBy("row_id", "copy_id").agg(*[F.sum(n).alias(n) for n in measures])
+    placed = known.join(members.where("layer is not null and cluster_id is not null").select("row_id", "cluster_id", "layer"), "row_id", "left")
+    rows = placed.join(by_row, ["row_id", "copy_id"], "left").withColumn("placed", F.col("cluster_id").isNotNull().cast("long"))
+    wide = lambda d: d.select("copy_id", "layer", "cluster_id", *[(F.col(n) if n in d.columns else F.lit(0)).cast("long").alias(n) for n in names])
+    lost = want.select(F.col("grp").alias("copy_id"), F.lit(None).cast(placed.schema["layer"].dataType).alias("layer"), F.lit(None).cast(placed.schema["cluster_id"].dataType).alias("cluster_id"), *[c.alias(n) for n, c in pairs.items()])
+    facts = wide(rows).unionByName(wide(lost))
+    sets = [["copy_id"], ["layer", "copy_id"], ["cluster_id", "copy_id", "layer"]]
+    keyed = facts.groupingSets([[F.col(c) for c in s] for s in sets], *map(F.col, ["copy_id", "layer", "cluster_id"])).agg(F.grouping_id().alias("set"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    # the second step holds a row for each copy of a layer or cluster
+    level = F.when(F.col("set") == 3, "copy").when(F.col("set") == 1, "layer").otherwise("cluster")
+    ids = F.when(F.col("set") == 3, F.col("copy_id")).when(F.col("set") == 1, F.col("layer")).otherwise(F.col("cluster_id")).cast("long")
+    own = keyed.withColumn("level", level).withColumn("id", ids).where("id is not null")
+    best = F.struct("placed", -F.col("copy_id"))
+    each = own.groupBy("level", "id").agg(*[F.sum(n).alias(n) for n in names], F.max("placed").alias("right"), F.max_by("copy_id", best).cast("long").alias("copy_id"), F.max_by("layer", best).cast("long").alias("layer"))
+    is_copy, is_layer = F.col("level") == "copy", F.col("level") == "layer"
+    each = each.withColumn("in_place", F.when(F.col("copy_id") == F.col("layer"), F.col("right")).otherwise(0))
+    right = {"right": F.when(~is_copy, F.col("right")), "in_place": F.when(~is_copy, F.col("in_place"))}
+    own = F.struct("level", "id", *names, *[c.alias(n) for n, c in right.items()], F.when(~is_copy & (F.col("placed") > 0), F.col("copy_id")).alias("copy_id"))
+    total = F.struct(F.lit("all").alias("level"), F.lit(None).cast("long").alias("id"), *[F.when(is_copy, F.col(n)).otherwise(0).alias(n) for n in names], *[F.when(is_layer, F.col(n)).otherwise(0).alias(n) for n in right], F.lit(None).cast("long").alias("copy_id"))
+    out = each.select(F.inline(F.when(F.col("level") == "cluster", F.array(own)).otherwise(F.array(own, total))))
+    return out.groupBy("level", "id").agg(*[F.sum(n).alias(n) for n in [*names, *right]], F.max("copy_id").alias("copy_id"))

@@ -131,19 +131,24 @@ def train(sigs: DataFrame, width: int, columns: range, flank: int = 0, kind: str
     return todo.groupBy("v").applyInPandas(fit, MODEL)
 
 
-def predict(sigs: DataFrame, models: DataFrame, width: int, flank: int = 0, kind: str = "tanh", mask: bool = True) -> DataFrame:
-    """``sigs`` with each column of ``sig`` (its middle ``width``) replaced by its network's answer; blanks stay with ``mask``.
-
-    The networks, whose size the width alone sets, are broadcast.
-    """
-    full = width + 2 * flank
+def _side_by_side(models: DataFrame, flank: int, exact: bool) -> list[tuple]:
+    """Columns, and their networks' weights as one matrix and stacks, ``NET_BLOCK`` at a time."""
     nets = {r.v: (np.array(r.w0).reshape(-1, len(r.b0)), np.array(r.b0), np.array(r.w1).reshape(len(r.b0), 5), np.array(r.b1)) for r in models.toLocalIterator()}
-    blocks = []  # the networks of some columns side by side; a column's own symbol weighs nothing in its network
+    blocks = []  # a column's own symbol weighs nothing in its network
     for first in range(0, len(nets), NET_BLOCK):
         part = sorted(nets)[first : first + NET_BLOCK]
-        w0 = np.concatenate([np.insert(nets[v][0], [5 * (v + flank)] * 5, 0, axis=0) for v in part], axis=1).astype(np.float32)
+        w0 = np.concatenate([np.insert(nets[v][0], [5 * (v + flank)] * 5, 0, axis=0) for v in part], axis=1).astype(float if exact else np.float32)
         blocks.append((np.array(part), w0, np.concatenate([nets[v][1] for v in part]), np.stack([nets[v][2] for v in part]), np.stack([nets[v][3] for v in part])))
-    shared = sigs.sparkSession.sparkContext.broadcast(blocks)
+    return blocks
+
+
+def predict(sigs: DataFrame, models: DataFrame, width: int, flank: int = 0, kind: str = "tanh", mask: bool = True, exact: bool = False) -> DataFrame:
+    """``sigs`` with each column of ``sig`` (its middle ``width``) replaced by its network's answer; blanks stay with ``mask``.
+
+    The networks, whose size the width alone sets, are broadcast.  ``exact`` works in doubles throughout.
+    """
+    full = width + 2 * flank
+    shared = sigs.sparkSession.sparkContext.broadcast(_side_by_side(models, flank, exact))
     letters = np.array(list(BASES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,31 +169,109 @@ def predict(sigs: DataFrame, models: DataFrame, width: int, flank: int = 0, kind
     return sigs.select("sig_id", "sig").mapInArrow(run, f"sig_id {sigs.schema['sig_id'].dataType.simpleString()}, sig string")
 
 
-def assess(sigs: DataFrame, models: DataFrame, width: int) -> DataFrame:
+def _sums(sigs: DataFrame, models: DataFrame, width: int, flank: int, kind: str) -> DataFrame:
+    """(v, layer, unit, total, n) over the signatures that cover a column, which may be added up.
+
+    Layers 0 and 1 are the sums of hidden and output activations; layer 2 has the quadratic cost, the right answers, and
+    for each symbol how often it is the truth (units 2 to 6) and the answer (7 to 11).
+    """
+    full = width + 2 * flank
+    shared = sigs.sparkSession.sparkContext.broadcast(_side_by_side(models, flank, True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        added: dict[int, list] = {}
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                texts = [(s or "") for s in batch.column(0).slice(first, 1024).to_pylist()]
+                hot = one_hot(texts, full).astype(float)
+                for columns, w0, b0, w1, b1 in shared.value:
+                    h = hot @ w0 + b0
+                    h = (np.tanh(h) if kind == "tanh" else 1 / (1 + np.exp(-h))).reshape(len(texts), len(columns), -1)
+                    z = np.einsum("rkh,khc->rkc", h, w1) + b1
+                    z = 1 / (1 + np.exp(-z)) if kind == "tanh" else np.exp(z - z.max(axis=2, keepdims=True))
+                    z = z if kind == "tanh" else z / z.sum(axis=2, keepdims=True)
+                    y = hot.reshape(len(texts), full, 5)[:, columns + flank]
+                    seen = y.sum(axis=2) > 0.5
+                    told = np.eye(5)[z.argmax(axis=2)] * seen[:, :, None]
+                    facts = [((z - y) ** 2).sum(axis=2) / 2 * seen, (told * y).sum(axis=2)]
+                    last = np.concatenate([np.stack(facts, axis=2).sum(axis=0), y.sum(axis=0), told.sum(axis=0)], axis=1)
+                    made = [(h * seen[:, :, None]).sum(axis=0), (z * seen[:, :, None]).sum(axis=0), last]
+                    for k, v in enumerate(columns.tolist()):
+                        old = added.get(v, [0, 0, 0, 0])
+                        added[v] = [old[0] + seen[:, k].sum(), *[o + m[k] for o, m in zip(old[1:], made)]]
+        rows = [(v, layer, unit, float(x), int(n)) for v, (n, *layers) in added.items() for layer, units in enumerate(layers) for unit, x in enumerate(units)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64()))], ["v", "layer", "unit", "total", "n"])
+
+    parts = sigs.select("sig").mapInArrow(run, "v int, layer int, unit int, total double, n bigint")
+    return parts.groupBy("v", "layer", "unit").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def activations(sigs: DataFrame, models: DataFrame, width: int, flank: int = 0, kind: str = "tanh") -> DataFrame:
+    """(v, layer, unit, n, mean): the mean activation of each hidden (layer 0) and output unit (1) of each column's network.
+
+    Over the ``n`` signatures that cover the column; a column that none covers has null means.  Null signatures cover
+    none; no signatures give no rows.
+    """
+    sums = _sums(sigs, models, width, flank, kind).where("layer < 2")
+    return sums.select("v", "layer", "unit", "n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("mean"))
+
+
+def accuracy(sigs: DataFrame, models: DataFrame, width: int, flank: int = 0, kind: str = "tanh", decay: float = 0.0) -> DataFrame:
+    """(v, n, cost, correct, targets, answers): each network's mean cost, percent right (one decimal, cut off) and histograms.
+
+    The cost is half the squared error plus ``decay`` times the squares of all weights and biases; histograms are arrays
+    of counts in the order ``acgt-``.  Columns that no signature covers have nulls and zeros.
+    """
+    squares = lambda c: F.aggregate(F.transform(c, lambda x: x * x), F.lit(0.0), lambda a, b: a + b)
+    weights = models.select("v", (decay * (squares("w0") + squares("w1") + squares("b0") + squares("b1"))).alias("decay"))
+    units = F.array_sort(F.collect_list(F.struct("unit", "total")))  # twelve of a network
+    sums = _sums(sigs, models, width, flank, kind).where("layer = 2").groupBy("v").agg(F.max("n").alias("n"), F.transform(units, lambda x: x["total"]).alias("t"))
+    out = sums.join(weights, "v")
+    whole = lambda first: F.transform(F.slice("t", first, 5), lambda x: x.cast("long"))
+    given = F.col("n") > 0
+    return out.select("v", "n", F.when(given, F.col("t")[0] / F.col("n") + F.col("decay")).alias("cost"), F.when(given, F.floor(F.col("t")[1] * 1000 / F.col("n")) / 10).alias("correct"),
+                      whole(3).alias("targets"), whole(8).alias("answers"))
+
+
+def assess(sigs: DataFrame, models: DataFrame, width: int, exact: bool = False) -> DataFrame:
     """``sigs(sig_id, sig)`` → (v, truth, predicted, n): how often a column's network answers what for which symbol; blanks do not count."""
-    answers = predict(sigs, models, width).withColumnRenamed("sig", "new")
+    answers = predict(sigs, models, width, exact=exact).withColumnRenamed("sig", "new")
     both = sigs.select("sig_id", "sig").join(answers, "sig_id")
     cells = both.select(F.posexplode(F.arrays_zip(F.split("sig", "").alias("truth"), F.split("new", "").alias("predicted"))).alias("v", "x"))
     return cells.select("v", "x.truth", "x.predicted").where("truth != ' '").groupBy("v", "truth", "predicted").agg(F.count("*").alias("n"))
 
 
-def correct(sigs: DataFrame, models: DataFrame, width: int, rounds: int = 5, kind: str = "tanh", mask: bool = True, lag: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(corrected, first pass): ``rounds`` of prediction, then symbols that still change go back to the original."""
-    now, seen, first = sigs.select("sig_id", "sig"), [sigs.select("sig_id", "sig").withColumn("round", F.lit(0))], None
+def correct(sigs: DataFrame, models: DataFrame, width: int, rounds: int = 5, kind: str = "tanh", mask: bool = True, lag: int = 1, sizes: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(corrected, first pass): ``rounds`` of prediction, then symbols that still change go back to the original.
+
+    What a round leaves as it was stays so, as a signature's answers depend on it alone; so only signatures that
+    changed go into the next round, and the rounds stop when none does.  ``sizes``, a list, is given the number of signatures of
+    each round.  Ids are unique; null signatures become blanks without ``mask``, with it they stay blank.
+    """
+    begun = sigs.select("sig_id", F.rpad(F.coalesce("sig", F.lit("")), F.lit(width), F.lit(" ")).alias("sig"))
+    now, kept, first = stage(begun, "round"), [begun.withColumn("round", F.lit(0))], None
     for k in range(1, rounds + 1):
-        now = stage(predict(now, models, width, kind=kind, mask=mask), "round")
-        first = first or now
-        seen.append(now.withColumn("round", F.lit(k)))
-    return _settled(seen, rounds, lag), first
+        new = stage(predict(now, models, width, kind=kind, mask=mask).join(now.withColumnRenamed("sig", "old"), "sig_id"), "round")
+        first = first if first is not None else new.select("sig_id", "sig")
+        now = new.where(F.col("sig") != F.col("old")).select("sig_id", "sig")
+        kept.append(now.withColumn("round", F.lit(k)))
+        left = now.count()
+        if sizes is not None:
+            sizes.append(left)
+        if not left:
+            break
+    return _settled_changes(kept, rounds, lag), first
 
 
-def _settled(seen: list[DataFrame], rounds: int, lag: int) -> DataFrame:
-    """The last round's signatures, symbols that still change as they were at first."""
-    every = seen[0]
-    for s in seen[1:]:
+def _settled_changes(kept: list[DataFrame], rounds: int, lag: int) -> DataFrame:
+    """As ``_settled`` of signatures that are kept for the rounds that changed them only."""
+    every = kept[0]
+    for s in kept[1:]:
         every = every.unionByName(s)
-    cells = every.select("sig_id", "round", F.posexplode(F.split("sig", "")).alias("v", "base"))
-    return stable_symbols(cells, rounds, lag).groupBy("sig_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("v", "base"))), lambda x: x["base"]), "").alias("sig"))
+    until = lambda k: F.max_by("sig", F.when(F.col("round") <= k, F.col("round")))
+    at = every.groupBy("sig_id").agg(until(0).alias("first"), until(rounds - lag).alias("before"), until(rounds).alias("last"))
+    symbols = F.arrays_zip(*[F.split(c, "").alias(c) for c in ("first", "before", "last")])
+    return at.select("sig_id", F.array_join(F.transform(symbols, lambda x: F.when(x["last"] == x["before"], x["last"]).otherwise(x["first"])), "").alias("sig"))
 
 
 def extended(items: DataFrame, flank: int, width: int, patterns: dict[str, str] | None = None) -> DataFrame:

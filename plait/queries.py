@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plait.functions import bases as B
-from plait.operators import align, associate, cluster, consensus, evaluate, graph, indel, learn, profile, reads
+from plait.operators import align, associate, cluster, consensus, evaluate, graph, indel, learn, overlap, profile, reads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -369,6 +369,14 @@ def oscillation(spark, sf):
     return reads.stable_symbols(rounds, 2)
 
 
+@query("oscillation_filter_lag", """WITH n AS (SELECT l_orderkey AS sig_id, l_linenumber::INTEGER AS v, min(l_returnflag) AS a, min(l_linestatus) AS b, CASE WHEN min(l_quantity) > 25 THEN 'A' ELSE 'R' END AS c, CASE WHEN min(l_discount) > 0.05::DOUBLE THEN 'F' ELSE 'O' END AS d FROM lineitem GROUP BY ALL)
+SELECT sig_id, v, CASE WHEN d = b THEN d ELSE a END AS base FROM n""")
+def oscillation_lag(spark, sf):
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("sig_id"), F.col("l_linenumber").alias("v")).agg(
+        F.min("l_returnflag").alias("a"), F.min("l_linestatus").alias("b"), F.when(F.min("l_quantity") > 25, "A").otherwise("R").alias("c"), F.when(F.min("l_discount") > 0.05, "F").otherwise("O").alias("d"))
+    return reads.stable_symbols(rows.select("sig_id", "v", F.posexplode(F.array("a", "b", "c", "d")).alias("round", "base")), 3, 2)
+
+
 @query("dedupe_cross_group", """SELECT DISTINCT l_suppkey AS grp, l_orderkey AS x, l_linenumber AS y FROM lineitem JOIN (SELECT l_orderkey AS a, l_linenumber AS b FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_suppkey) = 1) ON l_orderkey = a AND l_linenumber = b""")
 def dedupe_cross(spark, sf):
     return reads.only_in_one_group(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("grp"), F.col("l_orderkey").alias("x"), F.col("l_linenumber").alias("y"))).select("grp", "x", "y").distinct()
@@ -578,9 +586,31 @@ s AS (SELECT x, y, own, least(e, list_min(list_transform(list_filter(range(1, le
 w AS (SELECT x, y, max(score) FILTER (own) AS own, max(score) FILTER (NOT own) AS other FROM s GROUP BY x, y)
 SELECT i, j, round(coalesce(CASE WHEN coalesce(own, 1) > 0.3 THEN least(own, other) ELSE own END, 1), 9) AS score FROM n JOIN w USING (x, y)""")
 def overlap_pairs(spark, sf):
-    n = table(spark, sf, "nation")
-    a, b = n.select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("a")), n.select(F.col("n_nationkey").alias("j"), F.col("n_name").alias("b"))
-    return align.overlap_scores(a.join(F.broadcast(b), F.col("i") < F.col("j")), 4).select("i", "j", F.round("score", 9).alias("score"))
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("seg_id"), F.col("n_name").alias("seq"))
+    return overlap.tiled(n, 4, block=8).select("i", "j", F.round("score", 9).alias("score"))
+
+
+def event_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seg_id, seq): a user's events in order, a base each."""
+    base = F.get(F.array(*map(F.lit, "acgt")), F.pmod(F.hash("klass"), F.lit(4)))
+    rows = items(spark, sf_dir).select("read_id", F.struct("y", base.alias("b")).alias("x"))
+    return rows.groupBy("read_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "").alias("seq")).withColumnRenamed("read_id", "seg_id")
+
+
+@query("overlaps_of_reads")
+def overlaps_of_reads(spark, sf):
+    return overlap.tiled(event_reads(spark, sf), 24, 0.2, 0.4)
+
+
+@query("overlaps_proposed")
+def overlaps_proposed(spark, sf):
+    return overlap.proposed(event_reads(spark, sf), 24, 0.2, 0.4, k=6, window=3, drift=16)
+
+
+@query("overlap_groups")
+def overlap_groups(spark, sf):
+    rows = event_reads(spark, sf)
+    return overlap.overlap_groups(rows, overlap.proposed(rows, 24, 0.2, 0.4, k=6, window=3, drift=16), 0.36, 1)
 
 
 @query("star_alignment")
@@ -695,6 +725,36 @@ def correction_stats(spark, sf):
     return evaluate.correction_stats(solid(spark, sf), _fixed(spark, sf), 0, 1 << 40)
 
 
+_SUMS = "cells, errors, cells_after, errors_after, unlike_after, minor, minor_errors, minor_after, minor_errors_after"
+_EACH = ", ".join(f"sum({c})::BIGINT AS {c}" for c in f"{_SUMS}, columns, collapsed, placed".split(", "))
+
+
+@query("evaluation_report", f"""WITH {_CELLS}, {_FIXED}, ends AS (SELECT min(grp) AS lo, max(grp) AS hi FROM sigs),
+b AS (SELECT row_id, grp, col, base FROM solid, ends WHERE grp > lo AND grp < hi), a AS (SELECT row_id, grp, col, base FROM fixed, ends WHERE grp > lo AND grp < hi),
+old AS (SELECT grp, col, base AS want FROM (SELECT grp, col, base, count(*) AS n FROM b GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY grp, col ORDER BY n DESC, instr('acgt-', base)) = 1),
+new AS (SELECT grp, col, base AS new FROM (SELECT grp, col, base, count(*) AS n FROM a GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY grp, col ORDER BY n DESC, instr('acgt-', base)) = 1),
+held AS (SELECT col, want, count(*) AS copies FROM old GROUP BY ALL),
+most AS (SELECT col, greatest(max(copies), (SELECT count(DISTINCT grp) FROM sigs, ends WHERE grp > lo AND grp < hi) - sum(copies)) AS m FROM held GROUP BY col),
+want AS (SELECT * FROM (SELECT grp, col, want, copies < m AS minor FROM old JOIN held USING (col, want) JOIN most USING (col)) FULL JOIN new USING (grp, col)),
+c AS (SELECT row_id, want, minor, new, was, now FROM (SELECT row_id, grp, col, b.base AS was, a.base AS now FROM b FULL JOIN a USING (row_id, grp, col)) JOIN want USING (grp, col)),
+per AS (SELECT row_id, count_if(was IS NOT NULL AND want IS NOT NULL) AS cells, count_if(was <> want) AS errors, count_if(now IS NOT NULL AND want IS NOT NULL) AS cells_after, count_if(now <> want) AS errors_after,
+  count_if(now <> new) AS unlike_after, count_if(minor AND was IS NOT NULL) AS minor, count_if(minor AND was <> want) AS minor_errors, count_if(minor AND now IS NOT NULL) AS minor_after, count_if(minor AND now <> want) AS minor_errors_after FROM c GROUP BY row_id),
+facts AS (SELECT s.grp AS copy, (s.row_id % 12) // 2 AS layer, s.row_id % 12 AS cluster, 1 AS placed, 0 AS columns, 0 AS collapsed, p.* EXCLUDE (row_id) FROM sigs s LEFT JOIN per p ON s.row_id = p.row_id
+  UNION ALL BY NAME SELECT grp AS copy, NULL AS layer, NULL AS cluster, 0 AS placed, count_if(want IS NOT NULL AND new IS NOT NULL) AS columns, count_if(want <> new) AS collapsed FROM want GROUP BY grp),
+sets AS (SELECT CASE WHEN grouping(layer) = 1 THEN 'copy' WHEN grouping(cluster) = 1 THEN 'layer' ELSE 'cluster' END AS level, copy, layer, cluster, {", ".join(f"coalesce(sum({c}), 0)::BIGINT AS {c}" for c in f"{_SUMS}, columns, collapsed, placed".split(", "))}
+  FROM facts GROUP BY GROUPING SETS ((copy), (copy, layer), (copy, layer, cluster))),
+own AS (SELECT *, CASE level WHEN 'copy' THEN copy WHEN 'layer' THEN layer ELSE cluster END::BIGINT AS id FROM sets),
+parts AS (SELECT level, id, {_EACH}, CASE WHEN level <> 'copy' THEN max(placed) END AS r, CASE WHEN level <> 'copy' THEN arg_max(copy, (placed, -copy)) END::BIGINT AS best, max(layer) AS layer FROM own WHERE id IS NOT NULL GROUP BY level, id)
+SELECT level, id, {_SUMS}, columns, collapsed, placed, r AS "right", CASE WHEN best = layer THEN r WHEN level <> 'copy' THEN 0 END AS in_place, best AS copy_id FROM parts
+UNION ALL SELECT 'all', NULL, {", ".join(f"(sum({c}) FILTER (level = 'copy'))::BIGINT" for c in f"{_SUMS}, columns, collapsed, placed".split(", "))},
+ (sum(r) FILTER (level = 'layer'))::BIGINT, coalesce(sum(r) FILTER (level = 'layer' AND best = layer), 0)::BIGINT, NULL FROM parts""")
+def evaluation_report(spark, sf):
+    rows = sigs(spark, sf).select(F.col("sig_id").alias("row_id"), F.col("grp").alias("copy_id"))
+    cluster_id = F.col("row_id") % 12
+    members = rows.select("row_id", cluster_id.alias("cluster_id"), F.floor(cluster_id / 2).alias("layer"))
+    return evaluate.report(solid(spark, sf), _fixed(spark, sf), rows, members)
+
+
 _BAND = "band AS (SELECT label AS grp FROM embeddings GROUP BY label HAVING count(*) > 15 AND count(*) < 50)"
 _BANDED = SQL["correction_stats_f1"].replace("old AS (SELECT grp, col, base FROM tops WHERE", f"{_BAND}, old AS (SELECT grp, col, base FROM tops WHERE grp IN (FROM band) AND").replace(
     "new AS (SELECT grp, col, base FROM r2 WHERE", "new AS (SELECT grp, col, base FROM r2 WHERE grp IN (FROM band) AND").replace("SEMI JOIN (SELECT DISTINCT", "SEMI JOIN band USING (grp) SEMI JOIN (SELECT DISTINCT")
@@ -786,7 +846,9 @@ def layering(spark, sf):
 
 @query("indel_windows")
 def indel_windows(spark, sf):
-    return indel.detect(sigs(spark, sf), 0, WIDTH, 16, 8, 2, 3)
+    # names as bases, padded with gaps: rows that are alike, and others that are shorter
+    seq = F.rpad(F.translate("p_name", "bdefhijklmnopqrsuvwxyz ", "acgtacgtacgtacgtacgtac"), 24, "-")
+    return indel.detect(table(spark, sf, "part").select(F.col("p_partkey").alias("sig_id"), seq.alias("sig")), 0, 24, 16, 4, 2, 3)
 
 
 @query("indel_variants")
@@ -800,6 +862,44 @@ def indel_within_clusters(spark, sf):
     return indel.detect(rows.select("sig_id", "sig"), 0, WIDTH, 4, 2, members=rows.select(F.col("grp").cast("long").alias("cluster_id"), "sig_id"))
 
 
+#: Weights by rule, so that SQL works out the same networks: index i of a flat array in network v.
+HIDDEN = 5
+_FIXED_NETS = f"""{_CELLS}, hot AS (SELECT row_id, col, instr('acgt-', base) - 1 AS b FROM solid), nets AS (SELECT unnest(range(0, {WIDTH})) AS v), units AS (SELECT unnest(range(0, {HIDDEN})) AS u), outs AS (SELECT unnest(range(0, 5)) AS c),
+h AS (SELECT row_id, v, u, tanh(sum(CASE WHEN col <> v THEN 0.3::DOUBLE * sin(0.7::DOUBLE * v + 0.37::DOUBLE * ((5 * (col - CASE WHEN col > v THEN 1 ELSE 0 END) + b) * {HIDDEN} + u)) ELSE 0 END) + 0.1::DOUBLE * u - 0.2::DOUBLE) AS a
+  FROM hot, nets, units GROUP BY row_id, v, u),
+o AS (SELECT row_id, v, c, 1 / (1 + exp(-(sum(a * 0.8::DOUBLE * cos(0.3::DOUBLE * v + 1.1::DOUBLE * (u * 5 + c))) + 0.05::DOUBLE * c))) AS a FROM h, outs GROUP BY row_id, v, c),
+told AS (SELECT row_id, v, arg_max(c, (a, -c)) AS c FROM o GROUP BY ALL)"""
+
+
+def fixed_networks(spark: SparkSession):
+    """The networks of all columns, weights by rule."""
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), f)
+    v = F.col("v")
+    w0, w1 = each(5 * (WIDTH - 1) * HIDDEN, lambda i: 0.3 * F.sin(0.7 * v + 0.37 * i)), each(5 * HIDDEN, lambda i: 0.8 * F.cos(0.3 * v + 1.1 * i))
+    return spark.range(WIDTH).select(F.col("id").cast("int").alias("v")).select(
+        "v", w0.alias("w0"), each(HIDDEN, lambda i: 0.1 * i - 0.2).alias("b0"), w1.alias("w1"), each(5, lambda i: 0.05 * i).alias("b1"), F.lit(0.0).alias("accuracy"))
+
+
+@query("fixed_network_answers", f"""WITH {_FIXED_NETS}
+SELECT h.col::INTEGER AS v, substr('acgt-', h.b::INTEGER + 1, 1) AS truth, substr('acgt-', c::INTEGER + 1, 1) AS predicted, count(*) AS n FROM hot h JOIN told t ON t.row_id = h.row_id AND t.v = h.col GROUP BY ALL""")
+def fixed_network_answers(spark, sf):
+    return learn.assess(sigs(spark, sf), fixed_networks(spark), WIDTH, exact=True)
+
+
+@query("network_activations", f"""WITH {_FIXED_NETS}, a AS (SELECT row_id, v, 0 AS layer, u AS unit, a FROM h UNION ALL SELECT row_id, v, 1, c, a FROM o)
+SELECT a.v::INTEGER AS v, layer, unit::INTEGER AS unit, count(*) AS n, round(avg(a), 9) AS mean FROM a JOIN hot h ON h.row_id = a.row_id AND h.col = a.v GROUP BY ALL""")
+def network_activations(spark, sf):
+    return learn.activations(sigs(spark, sf), fixed_networks(spark), WIDTH).withColumn("mean", F.round("mean", 9))
+
+
+@query("network_accuracy", f"""WITH {_FIXED_NETS}, k AS (SELECT h.col AS v, h.row_id, h.b, t.c, (SELECT sum((o.a - CASE WHEN o.c = h.b THEN 1 ELSE 0 END) ** 2) FROM o WHERE o.row_id = h.row_id AND o.v = h.col) / 2 AS cost FROM hot h JOIN told t ON t.row_id = h.row_id AND t.v = h.col)
+SELECT v::INTEGER AS v, count(*) AS n, round(avg(cost), 9) AS cost, floor(count_if(b = c) * 1000 / count(*)) / 10 AS correct,
+ concat_ws(' ', {", ".join(f"count_if(b = {k})" for k in range(5))}) AS targets, concat_ws(' ', {", ".join(f"count_if(c = {k})" for k in range(5))}) AS answers FROM k GROUP BY v""")
+def network_accuracy(spark, sf):
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
+    return learn.accuracy(sigs(spark, sf), fixed_networks(spark), WIDTH).select("v", "n", F.round("cost", 9).alias("cost"), "correct", joined("targets"), joined("answers"))
+
+
 @query("network_answers")
 def network_answers(spark, sf):
     rows = sigs(spark, sf)

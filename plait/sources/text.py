@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plait.functions.bases import ALPHABET, normalise, normalise_cells
 from plait.operators.reads import global_number
+from plait.plans.staging import stage
 
 
 def lines(spark: SparkSession, path: str, name: str = "line_id") -> DataFrame:
@@ -68,6 +72,50 @@ def signatures(spark: SparkSession, path: str) -> DataFrame:
     return valid_alphabet(same_width(rows, "sig"))
 
 
+@dataclass
+class Checked:
+    """Rows that can be used, those that cannot with their reasons, and how many there are of each reason."""
+
+    rows: DataFrame
+    rejected: DataFrame
+    counts: dict[str, int]
+
+
+def _sorted_out(rows: DataFrame, name: str, reason: Column) -> Checked:
+    """``rows`` written once with what is wrong with them, null for nothing; the counts are those of that very write."""
+    kinds = ["width", "alphabet", "errors"]
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    flagged = rows.withColumn("reason", reason)
+    counted = flagged.observe(seen, F.count("*").alias("all"), *[F.count_if(F.col("reason") == k).alias(k) for k in kinds])
+    held = stage(counted, name)
+    found = {k: v for k, v in seen.get.items() if k == "all" or v}
+    return Checked(held.where("reason is null").drop("reason"), held.where("reason is not null"), found)
+
+
+def checked_signatures(spark: SparkSession, path: str, width: int | None = None) -> Checked:
+    """As ``signatures``, but rows that are wrong go to a table of their own instead of stopping the read.
+
+    A row is rejected for ``width`` where its length is not ``width`` (by default that of most rows, of several the
+    greatest), else for ``alphabet`` where it has other characters than ``acgt-`` and blank.  Ids follow the file,
+    rejected rows included; blank lines have none; an empty file gives no rows and counts 0.
+    """
+    rows = lines(spark, path, "sig_id").where("value != ''").select("sig_id", F.translate(F.lower("value"), "_", "-").alias("sig"))
+    if width is None:
+        most = rows.groupBy(F.length("sig").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
+        width = most.w if most else 0
+    wrong = F.when(F.length("sig") != width, "width").when(F.translate("sig", ALPHABET, "") != "", "alphabet")
+    return _sorted_out(rows, "signatures", wrong)
+
+
+def checked_placements(placed: DataFrame, cutoff: float = 0.30) -> Checked:
+    """``placed(…, dist, len)`` sorted by mapping errors: rows with ``cutoff`` errors per base or more are rejected for ``errors``.
+
+    Rows whose distance or length is null, or of no length, are rejected, too.
+    """
+    fits = F.coalesce((F.col("len") > 0) & (F.col("dist") < cutoff * F.col("len")), F.lit(False))
+    return _sorted_out(placed, "placements", F.when(~fits, "errors"))
+
+
 def classes(spark: SparkSession, path: str) -> DataFrame:
     """(seg_id, klass)."""
     return lines(spark, path, "seg_id").select("seg_id", F.trim("value").alias("klass")).where("klass != ''")
@@ -134,3 +182,9 @@ def write_lists(items: DataFrame, path: str, key: str = "read_id", order: str =
     """A line of items for each key, as in ``numbered_lists``."""
     listed = items.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, item))), lambda x: x[item].cast("string")).alias("l"))
     write_rows(listed, key, F.array_join("l", " "), path)
+
+
+def write_clusters(members: DataFrame, path: str) -> None:
+    """A line of members, ascending, for each cluster of several of ``members(cluster_id, i)``, as ``numbered_lists`` reads them."""
+    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n")).where("n > 1").select("cluster_id")
+    write_lists(members.select("cluster_id", "i", F.col("i").alias("place")).join(sizes, "cluster_id", "left_semi"), path, "cluster_id", "place", "i")
