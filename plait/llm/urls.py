@@ -1,14 +1,14 @@
 """URL filter: rules first, then a path-template tree judged by smoothed labelled purity.
 
 Everything is DataFrame functions.  Paths become shapes (digits, hex and mixed segments as wildcards);
-pages are summed to one row per host and shape before anything else, and the tree is that of the shapes, as
-deep as two of them share a beginning.  From the root down, a node with many children, under the wildcards found above it, turns its
-rare children into a wildcard too.  From the leaves up, branches of one node that have the same commonest
-sub-template below them are compared with all such branches together, by its share and by the share of blocked
-among labelled pages (chi-square tests of two cells, where five or more are expected in both); those that agree
-become one.  A template is rejected if the
-share of blocked among its labelled pages, smoothed towards its host's share and that towards all pages',
-reaches the threshold.
+pages are summed to one row per host and shape before anything else, and the tree is that of the shapes.  It is a
+radix tree: a pass takes the next place at which the shapes below each node differ, so passes cost by how often
+a path branches and not by how long it is.  From the root down, a node with many children, under the wildcards found
+above it, turns its rare children into a wildcard too.  From the leaves up, branches of one node that have the same
+commonest sub-template below them are compared with all such branches together, by its share and by the share of
+blocked among labelled pages (chi-square tests of two cells, where five or more are expected in both); those that
+agree become one.  A template is rejected if the share of blocked among its labelled pages, smoothed towards its
+host's share and that towards all pages', reaches the threshold.
 """
 
 from __future__ import annotations
@@ -54,28 +54,39 @@ def shape(path: Column) -> Column:
                        .when(s.rlike(r"^[0-9a-fA-F]{8,}$"), "{h}").when(s.rlike(r"[0-9]") & (F.length(s) >= 6), "{x}").otherwise(s))
 
 
-def _at(tree: DataFrame, d: int) -> DataFrame:
-    """``tree`` with parent, seg and sub: what stands before, at and after place ``d`` of ``t``; seg is null in shorter ones."""
-    rest = F.array_join(F.slice("t", F.lit(d + 2), F.greatest(F.size("t") - d - 1, F.lit(0))), "/")
-    return tree.withColumn("parent", F.array_join(F.slice("t", 1, d), "/")).withColumn("seg", F.get("t", F.lit(d))).withColumn("sub", rest)
+def _at(tree: DataFrame, d: Column) -> DataFrame:
+    """``tree`` with parent, seg and sub: what stands before, at and after place ``d`` of ``t``; seg is null in shorter ones and where ``d`` is null."""
+    rest = F.array_join(F.slice("t", d + 2, F.greatest(F.size("t") - d - 1, F.lit(0))), "/")
+    return tree.withColumn("parent", F.array_join(F.slice("t", F.lit(1), d), "/")).withColumn("seg", F.get("t", d)).withColumn("sub", rest)
 
 
-def _renamed(tree: DataFrame, d: int, names: DataFrame) -> DataFrame:
+def _renamed(tree: DataFrame, d: Column, names: DataFrame) -> DataFrame:
     """``tree`` with place ``d`` of ``t`` as ``names(host, parent, seg, to)`` have it."""
     keys = ["host", "parent", "seg"]
     named = _at(tree, d).join(names.select(*keys, "to"), keys, "left")
-    after = F.slice("t", F.lit(d + 2), F.greatest(F.size("t") - d - 1, F.lit(0)))
-    return named.withColumn("t", F.when(F.col("to").isNotNull(), F.concat(F.slice("t", 1, d), F.array("to"), after)).otherwise(F.col("t"))).select(tree.columns)
+    after = F.slice("t", d + 2, F.greatest(F.size("t") - d - 1, F.lit(0)))
+    return named.withColumn("t", F.when(F.col("to").isNotNull(), F.concat(F.slice("t", F.lit(1), d), F.array("to"), after)).otherwise(F.col("t"))).select(tree.columns)
 
 
-def _wild(tree: DataFrame, d: int, most_children: int, least_share: float, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """Rare children of crowded nodes at depth ``d`` become ``*``; and whether some node at the next depth has several shapes."""
+def _wild(tree: DataFrame, d: Column, most_children: int, least_share: float, scratch: Scratch) -> DataFrame:
+    """Rare children of crowded nodes at place ``d`` become ``*``."""
     children = scratch.stage(_at(tree, d).where("seg is not null").groupBy("host", "parent", "seg").agg(F.sum("n").alias("n_child")), "children")
     parents = children.groupBy("host", "parent").agg(F.count("*").alias("children"), F.sum("n_child").alias("n_parent")).where(F.col("children") > most_children)
     rare = children.join(parents, ["host", "parent"]).where(~F.col("seg").startswith("{") & (F.col("n_child") < least_share * F.col("n_parent")))
-    tree = scratch.stage(_renamed(tree, d, rare.withColumn("to", F.lit("*"))), "tree")
-    below = _at(tree, d + 1).where("seg is not null").groupBy("host", "parent").agg(F.count("*").alias("shapes"))
-    return tree, not below.where("shapes > 1").isEmpty()
+    return scratch.stage(_renamed(tree, d, rare.withColumn("to", F.lit("*"))), "tree")
+
+
+def _next_branching(tree: DataFrame, d: Column, scratch: Scratch) -> DataFrame:
+    """``tree`` with one more of ``stops``: the next place after ``d`` at which the shapes with the same beginning differ, or null.
+
+    What many shapes have in common is what the first and the last of them in order have.
+    """
+    goes_on = _at(tree, d).withColumn("node", F.when(F.col("seg").isNotNull() & (F.size("t") > d + 1), F.array_join(F.slice("t", F.lit(1), d + 1), "/")))
+    rest = F.slice("t", d + 2, F.size("t") - d - 1)
+    ends = goes_on.where("node is not null").groupBy("host", "node").agg(F.min(rest).alias("low"), F.max(rest).alias("high"))
+    differs = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+    ahead = scratch.stage(ends.where("low != high").select("host", "node", differs.alias("ahead")), "branching")
+    return scratch.stage(goes_on.join(ahead, ["host", "node"], "left").withColumn("stops", F.array_append("stops", d + F.col("ahead"))).select(tree.columns), "tree")
 
 
 def _agrees(k: Column, n: Column, k_pool: Column, n_pool: Column, z: float) -> Column:
@@ -86,8 +97,8 @@ def _agrees(k: Column, n: Column, k_pool: Column, n_pool: Column, z: float) -> C
     return ~known | ((k - expected) * (k - expected) <= z * z * expected * (1.0 - share))
 
 
-def _merged(tree: DataFrame, d: int, z: float, scratch: Scratch) -> DataFrame:
-    """Branches at depth ``d`` with something below them that agree become one."""
+def _merged(tree: DataFrame, d: Column, first: bool, z: float, scratch: Scratch) -> DataFrame:
+    """Branches at place ``d``, which is that of hosts' first segments or not, with something below them that agree become one."""
     cells = _at(tree, d).where("seg is not null and sub != '' and seg != '*' and not startswith(seg, '{')").groupBy("host", "parent", "seg", "sub").agg(
         F.sum("n").alias("o"), F.sum("bad").alias("bad"), F.sum("seen").alias("seen"))
     tops = cells.groupBy("host", "parent", "seg").agg(F.sum("o").alias("n_branch"), F.min(F.struct((-F.col("o")).alias("m"), "sub")).alias("top"), F.sum("bad").alias("bad"), F.sum("seen").alias("seen"))
@@ -96,7 +107,7 @@ def _merged(tree: DataFrame, d: int, z: float, scratch: Scratch) -> DataFrame:
     largest = pools.groupBy("host", "parent").agg(F.min(F.struct((-F.col("n_pool")).alias("m"), "top"))["top"].alias("largest"))
     pools = scratch.stage(pools.join(largest, ["host", "parent"]), "pools")
     agrees = _agrees(F.col("o"), F.col("n_branch"), F.col("o_pool"), F.col("n_pool"), z) & _agrees(F.col("bad"), F.col("seen"), F.col("bad_pool"), F.col("seen_pool"), z)
-    several = F.lit(d == 0) | (F.col("k") > 1)  # a host's first segment is one of many hosts' sections
+    several = F.lit(first) | (F.col("k") > 1)  # a host's first segment is one of many hosts' sections
     name = F.when(several & (F.col("top") == F.col("largest")), "{~}").when(F.col("k") > 1, F.concat(F.lit("{~"), "top", F.lit("}")))
     names = branches.join(pools, ["host", "parent", "top"]).where(agrees).withColumn("to", name).where("to is not null")
     return scratch.stage(_renamed(tree, d, names), "tree")
@@ -105,12 +116,13 @@ def _merged(tree: DataFrame, d: int, z: float, scratch: Scratch) -> DataFrame:
 def templates(labelled: DataFrame, scratch: Scratch, most_children: int = 12, least_share: float = 0.05, z: float = 2.33, strength: float = 4.0) -> DataFrame:
     """``labelled(host, segs, bad)``, bad 1, 0 or null → host, segs, template and its smoothed ``purity``."""
     shapes = scratch.stage(labelled.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "shapes")
-    tree, depth, deeper = shapes.withColumn("t", F.col("segs")), 0, True
-    while deeper:
-        tree, deeper = _wild(tree, depth, most_children, least_share, scratch)
-        depth += 1
-    for d in reversed(range(depth)):
-        tree = _merged(tree, d, z, scratch)
+    tree, passes = shapes.withColumn("t", F.col("segs")).withColumn("stops", F.array(F.lit(0))), 0
+    while not passes or not tree.where(F.get("stops", F.lit(passes)).isNotNull()).isEmpty():
+        tree = _wild(tree, F.get("stops", F.lit(passes)), most_children, least_share, scratch)
+        tree = _next_branching(tree, F.get("stops", F.lit(passes)), scratch)
+        passes += 1
+    for k in reversed(range(passes)):
+        tree = _merged(tree, F.get("stops", F.lit(k)), k == 0, z, scratch)
     tree = scratch.stage(tree.withColumn("template", F.array_join("t", "/")), "named")
     total = shapes.agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen")).select(((F.coalesce("bad", F.lit(0)) + 1.0) / (F.coalesce("seen", F.lit(0)) + 2.0)).alias("base"))
     by_host = shapes.groupBy("host").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen")).crossJoin(F.broadcast(total)).select(  # one row
