@@ -211,3 +211,56 @@ WITH pieces AS (
 SELECT r.lang, r.rank, r.phrase, r.a::BIGINT AS a, r.l::BIGINT AS l, r.r::BIGINT AS r, t.n, r.score::BIGINT AS score
 FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
 """
+
+SQL["op7_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), occurring AS (
+  SELECT r, i, n, win
+  FROM (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n))
+  WHERE (n, win) IN (SELECT n, win FROM windows)
+), hits AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM occurring) GROUP BY r
+), found AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT o.r, w.item_id::VARCHAR AS item_id FROM occurring o JOIN windows w ON w.n = o.n AND w.win = o.win WHERE w.item_id IS NOT NULL) GROUP BY r
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits ON hits.r = d.r LEFT JOIN found ON found.r = d.r
+"""
+
+SQL["op10_line_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents
+), lines AS (
+  SELECT r, doc_id, i, regexp_replace(regexp_replace(line, '^' || b || '+', ''), b || '+$', '') AS x, len(list_filter(regexp_split_to_array(line, b || '+'), lambda w: w <> '')) AS n
+  FROM (SELECT r, doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line, '[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]' AS b FROM d WHERE text IS NOT NULL)
+), summed AS (
+  SELECT *, (sum(n) OVER (PARTITION BY r ORDER BY i))::BIGINT AS upto FROM lines
+), worded AS (
+  SELECT r, i, upto, upto - n AS before FROM summed WHERE n > 0
+), runs AS (
+  -- the shortest run of 20 words from each line on, and the one that ends with it
+  SELECT a.r, a.doc_id, a.i AS s, b.i AS e FROM summed a ASOF JOIN worded b ON a.r = b.r AND a.upto - a.n + 20 <= b.upto
+  UNION
+  SELECT a.r, a.doc_id, b.i, a.i FROM summed a ASOF JOIN worded b ON a.r = b.r AND a.upto - 20 >= b.before
+), texts AS (
+  SELECT r, list(x ORDER BY i) AS xs FROM lines GROUP BY r
+), keyed AS (
+  SELECT u.r, u.s, u.e, row_number() OVER (PARTITION BY array_to_string(t.xs[u.s : u.e], chr(10)) ORDER BY u.doc_id NULLS LAST, u.r, u.s) AS place FROM runs u JOIN texts t ON t.r = u.r
+), gone AS (
+  SELECT DISTINCT r, unnest(range(s, e + 1)) AS i FROM keyed WHERE place > 1
+), lists AS (
+  SELECT r, list(i ORDER BY i) AS g FROM gone GROUP BY r
+)
+SELECT d.doc_id, coalesce(len(d.l), 0)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_deleted, coalesce(array_to_string(list_transform(g, lambda i: i - 1), ','), '') AS deleted,
+  CASE WHEN g IS NULL THEN d.text ELSE array_to_string(list_filter(d.l, lambda x, i: NOT list_contains(g, i)), chr(10)) END AS text
+FROM d LEFT JOIN lists ON lists.r = d.r
+"""
