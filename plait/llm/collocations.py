@@ -3,13 +3,14 @@
 Texts become chunks of one language: a vocabulary and the words by number, with a mark between pieces.
 A phrase's key is 128 bits made of the language and the words' hashes.  Candidates grow Apriori-safe: a
 phrase can be frequent only if all phrases inside it are, so each length is looked at only where the shorter ones
-were heavy.  What is heavy is held in one bitmap of ``1 << BITS`` bits, by sums over 40 bits of the key; phrases that share
+were heavy.  What is heavy is held in one bitmap of ``1 << BITS`` bits at most, by sums over 40 bits of the key; phrases that share
 a bit or a sum can make a light one pass, never a heavy one fail.
 
 The candidates are cut into blocks of bounded size, each with a minimal perfect hash and its keys in slot order.  Per
 block one pass over the chunks looks up every phrase, verifies it by the stored key, and adds a numpy
-count of slots; the arrays are summed in a tree of two levels.  A pass costs a block: 2,097,152 candidates are 32
-MB of keys and 16 MB of counts in each task.  Cuts are read by slot from the same arrays.
+count of slots and the first chunk that has each; the arrays are summed in a tree of two levels.  A second pass takes each
+frequent phrase's words from its first chunk, so each is written once.  A pass costs a block: 2,097,152 candidates
+are 32 MB of keys and as much of counts and chunks in each task.  Cuts are read by slot from the same arrays.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from plait.llm.schemas import quoted, slices
 from plait.plans.staging import Scratch
 
 #: Words of a chunk, at least; words held by a task that has many languages; phrases up to so many words.
-CHUNK, HELD, LONGEST = 1 << 20, 1 << 22, 4
-#: Bits of the bitmap of heavy phrases, 16 MB; candidates of a block; slots summed as one row.
-BITS, BLOCK, SLICE = 27, 1 << 21, 1 << 14
+CHUNK, HELD, LONGEST = 1 << 18, 1 << 20, 4
+#: Bits of the bitmap of heavy phrases, 16 MB; words whose sums are added in one task; candidates of a block; slots summed as one row.
+BITS, RANGE, BLOCK, SLICE = 27, 1 << 21, 1 << 21, 1 << 14
 #: Keys that a task remembers, so as not to report a candidate for each of its chunks.
 SEEN = 1 << 21
 BREAK = b"\xff"
+_COLUMNS = ["lang", "words", "ids", "sizes", "chunk"]
+_NEVER = np.iinfo(np.int64).max
 _LOWER = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -49,7 +52,7 @@ class _Vocabulary(dict):
 
 
 def _chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs(lang, text)`` → (lang, n, words, ids), n the number of words."""
+    """``docs(lang, text)`` → (lang, n, words, ids, sizes, chunk): n the number of words, the vocabulary and the words by number compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[_Vocabulary, list]] = {}
@@ -59,8 +62,9 @@ def _chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
             words, parts = held.pop(lang)
             del sizes[lang]
             ids = np.concatenate(parts)
-            columns = [pa.array([lang]), pa.array([int((ids > 0).sum())], pa.int64()), pa.array([list(words)], pa.list_(pa.binary())), pa.array([ids.tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["lang", "n", "words", "ids"])
+            both = [b" ".join(words), ids.tobytes()]  # no word has a blank in it
+            columns = [pa.array([lang]), pa.array([int((ids > 0).sum())], pa.int64()), *[pa.array([pa.compress(x, "zstd", asbytes=True)], pa.binary()) for x in both]]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([[len(x) for x in both]], pa.list_(pa.int64()))], ["lang", "n", *_COLUMNS[1:4]])
 
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -75,7 +79,7 @@ def _chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
                     yield from map(made, list(held))
         yield from map(made, list(held))
 
-    return scratch.stage(docs.mapInArrow(run, "lang string, n bigint, words array<binary>, ids binary"), "chunks")
+    return scratch.stage(docs.mapInArrow(run, "lang string, n bigint, words binary, ids binary, sizes array<bigint>").withColumn("chunk", F.monotonically_increasing_id()), "chunks")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -142,48 +146,103 @@ def _phrases(row: dict, heavy: Heavy, longest: int = LONGEST):
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
-            yield {c: batch.column(c)[k].as_py() for c in ("lang", "words", "ids")}
+            sizes = batch.column("sizes")[k].as_py()
+            words, ids = (pa.decompress(batch.column(c)[k].as_buffer(), n, "zstd", asbytes=True) for c, n in zip(("words", "ids"), sizes))
+            yield {"lang": batch.column("lang")[k].as_py(), "chunk": batch.column("chunk")[k].as_py(), "words": words.split(b" "), "ids": ids}
 
 
-def _sieved(chunks: DataFrame, heavy: Heavy, first: int, last: int, least: int) -> Heavy:
-    """``heavy`` with what is heavy among phrases of ``first`` to ``last`` words."""
-    shared = chunks.sparkSession.sparkContext.broadcast(heavy)
+def _bits(words: int) -> int:
+    """How many bits number the bitmap's places: as many places as words, ``1 << BITS`` at most."""
+    return min(BITS, max(16, math.ceil(math.log2(max(words, 1)))))
+
+
+def _sieved(chunks: DataFrame, heavy: Heavy, first: int, last: int, least: int, words: int) -> Heavy:
+    """``heavy`` with what is heavy among phrases of ``first`` to ``last`` words.
+
+    A chunk's sums travel as arrays, one for each range of the bitmap; there are so many ranges that one holds
+    ``RANGE`` of the ``words`` words, and each becomes its part of the bitmap.
+    """
+    shared, bits = chunks.sparkSession.sparkContext.broadcast(heavy), _bits(words)
+    low = max(bits - 20, bits - math.ceil(math.log2(max(1, words / RANGE))), 3) if words > RANGE else bits
+    mask = np.int64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             for n, _, _, _, keys in _phrases(row, shared.value, last):
-                if n >= first:
+                if n >= first and len(keys[0]):
                     sums, times = np.unique((keys[0] >> np.uint64(24)).astype(np.int64), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(sums), pa.array(times, pa.int64())], ["sum", "n"])
+                    parts = (sums & mask) >> low
+                    order = np.argsort(parts, kind="stable")
+                    sums, times, parts = sums[order], times[order].astype(np.int32), parts[order]
+                    found, starts = np.unique(parts, return_index=True)
+                    ends = [*starts[1:].tolist(), len(parts)]
+                    cut = list(zip(starts.tolist(), ends))
+                    held = [pa.array([pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True) for x in made], pa.binary())
+                            for made in ([np.diff(sums[s:e], prepend=0) for s, e in cut], [times[s:e] for s, e in cut])]
+                    sizes = pa.array([e - s for s, e in cut], pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), sizes, *held], ["part", "size", "sums", "times"])
 
-    found = chunks.select("lang", "words", "ids").mapInArrow(run, "sum bigint, n bigint").groupBy("sum").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    bit = F.col("sum").bitwiseAND((1 << BITS) - 1)
-    parts = found.groupBy(F.shiftright(bit, 15).alias("part")).agg(F.bitmap_construct_agg(bit.bitwiseAND(32767)).alias("bits"))
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in parts.collect():  # 4,096 rows of 4 kB at most
-        bits[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(r.bits, np.uint8)
-    return heavy.joined(bits, last)
+    def added(table: pa.Table) -> pa.Table:
+        sizes = table.column("size").to_pylist()
+        whole = lambda c, kind: [np.frombuffer(pa.decompress(x.as_buffer(), n * np.dtype(kind).itemsize, "zstd"), kind) for x, n in zip(table.column(c), sizes)]
+        sums, times = np.concatenate([np.cumsum(x) for x in whole("sums", np.int64)]), np.concatenate(whole("times", np.int32))
+        order = np.argsort(sums)
+        sums, times = sums[order], times[order].astype(np.int64)
+        starts = np.flatnonzero(np.diff(sums, prepend=sums[0] - 1))
+        bits = np.zeros(1 << low, bool)
+        bits[sums[starts][np.add.reduceat(times, starts) >= least] & ((1 << low) - 1)] = True
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    parts = chunks.select(*_COLUMNS).mapInArrow(run, "part int, size int, sums binary, times binary")
+    found = np.zeros(1 << (bits - 3), np.uint8)
+    for r in parts.groupBy("part").applyInArrow(lambda t: added(t), "part int, bits binary").collect():  # the bitmap, 16 MB at most
+        found[r.part << (low - 3) : (r.part + 1) << (low - 3)] = np.frombuffer(r.bits, np.uint8)
+    shared.destroy()
+    return heavy.joined(found, last)
+
+
+def _part(b: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the candidates to which keys belong."""
+    return ((b >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    return a[new], b[new]
+
+
+def _candidates(chunks: DataFrame, heavy, parts: int) -> DataFrame:
+    """(part, n, keys): the distinct keys of all phrases that may be frequent, as arrays; about as many parts as ``parts``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # what this task has sent already, in order
+        for row in _rows(batches):
+            a, b = _distinct(*(np.concatenate(k) for k in zip(*[keys for *_, keys in _phrases(row, heavy.value)])))
+            if len(seen[0]):
+                at = np.minimum(np.searchsorted(seen[0], a), len(seen[0]) - 1)
+                new = (seen[0][at] != a) | (seen[1][at] != b)
+                a, b = a[new], b[new]
+            seen = _distinct(*(np.concatenate(k) for k in zip(seen if len(seen[0]) < SEEN else (a[:0], b[:0]), (a, b))))
+            part = _part(b, parts)
+            order = np.argsort(part, kind="stable")
+            found, starts = np.unique(part[order], return_index=True)
+            ends = [*starts[1:].tolist(), len(order)]
+            keys = [np.concatenate([a[own], b[own]]).tobytes() for own in (order[s:e] for s, e in zip(starts.tolist(), ends))]
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(keys, pa.binary())], ["part", "keys"])
 
+    def joined(table: pa.Table) -> pa.Table:
+        a, b = _distinct(*_keys(table.column("keys")))
+        return pa.table({"part": table.column("part").slice(0, 1), "n": pa.array([len(a)], pa.int64()), "keys": pa.array([np.concatenate([a, b]).tobytes()], pa.binary())})
 
-def _candidates(chunks: DataFrame, heavy: Heavy) -> DataFrame:
-    """(lang, words, phrase, a, b) of all phrases that may be frequent; a and b are the key."""
-    shared = chunks.sparkSession.sparkContext.broadcast(heavy)
+    return chunks.select(*_COLUMNS).mapInArrow(run, "part int, keys binary").groupBy("part").applyInArrow(lambda t: joined(t), "part int, n bigint, keys binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
-        for row in _rows(batches):
-            new = []
-            for n, words, ids, at, keys in _phrases(row, shared.value):
-                _, first = np.unique(keys[0], return_index=True)
-                first = first[~np.isin(keys[0][first], seen)]
-                texts = [b" ".join([words[w] for w in ids[s : s + n].tolist()]) for s in at[first].tolist()]
-                a, b = (k[first] for k in keys)
-                new.append(a)
-                made = [pa.array([row["lang"]] * len(a), pa.string()), pa.array([n] * len(a), pa.int32()), pa.array(texts, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([*made, pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["lang", "words", "phrase", "a", "b"])
-            seen = np.concatenate([seen if len(seen) < SEEN else seen[:0], *new])
 
-    return chunks.select("lang", "words", "ids").mapInArrow(run, "lang string, words int, phrase string, a bigint, b bigint").distinct()
+def _keys(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of all keys in arrays of ``_candidates``."""
+    made = [np.frombuffer(x.as_buffer(), np.uint64).reshape(2, -1) for x in column]
+    both = np.concatenate(made, axis=1) if made else np.zeros((2, 0), np.uint64)
+    return both[0], both[1]
 
 
 class PerfectHash:
@@ -234,54 +293,84 @@ class PerfectHash:
         return out
 
 
-def _of_block(keys: tuple[np.ndarray, ...], block: int, blocks: int) -> np.ndarray:
-    return np.flatnonzero((keys[1] >> np.uint64(33)) % np.uint64(blocks) == block)
+class Block:
+    """A block of the candidates: which parts it has, and their perfect hash."""
+
+    def __init__(self, candidates: DataFrame, number: int, blocks: int, parts: int):
+        self.number, self.blocks, self.parts = number, blocks, parts
+        own = candidates.where(F.pmod("part", F.lit(blocks)) == number).select("keys").toArrow()  # ``BLOCK`` keys or so
+        self.known = PerfectHash(*_keys(own.column("keys")))
 
+    def slots(self, keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are in the block, and their slots."""
+        own = np.flatnonzero(_part(keys[1], self.parts) % self.blocks == self.number) if self.blocks > 1 else np.arange(len(keys[1]))
+        slots = self.known.slots(*(k[own] for k in keys))
+        return own[slots >= 0], slots[slots >= 0]
 
-def _hash_of(candidates: DataFrame, block: int, blocks: int) -> PerfectHash:
-    """The perfect hash of a block, at most about ``BLOCK`` keys, made from Arrow columns."""
-    own = candidates if blocks == 1 else candidates.where(F.pmod(F.shiftrightunsigned("b", 33), F.lit(blocks)) == block)
-    table = own.select("a", "b").toArrow()
-    return PerfectHash(*(np.asarray(table.column(c)).view(np.uint64) for c in ("a", "b")))
 
+def _held(x: np.ndarray) -> pa.Array:
+    return pa.array([pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True)], pa.binary())
 
-def _counts(chunks: DataFrame, heavy, known: PerfectHash, block: int, blocks: int) -> np.ndarray:
-    """How often each slot's phrase occurs: bincounts of the tasks, summed in two levels."""
-    shared = chunks.sparkSession.sparkContext.broadcast(known)
-    size = len(known.a)
+
+def _array(x: bytes | pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x, 8 * n, "zstd", asbytes=True), np.int64)
+
+
+def _summed(sums: DataFrame, size: int, column: str, empty: int) -> np.ndarray:
+    """One of the arrays that the tree of ``_counts`` has made."""
+    out = np.full(size, empty)
+    for r in sums.select("slice", "size", column).collect():  # a block's numbers
+        out[r.slice * SLICE : r.slice * SLICE + r.size] = _array(bytes(r[column]), r.size)
+    return out
+
+
+def _counts(chunks: DataFrame, heavy, block, size: int) -> DataFrame:
+    """(slice, size, counts, firsts): how often each slot's phrase occurs and its first chunk, joined over tasks in two levels."""
+    kind = "slice int, size int, counts binary, firsts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
+        counts, firsts = np.zeros(size, np.int64), np.full(size, _NEVER)
         for row in _rows(batches):
-            for _, _, _, _, keys in _phrases(row, heavy.value):
-                own = _of_block(keys, block, blocks)
-                slots = shared.value.slots(*(k[own] for k in keys))
-                counts += np.bincount(slots[slots >= 0], minlength=size)
+            for *_, keys in _phrases(row, heavy.value):
+                own = np.bincount(block.value.slots(keys)[1], minlength=size)
+                counts += own
+                there = np.flatnonzero(own)
+                firsts[there] = np.minimum(firsts[there], row["chunk"])
         for at in range(0, size, SLICE):
             part = counts[at : at + SLICE]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // SLICE], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "held"])
+                numbers = [pa.array([x], pa.int32()) for x in (at // SLICE, len(part))]
+                yield pa.RecordBatch.from_arrays([*numbers, _held(part), _held(firsts[at : at + SLICE])], ["slice", "size", "counts", "firsts"])
 
     def added(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("held"))
-        return pa.table({"slice": table.column("slice").slice(0, 1), "held": pa.array([total.tobytes()], pa.binary())})
-
-    made = chunks.select("lang", "words", "ids").mapInArrow(run, "slice int, held binary").withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(32)))
-    half = made.groupBy("slice", "branch").applyInArrow(lambda t: added(t), "slice int, held binary")
-    whole = half.groupBy("slice").applyInArrow(lambda t: added(t), "slice int, held binary")
-    out = np.zeros(size, np.int64)
-    for r in whole.collect():  # a block's counts
-        part = np.frombuffer(r.held, np.int64)
-        out[r.slice * SLICE : r.slice * SLICE + len(part)] = part
-    return out
+        n = table.column("size")[0].as_py()
+        counts, firsts = ([_array(x.as_buffer(), n) for x in table.column(c)] for c in ("counts", "firsts"))
+        return pa.table({"slice": table.column("slice").slice(0, 1), "size": table.column("size").slice(0, 1), "counts": _held(np.sum(counts, axis=0)), "firsts": _held(np.min(firsts, axis=0))})
 
+    made = chunks.select(*_COLUMNS).mapInArrow(run, kind).withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(32)))
+    half = made.groupBy("slice", "branch").applyInArrow(lambda t: added(t), kind)
+    return half.groupBy("slice").applyInArrow(lambda t: added(t), kind)
 
-def _read(phrases: DataFrame, known: PerfectHash, counts: np.ndarray, block: int, blocks: int) -> DataFrame:
-    """``phrases`` with ``f``, the counts of the phrase, its beginnings and its ends, where these are in the block."""
-    shared = phrases.sparkSession.sparkContext.broadcast((known, counts))
 
+def _texts(chunks: DataFrame, heavy, block, firsts) -> DataFrame:
+    """(lang, words, phrase) of the block's phrases of several words that have a first chunk, each from there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            for n, words, ids, at, keys in _phrases(row, heavy.value):
+                own, slots = block.value.slots(keys) if n > 1 else (at[:0], at[:0])
+                mine = firsts.value[slots] == row["chunk"]
+                _, first = np.unique(slots[mine], return_index=True)
+                texts = [b" ".join([words[w] for w in ids[s : s + n].tolist()]) for s in at[own[mine][first]].tolist()]
+                made = [pa.array([row["lang"]] * len(texts), pa.string()), pa.array([n] * len(texts), pa.int32()), pa.array(texts, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(made, ["lang", "words", "phrase"])
+
+    return chunks.select(*_COLUMNS).mapInArrow(run, "lang string, words int, phrase string")
+
+
+def _read(phrases: DataFrame, block, counts) -> DataFrame:
+    """``phrases`` with ``f``, the counts of the phrase, its beginnings and its ends, where these are in the block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value
         for batch in batches:
             f = [list(x) for x in batch.column(3).to_pylist()]
             groups: dict[tuple, list] = {}
@@ -294,9 +383,8 @@ def _read(phrases: DataFrame, known: PerfectHash, counts: np.ndarray, block: int
                     keys = _starts(lang, words[first])
                     for w in range(first + 1, last):
                         keys = _longer(keys, words[w])
-                    mine = _of_block(keys, block, blocks)
-                    slots = known.slots(*(k[mine] for k in keys))
-                    for k, count in zip(mine[slots >= 0].tolist(), counts[slots[slots >= 0]].tolist()):
+                    mine, slots = block.value.slots(keys)
+                    for k, count in zip(mine.tolist(), counts.value[slots].tolist()):
                         f[own[k][0]][place] = count
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(f, pa.list_(pa.int64()))], ["lang", "words", "phrase", "f"])
 
@@ -312,17 +400,36 @@ def counted(docs: DataFrame, scratch: Scratch, least: int, text: str = "text", l
     own = F.coalesce(quoted(lang).cast("string"), F.lit("und")), F.coalesce(quoted(text).cast("string"), F.lit(""))
     chunks = _chunks(docs.select(own[0].alias("lang"), own[1].alias("text")), scratch)
     totals = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
-    heavy = Heavy()
+    words, heavy = chunks.agg(F.sum("n")).first()[0] or 0, Heavy()
     for first, last in ((1, 1), (2, 2), (3, LONGEST)):
-        heavy = _sieved(chunks, heavy, first, last, least)
-    candidates = scratch.stage(_candidates(chunks, heavy), "candidates")
-    blocks = math.ceil(candidates.count() / BLOCK) or 1
-    phrases = candidates.where("words > 1").select("lang", "words", "phrase", F.array_repeat(F.lit(0).cast("long"), 2 * F.col("words") - 1).alias("f"))
-    shared = spark.sparkContext.broadcast(heavy)
-    for block in range(blocks):
-        known = _hash_of(candidates, block, blocks)
-        phrases = scratch.stage(_read(phrases, known, _counts(chunks, shared, known, block, blocks), block, blocks), "phrases")
-    return phrases.where(F.col("f")[0] >= least), totals
+        heavy = _sieved(chunks, heavy, first, last, least, words)
+    parts, kept = math.ceil(words / RANGE) or 1, []
+
+    def share(value):
+        kept.append(spark.sparkContext.broadcast(value))
+        return kept[-1]
+
+    def loaded(k: int) -> tuple:
+        made = Block(candidates, k, blocks, parts)
+        return share(made), len(made.known.a)
+
+    heavy, phrases, sums = share(heavy), None, []
+    candidates = scratch.stage(_candidates(chunks, heavy, parts), "candidates")
+    blocks = min(parts, math.ceil((candidates.agg(F.sum("n")).first()[0] or 0) / BLOCK) or 1)
+    for k in range(blocks):
+        block, size = loaded(k)
+        sums.append(scratch.stage(_counts(chunks, heavy, block, size), "counts"))
+        firsts = share(np.where(_summed(sums[k], size, "counts", 0) >= least, _summed(sums[k], size, "firsts", _NEVER), _NEVER))
+        texts = scratch.stage(_texts(chunks, heavy, block, firsts), "texts")
+        phrases = texts if phrases is None else phrases.unionByName(texts)
+    phrases = phrases.select("lang", "words", "phrase", F.array_repeat(F.lit(0).cast("long"), 2 * F.col("words") - 1).alias("f"))
+    for k in range(blocks):
+        block, size = (block, size) if blocks == 1 else loaded(k)
+        phrases = scratch.stage(_read(phrases, block, share(_summed(sums[k], size, "counts", 0))), "phrases")
+    for shared in kept:  # all tables that read them are written
+        shared.destroy()
+    phrases = phrases.where(F.col("f")[0] >= least)
+    return phrases, totals
 
 
 def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, top: int = 2000, inside: int = 80) -> DataFrame:

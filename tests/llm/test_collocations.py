@@ -68,7 +68,7 @@ def test_equals_counting(spark, least, top):
 
 def test_blocks_and_small_chunks(spark, monkeypatch):
     # several blocks of candidates, chunks in the middle of a language, a bitmap that says yes to nearly all
-    for name, value in {"BLOCK": 300, "CHUNK": 100, "HELD": 150, "SLICE": 16, "SEEN": 50, "BITS": 18}.items():
+    for name, value in {"BLOCK": 300, "CHUNK": 100, "HELD": 150, "SLICE": 16, "SEEN": 50, "BITS": 18, "RANGE": 64}.items():
         monkeypatch.setattr(collocations, name, value)
     rows = prose(100, 7)
     assert Counter(mined(spark, rows, least=3)) == Counter(brute(rows, 3))
