@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
@@ -19,42 +20,59 @@ CAP = 99.0
 ROWS, COLUMNS = 4096, 512
 
 
-def _log_factorial(n: Column) -> Column:
+def _log_factorial(n: np.ndarray) -> np.ndarray:
     """ln n! by Stirling's series at n + 10, less the ten factors that were added."""
-    x = n.cast("double") + 10.0
-    series = x * F.ln(x) - x + 0.5 * F.ln(2.0 * F.pi() * x) + 1.0 / (12.0 * x) - 1.0 / (360.0 * x**3) + 1.0 / (1260.0 * x**5) - 1.0 / (1680.0 * x**7)
-    added = sum((F.ln(n.cast("double") + k) for k in range(2, 11)), F.ln(n.cast("double") + 1))
-    return series - added
+    x = n + 10.0
+    series = x * np.log(x) - x + 0.5 * np.log(2.0 * np.pi * x) + 1.0 / (12.0 * x) - 1.0 / (360.0 * x**3) + 1.0 / (1260.0 * x**5) - 1.0 / (1680.0 * x**7)
+    return series - sum(np.log(n + k) for k in range(1, 11))
 
 
-def _log_choose(n: Column, k: Column) -> Column:
+def _log_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
     return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of the value, worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _tail(k: np.ndarray, a: np.ndarray, b: np.ndarray, cov: np.ndarray, here: np.ndarray, up: bool) -> np.ndarray:
+    """P(X >= k), or P(X <= k), from P(X = k): neighbouring terms follow from one another.
+
+    Past the likeliest value terms fall ever faster, so a sum ends where what is left is below its last place: after
+    some standard deviations, and not after as many terms as there are rows.
+    """
+    total, at = here.copy(), np.arange(len(k))
+    i, p = k.copy(), here.copy()
+    a, b, rest = a, b, cov - a - b
+    end = np.minimum(a, b) if up else np.maximum(0.0, -rest)
+    while len(at):
+        with np.errstate(all="ignore"):
+            ratio = (a - i) * (b - i) / ((i + 1) * (rest + i + 1)) if up else i * (rest + i) / ((a - i + 1) * (b - i + 1))
+        on = (p > 0) & (i < end if up else i > end) & ((ratio >= 1) | (p * ratio > 1e-18 * (1 - ratio) * total[at])) & (total[at] < 1)
+        if not on.all():
+            at, i, p, a, b, rest, end, ratio = (x[on] for x in (at, i, p, a, b, rest, end, ratio))
+        p = p * ratio
+        total[at] += p
+        i = i + 1 if up else i - 1
+    return np.minimum(total, 1.0)
+
+
+def _significance(k: np.ndarray, a: np.ndarray, b: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    here = np.exp(_log_choose(a, k) + _log_choose(cov - a, b - k) - _log_choose(cov, b))
+    lower, upper = _tail(k, a, b, cov, here, False), _tail(k, a, b, cov, here, True)
+    p = np.where((k == 0) | (lower < upper), lower, upper)
+    return np.where(p <= 0, CAP, np.minimum(CAP, -np.log10(np.maximum(p, 1e-300))))
 
 
 def hypergeometric_tail(k: Column, a: Column, b: Column, cov: Column) -> Column:
     """-log10 of the smaller of P(X <= k) and P(X >= k) for the overlap of groups of a and b among cov; at most 99.
 
-    k = 0 takes the lower tail.  A tail that underflows is 99.
+    k = 0 takes the lower tail.  A tail that underflows is 99.  Null counts give null.
     """
-    least, most = F.greatest(F.lit(0).cast("long"), a + b - cov), F.least(a, b)
-    here = F.exp(_log_choose(a, k) + _log_choose(cov - a, b - k) - _log_choose(cov, b))
-    none = F.array().cast("array<bigint>")
-    above = F.when(k < most, F.sequence(k, F.greatest(k, most - 1))).otherwise(none)
-    below = F.when(k > least, F.sequence(k, F.least(k, least + 1), F.lit(-1).cast("long"))).otherwise(none)
-    # neighbouring terms follow from one another
-    up = lambda i: (a - i) * (b - i) / ((i + 1.0) * (cov - a - b + i + 1))
-    down = lambda i: i * (cov - a - b + i) / ((a - i + 1.0) * (b - i + 1))
-    def tail(p: Column, steps: Column, ratio) -> Column:
-        add = lambda acc, i: _let(acc["p"] * ratio(i), lambda q: F.struct(q.alias("p"), (acc["s"] + q).alias("s")))
-        return F.aggregate(steps, F.struct(p.alias("p"), p.alias("s")), add, lambda acc: F.least(acc["s"], F.lit(1.0)))
-    both = _let(here, lambda p: F.struct(tail(p, below, down).alias("lower"), tail(p, above, up).alias("upper")))
-    chosen = _let(both, lambda t: F.when((k == 0) | (t["lower"] < t["upper"]), t["lower"]).otherwise(t["upper"]))
-    return _let(chosen, lambda p: F.when(p <= 0, CAP).otherwise(F.least(F.lit(CAP), -F.log10(F.greatest(p, F.lit(1e-300))))))
+    @F.pandas_udf("double")
+    def tail(k: pd.Series, a: pd.Series, b: pd.Series, cov: pd.Series) -> pd.Series:
+        known = (k.notna() & a.notna() & b.notna() & cov.notna()).to_numpy()
+        out = np.full(len(k), np.nan)
+        out[known] = _significance(*(x.to_numpy(dtype=np.float64)[known] for x in (k, a, b, cov)))
+        return pd.Series(out).astype(object).where(known, None)
+
+    return tail(*(x.cast("long") for x in (k, a, b, cov)))
 
 
 def pair_counts(cells: DataFrame, min_distance: int) -> DataFrame:
