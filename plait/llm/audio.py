@@ -4,9 +4,8 @@ A recording is mono 8-bit PCM (any bytes will do).  Frames become 12 pitch-class
 image over frames and classes gives every filter in four look-ups; 16 filters of 2 bits each are packed
 into a 32-bit integer per frame.  Recordings with the same fingerprints are one class.
 
-Each fingerprint meets the first place that holds its value and the one before its own, which makes two
-rows a frame however many recordings share a value.  Offset histograms of these pairs propose alignments,
-and each is verified by bit errors: in the best stretch of an overlap a print counts 4 less its wrong bits, and
+Recordings that share fingerprints at one offset, all of them, are found by the fingerprints and what follows each at
+which distance, so that many recordings may share a single value.  Each such alignment is verified by bit errors: in the best stretch of an overlap a print counts 4 less its wrong bits, and
 one that repeats the print before it, as in silence, hum and steady tones, counts nothing if it is right.  A stretch must
 hold ``least_votes`` prints and reach a score that ten right prints have and unrelated recordings don't: their
 prints differ in 7 of 32 bits (noise) to 11 (melodies), and the best of 200 offsets of two has reached 17 so far.
@@ -21,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plait.llm.schemas import quoted, slices, with_fields
@@ -36,6 +35,10 @@ BLOCK = 1 << 10
 EVEN, ENOUGH = 4, 40
 #: The share of the shorter recording from which on a stretch may be of steady prints.
 STEADY = 0.4
+#: Recordings of more prints meet others by single values, values of more places meet in tiles, and bytes of a hash.
+LONG, TILE, WIDE = 2048, 1024, 5
+#: Bytes of places that are taken at a time, and pairs of equal hashes.
+TAKEN, PAIRS = 1 << 23, 1 << 21
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -157,6 +160,12 @@ def stretch(a: np.ndarray, b: np.ndarray, offset: int, steady: bool = False) ->
     return int(rise[end]), end - start, int(wrong[start:end].sum())
 
 
+def votes(a: np.ndarray, b: np.ndarray, offset: int) -> int:
+    """How many values of ``a`` laid against ``b`` at ``offset`` are equal."""
+    low, high = max(0, offset), min(len(a), len(b) + offset)
+    return int((a[low:high] == b[low - offset : high - offset]).sum()) if high > low else 0
+
+
 def aligned(a: np.ndarray, b: np.ndarray, offset: int, least_votes: int) -> tuple[int, int, int] | None:
     """The stretch of an alignment that holds, or None."""
     found = stretch(a, b, offset)
@@ -168,46 +177,153 @@ def aligned(a: np.ndarray, b: np.ndarray, offset: int, least_votes: int) -> tupl
 
 
 def _posts(reps: DataFrame) -> DataFrame:
-    """``reps(rep, prints)`` → (rep, pos, value), values as ``numbered``."""
+    """``reps(row, prints)`` → (row, pos, value), values as ``numbered``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, made = pa.compute.list_value_length(batch.column(1)).to_numpy(), [numbered(p.values.to_numpy()) for p in batch.column(1)]
             pos = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if len(sizes) else np.zeros(0, np.int32)
-            rep = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            yield pa.RecordBatch.from_arrays([rep, pa.array(pos), pa.array(np.concatenate(made) if made else np.zeros(0, np.int64))], ["rep", "pos", "value"])
+            row = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.RecordBatch.from_arrays([row, pa.array(pos), pa.array(np.concatenate(made) if made else np.zeros(0, np.int64))], ["row", "pos", "value"])
+
+    return reps.select("row", "prints").mapInArrow(run, with_fields(reps, ["row"], pos="int", value="long"))
 
-    return reps.select("rep", "prints").mapInArrow(run, with_fields(reps, ["rep"], pos="int", value="long"))
 
+def _onward(prints: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the places in order of (value, place) that ``least`` others follow: values, places, how many follow each, and their hashes.
 
-def _votes(posts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``posts(rep, pos, value)`` → (rep, hub, offset, votes) of the pairs of a place with the first place that has its value, and the last one in the recording before.
+    The hash of a place that follows is of its value and of how far it is away, so it is the same in all recordings.
+    """
+    values = numbered(prints)
+    order = np.argsort(values, kind="stable")
+    v, at, n = values[order].view(np.uint64), order.astype(np.int64), max(0, len(order) - least)
+    sizes = len(order) - 1 - np.arange(n)
+    i = np.repeat(np.arange(n), sizes)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + i + 1
+    h = (v[j] ^ ((at[j] - at[i]).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return values[order][:n], at[:n].astype(np.int32), sizes, h >> np.uint64(64 - 8 * WIDE)
+
+
+def _followed(reps: DataFrame, least: int) -> DataFrame:
+    """``reps(row, prints)`` → (value, row, pos, after), ``after`` the hashes of ``_onward``, ``WIDE`` bytes each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            made = [_onward(p.values.to_numpy(), least) for p in batch.column(1)]
+            value, pos, sizes, after = (np.concatenate(c) for c in zip(*made))
+            data = np.ascontiguousarray(after.view(np.uint8).reshape(-1, 8)[:, :WIDE])
+            ends = np.concatenate(([0], np.cumsum(sizes) * WIDE)).astype(np.int32)
+            row = batch.column(0).take(pa.array(np.repeat(np.arange(len(made)), [len(m[0]) for m in made])))
+            binary = pa.Array.from_buffers(pa.binary(), len(pos), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(value), row, pa.array(pos), binary], ["value", "row", "pos", "after"])
+
+    return reps.select("row", "prints").mapInArrow(run, "value long, row long, pos int, after binary")
+
+
+def _agreeing(group: np.ndarray, sizes: np.ndarray, after: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i > j, of places of one ascending ``group`` with exactly ``need`` equal hashes in ``after``, which holds ``sizes`` for each."""
+    holder = np.repeat(np.arange(len(sizes)), sizes)
+    key = (group[holder].astype(np.uint64) << np.uint64(8 * WIDE)) | after
+    order = np.argsort(key, kind="stable")
+    key, holder = key[order], holder[order]
+    equal = np.concatenate(([False], key[1:] == key[:-1], [False]))
+    shared = equal[1:] | equal[:-1]
+    key, holder, starts = key[shared], holder[shared], ~equal[:-1][shared]
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(starts)
+    start = first[np.cumsum(starts) - 1]
+    pairs = np.arange(len(key)) - start  # with all before it in its run
+    of = group[holder]
+    per = np.zeros(int(group[-1]) + 1, np.int64)
+    np.add.at(per, of, pairs)
+    out, turn = [], (np.cumsum(per) - per) // PAIRS  # groups that are taken together
+    for t in np.unique(turn[of]):
+        mine = np.flatnonzero(turn[of] == t)
+        if pairs[mine].sum() <= 4 * PAIRS:
+            left = np.repeat(mine, pairs[mine])
+            right = np.arange(len(left)) - np.repeat(np.cumsum(pairs[mine]) - pairs[mine], pairs[mine]) + start[left]
+            both, n = np.unique(holder[left] * len(sizes) + holder[right], return_counts=True)
+            out.append(both[n == need])
+        else:  # few holders with very many hashes in common: counted in a table of the holders
+            for g in np.unique(of[mine]):
+                own = mine[of[mine] == g]
+                names, which = np.unique(holder[own], return_inverse=True)
+                n = np.zeros((len(names), len(names)), np.int32)
+                for k in np.split(which, np.flatnonzero(starts[own])[1:]):
+                    n[np.ix_(k, k)] += 1
+                i, j = np.nonzero(np.tril(n, -1) == need)
+                out.append(names[i] * len(sizes) + names[j])
+    both = np.concatenate(out)
+    return both // len(sizes), both % len(sizes)
+
+
+def _met(held: DataFrame, need: int) -> DataFrame:
+    """``held(value, low, high, own, row, pos, after)``, sorted by the first three → (x, y, offset), x > y, of places that agree in ``need`` that follow."""
+    def found(part: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
+        ends = np.frombuffer(part.column(6).buffers()[1], np.int32)[part.column(6).offset :][: part.num_rows + 1].astype(np.int64)
+        data = np.frombuffer(part.column(6).buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        after = np.zeros((len(data) // WIDE, 8), np.uint8)
+        after[:, :WIDE] = data.reshape(-1, WIDE)
+        i, j = _agreeing(group, np.diff(ends) // WIDE, after.view(np.uint64)[:, 0], need)
+        low, high, own, row, pos = (part.column(k).to_numpy() for k in range(1, 6))
+        right = (row[i] != row[j]) & ((low[i] == high[i]) | (own[i] != own[j]))
+        i, j = i[right], j[right]
+        i, j = np.where(row[i] > row[j], i, j), np.where(row[i] > row[j], j, i)
+        return pa.RecordBatch.from_arrays([pa.array(row[i]), pa.array(row[j]), pa.array(pos[i] - pos[j])], ["x", "y", "offset"])
+
+    def groups(part: pa.RecordBatch) -> np.ndarray:
+        keys = [part.column(k).to_numpy() for k in range(3)]
+        return np.cumsum(np.any([np.diff(k, prepend=k[:1]) != 0 for k in keys], axis=0)) if part.num_rows else np.zeros(0, np.int64)
 
-    Places are sorted by ranges of (value, rep, pos), so a value that many hold is spread over ranges; what a
-    range must know of those before it is a row for each.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+        for batch in batches:
+            kept, size = [*kept, batch], size + batch.get_total_buffer_size()
+            if size >= TAKEN:
+                part = pa.concat_batches(kept)
+                group = groups(part)
+                whole = int(np.searchsorted(group, group[-1]))  # the last group may go on
+                if whole:
+                    yield found(part.slice(0, whole), group[:whole])
+                kept, size = [part.slice(whole)], 0
+        if kept:
+            part = pa.concat_batches(kept)
+            if part.num_rows:
+                yield found(part, groups(part))
+
+    return held.select("value", "low", "high", "own", "row", "pos", "after").mapInArrow(run, "x long, y long, offset int")
+
+
+def _candidates(reps: DataFrame, least_votes: int, scratch: Scratch, long: int, tile: int) -> DataFrame:
+    """``reps(row, prints)`` → (x, y, offset), x > y, distinct: all pairs that have ``least_votes`` prints in common at an offset.
+
+    Places of one value meet with the hashes of the places after them in order of (value, place).  Those of an alignment come in
+    one order in both recordings, so it is seen once, at its ``least_votes``-th from the end, however many places agree; of
+    places that share a value alone no pairs are made.  A value of more than ``tile`` places is dealt in tiles of two blocks
+    of recordings.  Recordings of more than ``long`` prints meet all others by the values themselves, as what follows all
+    their places grows with the square of their length.
     """
-    order = ["value", "rep", "pos"]
-    held = scratch.stage(posts.select(*order).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "posts")
-    at = F.struct("rep", "pos")
-    ends = held.groupBy("part").agg(F.max(F.struct(*order)).alias("last"), F.min(F.struct(*order)).alias("first"))
-    low = held.join(F.broadcast(ends.select("part", F.col("last.value").alias("value"))), ["part", "value"]).groupBy("part").agg(F.min(at).alias("low"))  # a row for each range
-    carry, known = [], None  # value, its first place, its last place so far
-    for r in sorted(ends.join(F.broadcast(low), "part").collect(), key=lambda r: r.part):
-        carry.append((r.part, *(known or (None, None, None))))
-        first = known[1] if known and known[0] == r.last.value else r.low
-        known = (r.last.value, first, (r.last.rep, r.last.pos))
-    kind = held.select(at.alias("at")).schema["at"].dataType.simpleString()
-    before = held.sparkSession.createDataFrame(carry, f"part int, c_value long, c_first {kind}, c_last {kind}")
-    line = Window.partitionBy("part").orderBy(*order)
-    own = Window.partitionBy("part", "value").orderBy("rep", "pos")
-    same = Window.partitionBy("part", "value", "rep").orderBy("pos")  # all three in one sort
-    seen = held.withColumn("prev", F.lag(F.struct("value", at.alias("at"))).over(line)).withColumn("first", F.first(at).over(own)).join(F.broadcast(before), "part")
-    goes_on = F.col("c_value") == F.col("value")
-    last = F.when(F.col("prev.value") == F.col("value"), F.col("prev.at")).when(F.col("prev").isNull() & goes_on, F.col("c_last"))
-    seen = seen.withColumn("last", last).withColumn("last", F.last(F.when(F.col("last.rep") != F.col("rep"), F.col("last")), ignorenulls=True).over(same))
-    first = F.when(goes_on, F.col("c_first")).otherwise(F.col("first"))
-    hubs = F.array_distinct(F.array("last", first))
-    met = seen.select("rep", "pos", F.explode(hubs).alias("hub")).where(F.col("hub").isNotNull() & (F.col("hub.rep") != F.col("rep")))
-    return met.groupBy("rep", F.col("hub.rep").alias("hub"), (F.col("pos") - F.col("hub.pos")).alias("offset")).agg(F.count("*").alias("votes"))
+    posts, n = _posts(reps), F.size("prints")
+    far = scratch.stage(reps.where(n > long).select("row", "prints"), "long")
+    found = None
+    if least_votes > 1:
+        short = reps.where(n <= long)
+        blocks = scratch.stage(posts.groupBy("value").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks")).where("blocks > 1"), "blocks")
+        dealt = _followed(short, least_votes - 1).join(F.broadcast(blocks), "value", "left")  # a row for each ``tile`` places at most
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("row"), F.coalesce("blocks", F.lit(1))).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+        dealt = dealt.select("value", "row", "pos", "own", "after", other.alias("other")).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+        held = dealt.repartition("value", "low", "high").sortWithinPartitions("value", "low", "high")
+        found = _met(held, least_votes - 1)
+    if least_votes == 1 or not far.isEmpty():
+        mine = posts if least_votes == 1 else _posts(far)
+        pairs = mine.select(F.col("row").alias("a"), F.col("pos").alias("p"), "value").join(posts.select(F.col("row").alias("b"), F.col("pos").alias("q"), "value").hint("merge"), "value").where("a != b")
+        offset = F.when(F.col("a") > F.col("b"), F.col("p") - F.col("q")).otherwise(F.col("q") - F.col("p"))
+        # two long ones meet twice, with the same votes
+        votes = pairs.groupBy("a", "b", F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), offset.alias("offset")).agg(F.count("*").alias("votes"))
+        more = votes.where(F.col("votes") >= least_votes).select("x", "y", "offset").distinct()
+        found = more if found is None else found.unionByName(more)
+    return found
 
 
 def _verified(pairs: DataFrame, least_votes: int) -> DataFrame:
@@ -220,7 +336,8 @@ def _verified(pairs: DataFrame, least_votes: int) -> DataFrame:
             rows = []
             for k, tried in enumerate(offsets):
                 x, y = (c[k].values.to_numpy(zero_copy_only=False).astype(np.int32) for c in (a, b))
-                found = [(made[0], o, *made[1:]) for o in tried if (made := aligned(x, y, o, least_votes))]
+                u, v = numbered(x), numbered(y)
+                found = [(made[0], o, *made[1:]) for o in tried if votes(u, v, o) >= least_votes and (made := aligned(x, y, o, least_votes))]
                 _, offset, n, wrong = max(found, key=lambda r: (r[0], -abs(r[1]), r[1]), default=(0, 0, 0, 0))
                 rows.append((offset, n, wrong, bool(found)))
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
@@ -229,13 +346,14 @@ def _verified(pairs: DataFrame, least_votes: int) -> DataFrame:
     return pairs.mapInArrow(run, with_fields(pairs, ["rep", "hub"], offset="long", overlap="long", bit_errors="long"))
 
 
-def align(media: DataFrame, key: str, column: Column, least_votes: int = 3) -> DataFrame:
+def align(media: DataFrame, key: str, column: Column, least_votes: int = 3, long: int = LONG, tile: int = TILE) -> DataFrame:
     """key, n_prints, class_id, group_id, n_links, match_id, offset, overlap and bit_errors of every recording.
 
     ``class_id`` is the least key with the same fingerprints, ``group_id`` the least class that alignments reach.
     Two classes align if ``least_votes`` of their prints have the same values at one offset and the best stretch
     there, of any offset with so many, holds (``aligned``).
-    ``n_links`` counts the alignments found with the class, ``match_id`` is the one with most bits right (then the
+    All pairs of classes are looked at, however many share a print.  ``long`` and ``tile`` (``_candidates``) don't change the result.
+    ``n_links`` counts the classes that align with the class, ``match_id`` is the one with most bits right (then the
     least id), null without one; ``offset`` is where it starts in this recording, ``overlap`` the stretch in prints.
     Media of fewer than ``least_votes`` prints (under 1,280 bytes) align with none.  Null and empty recordings
     have no prints, are one class and link to none; repeated rows stay; null keys never stand for a class that
@@ -246,11 +364,16 @@ def align(media: DataFrame, key: str, column: Column, least_votes: int = 3) -> D
                             .withColumn("digest", F.sha2(F.array_join("prints", ","), 256)), "prints")
         # 60 bits of the digest tell apart rows of one key; the whole digest in every posting would be most of what is shuffled
         order = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").alias("tag"))
-        reps = scratch.stage(rows.groupBy("digest").agg(F.min(order).alias("rep"), F.first("prints").alias("prints")).select("digest", "rep", "prints"), "classes")
-        votes = _votes(_posts(reps.where(F.size("prints") >= least_votes)), scratch)
-        tried = scratch.stage(votes.where(F.col("votes") >= least_votes).groupBy("rep", "hub").agg(F.collect_list("offset").alias("offsets")), "tried")
-        pairs = tried.join(reps.select("rep", F.col("prints").alias("a")).hint("merge"), "rep").join(reps.select(F.col("rep").alias("hub"), F.col("prints").alias("b")).hint("merge"), "hub")
-        links = scratch.stage(_verified(pairs.select("rep", "hub", "offsets", "a", "b"), least_votes), "links")
+        reps = rows.groupBy("digest").agg(F.min(order).alias("rep"), F.first("prints").alias("prints")).select(F.monotonically_increasing_id().alias("row"), "digest", "rep", "prints")
+        reps = scratch.stage(reps, "classes")
+        # no stretch of fewer prints can reach the score
+        found = _candidates(reps.where(F.size("prints") >= max(least_votes, -(-ENOUGH // EVEN))).select("row", "prints"), least_votes, scratch, long, tile)
+        tried = scratch.stage(found.groupBy("x", "y").agg(F.collect_set("offset").alias("offsets")), "tried")
+        ends = [reps.select(F.col("row").alias(r), F.col("rep").alias(n), F.col("prints").alias(c)).hint("merge") for r, n, c in (("x", "rep", "a"), ("y", "hub", "b"))]
+        pairs, swap = tried.join(ends[0], "x").join(ends[1], "y"), F.col("rep") < F.col("hub")
+        turned = lambda one, two: F.when(swap, F.col(two)).otherwise(F.col(one)).alias(one)
+        pairs = pairs.select(turned("rep", "hub"), turned("hub", "rep"), F.when(swap, F.transform("offsets", lambda o: -o)).otherwise(F.col("offsets")).alias("offsets"), turned("a", "b"), turned("b", "a"))
+        links = scratch.stage(_verified(pairs, least_votes), "links")
         other = links.select(F.col("hub").alias("rep"), F.col("rep").alias("hub"), (-F.col("offset")).alias("offset"), "overlap", "bit_errors")
         match = F.struct((F.col("bit_errors") - 32 * F.col("overlap")).alias("right"), F.col("hub").alias("hub"), "offset", "overlap", "bit_errors")
         chosen = scratch.stage(links.unionByName(other).groupBy("rep").agg(F.count("*").alias("n_links"), F.min(match).alias("m")), "chosen")
