@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays, that of the least id.
 
-    Null ids come last; texts without words are one group; no rows give none.
+    SimHash of the shingles proposes copies, whole sets decide, and an exact way finds those that SimHash tells apart.  Null ids come last; texts without words are one group; no rows give none.
     """
     return neardup.keep_one(docs)
 

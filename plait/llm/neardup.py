@@ -1,6 +1,11 @@
 """Near copies by the Jaccard similarity of whole sets of word shingles, exactly.
 
-Texts with the same set are one class.  Two sets of similarity ``least`` share one of their first
+Texts with the same set are one class.  Classes whose SimHash, of the hashes of the set, differs in 2 bits or fewer
+are linked by segment-popcount cells (``simhash.links``) and verified on the whole sets first.  As sets of
+similarity ``least`` can differ in more bits, an exact way for the rest follows, in which classes of one component need not
+meet.
+
+Two sets of similarity ``least`` share one of their first
 ``n - ceil(least n) + 1`` members in any order that holds for all sets, so classes meet where they share such
 a member and are then verified on the whole sets.  The order puts members that are common in a part of the
 texts last; which part that is changes the work, never the result.  Of two sets, the one whose first members
@@ -25,12 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plait.llm import simhash
 from plait.llm.schemas import quoted, restored, slices, whole, with_fields
 from plait.plans.components import connected_components
 from plait.plans.staging import Scratch
 
 CROWD, HUBS = 32, 3
-HUB = ("row", "n", "i", "free", "last")
+HUB = ("row", "n", "i", "free", "last", "root")
 #: What part of the pairs outside the largest components is verified in each round; the last takes all that are left.
 PARTS = (64, 8, 1)
 #: Texts looked at for common shingles, how often these must be seen, and how many of them are told apart.
@@ -75,18 +81,19 @@ def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(texts: DataFrame, size: int, least: float) -> DataFrame:
-    """``texts(row, text, ...)`` → its other columns, n, ``digest`` of the set, ``prefix``, the members that stand for it, and the place of their last in the order."""
+    """``texts(row, text, ...)`` → its other columns, n, ``digest`` and SimHash ``fp`` of the set, ``prefix``, the members that stand for it, and the place of their last in the order."""
     shared = texts.sparkSession.sparkContext.broadcast(_common(texts, size))
     keys = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
         for batch in slices(batches):
-            n, digest, prefix, last = [], [], [], []
+            n, digest, prints, prefix, last = [], [], [], [], []
             for t in batch.column(len(keys)):
                 s = shingles(t.as_py(), size)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
+                prints.append(simhash.fingerprint_of(s))
                 seen = np.zeros(len(s), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -94,10 +101,11 @@ def _prefixes(texts: DataFrame, size: int, least: float) -> DataFrame:
                 first = np.argsort(seen, kind="stable")[: first_members(len(s), least)]
                 prefix.append(s[first].view(np.int64))
                 last.append((int(seen[first[-1]]) << 50) + (int(s[first[-1]]) >> 14) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(last, pa.int64())], [*keys, "n", "digest", "prefix", "last"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)),
+                                                    pa.array(prefix, pa.list_(pa.int64())), pa.array(last, pa.int64())], [*keys, "n", "digest", "fp", "prefix", "last"])
 
     source = texts.select(*keys, F.col("text").cast("binary"))
-    return source.mapInArrow(run, with_fields(source, keys, n="int", digest="binary", prefix="array<long>", last="long"))
+    return source.mapInArrow(run, with_fields(source, keys, n="int", digest="binary", fp="long", prefix="array<long>", last="long"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, least: float, scratch: Scratch) -> DataFrame:
@@ -148,13 +156,26 @@ def _pairs(own: DataFrame, other: DataFrame, least: float, part: int = 1) -> Dat
     return met.select(F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")).distinct()
 
 
+def alike(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``classes(row, fp)`` → pairs (a, b), a < b, whose SimHash differs in 2 bits or fewer: those that hold each print's components together."""
+    firsts = scratch.stage(classes.groupBy("fp").agg(F.min("row").alias("first")), "firsts")
+    near = simhash.links(firsts.select("fp"), scratch)
+    apart = near.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")).hint("merge"), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")).hint("merge"), "b")
+    same = classes.select("row", "fp").join(firsts.hint("merge"), "fp").where("row != first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    return same.unionByName(apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
 def links(classes: DataFrame, texts: DataFrame, scratch: Scratch, size: int = 5, least: float = 0.8, crowd: int = CROWD) -> DataFrame:
-    """``classes(row, key, n, prefix, last)`` and ``texts(key, text)`` → edges (a, b) whose components are those of similarity ``least`` or more."""
+    """``classes(row, key, n, fp, prefix, last)`` and ``texts(key, text)`` → edges (a, b) whose components are those of similarity ``least`` or more."""
+    near = scratch.stage(alike(classes, scratch), "alike")
+    first = _verified(near, classes, texts, size, least, scratch)
+    roots = connected_components(first, scratch=scratch).withColumnRenamed("node", "row")
     posts = classes.select("row", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("i", "m"))
     held = scratch.stage(posts.groupBy("m").agg(F.count("*").alias("held")).where("held > 1"), "held")
     shared = scratch.stage(posts.join(held.hint("merge"), "m"), "shared")
     free = shared.groupBy("row", "n", "p").agg(F.count("*").alias("k")).select("row", (F.col("n") - F.col("p") + F.col("k")).alias("free"))
-    bound = scratch.stage(free.join(classes.select("row", "last").hint("merge"), "row"), "free")
+    bound = free.join(classes.select("row", "last").hint("merge"), "row").join(roots.hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    bound = scratch.stage(bound, "free")
     shared = scratch.stage(shared.join(bound.hint("merge"), "row").drop("p"), "bounded")
     calm, full = shared.where(F.col("held") <= crowd), shared.where(F.col("held") > crowd)
     pairs, crowded = _pairs(calm, calm, least), not full.isEmpty()
@@ -164,10 +185,11 @@ def links(classes: DataFrame, texts: DataFrame, scratch: Scratch, size: int = 5,
         hubs = scratch.stage(hubs.select("m", *[f"h.{f}" for f in HUB]).distinct(), "hubs")
         pairs = pairs.union(_pairs(hubs, full, least)).distinct()
     done = scratch.stage(pairs, "pairs")
-    found = _verified(done, classes, texts, size, least, scratch)
+    found = first.unionByName(_verified(done, classes, texts, size, least, scratch))
+    done = done.unionByName(near)
     for part in PARTS if crowded else ():
         roots = connected_components(found, scratch=scratch).withColumnRenamed("node", "row")
-        named = scratch.stage(full.join(roots.hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row")), "named")
+        named = scratch.stage(full.drop("root").join(roots.hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row")), "named")
         sizes = named.groupBy("m", "root").agg(F.count("*").alias("k")).groupBy("m").agg(F.max(F.struct("k", "root"))["root"].alias("most"), F.count("*").alias("roots"))
         largest = scratch.stage(sizes.where("roots > 1").select("m", "most"), "largest")
         apart = scratch.stage(named.join(largest.hint("merge"), "m"), "apart")
@@ -192,8 +214,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     key = F.struct(quoted(doc_id).isNull().alias("none"), quoted(doc_id).alias("id"), _content(docs).alias("hash"))
     texts = docs.select(key.alias("key"), quoted(text).cast("string").alias("text"))
     with Scratch(docs.sparkSession) as scratch:
-        classes = _prefixes(texts, size, least).groupBy("digest").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("last").alias("last"))
-        classes = scratch.stage(classes.select(F.monotonically_increasing_id().alias("row"), "key", "n", "prefix", "last"), "classes")
+        classes = _prefixes(texts, size, least).groupBy("digest").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("last").alias("last"))
+        classes = scratch.stage(classes.select(F.monotonically_increasing_id().alias("row"), "key", "n", "fp", "prefix", "last"), "classes")
         roots = connected_components(links(classes, texts, scratch, size, least, crowd), scratch=scratch)
         every = classes.select("row", "key").join(roots.withColumnRenamed("node", "row").hint("merge"), "row", "left")
         kept = scratch.keep(every.groupBy(F.coalesce("root", "row").alias("root")).agg(F.min("key").alias("key")).select("key"), "kept")

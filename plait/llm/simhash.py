@@ -43,10 +43,27 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
         part = words[at : at + BLOCK + size - 1]
         shingles = zip(*(part[k:] for k in range(size))) if len(words) >= size else [words]
         h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(h)
+    return _majority(ones, n)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of 64-bit ``hashes`` have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of 64-bit hashes as an unsigned integer; 0 without any."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        ones += _ones(hashes[at : at + BLOCK])
+    return _majority(ones, len(hashes))
+
+
 def with_fingerprints(docs: DataFrame, keys: list[str], text: str = "text", size: int = 3) -> DataFrame:
     """The ``keys`` of every row and ``fp``, the fingerprint of its whole text as a signed long."""
     source = docs.select(*map(quoted, keys), quoted(text).cast("string").cast("binary").alias("text"))
