@@ -9,8 +9,9 @@ from plait.functions.bases import BASES
 
 
 def counts(cells: DataFrame, by: list[str] = ["grp"]) -> DataFrame:  # noqa: B006
-    """``cells(*by, col, base)`` → (*by, col, base, n) of what is not blank."""
-    return cells.where("base != ' '").groupBy(*by, "col", "base").agg(F.count("*").alias("n"))
+    """``cells(*by, col, base)`` → (*by, col, base, n) of what is not blank; a cell with a ``weight`` is so many."""
+    n = F.sum("weight") if "weight" in cells.columns else F.count("*")
+    return cells.where("base != ' '").groupBy(*by, "col", "base").agg(n.alias("n"))
 
 
 def ranked(cells: DataFrame, by: list[str] = ["grp"]) -> DataFrame:  # noqa: B006
