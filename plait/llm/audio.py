@@ -205,22 +205,44 @@ def _onward(prints: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _followed(reps: DataFrame, least: int) -> DataFrame:
-    """``reps(row, prints)`` → (value, row, pos, after), ``after`` the hashes of ``_onward``, ``WIDE`` bytes each."""
+    """``reps(row, prints)`` → (value, row, pos, left, again, after): prints from the place on, those in the recording that repeat the one before, and the hashes of ``_onward``, ``WIDE`` bytes each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            made = [_onward(p.values.to_numpy(), least) for p in batch.column(1)]
+            prints = [p.values.to_numpy() for p in batch.column(1)]
+            made = [_onward(p, least) for p in prints]
             value, pos, sizes, after = (np.concatenate(c) for c in zip(*made))
+            places = [len(m[0]) for m in made]
+            left = np.repeat([len(p) for p in prints], places) - pos
+            again = np.repeat([(p[1:] == p[:-1]).sum() for p in prints], places)
             data = np.ascontiguousarray(after.view(np.uint8).reshape(-1, 8)[:, :WIDE])
             ends = np.concatenate(([0], np.cumsum(sizes) * WIDE)).astype(np.int32)
-            row = batch.column(0).take(pa.array(np.repeat(np.arange(len(made)), [len(m[0]) for m in made])))
+            row = batch.column(0).take(pa.array(np.repeat(np.arange(len(made)), places)))
             binary = pa.Array.from_buffers(pa.binary(), len(pos), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(value), row, pa.array(pos), binary], ["value", "row", "pos", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(value), row, pa.array(pos), pa.array(left, pa.int32()), pa.array(again, pa.int32()), binary], ["value", "row", "pos", "left", "again", "after"])
 
-    return reps.select("row", "prints").mapInArrow(run, "value long, row long, pos int, after binary")
+    return reps.select("row", "prints").mapInArrow(run, "value long, row long, pos int, left int, again int, after binary")
 
 
-def _agreeing(group: np.ndarray, sizes: np.ndarray, after: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i > j, of places of one ascending ``group`` with exactly ``need`` equal hashes in ``after``, which holds ``sizes`` for each."""
+def _needed(place: list[np.ndarray], i: np.ndarray, j: np.ndarray, need: int) -> np.ndarray:
+    """How many that follow must agree at the places ``i`` and ``j`` of ``place`` (pos, left, again), ``need`` or more; as many as can't be where no stretch there can hold.
+
+    A stretch of the ``n`` prints that lie side by side scores 4 for an equal print and 3 for another at most, so it takes
+    ``ENOUGH`` - 3 n equal ones.  Equal prints are equal values but where one of them repeats the print before it.
+    """
+    pos, left, again = place
+    n = np.minimum(pos[i], pos[j]).astype(np.int64) + np.minimum(left[i], left[j])
+    least = np.maximum(need, ENOUGH - (EVEN - 1) * n - again[i] - again[j] - 1)
+    return np.where(EVEN * n >= ENOUGH, least, n + 1)
+
+
+def _agreeing(group: np.ndarray, sizes: np.ndarray, after: np.ndarray, need: int, place: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i > j, of places of one ascending ``group`` with exactly ``need`` equal hashes in ``after``, which holds ``sizes`` for each.
+
+    With ``place`` exactly as many as ``_needed`` asks for.
+    """
+    def exact(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return i[n == need] * len(sizes) + j[n == need] if place is None else (i * len(sizes) + j)[n == _needed(place, i, j, need)]
+
     holder = np.repeat(np.arange(len(sizes)), sizes)
     key = (group[holder].astype(np.uint64) << np.uint64(8 * WIDE)) | after
     order = np.argsort(key, kind="stable")
@@ -243,7 +265,8 @@ def _agreeing(group: np.ndarray, sizes: np.ndarray, after: np.ndarray, need: int
             left = np.repeat(mine, pairs[mine])
             right = np.arange(len(left)) - np.repeat(np.cumsum(pairs[mine]) - pairs[mine], pairs[mine]) + start[left]
             both, n = np.unique(holder[left] * len(sizes) + holder[right], return_counts=True)
-            out.append(both[n == need])
+            both, n = both[n >= need], n[n >= need]
+            out.append(exact(both // len(sizes), both % len(sizes), n))
         else:  # few holders with very many hashes in common: counted in a table of the holders
             for g in np.unique(of[mine]):
                 own = mine[of[mine] == g]
@@ -251,21 +274,22 @@ def _agreeing(group: np.ndarray, sizes: np.ndarray, after: np.ndarray, need: int
                 n = np.zeros((len(names), len(names)), np.int32)
                 for k in np.split(which, np.flatnonzero(starts[own])[1:]):
                     n[np.ix_(k, k)] += 1
-                i, j = np.nonzero(np.tril(n, -1) == need)
-                out.append(names[i] * len(sizes) + names[j])
+                i, j = np.nonzero(np.tril(n, -1) >= max(need, 1))
+                out.append(exact(names[i], names[j], n[i, j]))
     both = np.concatenate(out)
     return both // len(sizes), both % len(sizes)
 
 
 def _met(held: DataFrame, need: int) -> DataFrame:
-    """``held(value, low, high, own, row, pos, after)``, sorted by the first three → (x, y, offset), x > y, of places that agree in ``need`` that follow."""
+    """``held(value, low, high, own, row, pos, left, again, after)``, sorted by the first three → (x, y, offset), x > y, of places that agree in ``need`` that follow, or in more where a stretch takes them."""
     def found(part: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
-        ends = np.frombuffer(part.column(6).buffers()[1], np.int32)[part.column(6).offset :][: part.num_rows + 1].astype(np.int64)
-        data = np.frombuffer(part.column(6).buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        ends = np.frombuffer(part.column(8).buffers()[1], np.int32)[part.column(8).offset :][: part.num_rows + 1].astype(np.int64)
+        data = np.frombuffer(part.column(8).buffers()[2], np.uint8)[ends[0] : ends[-1]]
         after = np.zeros((len(data) // WIDE, 8), np.uint8)
         after[:, :WIDE] = data.reshape(-1, WIDE)
-        i, j = _agreeing(group, np.diff(ends) // WIDE, after.view(np.uint64)[:, 0], need)
-        low, high, own, row, pos = (part.column(k).to_numpy() for k in range(1, 6))
+        low, high, own, row, *place = (part.column(k).to_numpy() for k in range(1, 8))
+        i, j = _agreeing(group, np.diff(ends) // WIDE, after.view(np.uint64)[:, 0], need, place)
+        pos = place[0]
         right = (row[i] != row[j]) & ((low[i] == high[i]) | (own[i] != own[j]))
         i, j = i[right], j[right]
         i, j = np.where(row[i] > row[j], i, j), np.where(row[i] > row[j], j, i)
@@ -291,14 +315,14 @@ def _met(held: DataFrame, need: int) -> DataFrame:
             if part.num_rows:
                 yield found(part, groups(part))
 
-    return held.select("value", "low", "high", "own", "row", "pos", "after").mapInArrow(run, "x long, y long, offset int")
+    return held.select("value", "low", "high", "own", "row", "pos", "left", "again", "after").mapInArrow(run, "x long, y long, offset int")
 
 
 def _candidates(reps: DataFrame, least_votes: int, scratch: Scratch, long: int, tile: int) -> DataFrame:
-    """``reps(row, prints)`` → (x, y, offset), x > y, distinct: all pairs that have ``least_votes`` prints in common at an offset.
+    """``reps(row, prints)`` → (x, y, offset), x > y, distinct: all pairs that have ``least_votes`` prints in common at an offset, but those of which ``_needed`` tells that none can hold.
 
     Places of one value meet with the hashes of the places after them in order of (value, place).  Those of an alignment come in
-    one order in both recordings, so it is seen once, at its ``least_votes``-th from the end, however many places agree; of
+    one order in both recordings, so it is seen once, at its ``least_votes``-th from the end (``_needed`` may ask for more), however many places agree; of
     places that share a value alone no pairs are made.  A value of more than ``tile`` places is dealt in tiles of two blocks
     of recordings.  Recordings of more than ``long`` prints meet all others by the values themselves, as what follows all
     their places grows with the square of their length.
@@ -312,7 +336,7 @@ def _candidates(reps: DataFrame, least_votes: int, scratch: Scratch, long: int,
         dealt = _followed(short, least_votes - 1).join(F.broadcast(blocks), "value", "left")  # a row for each ``tile`` places at most
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("row"), F.coalesce("blocks", F.lit(1))).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-        dealt = dealt.select("value", "row", "pos", "own", "after", other.alias("other")).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+        dealt = dealt.select("value", "row", "pos", "left", "again", "own", "after", other.alias("other")).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
         held = dealt.repartition("value", "low", "high").sortWithinPartitions("value", "low", "high")
         found = _met(held, least_votes - 1)
     if least_votes == 1 or not far.isEmpty():
