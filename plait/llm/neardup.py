@@ -108,8 +108,8 @@ def _prefixes(texts: DataFrame, size: int, least: float) -> DataFrame:
     return source.mapInArrow(run, with_fields(source, keys, n="int", digest="binary", fp="long", prefix="array<long>", last="long"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, least: float, scratch: Scratch) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole sets are similar; texts travel, as they are smaller than their sets.
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, least: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Those of ``pairs(a, b)`` that were verified, and those of them whose whole sets are similar; texts travel, as they are smaller than their sets.
 
     What the first members have in common and all other members of one set bound the overlap; pairs below need no texts.
     """
@@ -117,8 +117,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
         classes.select(F.col("row").alias("b"), F.col("n").alias("n2"), F.col("prefix").alias("p2")).hint("merge"), "b")
     most = F.size(F.array_intersect("p1", "p2")) + F.greatest(F.col("n1") - F.size("p1"), F.col("n2") - F.size("p2"))
     pairs = scratch.stage(ends.where(most >= least / (1 + least) * (F.col("n1") + F.col("n2")) - 1e-9).select("a", "b"), "likely")
+    if pairs.isEmpty():
+        return pairs, pairs
     asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    asked = scratch.stage(classes.select("row", "key").join(asked.hint("merge"), "row"), "wanted")
+    asked = classes.select("row", "key").join(asked.hint("merge"), "row")
     some = texts.join(asked.hint("merge"), "key").dropDuplicates(["key"])
     some = scratch.stage(some.select("row", F.col("text").cast("binary").alias("text")), "asked")
     both = pairs.join(some.select(F.col("row").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(
@@ -136,7 +138,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
                 out.append(o >= least * (len(other) + len(mine) - o) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(out, pa.bool_()))
 
-    return scratch.stage(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
+    return pairs, scratch.stage(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar", pairs.count())
 
 
 def _pairs(own: DataFrame, other: DataFrame, least: float, part: int = 1) -> DataFrame:
@@ -165,38 +167,48 @@ def alike(classes: DataFrame, scratch: Scratch) -> DataFrame:
     return same.unionByName(apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
-def links(classes: DataFrame, texts: DataFrame, scratch: Scratch, size: int = 5, least: float = 0.8, crowd: int = CROWD) -> DataFrame:
-    """``classes(row, key, n, fp, prefix, last)`` and ``texts(key, text)`` → edges (a, b) whose components are those of similarity ``least`` or more."""
-    near = scratch.stage(alike(classes, scratch), "alike")
-    first = _verified(near, classes, texts, size, least, scratch)
+def _with_all(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``sums``, an aggregate by ``m``, which is exchanged right below the join (the key is a struct), so that a common ``m`` is split."""
+    return rows.withColumn("by", F.struct("m")).join(sums.withColumn("by", F.struct("m")).drop("m").hint("merge"), "by").drop("by")
+
+
+def _joined(roots: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """``roots(row, root)`` after the components that ``more(a, b)`` links have become one."""
+    if more.isEmpty():
+        return roots
+    stars = roots.select(F.col("row").alias("a"), F.col("root").alias("b"))
+    return connected_components(stars.unionByName(more), scratch=scratch).withColumnRenamed("node", "row")
+
+
+def components(classes: DataFrame, texts: DataFrame, scratch: Scratch, size: int = 5, least: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """``classes(row, key, n, fp, prefix, last)`` and ``texts(key, text)`` → (row, root) of the components of similarity ``least`` or more, without rows that are alone.
+
+    Only what is read more than once is staged, as each staged table costs a file for every partition.
+    """
+    done, first = _verified(alike(classes, scratch), classes, texts, size, least, scratch)
     roots = connected_components(first, scratch=scratch).withColumnRenamed("node", "row")
     posts = classes.select("row", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("i", "m"))
-    held = scratch.stage(posts.groupBy("m").agg(F.count("*").alias("held")).where("held > 1"), "held")
-    shared = scratch.stage(posts.join(held.hint("merge"), "m"), "shared")
+    shared = scratch.stage(_with_all(posts, posts.groupBy("m").agg(F.count("*").alias("held")).where("held > 1")), "shared")
     free = shared.groupBy("row", "n", "p").agg(F.count("*").alias("k")).select("row", (F.col("n") - F.col("p") + F.col("k")).alias("free"))
     bound = free.join(classes.select("row", "last").hint("merge"), "row").join(roots.hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    bound = scratch.stage(bound, "free")
     shared = scratch.stage(shared.join(bound.hint("merge"), "row").drop("p"), "bounded")
     calm, full = shared.where(F.col("held") <= crowd), shared.where(F.col("held") > crowd)
     pairs, crowded = _pairs(calm, calm, least), not full.isEmpty()
     if crowded:
         drawn = [F.min(F.struct(F.xxhash64("row", F.lit(k)).alias("o"), *HUB)).alias(f"h{k}") for k in range(HUBS)]
         hubs = full.groupBy("m").agg(*drawn).select("m", F.explode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("h"))
-        hubs = scratch.stage(hubs.select("m", *[f"h.{f}" for f in HUB]).distinct(), "hubs")
+        hubs = hubs.select("m", *[f"h.{f}" for f in HUB]).distinct()
         pairs = pairs.union(_pairs(hubs, full, least)).distinct()
-    done = scratch.stage(pairs, "pairs")
-    found = first.unionByName(_verified(done, classes, texts, size, least, scratch))
-    done = done.unionByName(near)
+    likely, similar = _verified(pairs, classes, texts, size, least, scratch)
+    done, roots = done.unionByName(likely), _joined(roots, similar, scratch)
     for part in PARTS if crowded else ():
-        roots = connected_components(found, scratch=scratch).withColumnRenamed("node", "row")
-        named = scratch.stage(full.drop("root").join(roots.hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row")), "named")
+        named = full.drop("root").join(roots.hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row"))
         sizes = named.groupBy("m", "root").agg(F.count("*").alias("k")).groupBy("m").agg(F.max(F.struct("k", "root"))["root"].alias("most"), F.count("*").alias("roots"))
-        largest = scratch.stage(sizes.where("roots > 1").select("m", "most"), "largest")
-        apart = scratch.stage(named.join(largest.hint("merge"), "m"), "apart")
+        apart = scratch.stage(_with_all(named, sizes.where("roots > 1").select("m", "most")), "apart")
         more = _pairs(apart.where("root != most"), apart, least, part).join(done.hint("merge"), ["a", "b"], "left_anti")
-        more = scratch.stage(more, "more")
-        done, found = done.union(more), found.union(_verified(more, classes, texts, size, least, scratch))
-    return found
+        likely, similar = _verified(more, classes, texts, size, least, scratch)
+        done, roots = done.unionByName(likely), _joined(roots, similar, scratch)
+    return roots
 
 
 def _content(docs: DataFrame) -> Column:
@@ -216,8 +228,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     with Scratch(docs.sparkSession) as scratch:
         classes = _prefixes(texts, size, least).groupBy("digest").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("last").alias("last"))
         classes = scratch.stage(classes.select(F.monotonically_increasing_id().alias("row"), "key", "n", "fp", "prefix", "last"), "classes")
-        roots = connected_components(links(classes, texts, scratch, size, least, crowd), scratch=scratch)
-        every = classes.select("row", "key").join(roots.withColumnRenamed("node", "row").hint("merge"), "row", "left")
+        roots = components(classes, texts, scratch, size, least, crowd)
+        every = classes.select("row", "key").join(roots.hint("merge"), "row", "left")
         kept = scratch.keep(every.groupBy(F.coalesce("root", "row").alias("root")).agg(F.min("key").alias("key")).select("key"), "kept")
     out = docs.select(key.alias("key"), whole(docs).alias("rest")).join(kept.hint("merge"), "key").dropDuplicates(["key"])
     return out.select(*restored(docs))
