@@ -6,10 +6,11 @@ phrase can be frequent only if all phrases inside it are, so each length is look
 were heavy.  What is heavy is held in one bitmap of ``1 << BITS`` bits at most, by sums over 40 bits of the key; phrases that share
 a bit or a sum can make a light one pass, never a heavy one fail.
 
-The candidates are cut into blocks of bounded size, each with a minimal perfect hash and its keys in slot order.  Per
-block one pass over the chunks looks up every phrase, verifies it by the stored key, and adds a numpy
-count of slots and the first chunk that has each; the arrays are summed in a tree of two levels.  A second pass takes each
-frequent phrase's words from its first chunk, so each is written once.  A pass costs a block: 2,097,152 candidates
+One pass counts the candidates: a task adds up its chunks and sends arrays of keys, counts and first chunks by ranges of the
+keys, and each range keeps what is frequent.  So the passes over the corpus don't grow with the candidates.
+The frequent phrases are cut into blocks of bounded size, each with a minimal perfect hash and its keys in slot order.  Per
+block one pass over the chunks looks up every phrase, verifies it by the stored key, and takes each
+frequent phrase's words from its first chunk, so each is written once.  A pass costs a block: 2,097,152 phrases
 are 32 MB of keys and as much of counts and chunks in each task.  Cuts are read by slot from the same arrays.
 """
 
@@ -29,13 +30,12 @@ from plait.plans.staging import Scratch
 
 #: Words of a chunk, at least; words held by a task that has many languages; phrases up to so many words.
 CHUNK, HELD, LONGEST = 1 << 18, 1 << 20, 4
-#: Bits of the bitmap of heavy phrases, 16 MB; words whose sums are added in one task; candidates of a block; slots summed as one row.
+#: Bits of the bitmap of heavy phrases, 16 MB; words whose sums are added in one task; phrases of a block; texts sent as one batch.
 BITS, RANGE, BLOCK, SLICE = 27, 1 << 21, 1 << 21, 1 << 14
-#: Keys that a task remembers, so as not to report a candidate for each of its chunks.
-SEEN = 1 << 21
+#: Sums or keys that a task adds up over its chunks before it sends them.
+SEEN = 1 << 20
 BREAK = b"\xff"
 _COLUMNS = ["lang", "words", "ids", "sizes", "chunk"]
-_NEVER = np.iinfo(np.int64).max
 _LOWER = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -151,6 +151,43 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {"lang": batch.column("lang")[k].as_py(), "chunk": batch.column("chunk")[k].as_py(), "words": words.split(b" "), "ids": ids}
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """An array compressed, the bytes of one place of all its numbers side by side."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), "zstd", asbytes=True)
+
+
+def _numbers(column: pa.ChunkedArray, sizes: list[int], kind: type) -> np.ndarray:
+    """The arrays of ``_planes`` one after another."""
+    wide = np.dtype(kind).itemsize
+    made = [np.frombuffer(pa.decompress(x.as_buffer(), n * wide, "zstd"), np.uint8).reshape(wide, n).T for x, n in zip(column, sizes)]
+    return np.ascontiguousarray(np.concatenate(made)).view(kind).reshape(-1)
+
+
+def _ranges(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """An order by parts, the parts there are, and where each begins and ends in the order."""
+    order = np.argsort(parts, kind="stable")
+    found, starts = np.unique(parts[order], return_index=True)
+    return order, found.astype(np.int32), list(zip(starts.tolist(), [*starts[1:].tolist(), len(parts)]))
+
+
+def _added_up(held: list[tuple[np.ndarray, ...]], add) -> Iterator[tuple[np.ndarray, ...]]:
+    """What is to be sent of ``held``, tuples of arrays with a row for each thing; what adds up well stays until there is more of it."""
+    if sum(len(x[0]) for x in held) >= SEEN:
+        whole = add(*map(np.concatenate, zip(*held)))
+        held[:] = [whole]
+        if 2 * len(whole[0]) > SEEN:
+            held.clear()
+            yield whole
+
+
+def _sums(sums: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each sum once, in order, with its times added."""
+    order = np.argsort(sums)
+    sums, times = sums[order], times[order]
+    starts = np.flatnonzero(np.concatenate([[True], sums[1:] != sums[:-1]])[: len(sums)])
+    return sums[starts], np.add.reduceat(times, starts) if len(starts) else times
+
+
 def _bits(words: int) -> int:
     """How many bits number the bitmap's places: as many places as words, ``1 << BITS`` at most."""
     return min(BITS, max(16, math.ceil(math.log2(max(words, 1)))))
@@ -159,38 +196,39 @@ def _bits(words: int) -> int:
 def _sieved(chunks: DataFrame, heavy: Heavy, first: int, last: int, least: int, words: int) -> Heavy:
     """``heavy`` with what is heavy among phrases of ``first`` to ``last`` words.
 
-    A chunk's sums travel as arrays, one for each range of the bitmap; there are so many ranges that one holds
+    A task's sums travel as arrays, one for each range of the bitmap; there are so many ranges that one holds
     ``RANGE`` of the ``words`` words, and each becomes its part of the bitmap.
     """
     shared, bits = chunks.sparkSession.sparkContext.broadcast(heavy), _bits(words)
     low = max(bits - 20, bits - math.ceil(math.log2(max(1, words / RANGE))), 3) if words > RANGE else bits
-    mask = np.int64((1 << bits) - 1)
+    mask, inner = np.int64((1 << bits) - 1), np.int64((1 << low) - 1)
+
+    def sent(sums: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        order, found, cut = _ranges((sums & mask) >> low)
+        # the bits that tell the range are the same in all of it
+        sums, times = ((sums >> bits << low) | (sums & inner))[order], times[order].astype(np.int32)
+        held = [pa.array([_planes(x) for x in made], pa.binary()) for made in ([np.diff(sums[s:e], prepend=0) for s, e in cut], [times[s:e] for s, e in cut])]
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array([e - s for s, e in cut], pa.int32()), *held], ["part", "size", "sums", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for row in _rows(batches):
             for n, _, _, _, keys in _phrases(row, shared.value, last):
                 if n >= first and len(keys[0]):
-                    sums, times = np.unique((keys[0] >> np.uint64(24)).astype(np.int64), return_counts=True)
-                    parts = (sums & mask) >> low
-                    order = np.argsort(parts, kind="stable")
-                    sums, times, parts = sums[order], times[order].astype(np.int32), parts[order]
-                    found, starts = np.unique(parts, return_index=True)
-                    ends = [*starts[1:].tolist(), len(parts)]
-                    cut = list(zip(starts.tolist(), ends))
-                    held = [pa.array([pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True) for x in made], pa.binary())
-                            for made in ([np.diff(sums[s:e], prepend=0) for s, e in cut], [times[s:e] for s, e in cut])]
-                    sizes = pa.array([e - s for s, e in cut], pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), sizes, *held], ["part", "size", "sums", "times"])
+                    held.append(np.unique((keys[0] >> np.uint64(24)).astype(np.int64), return_counts=True))
+                    yield from (sent(*x) for x in _added_up(held, _sums))
+        if held:
+            yield sent(*_sums(*map(np.concatenate, zip(*held))))
 
     def added(table: pa.Table) -> pa.Table:
         sizes = table.column("size").to_pylist()
-        whole = lambda c, kind: [np.frombuffer(pa.decompress(x.as_buffer(), n * np.dtype(kind).itemsize, "zstd"), kind) for x, n in zip(table.column(c), sizes)]
-        sums, times = np.concatenate([np.cumsum(x) for x in whole("sums", np.int64)]), np.concatenate(whole("times", np.int32))
-        order = np.argsort(sums)
-        sums, times = sums[order], times[order].astype(np.int64)
-        starts = np.flatnonzero(np.diff(sums, prepend=sums[0] - 1))
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        sums = _numbers(table.column("sums"), sizes, np.int64)
+        for s, e in zip(starts.tolist(), starts[1:].tolist()):
+            sums[s:e] = np.cumsum(sums[s:e])
+        sums, times = _sums(sums, _numbers(table.column("times"), sizes, np.int32).astype(np.int64))
         bits = np.zeros(1 << low, bool)
-        bits[sums[starts][np.add.reduceat(times, starts) >= least] & ((1 << low) - 1)] = True
+        bits[sums[times >= least] & inner] = True
         return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     parts = chunks.select(*_COLUMNS).mapInArrow(run, "part int, size int, sums binary, times binary")
@@ -206,40 +244,51 @@ def _part(b: np.ndarray, parts: int) -> np.ndarray:
     return ((b >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
-    return a[new], b[new]
+def _tally(a: np.ndarray, b: np.ndarray, counts: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key once, in order, with its counts added and the least of its chunks."""
+    order = np.argsort(a)
+    new = np.concatenate([[True], a[order][1:] != a[order][:-1]])[: len(a)]
+    if (b[order][1:] != b[order][:-1])[~new[1:]].any():  # two keys with one first half
+        order = np.lexsort((b, a))
+        new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])[: len(a)]
+    starts = np.flatnonzero(new)
+    if not len(starts):
+        return a, b, counts, firsts
+    return a[order][starts], b[order][starts], np.add.reduceat(counts[order], starts), np.minimum.reduceat(firsts[order], starts)
+
 
+def _frequent(chunks: DataFrame, heavy, parts: int, least: int) -> DataFrame:
+    """(part, n, keys, counts, firsts): all phrases that occur ``least`` times, with their first chunks, as arrays; as many parts as ``parts``."""
+    kinds = {"a": np.uint64, "b": np.uint64, "counts": np.int64, "firsts": np.int64}
+
+    def sent(*made: np.ndarray) -> pa.RecordBatch:
+        order, found, cut = _ranges(_part(made[1], parts))
+        columns = [pa.array([_planes(x[order][s:e]) for s, e in cut], pa.binary()) for x in made]
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array([e - s for s, e in cut], pa.int32()), *columns], ["part", "size", *kinds])
 
-def _candidates(chunks: DataFrame, heavy, parts: int) -> DataFrame:
-    """(part, n, keys): the distinct keys of all phrases that may be frequent, as arrays; about as many parts as ``parts``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # what this task has sent already, in order
+        held: list[tuple[np.ndarray, ...]] = []
         for row in _rows(batches):
-            a, b = _distinct(*(np.concatenate(k) for k in zip(*[keys for *_, keys in _phrases(row, heavy.value)])))
-            if len(seen[0]):
-                at = np.minimum(np.searchsorted(seen[0], a), len(seen[0]) - 1)
-                new = (seen[0][at] != a) | (seen[1][at] != b)
-                a, b = a[new], b[new]
-            seen = _distinct(*(np.concatenate(k) for k in zip(seen if len(seen[0]) < SEEN else (a[:0], b[:0]), (a, b))))
-            part = _part(b, parts)
-            order = np.argsort(part, kind="stable")
-            found, starts = np.unique(part[order], return_index=True)
-            ends = [*starts[1:].tolist(), len(order)]
-            keys = [np.concatenate([a[own], b[own]]).tobytes() for own in (order[s:e] for s, e in zip(starts.tolist(), ends))]
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(keys, pa.binary())], ["part", "keys"])
+            for *_, (a, b) in _phrases(row, heavy.value):
+                held.append(_tally(a, b, np.ones(len(a), np.int64), np.full(len(a), row["chunk"], np.int64)))
+                yield from (sent(*x) for x in _added_up(held, _tally))
+        if any(len(x[0]) for x in held):
+            yield sent(*_tally(*map(np.concatenate, zip(*held))))
 
     def joined(table: pa.Table) -> pa.Table:
-        a, b = _distinct(*_keys(table.column("keys")))
-        return pa.table({"part": table.column("part").slice(0, 1), "n": pa.array([len(a)], pa.int64()), "keys": pa.array([np.concatenate([a, b]).tobytes()], pa.binary())})
+        sizes = table.column("size").to_pylist()
+        a, b, counts, firsts = _tally(*(_numbers(table.column(c), sizes, kind) for c, kind in kinds.items()))
+        often = counts >= least
+        made = [np.concatenate([a[often], b[often]]), counts[often], firsts[often]]
+        out = pa.table({"part": table.column("part").slice(0, 1), "n": pa.array([len(made[1])], pa.int64()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("keys", "counts", "firsts"), made)}})
+        return out if len(made[1]) else out.slice(0, 0)
 
-    return chunks.select(*_COLUMNS).mapInArrow(run, "part int, keys binary").groupBy("part").applyInArrow(lambda t: joined(t), "part int, n bigint, keys binary")
+    tallied = chunks.select(*_COLUMNS).mapInArrow(run, "part int, size int, a binary, b binary, counts binary, firsts binary")
+    return tallied.groupBy("part").applyInArrow(lambda t: joined(t), "part int, n bigint, keys binary, counts binary, firsts binary")
 
 
 def _keys(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Both halves of all keys in arrays of ``_candidates``."""
+    """Both halves of all keys in arrays of ``_frequent``."""
     made = [np.frombuffer(x.as_buffer(), np.uint64).reshape(2, -1) for x in column]
     both = np.concatenate(made, axis=1) if made else np.zeros((2, 0), np.uint64)
     return both[0], both[1]
@@ -294,12 +343,16 @@ class PerfectHash:
 
 
 class Block:
-    """A block of the candidates: which parts it has, and their perfect hash."""
+    """A block of the frequent phrases: which parts it has, their perfect hash, and counts and first chunks by slot."""
 
-    def __init__(self, candidates: DataFrame, number: int, blocks: int, parts: int):
+    def __init__(self, frequent: DataFrame, number: int, blocks: int, parts: int):
         self.number, self.blocks, self.parts = number, blocks, parts
-        own = candidates.where(F.pmod("part", F.lit(blocks)) == number).select("keys").toArrow()  # ``BLOCK`` keys or so
-        self.known = PerfectHash(*_keys(own.column("keys")))
+        own = frequent.where(F.pmod("part", F.lit(blocks)) == number).select("keys", "counts", "firsts").toArrow()  # ``BLOCK`` keys or so
+        keys = _keys(own.column("keys"))
+        self.known = PerfectHash(*keys)
+        order = np.argsort(self.known.slots(*keys))
+        self.known.ranks = self.known.sizes = None  # each task makes its own
+        self.counts, self.firsts = (np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x.as_buffer(), np.int64) for x in own.column(c)]])[order] for c in ("counts", "firsts"))
 
     def slots(self, keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
         """Which of the keys are in the block, and their slots."""
@@ -308,67 +361,25 @@ class Block:
         return own[slots >= 0], slots[slots >= 0]
 
 
-def _held(x: np.ndarray) -> pa.Array:
-    return pa.array([pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True)], pa.binary())
-
-
-def _array(x: bytes | pa.Buffer, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(x, 8 * n, "zstd", asbytes=True), np.int64)
-
-
-def _summed(sums: DataFrame, size: int, column: str, empty: int) -> np.ndarray:
-    """One of the arrays that the tree of ``_counts`` has made."""
-    out = np.full(size, empty)
-    for r in sums.select("slice", "size", column).collect():  # a block's numbers
-        out[r.slice * SLICE : r.slice * SLICE + r.size] = _array(bytes(r[column]), r.size)
-    return out
-
-
-def _counts(chunks: DataFrame, heavy, block, size: int) -> DataFrame:
-    """(slice, size, counts, firsts): how often each slot's phrase occurs and its first chunk, joined over tasks in two levels."""
-    kind = "slice int, size int, counts binary, firsts binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, firsts = np.zeros(size, np.int64), np.full(size, _NEVER)
-        for row in _rows(batches):
-            for *_, keys in _phrases(row, heavy.value):
-                own = np.bincount(block.value.slots(keys)[1], minlength=size)
-                counts += own
-                there = np.flatnonzero(own)
-                firsts[there] = np.minimum(firsts[there], row["chunk"])
-        for at in range(0, size, SLICE):
-            part = counts[at : at + SLICE]
-            if part.any():
-                numbers = [pa.array([x], pa.int32()) for x in (at // SLICE, len(part))]
-                yield pa.RecordBatch.from_arrays([*numbers, _held(part), _held(firsts[at : at + SLICE])], ["slice", "size", "counts", "firsts"])
-
-    def added(table: pa.Table) -> pa.Table:
-        n = table.column("size")[0].as_py()
-        counts, firsts = ([_array(x.as_buffer(), n) for x in table.column(c)] for c in ("counts", "firsts"))
-        return pa.table({"slice": table.column("slice").slice(0, 1), "size": table.column("size").slice(0, 1), "counts": _held(np.sum(counts, axis=0)), "firsts": _held(np.min(firsts, axis=0))})
-
-    made = chunks.select(*_COLUMNS).mapInArrow(run, kind).withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(32)))
-    half = made.groupBy("slice", "branch").applyInArrow(lambda t: added(t), kind)
-    return half.groupBy("slice").applyInArrow(lambda t: added(t), kind)
-
-
-def _texts(chunks: DataFrame, heavy, block, firsts) -> DataFrame:
-    """(lang, words, phrase) of the block's phrases of several words that have a first chunk, each from there."""
+def _texts(chunks: DataFrame, heavy, block) -> DataFrame:
+    """(lang, words, phrase) of the block's phrases of several words, each from its first chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             for n, words, ids, at, keys in _phrases(row, heavy.value):
                 own, slots = block.value.slots(keys) if n > 1 else (at[:0], at[:0])
-                mine = firsts.value[slots] == row["chunk"]
+                mine = block.value.firsts[slots] == row["chunk"]
                 _, first = np.unique(slots[mine], return_index=True)
-                texts = [b" ".join([words[w] for w in ids[s : s + n].tolist()]) for s in at[own[mine][first]].tolist()]
-                made = [pa.array([row["lang"]] * len(texts), pa.string()), pa.array([n] * len(texts), pa.int32()), pa.array(texts, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(made, ["lang", "words", "phrase"])
+                places = at[own[mine][first]].tolist()
+                for k in range(0, len(places), SLICE):
+                    texts = [b" ".join([words[w] for w in ids[s : s + n].tolist()]) for s in places[k : k + SLICE]]
+                    made = [pa.array([row["lang"]] * len(texts), pa.string()), pa.array([n] * len(texts), pa.int32()), pa.array(texts, pa.binary()).cast(pa.string())]
+                    yield pa.RecordBatch.from_arrays(made, ["lang", "words", "phrase"])
 
     return chunks.select(*_COLUMNS).mapInArrow(run, "lang string, words int, phrase string")
 
 
-def _read(phrases: DataFrame, block, counts) -> DataFrame:
+def _read(phrases: DataFrame, block) -> DataFrame:
     """``phrases`` with ``f``, the counts of the phrase, its beginnings and its ends, where these are in the block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,7 +395,7 @@ def _read(phrases: DataFrame, block, counts) -> DataFrame:
                     for w in range(first + 1, last):
                         keys = _longer(keys, words[w])
                     mine, slots = block.value.slots(keys)
-                    for k, count in zip(mine.tolist(), counts.value[slots].tolist()):
+                    for k, count in zip(mine.tolist(), block.value.counts[slots].tolist()):
                         f[own[k][0]][place] = count
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(f, pa.list_(pa.int64()))], ["lang", "words", "phrase", "f"])
 
@@ -409,23 +420,17 @@ def counted(docs: DataFrame, scratch: Scratch, least: int, text: str = "text", l
         kept.append(spark.sparkContext.broadcast(value))
         return kept[-1]
 
-    def loaded(k: int) -> tuple:
-        made = Block(candidates, k, blocks, parts)
-        return share(made), len(made.known.a)
-
-    heavy, phrases, sums = share(heavy), None, []
-    candidates = scratch.stage(_candidates(chunks, heavy, parts), "candidates")
-    blocks = min(parts, math.ceil((candidates.agg(F.sum("n")).first()[0] or 0) / BLOCK) or 1)
+    heavy, phrases = share(heavy), None
+    frequent = scratch.stage(_frequent(chunks, heavy, parts, least), "frequent")
+    blocks = min(parts, math.ceil((frequent.agg(F.sum("n")).first()[0] or 0) / BLOCK) or 1)
     for k in range(blocks):
-        block, size = loaded(k)
-        sums.append(scratch.stage(_counts(chunks, heavy, block, size), "counts"))
-        firsts = share(np.where(_summed(sums[k], size, "counts", 0) >= least, _summed(sums[k], size, "firsts", _NEVER), _NEVER))
-        texts = scratch.stage(_texts(chunks, heavy, block, firsts), "texts")
+        block = share(Block(frequent, k, blocks, parts))
+        texts = scratch.stage(_texts(chunks, heavy, block), "texts")
         phrases = texts if phrases is None else phrases.unionByName(texts)
     phrases = phrases.select("lang", "words", "phrase", F.array_repeat(F.lit(0).cast("long"), 2 * F.col("words") - 1).alias("f"))
     for k in range(blocks):
-        block, size = (block, size) if blocks == 1 else loaded(k)
-        phrases = scratch.stage(_read(phrases, block, share(_summed(sums[k], size, "counts", 0))), "phrases")
+        block = block if blocks == 1 else share(Block(frequent, k, blocks, parts))
+        phrases = scratch.stage(_read(phrases, block), "phrases")
     for shared in kept:  # all tables that read them are written
         shared.destroy()
     phrases = phrases.where(F.col("f")[0] >= least)
