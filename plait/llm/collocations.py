@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plait.llm.schemas import quoted, slices
-from plait.plans.staging import Scratch
+from plait.plans.staging import Scratch, shuffles_dropped
 
 #: Words of a chunk, at least; words held by a task that has many languages; phrases up to so many words.
 CHUNK, HELD, LONGEST = 1 << 18, 1 << 20, 4
@@ -62,7 +62,7 @@ def _chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
             words, parts = held.pop(lang)
             del sizes[lang]
             ids = np.concatenate(parts)
-            both = [b" ".join(words), ids.tobytes()]  # no word has a blank in it
+            both = [b" ".join(words), np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes()]  # no word has a blank in it; bytes of one place together
             columns = [pa.array([lang]), pa.array([int((ids > 0).sum())], pa.int64()), *[pa.array([pa.compress(x, "zstd", asbytes=True)], pa.binary()) for x in both]]
             return pa.RecordBatch.from_arrays([*columns, pa.array([[len(x) for x in both]], pa.list_(pa.int64()))], ["lang", "n", *_COLUMNS[1:4]])
 
@@ -120,7 +120,7 @@ class Heavy:
 
 def _phrases(row: dict, heavy: Heavy, longest: int = LONGEST):
     """(length, words, numbers of the words, places, keys) of all phrases of a chunk that may be frequent."""
-    ids, words = np.frombuffer(row["ids"], np.int32), row["words"]
+    ids, words = row["ids"], row["words"]
     hashes = _hashes(words)
     keys = _starts(row["lang"], hashes)
     ok = np.arange(len(words)) > 0
@@ -148,7 +148,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for k in range(batch.num_rows):
             sizes = batch.column("sizes")[k].as_py()
             words, ids = (pa.decompress(batch.column(c)[k].as_buffer(), n, "zstd", asbytes=True) for c, n in zip(("words", "ids"), sizes))
-            yield {"lang": batch.column("lang")[k].as_py(), "chunk": batch.column("chunk")[k].as_py(), "words": words.split(b" "), "ids": ids}
+            yield {"lang": batch.column("lang")[k].as_py(), "chunk": batch.column("chunk")[k].as_py(), "words": words.split(b" "), "ids": np.frombuffer(ids, np.uint8).reshape(4, -1).T.copy().view(np.int32).reshape(-1)}
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -447,7 +447,7 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 3
     ``n`` is the number of the language's words.  Null and empty texts have no words; repeated rows count each;
     order is by score and count, descending, then by the phrase's bytes; no rows give none.
     """
-    with Scratch(docs.sparkSession) as scratch:
+    with Scratch(docs.sparkSession) as scratch, shuffles_dropped(docs.sparkSession):
         phrases, totals = counted(docs, scratch, least, text, lang)
         phrases = scratch.keep(phrases, "phrases")
         totals = scratch.keep(totals, "totals")
